@@ -175,8 +175,9 @@ BLOBS = "bucket int, blob binary"
 class Packer:
     """Gathers fixed-width entries in a map task and deals them out by their first column, as one blob for each bucket."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.size = buckets, [], 0
+    def __init__(self, buckets: int, first: int = 0):
+        """first: number of the first bucket, to keep several kinds of entries apart."""
+        self.buckets, self.first, self.held, self.size = buckets, first, [], 0
 
     def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(columns)
@@ -191,7 +192,7 @@ class Packer:
             order = np.argsort(bucket, kind="stable")
             columns, bucket = [c[order] for c in columns], bucket[order]
             cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            yield pa.record_batch([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "blob"])
+            yield pa.record_batch([pa.array(bucket[cut[:-1]].astype(np.int32) + np.int32(self.first)), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "blob"])
         self.held, self.size = [], 0
 
 
@@ -204,14 +205,14 @@ def unpacked(blob: bytes, kinds: list) -> list[np.ndarray]:
 
 
 def by_bucket(blobs: DataFrame, kinds: list, f: Callable[..., Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
-    """Applies f to each bucket's columns, after a shuffle of the blobs."""
+    """Applies f to each bucket's number and columns, after a shuffle of the blobs."""
 
     def task(batches):
         now, held = None, []
 
         def done():
             if held:
-                yield from f(*[np.concatenate(c) for c in zip(*(unpacked(b, kinds) for b in held))])
+                yield from f(now, *[np.concatenate(c) for c in zip(*(unpacked(b, kinds) for b in held))])
 
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):

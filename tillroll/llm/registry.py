@@ -3,6 +3,7 @@
 from tillroll.llm.op02_line_dedup import OP2_SQL, op2_line_dedup
 from tillroll.llm.op03_packing import op3_packing
 from tillroll.llm.op05_secrets import op5_secrets
+from tillroll.llm.op10_ngram_join import op10_ngram_join
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_packing": op3_packing, "op5_secrets": op5_secrets}
+QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_packing": op3_packing, "op5_secrets": op5_secrets, "op10_ngram_join": op10_ngram_join}
 ORACLES = {"op2_line_dedup": OP2_SQL}
