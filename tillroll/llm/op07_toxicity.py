@@ -28,20 +28,31 @@ from tillroll.llm.training import labelled_ids
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 32
-LEVELS = 20
+LEVELS = 40
 
 
-def terms_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+#: Lengths of the word beginnings that are terms beside whole words.
+STEMS = (4, 5, 7)
 
 
-def vocabulary(examples: DataFrame, size: int, least: float, min_docs: int = 3) -> list[str]:
-    """Terms of examples (text, y) whose documents are toxic more often than the rest, strongest first; at most `size`."""
+def terms_of(text: str | None) -> Counter:
+    """How often each term stands in a text: its lower-case words, and beginnings of longer words (marked by a dash)."""
+    words = Counter(WORD.findall((text or "").lower()))
+    out = Counter(words)
+    for n in STEMS:
+        for w, c in words.items():
+            if len(w) > n:
+                out[w[:n] + "-"] += c
+    return out
+
+
+def vocabulary(examples: DataFrame, size: int, least: float, min_share: float = 0.03) -> list[str]:
+    """Terms of examples (text, y) most of whose documents are toxic, and more often than the rest, strongest first; at most `size`. A term needs 4 documents, and as many as min_share of the toxic ones."""
 
     def words(batches):
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                kinds = sorted(set(terms_of(text.as_py())))
+                kinds = sorted(terms_of(text.as_py()))
                 yield pa.record_batch([pa.array(kinds, pa.string()), pa.array([y] * len(kinds), pa.int32())], names=["term", "y"])
 
     totals = {r[0]: r[1] for r in examples.groupBy("y").count().collect()}  # two rows
@@ -49,11 +60,11 @@ def vocabulary(examples: DataFrame, size: int, least: float, min_docs: int = 3)
     n = n0 + n1
     if not n0 or not n1:
         return []
-    seen = examples.select("text", F.col("y").cast("int")).mapInArrow(words, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("df")).where(F.col("df") >= min_docs)
+    seen = examples.select("text", F.col("y").cast("int")).mapInArrow(words, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("df")).where(F.col("df") >= max(4, int(min_share * n1)))
     a, df = F.col("a").cast("double"), F.col("df").cast("double")
     excess = a * F.lit(float(n)) - df * F.lit(float(n1))
     chi = excess * excess * F.lit(float(n)) / (df * (F.lit(float(n)) - df) * F.lit(float(n1) * n0))
-    rows = seen.withColumn("chi", F.when((excess > 0) & (df < n), chi).otherwise(0.0)).where(F.col("chi") >= least)
+    rows = seen.withColumn("chi", F.when((excess > 0) & (df < n) & (a > 0.5 * df), chi).otherwise(0.0)).where(F.col("chi") >= least)
     return [r[0] for r in rows.orderBy(F.desc("chi"), "term").limit(size).collect()]
 
 
@@ -66,8 +77,8 @@ def counted(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
         for batch in batches:
             found, often = [], []
             for text in batch.column(batch.num_columns - 1):
-                count = Counter(t for t in terms_of(text.as_py()) if t in place)
-                at = sorted((place[t], c) for t, c in count.items())
+                count = terms_of(text.as_py())
+                at = sorted((place[t], count[t]) for t in place.keys() & count.keys())
                 found.append([i for i, _ in at])
                 often.append([1.0 + np.log(c) for _, c in at])
             yield pa.record_batch([*batch.columns[:-1], pa.array(found, pa.list_(pa.int32())), pa.array(often, pa.list_(pa.float64()))], names=[*keep, "term", "tf"])
