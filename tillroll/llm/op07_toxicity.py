@@ -16,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -47,20 +48,26 @@ def terms_of(text: str | None) -> Counter:
 
 
 def vocabulary(examples: DataFrame, size: int, least: float, min_share: float = 0.03) -> list[str]:
-    """Terms of examples (text, y) most of whose documents are toxic, and more often than the rest, strongest first; at most `size`. A term needs 4 documents, and as many as min_share of the toxic ones."""
+    """Terms of examples (text, y) most of whose documents are toxic, and more often than the rest, strongest first; at most `size`. A term needs 4 documents, and as many as min_share of the toxic ones; documents with the same words beside it, as copies have, count once."""
 
     def words(batches):
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                kinds = sorted(terms_of(text.as_py()))
-                yield pa.record_batch([pa.array(kinds, pa.string()), pa.array([y] * len(kinds), pa.int32())], names=["term", "y"])
+                flow, near = WORD.findall((text.as_py() or "").lower()), {}
+                for before, w, after in zip(["", *flow], flow, [*flow[1:], ""]):
+                    for t in (w, *(w[:n] + "-" for n in STEMS if len(w) > n)):
+                        if t not in near:
+                            near[t] = zlib.crc32(f"{before} {after}".encode())
+                yield pa.record_batch([pa.array(list(near), pa.string()), pa.array([y] * len(near), pa.int32()), pa.array(list(near.values()), pa.int64())], names=["term", "y", "near"])
 
     totals = {r[0]: r[1] for r in examples.groupBy("y").count().collect()}  # two rows
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     n = n0 + n1
     if not n0 or not n1:
         return []
-    seen = examples.select("text", F.col("y").cast("int")).mapInArrow(words, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("df")).where(F.col("df") >= max(4, int(min_share * n1)))
+    examples = examples.select("text", F.col("y").cast("int"))
+    seen = examples.mapInArrow(words, "term string, y int, near long").groupBy("term", "near").agg(F.max("y").alias("y"))
+    seen = seen.groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("df")).where(F.col("df") >= max(4, int(min_share * n1)))
     a, df = F.col("a").cast("double"), F.col("df").cast("double")
     excess = a * F.lit(float(n)) - df * F.lit(float(n1))
     chi = excess * excess * F.lit(float(n)) / (df * (F.lit(float(n)) - df) * F.lit(float(n1) * n0))

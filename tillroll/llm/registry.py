@@ -5,8 +5,9 @@ from tillroll.llm.op03_packing import op3_packing
 from tillroll.llm.op05_secrets import op5_secrets
 from tillroll.llm.op06_quality import op6_quality
 from tillroll.llm.op07_toxicity import op7_toxicity
+from tillroll.llm.op08_embeddings import OP8_SQL, op8_embeddings
 from tillroll.llm.op09_language import op9_language
 from tillroll.llm.op10_ngram_join import op10_ngram_join
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_packing, op5_secrets, op6_quality, op7_toxicity, op9_language, op10_ngram_join)}
-ORACLES = {"op2_line_dedup": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_packing, op5_secrets, op6_quality, op7_toxicity, op8_embeddings, op9_language, op10_ngram_join)}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op8_embeddings": OP8_SQL}
