@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _literal(v) -> str:
-    return "NULL" if v is None else repr(v) if isinstance(v, float) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return "NULL" if v is None else f"{v!r}::DOUBLE" if isinstance(v, float) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
 CASES = "(VALUES " + ", ".join(f"({k}, " + ", ".join(map(_literal, c)) + ")" for k, c in enumerate(X.CASES)) + ") c(k, text, store_name, address, phone, postal_code, country, confidence)"
