@@ -114,7 +114,7 @@ def phone(lines: Column, patterns: list[str] = PHONE_PATTERNS) -> Column:
     """The first number of at least 7 digits in twenty lines; patterns are tried in order on each line."""
 
     def number(line: Column, pattern: str) -> Column:
-        hit = first_match(line, UI + pattern)
+        hit = F.regexp_extract(line, UI + pattern, 0)
         digits = F.regexp_replace(F.regexp_replace(hit, UI + r"(?:Tel|Phone|Ph|Contact)[:\s]*", ""), r"(?U)[^\d+]", "")
         return F.when(F.char_length(F.translate(digits, "+", "")) >= 7, digits)
 
@@ -130,19 +130,17 @@ def clean_postal(c: Column) -> Column:
 def _pattern_postal(text: Column, pattern: str, exclusions: list[str]) -> Column:
     """The first match that nothing within 30 characters excludes; places of matches are rebuilt from the pieces between them."""
     found = F.regexp_extract_all(text, F.lit(UI + pattern), F.lit(0))
-    gaps = F.transform(F.split(text, UI + pattern, -1), F.char_length)
-    sizes = F.transform(found, F.char_length)
+    pieces = F.zip_with(found, F.split(text, UI + pattern, -1), lambda hit, gap: F.struct(hit.alias("hit"), F.char_length(gap).alias("gap")))
     start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("hit"))
+    excluded = U + "|".join(f"(?:{e})" for e in exclusions)
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc.at + F.get(gaps, i)
-        size = F.get(sizes, i)
+    def step(acc: Column, piece: Column) -> Column:
+        begin, size = acc.at + piece.gap, F.coalesce(F.char_length(piece.hit), F.lit(0))
         left = F.greatest(F.lit(0), begin - 30)
-        near = F.lower(F.substring(text, left + 1, begin + size + 30 - left))
-        ok = acc.hit.isNull() & ~any_of([near.rlike(U + e) for e in exclusions])
-        return F.struct((begin + size).cast("int").alias("at"), F.when(ok, clean_postal(stripped(F.get(found, i)))).otherwise(acc.hit).alias("hit"))
+        fits = acc.hit.isNull() & piece.hit.isNotNull() & ~F.lower(F.substring(text, left + 1, begin + size + 30 - left)).rlike(excluded)
+        return F.struct((begin + size).cast("int").alias("at"), F.when(fits, clean_postal(stripped(piece.hit))).otherwise(acc.hit).alias("hit"))
 
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc.hit))
+    return F.when(text.rlike(UI + pattern), F.aggregate(pieces, start, step, lambda acc: acc.hit))
 
 
 def postal_code(text: Column, exclusions: list[str] = POSTAL_EXCLUSIONS) -> Column:
