@@ -5,7 +5,7 @@ hold a term); term frequencies are damped, and document frequencies are counted
 equal vectors are one entry of the index, with its votes. For a document, blocks of entries are visited in order of
 their upper bound, the sum of block maxima, until no block can beat the k-th neighbour: the k nearest are exact, and
 entries as near as the k-th all count. Votes weighted by similarity give a share of toxic examples, which a binned
-monotone table, learned by leaving each example's own entry out, turns into a calibrated score. A document that shares
+monotone table, learned by leaving each example itself out, turns into a calibrated score. A document that shares
 no term with any example gets the share of toxic examples among those without terms.
 
 Learned from about `cap` labelled documents. Null and empty texts score as documents without terms.
@@ -29,7 +29,7 @@ from tillroll.llm.training import labelled_ids
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 32
-LEVELS = 40
+LEVELS = 20
 
 
 #: Lengths of the word beginnings that are terms beside whole words.
@@ -152,24 +152,31 @@ class BlockMax:
         order = keep[np.lexsort((e[keep], -s[keep]))]
         return e[order], s[order]
 
-    def share(self, e: np.ndarray, s: np.ndarray) -> float:
-        weight = s**2 * self.votes[e]
-        return float((s**2 * self.toxic[e]).sum() / weight.sum())
+    def share(self, e: np.ndarray, s: np.ndarray, less: tuple[int, float] | None = None) -> float:
+        """The weighted share of toxic votes among entries e; less: an entry and a label, one example that doesn't vote."""
+        toxic, votes = self.toxic[e], self.votes[e]
+        if less:
+            toxic, votes = toxic - less[1] * (e == less[0]), votes - (e == less[0])
+        return float((s**2 * toxic).sum() / (s**2 * votes).sum())
 
     def calibrate(self) -> None:
-        """Pools the shares of left-out examples into a monotone table of toxic rates."""
+        """Pools the shares that each example gets from the others into a monotone table of toxic rates."""
         shares, toxic, votes = [], [], []
         for e, (term, w) in enumerate(self.units):
-            near, s = self.nearest(term, w, without=e)
-            if len(near):
-                shares.append(self.share(near, s))
-                toxic.append(self.toxic[e])
-                votes.append(self.votes[e])
+            alone = self.votes[e] == 1
+            near, s = self.nearest(term, w, without=e if alone else -1)
+            for label, n in ((1.0, self.toxic[e]), (0.0, self.votes[e] - self.toxic[e])):
+                if n and len(near):
+                    shares.append(self.share(near, s, None if alone else (e, label)))
+                    toxic.append(label * n)
+                    votes.append(n)
         if not shares:
             self.levels, self.table = np.array([0.5]), np.array([0.0, 1.0])
             return
-        order = np.argsort(shares, kind="stable")
-        groups = [[float(np.array(shares)[g].max()), float(np.array(toxic)[g].sum()) + 0.02, float(np.array(votes)[g].sum()) + 0.1] for g in np.array_split(order, min(LEVELS, len(order)))]
+        x, a, n = np.array(shares), np.array(toxic), np.array(votes)
+        edges = np.append(np.linspace(0, 1, LEVELS + 1)[1:-1], [0.999, np.inf])  # equal shares stay together
+        bins = np.searchsorted(edges, x, "left")
+        groups = [[float(edges[i]), float(a[bins == i].sum()) + 0.02, float(n[bins == i].sum()) + 0.1] for i in np.unique(bins)]
         pooled: list = []
         for g in groups:
             pooled.append(g)
@@ -191,6 +198,11 @@ class BlockMax:
 
 def toxicity(docs: DataFrame, examples: DataFrame, size: int = 400, least: float = 24.0, k: int = 15) -> DataFrame:
     """(doc_id, score, evidence) of every document; examples: (doc_id, y), a bounded sample of labelled documents."""
+    with C.workspace(docs.sparkSession, "toxicity"):
+        return C.keep(_scored(docs, examples, size, least, k), "toxicity-scores")
+
+
+def _scored(docs: DataFrame, examples: DataFrame, size: int, least: float, k: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     examples = C.materialize(examples, "examples")
