@@ -29,7 +29,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = C.materialize(score_documents(docs, C.read(spark, sf_dir, "labels")).select("doc_id", "score"), "toxic")
+    scores = score_documents(docs, C.read(spark, sf_dir, "labels"))
     return _without(docs, scores.where(F.col("score") >= TOXIC))
 
 
@@ -40,7 +40,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = C.materialize(jaccard_components(docs, width=5, num=80, den=100), "near-duplicates")
+    found = jaccard_components(docs, width=5, num=80, den=100)
     return _without(docs, found.where("component_id != doc_id"))
 
 

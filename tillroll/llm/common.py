@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -28,14 +29,66 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tillroll-shared")
 
 
+#: Folders of the running operators, innermost last.
+_folders: list[str] = []
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession, label: str):
+    """A folder below the shared one for the tables written meanwhile; deleted at the end. What is to last goes through keep()."""
+    folder = f"{shared_root(spark)}/tillroll/{label}-{uuid.uuid4().hex}"
+    _folders.append(folder)
+    try:
+        yield
+    finally:
+        _folders.remove(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Like materialize, but outside the workspaces."""
+    held, _folders[:] = _folders[:], []
+    try:
+        return materialize(df, label)
+    finally:
+        _folders[:] = held
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    """Shuffle files go as soon as the write they were for is done: what it wrote stands in the shared folder."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old is not None else spark.conf.unset(name)
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{_folders[-1] if _folders else shared_root(spark) + '/tillroll'}/{name}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tillroll/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = _place(spark, f"{label}-{uuid.uuid4().hex}")
+    with _cleaning(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Cuts the lineage like materialize, in buckets of `key`: joins on it don't shuffle these rows again."""
+    spark = df.sparkSession
+    name, n = f"tillroll_{label}_{uuid.uuid4().hex}", partitions(spark)
+    with _cleaning(spark):
+        df.repartition(n, key).write.option("path", _place(spark, name)).option("compression", "zstd").bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

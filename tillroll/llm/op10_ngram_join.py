@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from tillroll.llm import common as C
 from tillroll.llm.components import components
 
-SPREAD = 1.9  # largest size of a band over its smallest
-SKETCH_BITS = 2048
+SPREAD = 1.6  # largest size of a band over its smallest, in units of that of two linked sets
+SKETCH_BITS = 2048  # of the bit sketch that every set has; larger sets have one of more bits, too
 ENTRY = ["<u8", "<u8", "<u4"]
 DOCS_FIRST = 1 << 24  # bucket numbers from here on hold (doc_id, class, size)
 BLOCK = 1024
+#: Bits of the filter on the documents whose sets are needed: 8 MB.
+FILTER_BITS = 1 << 26
 
 
 class Bands:
@@ -36,8 +38,8 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den, self.bands, self.edges = num, den, [], {}
         lo = 1
-        while len(self.bands) < 60:
-            hi = max(lo, int(lo * SPREAD))
+        while not self.bands or self.bands[-1][1] < 1 << 40:
+            hi = max(lo, int(lo * SPREAD * den / num))
             differ = 2 * hi * (den - num) // (den + num)
             words = differ + 1 + (-(-6 * differ // 100) + 1 if differ else 0)
             self.bands.append((lo, hi, words, differ))
@@ -139,31 +141,64 @@ def scan(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return C.materialize(C.by_bucket(blobs, ENTRY, gather, "is_doc boolean, x long, class long, n long", parts), "ngram-scan")
 
 
+def wide_sketch(members: np.ndarray) -> bytes | None:
+    """A bit sketch of at least as many bits as members, for sets that the common one is too narrow for."""
+    bits = (len(members) - 1).bit_length()
+    if 1 << bits <= SKETCH_BITS:
+        return None
+    return np.packbits((np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
+
+
+def distance(a: bytes | None, b: bytes | None) -> int:
+    """Hamming distance of two wide sketches, the wider one folded to the narrower's width; 0 where one is missing."""
+    if a is None or b is None:
+        return 0
+    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (a, b))
+    while len(x) != len(y):
+        x, y = (x[::2] ^ x[1::2], y) if len(x) > len(y) else (x, y[::2] ^ y[1::2])
+    return int((x ^ y).sum())
+
+
 def class_sets(docs: DataFrame, owners: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(class, n, sketch, members) of the wanted classes, from one document of each."""
+    """(class, n, sketch, wide, members) of the wanted classes at least, from one document of each.
+
+    The documents' ids set bits of a bitmap of fixed size; one pass over the texts works on documents whose bit is set, so
+    that texts aren't shuffled. Documents that share a bit with one of them add classes that nothing asks for, or a
+    class once more; neither changes a result.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     one = owners.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(one.select("doc_id"), "doc_id", "left_semi")
+    parts = one.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
+    for k, held in parts.collect():  # FILTER_BITS / 8 bytes at most
+        bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(held), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    # place of a bit in that array, by the same functions
+    place = ((F.bitmap_bucket_number("b") - 1) * 32768 + F.bitmap_bit_position("b")).alias("place")
 
     def task(batches):
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for _, members in sets_of(batch.column(1), width):
-                bits = np.bincount((members >> np.uint64(53)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                for column, v in zip(rows, (np.uint64(class_of(members)).astype(np.int64), len(members), np.packbits(bits.astype(np.uint8)).tobytes(), members.tobytes())):
+            at = batch.column(0).to_numpy()
+            text = batch.column(1).filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            rows: list[list] = [[], [], [], [], []]
+            for _, members in sets_of(text, width) if len(text) else ():
+                parity = np.bincount((members >> np.uint64(53)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                for column, v in zip(rows, (np.uint64(class_of(members)).astype(np.int64), len(members), np.packbits(parity.astype(np.uint8)).view(np.int64), wide_sketch(members), members.tobytes())):
                     column.append(v)
                 if len(rows[0]) >= 500:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
-                    rows = [[], [], [], []]
+                    rows = [[], [], [], [], []]
             if rows[0]:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
-    kinds, names = (pa.int64(), pa.int64(), pa.binary(), pa.binary()), ["class", "n", "sketch", "members"]
-    found = texts.mapInArrow(task, "class long, n long, sketch binary, members binary")
-    return C.materialize(found.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "ngram-sets")
+    kinds, names = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()), ["class", "n", "sketch", "wide", "members"]
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(bit.alias("b"), "text").select(place, "text")
+    found = texts.mapInArrow(task, "class long, n long, sketch array<long>, wide binary, members binary")
+    return C.bucketed(found, "class", "ngram_sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, by their whole sets."""
+    """The pairs (a, b) of classes whose sets are similar enough: by the distance of sketches first, then by their whole sets."""
 
     def task(batches):
         for batch in batches:
@@ -176,6 +211,18 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("wide").alias(f"w{c}"))
+    total = F.col("na") + F.col("nb")
+    most = total - 2 * F.ceil(F.lit(num) * total / F.lit(num + den))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+    def near(batches):
+        for batch in batches:
+            keep = [distance(x, y) <= m for x, y, m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b", "wa", "wb", most.cast("long").alias("most"))
+    pairs = C.materialize(met.mapInArrow(near, "a long, b long"), "ngram-pairs")
     left = sets.select(F.col("class").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("class").alias("b"), F.col("members").alias("mb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(task, "a long, b long")
@@ -203,7 +250,7 @@ def rest_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         def done():
             if len(held) > 1:
                 n = np.array([h[0] for h in held])
-                s = np.frombuffer(b"".join(h[1] for h in held), np.uint64).reshape(len(held), -1)
+                s = np.array([h[1] for h in held], np.int64).view(np.uint64)
                 c, k = np.array([h[2] for h in held]), np.array([h[3] for h in held])
                 for a in range(0, len(held), BLOCK):
                     for b in range(a, len(held), BLOCK):
@@ -224,6 +271,11 @@ def rest_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; sets link where den * |A and B| >= num * |A or B|."""
+    with C.workspace(docs.sparkSession, "ngram"):
+        return C.keep(_joined(docs, width, num, den, rounds), "ngram-components")
+
+
+def _joined(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
     found = scan(docs, width, num, den)
     owners = found.where("is_doc").select(F.col("x").alias("doc_id"), "class", "n")
     runs = C.materialize(found.where("not is_doc").select("x", "class", "n").distinct(), "ngram-runs")
@@ -235,8 +287,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         here = runs.join(label, "class")
         mixed = here.groupBy("x").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("x")
         here = C.materialize(here.join(mixed, "x", "left_semi"), "ngram-mixed")
-        if r < rounds:  # each member with its run's leader; another leader each time
-            lead = here.groupBy("x").agg(F.min_by(F.struct("class", "n", "comp"), F.xxhash64("class", F.lit(r))).alias("l"))
+        if r < rounds:  # each member with its run's leader: first the same class in many runs, then another one in each
+            lead = here.groupBy("x").agg(F.min_by(F.struct("class", "n", "comp"), F.xxhash64("class", F.lit(r), *["x"] * (r > 0))).alias("l"))
             pairs = here.join(lead, "x").where("comp != l.comp").where(F.lit(den) * F.least("n", "l.n") >= F.lit(num) * F.greatest("n", "l.n"))
             pairs = pairs.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
         else:
@@ -261,3 +313,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(C.read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)
+), r AS (
+  SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.d WHERE r.c < l.b
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM documents d JOIN r ON r.d = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
