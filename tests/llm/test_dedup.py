@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.llm import op01_suffix_dedup as op1
 from tillroll.llm import op02_line_dedup as op2
@@ -137,6 +138,13 @@ def test_join_without_rows(nothing):
     assert op10.jaccard_components(nothing).count() == 0
 
 
+def test_join_with_an_id_whose_filter_bit_is_0(spark):
+    assert spark.range(194350146, 194350147).select(F.pmod(F.xxhash64("id"), F.lit(op10.FILTER_BITS)).alias("b")).first().b == 0
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(194350146, text), (194350147, text + " more"), (194350148, "nothing that is shared by the others")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in op10.jaccard_components(docs).collect()} == {194350146: 194350146, 194350147: 194350146, 194350148: 194350148}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (3, 2)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).select("node", "component").collect())

@@ -166,10 +166,10 @@ def class_sets(docs: DataFrame, owners: DataFrame, wanted: DataFrame, width: int
     that texts aren't shuffled. Documents that share a bit with one of them add classes that nothing asks for, or a
     class once more; neither changes a result.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1  # the bitmap functions number buckets of positive numbers from 1, and put 0 in a bucket of its own
     one = owners.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     parts = one.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for k, held in parts.collect():  # FILTER_BITS / 8 bytes at most
         bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(held), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
