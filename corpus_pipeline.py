@@ -1,8 +1,8 @@
 """From documents to training sequences: toxicity, line dedup, near duplicates, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns
-of documents. Rows that share a doc_id share what is decided about it, as do rows with a null one; documents without
-text are kept.
+of documents. A row is told by its doc_id and text: what is decided about a text holds for that row alone, whatever
+rows share its doc_id or have a null one, too. Of near duplicates one row stays. Documents without text are kept.
 """
 
 from __future__ import annotations
@@ -15,22 +15,16 @@ from pyspark.sql import functions as F
 from tillroll.llm import common as C
 from tillroll.llm.op02_line_dedup import apply_bitmaps, keep_bitmaps
 from tillroll.llm.op03_packing import pack
-from tillroll.llm.op04_decontamination import NO_ID, decontaminate
+from tillroll.llm.op04_decontamination import decontaminate
 from tillroll.llm.op07_toxicity import score_documents
 from tillroll.llm.op10_ngram_join import jaccard_components
 
 TOXIC = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in ids."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.withColumn("_doc", key).join(ids.select(key.alias("_doc")).distinct(), "_doc", "left_anti").select(*docs.columns)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scores = score_documents(docs, C.read(spark, sf_dir, "labels"))
-    return _without(docs, scores.where(F.col("score") >= TOXIC))
+    return C.rows_in(docs, scores.where(F.col("score") >= TOXIC).select(*C.row_key()[:1], "h1", "h2").distinct(), "left_anti")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +34,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_components(docs, width=5, num=80, den=100)
-    return _without(docs, found.where("component_id != doc_id"))
+    """One row of each class of near duplicates, the first by doc_id (null first), hashes of the text and, of equal ones, any."""
+    row = F.xxhash64(*C.ROW_KEY)
+    found = jaccard_components(docs.select(*C.row_key(), "text").select(row.alias("doc_id"), "text"), width=5, num=80, den=100)
+    keys = docs.select(*C.row_key()).groupBy(*C.ROW_KEY).agg(F.count("*").alias("rows")).withColumn("_row", row)
+    named = keys.join(found.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").distinct(), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(*C.ROW_KEY, "rows", "n_shingles")).alias("first")).select("first.*")
+    first = C.materialize(first, "first-rows")
+    repeated = (F.col("rows") > 1) & (F.col("n_shingles") > 0)
+    again = C.rows_in(docs, first.where(repeated), "left_semi").select(*C.row_key(), F.struct(*docs.columns).alias("_all"))
+    again = again.groupBy(*C.ROW_KEY).agg(F.first("_all").alias("_all")).select("_all.*")
+    return C.rows_in(docs, first.where(~repeated), "left_semi").union(again)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,24 @@ def test_stages_without_rows(spark, nothing):
     for name, stage in corpus_pipeline.STAGES:
         docs = C.materialize(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_rows_are_decided_one_by_one(spark, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    clean, other = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    rows = [(None, item), (None, clean), (1, item), (1, other), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted(map(str, ((r.doc_id, r.text) for r in df.collect())))
+    want = sorted(map(str, [rows[1], rows[3], rows[4], rows[5]]))
+    assert left(corpus_pipeline.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))) == want
+    scored = docs.select("doc_id", *C.row_key()[1:], (docs.text == item).cast("double").alias("score"))
+    monkeypatch.setattr(corpus_pipeline, "score_documents", lambda *_: scored)
+    assert left(corpus_pipeline.toxicity_stage(spark, docs, SF)) == want
+
+
+def test_one_row_of_near_duplicates_stays(spark):
+    text, other = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    rows = [(None, text), (None, text), (3, text), (1, f"{text} more"), (5, other), (5, other), (5, "quite another text of its own"), (6, None), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(str, ((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())))
+    assert got == sorted(map(str, [rows[0], rows[4], rows[6], rows[7], rows[8]]))

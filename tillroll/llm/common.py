@@ -98,6 +98,24 @@ def salted_id(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+# ---------------------------------------------------------------- rows
+
+#: What a null doc_id counts as.
+NO_ID = -(1 << 63)
+ROW_KEY = ["doc", "h1", "h2"]
+
+
+def row_key() -> list:
+    """The columns ROW_KEY of documents: the doc_id, or NO_ID, and two hashes of the text. Rows that share them are equal in doc_id and text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+
+
+def rows_in(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs, joined (left_semi, left_anti) with keys (ROW_KEY)."""
+    own = [f"_{k}" for k in ROW_KEY]
+    return docs.withColumns(dict(zip(own, row_key()))).join(keys.select(*(F.col(k).alias(o) for k, o in zip(ROW_KEY, own))), own, how).select(*docs.columns)
+
+
 # ---------------------------------------------------------------- hashing
 
 

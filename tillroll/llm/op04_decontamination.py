@@ -8,8 +8,8 @@ document is contaminated when an item's coverage reaches `threshold`.
 
 The benchmark is taken in blocks of about BLOCK_WORDS words, each broadcast to one pass over the documents; every
 document meets every block. Items of fewer than `min_match` words, and null or empty items, match nothing. Null and
-empty texts are clean. Rows that share a doc_id share their verdict, as do rows with a null one. Repeated items count
-each. An empty documents table gives no rows, an empty benchmark clean documents; other columns are ignored.
+empty texts are clean. Each row is judged by its own text, whatever rows share its doc_id or have a null one, too. Repeated
+items count each. An empty documents table gives no rows, an empty benchmark clean documents; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tillroll.llm import common as C
 
 BLOCK_WORDS = 1_000_000
-NO_ID = -(1 << 63)
+NO_ID = C.NO_ID
 _WORD = np.arange(256, dtype=np.uint8)
 _WORD[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
@@ -109,14 +109,14 @@ def tiles(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], width:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5) -> DataFrame:
-    """(doc, item_id, coverage, tiles) of documents and test items that share a tile; doc is the doc_id, or NO_ID."""
+    """(doc, h1, h2, item_id, coverage, tiles) of documents, by C.ROW_KEY, and test items that share a tile."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("text is not null")
     total = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     blocks = -(-total // BLOCK_WORDS)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    texts = docs.select(*C.row_key(), "text")
     kind = pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())]))
-    schema = "doc long, item_id long, coverage double, tiles array<struct<doc_word:int,item_word:int,words:int>>"
+    schema = "doc long, h1 long, h2 long, item_id long, coverage double, tiles array<struct<doc_word:int,item_word:int,words:int>>"
 
     def one(block: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_WORDS words
@@ -126,8 +126,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5) -> DataF
             found = Items(shared.value, min_match)
             for batch in batches:
                 out: list[list] = [[], [], [], []]
-                data, offsets = C.text_bytes(batch.column(1))
-                ids = batch.column(0).to_pylist()
+                data, offsets = C.text_bytes(batch.column(3))
                 for lo, hi in C.groups(offsets):
                     a = int(offsets[lo])
                     words, row = word_hashes(data[a : int(offsets[hi])], offsets[lo : hi + 1] - a)
@@ -137,9 +136,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5) -> DataF
                         for item, at in found.hits(own).items():
                             got = tiles(own, found.words[item], at, min_match)
                             if got:
-                                for column, v in zip(out, (ids[lo + k], found.ids[item], sum(t[2] for t in got) / len(found.words[item]), [dict(zip(("doc_word", "item_word", "words"), t)) for t in got])):
+                                for column, v in zip(out, (lo + k, found.ids[item], sum(t[2] for t in got) / len(found.words[item]), [dict(zip(("doc_word", "item_word", "words"), t)) for t in got])):
                                     column.append(v)
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], kind)], names=["doc", "item_id", "coverage", "tiles"])
+                at = pa.array(out[0], pa.int64())
+                yield pa.record_batch([*(batch.column(i).take(at) for i in range(3)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], kind)], names=[*C.ROW_KEY, "item_id", "coverage", "tiles"])
 
         return texts.mapInArrow(task, schema)
 
@@ -152,20 +152,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5) -> DataF
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, min_match: int = 5) -> DataFrame:
-    """(doc, n_items, item_ids, coverage) of the documents in which an item's coverage reaches the threshold."""
+    """(doc, h1, h2, n_items, item_ids, coverage) of the documents in which an item's coverage reaches the threshold."""
     found = overlaps(docs, benchmark, min_match).where(F.col("coverage") >= threshold)
-    return found.groupBy("doc").agg(F.countDistinct("item_id").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
+    return found.groupBy(*C.ROW_KEY).agg(F.countDistinct("item_id").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, min_match: int = 5) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = C.materialize(contaminated(docs, benchmark, threshold, min_match).select(F.col("doc").alias("_doc")), "contaminated")
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return keyed.join(bad, "_doc", "left_anti").select(*docs.columns)
+    bad = C.materialize(contaminated(docs, benchmark, threshold, min_match).select(*C.ROW_KEY), "contaminated")
+    return C.rows_in(docs, bad, "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read(spark, sf_dir, "documents")
     found = C.materialize(contaminated(docs, C.read(spark, sf_dir, "benchmark")), "contaminated")
-    joined = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")).join(found, "doc", "left")
+    joined = docs.select("doc_id", *C.row_key()).join(found, C.ROW_KEY, "left")
     return joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))

@@ -197,18 +197,18 @@ class BlockMax:
 
 
 def toxicity(docs: DataFrame, examples: DataFrame, size: int = 400, least: float = 24.0, k: int = 15) -> DataFrame:
-    """(doc_id, score, evidence) of every document; examples: (doc_id, y), a bounded sample of labelled documents."""
+    """(doc_id, h1, h2, score, evidence) of every document, h1 and h2 as in C.ROW_KEY; examples: (doc_id, y), a bounded sample of labelled documents."""
     with C.workspace(docs.sparkSession, "toxicity"):
         return C.keep(_scored(docs, examples, size, least, k), "toxicity-scores")
 
 
 def _scored(docs: DataFrame, examples: DataFrame, size: int, least: float, k: int) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *C.row_key()[1:], "text")
     examples = C.materialize(examples, "examples")
     own = docs.join(F.broadcast(examples), "doc_id")  # about cap rows
     terms = vocabulary(own, size, least)
-    vectors = C.materialize(counted(docs, terms, ["doc_id"]), "term-vectors")
+    vectors = C.materialize(counted(docs, terms, ["doc_id", "h1", "h2"]), "term-vectors")
     n = vectors.count()
     df = {r[0]: r[1] for r in vectors.select(F.explode("term").alias("t")).groupBy("t").count().collect()}  # at most `size` rows, counted over all documents
     idf = np.array([np.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
@@ -220,10 +220,10 @@ def _scored(docs: DataFrame, examples: DataFrame, size: int, least: float, k: in
     def task(batches):
         found = shared.value
         for batch in batches:
-            judged = [found.judge(t, f) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.record_batch([batch.column(0), pa.array([j[0] for j in judged], pa.float64()), pa.array([j[1] for j in judged], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+            judged = [found.judge(t, f) for t, f in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.record_batch([*batch.columns[:3], pa.array([j[0] for j in judged], pa.float64()), pa.array([j[1] for j in judged], pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "score", "evidence"])
 
-    return vectors.mapInArrow(task, "doc_id long, score double, evidence array<long>")
+    return vectors.mapInArrow(task, "doc_id long, h1 long, h2 long, score double, evidence array<long>")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, cap: int = 6000) -> DataFrame:
