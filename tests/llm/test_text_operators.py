@@ -78,6 +78,18 @@ def test_decontamination_catches_reordered_passages(spark):
     assert op4.decontaminate(frame.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_any_script_and_length(spark):
+    items = [(1, "这是一个用来测试的句子，没有空格。"), (2, "l'été déjà passé, Élodie rêve d'être à la fenêtre"), (3, "ไม่มีช่องว่างระหว่างคำ"), (4, "forty two"), (5, "don't stop - believing in the small things"), (6, "हिन्दी में लिखा हुआ एक छोटा सा वाक्य")]
+    docs = [
+        (1, "前面的话。这是一个用来测试的句子没有空格；后面的话"), (2, "X “L’ÉTÉ DÉJÀ PASSÉ — ÉLODIE\u00a0RÊVE D’E\u0302TRE À LA FENÊTRE” Y"), (3, "ก่อน ไม่มีช่องว่างระหว่างคำ หลัง"), (4, "the answer is forty-two."), (5, "“Don’t stop — believ\u00ading\u00a0in the small things”"), (6, "«हिन्दी में लिखा हुआ एक छोटा सा वाक्य»"),
+        (7, "forty and two"), (8, "另外一些完全不同的中文内容在这里"), (9, "plain words, nothing else"),
+    ]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = {r.doc: (r.item_ids, r.coverage) for r in op4.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == {i: ([i], 1.0) for i in range(1, 7)}
+    assert op4.count_words(frame(items[:1], "item_id")) == 15
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(20)]
     docs = spark.createDataFrame([(i, f"before {t} after") for i, t in items] + [(99, "w1x1 w2x2 nothing shared here at all")], "doc_id long, text string")

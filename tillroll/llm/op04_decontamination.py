@@ -1,20 +1,22 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters and digits, in lower case. Runs of `min_match` words, hashed by a running (Karp-Rabin) hash,
+Words are runs of letters, their marks and digits of any script, in case-folded compatible form (NFKC); in scripts
+written without blanks (Chinese, Japanese, Thai and others) each letter or mark is a word. Runs of `min_match` words, hashed by a running (Karp-Rabin) hash,
 are the seeds; seeds that a document shares with a test item grow along their diagonals to maximal matches, and the
 longest match whose words are free is marked again and again, cut to what is still free, until none of `min_match`
 words is left. The share of the item's words under tiles is its coverage, so reordered passages count in full; a
 document is contaminated when an item's coverage reaches `threshold`.
 
 The benchmark is taken in blocks of about BLOCK_WORDS words, each broadcast to one pass over the documents; every
-document meets every block. Items of fewer than `min_match` words, and null or empty items, match nothing. Null and
-empty texts are clean. Each row is judged by its own text, whatever rows share its doc_id or have a null one, too. Repeated
+document meets every block. An item of fewer than `min_match` words is sought whole, so that it counts with coverage 1
+or not at all. Null items and those without words match nothing. Null and empty texts are clean. Each row is judged by its own text, whatever rows share its doc_id or have a null one, too. Repeated
 items count each. An empty documents table gives no rows, an empty benchmark clean documents; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -30,8 +32,59 @@ _WORD = np.arange(256, dtype=np.uint8)
 _WORD[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
+#: Scripts written without blanks between words, by code points.
+UNSPACED = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+]
+
+
+class _Letters(dict):
+    """What a code point becomes in a text whose words lie between blanks; learned as they occur."""
+
+    def __missing__(self, point: int):
+        c = chr(point)
+        kind = unicodedata.category(c)
+        if kind == "Cf" and point != 0x200B:  # soft hyphens, joiners
+            out = ""
+        elif not c.isalnum() and kind[0] != "M":
+            out = " "
+        else:
+            out = f" {c} " if any(a <= point <= b for a, b in UNSPACED) else c
+        self[point] = out
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def spaced(text: str) -> str:
+    """A text's words between blanks."""
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()).translate(_LETTERS)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return C.hashed_words(_WORD[data], offsets, "folded")
+    """A hash and a row for each word of rows that lie side by side."""
+    if not len(data) or data.max() < 128:
+        return C.hashed_words(_WORD[data], offsets, "folded")
+    rows = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        own = data[a:b]
+        rows.append(spaced(own.tobytes().decode(errors="replace")).encode() if a < b and own.max() >= 128 else _WORD[own].tobytes())
+    found = [C.hashed_words(np.frombuffer(r, np.uint8), np.array([0, len(r)]), "folded")[0] if r else np.zeros(0, np.uint64) for r in rows]
+    return np.concatenate(found), np.repeat(np.arange(len(rows)), [len(f) for f in found])
+
+
+def count_words(texts: DataFrame) -> int:
+    """The number of words in the column `text`."""
+
+    def task(batches):
+        for batch in batches:
+            data, offsets = C.text_bytes(batch.column(0))
+            n = [len(word_hashes(data[int(offsets[lo]) : int(offsets[hi])], offsets[lo : hi + 1] - int(offsets[lo]))[0]) for lo, hi in C.groups(offsets)]
+            yield pa.record_batch([pa.array([sum(n)], pa.int64())], names=["n"])
+
+    return texts.select("text").mapInArrow(task, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def running_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -43,34 +96,41 @@ def running_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class Items:
-    """The test items of one block: their words and where each seed stands."""
+    """The test items of one block: their words and where each seed stands; items of fewer words than a seed are seeds of their own width."""
 
     def __init__(self, rows: list[tuple[int, str]], width: int):
         self.width, self.ids, self.words = width, [], []
-        seeds, place = [], []
+        found: dict[int, list] = {width: []}
         for item, text in rows:
             data = np.frombuffer((text or "").encode(), np.uint8)
             words = word_hashes(data, np.array([0, len(data)]))[0] if len(data) else np.zeros(0, np.uint64)
-            h = running_hashes(words, width)
-            seeds.append(h)
-            place.append(np.stack([np.full(len(h), len(self.ids)), np.arange(len(h))], axis=1))
+            if len(words):
+                h = running_hashes(words, min(width, len(words)))
+                found.setdefault(min(width, len(words)), []).append((h, np.stack([np.full(len(h), len(self.ids)), np.arange(len(h))], axis=1)))
             self.ids.append(item)
             self.words.append(words)
-        h = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
+        self.seeds, self.place, self.quick = self.index(found.pop(width))
+        self.short = [(w, *self.index(f)) for w, f in found.items()]
+
+    @staticmethod
+    def index(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
+        place = np.concatenate([f[1] for f in found]) if found else np.zeros((0, 2), int)
         order = np.argsort(h, kind="stable")
-        self.seeds, self.place = h[order], (np.concatenate(place)[order] if seeds else np.zeros((0, 2), int))
-        self.quick = np.zeros(1 << 20, bool)
-        self.quick[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        quick = np.zeros(1 << 20, bool)
+        quick[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        return h[order], place[order], quick
 
     def hits(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By item: (place in the document, place in the item) of shared seeds."""
-        h = running_hashes(words, self.width)
-        at = np.flatnonzero(self.quick[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        left, right = np.searchsorted(self.seeds, h[at], "left"), np.searchsorted(self.seeds, h[at], "right")
         out: dict[int, list] = defaultdict(list)
-        for i, a, b in zip(at.tolist(), left.tolist(), right.tolist()):
-            for item, j in self.place[a:b].tolist():
-                out[item].append((i, j))
+        for width, seeds, place, quick in ((self.width, self.seeds, self.place, self.quick), *self.short):
+            h = running_hashes(words, width)
+            at = np.flatnonzero(quick[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            left, right = np.searchsorted(seeds, h[at], "left"), np.searchsorted(seeds, h[at], "right")
+            for i, a, b in zip(at.tolist(), left.tolist(), right.tolist()):
+                for item, j in place[a:b].tolist():
+                    out[item].append((i, j))
         return out
 
 
@@ -112,7 +172,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5) -> DataF
     """(doc, h1, h2, item_id, coverage, tiles) of documents, by C.ROW_KEY, and test items that share a tile."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    total = count_words(items)
     blocks = -(-total // BLOCK_WORDS)
     texts = docs.select(*C.row_key(), "text")
     kind = pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())]))
@@ -134,7 +194,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5) -> DataF
                     for k in range(hi - lo):
                         own = words[cut[k] : cut[k + 1]]
                         for item, at in found.hits(own).items():
-                            got = tiles(own, found.words[item], at, min_match)
+                            got = tiles(own, found.words[item], at, min(min_match, len(found.words[item])))
                             if got:
                                 for column, v in zip(out, (lo + k, found.ids[item], sum(t[2] for t in got) / len(found.words[item]), [dict(zip(("doc_word", "item_word", "words"), t)) for t in got])):
                                     column.append(v)
