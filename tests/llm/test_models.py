@@ -79,6 +79,27 @@ def test_models_with_odd_rows(spark, documents, nothing):
     assert op7.toxicity(nothing, none).count() == 0
 
 
+def test_toxic_texts_of_rare_terms_are_found(spark):
+    r = np.random.default_rng(5)
+    text = lambda p: " ".join(f"{p}{''.join(r.choice(list('abcdefghij'), 6))}" for _ in range(40))
+    toxic, clean = [text("x") for _ in range(20)], [text("y") for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(toxic + toxic + clean)]
+    docs = spark.createDataFrame([*rows, (500, toxic[3]), (501, clean[3]), (None, toxic[5]), (502, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i, _ in rows], "doc_id long, y int")
+    got = {q.doc_id: (q.score, q.evidence) for q in op7.toxicity(docs, labels, least=1e9).collect()}  # no term tells the classes apart
+    assert got[500][0] > 0.8 and got[None][0] > 0.8 and got[500][1][:2] == [3, 23] and got[501][0] < 0.3 and got[501][1][0] == 43
+
+
+def test_cosines_over_all_terms():
+    r = np.random.default_rng(6)
+    vectors = [(np.sort(r.choice(200, n, replace=False)), r.uniform(1, 3, n)) for n in r.integers(1, 60, 90)]
+    whole = op7.Whole(r.uniform(1, 3, 200), vectors, [0] * 90, list(range(90)), 7)
+    dense = np.zeros((90, 200))
+    for e, v in enumerate(vectors):
+        dense[e, v[0]] = whole.unit(*v)
+    assert 0 < len(whole.dense) < 200 and np.allclose(whole.cosines(vectors), dense @ dense.T)
+
+
 def test_block_max_finds_the_nearest():
     r = np.random.default_rng(4)
     vectors = [(sorted(r.choice(30, 4, replace=False).tolist()), [1.0] * 4) for _ in range(200)]

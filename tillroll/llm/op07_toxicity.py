@@ -1,12 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through block-max inverted indexes.
 
-The vocabulary holds the terms that tell the labelled examples' classes apart (signed chi-square over documents that
-hold a term); term frequencies are damped, and document frequencies are counted over the whole corpus. Examples with
+Documents that hold terms which tell the labelled examples' classes apart (signed chi-square over documents that hold a
+term) are compared over those terms; all others over all their terms, with all examples. Term frequencies are damped,
+and document frequencies are counted over the whole corpus. Examples with
 equal vectors are one entry of the index, with its votes. For a document, blocks of entries are visited in order of
 their upper bound, the sum of block maxima, until no block can beat the k-th neighbour: the k nearest are exact, and
 entries as near as the k-th all count. Votes weighted by similarity give a share of toxic examples, which a binned
-monotone table, learned by leaving each example itself out, turns into a calibrated score. A document that shares
-no term with any example gets the share of toxic examples among those without terms.
+monotone table, learned by leaving each example itself out, turns into a calibrated score; there is one table for
+either comparison. A document that shares
+no term at all with any example gets the share of toxic examples among those without terms.
 
 Learned from about `cap` labelled documents. Null and empty texts score as documents without terms.
 Without labels every score is 0. Repeated rows score alike; a null doc_id is kept; an empty table gives no rows; other
@@ -30,6 +32,7 @@ from tillroll.llm.training import labelled_ids
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 32
 LEVELS = 20
+DF_BLOCK = 1 << 14
 
 
 #: Lengths of the word beginnings that are terms beside whole words.
@@ -48,7 +51,7 @@ def terms_of(text: str | None) -> Counter:
 
 
 def vocabulary(examples: DataFrame, size: int, least: float, min_share: float = 0.03) -> list[str]:
-    """Terms of examples (text, y) most of whose documents are toxic, and more often than the rest, strongest first; at most `size`. A term needs 4 documents, and as many as min_share of the toxic ones; documents with the same words beside it, as copies have, count once."""
+    """Terms of examples (text, y) most of whose documents are toxic, and more often than the rest, strongest first; at most `size`. A term needs 4 documents, and as many as min_share of the toxic ones that differ in text; documents with the same words beside it, as copies have, count once."""
 
     def words(batches):
         for batch in batches:
@@ -63,11 +66,12 @@ def vocabulary(examples: DataFrame, size: int, least: float, min_share: float =
     totals = {r[0]: r[1] for r in examples.groupBy("y").count().collect()}  # two rows
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     n = n0 + n1
+    distinct = examples.where("y = 1").select(F.xxhash64("text").alias("h")).distinct().count()  # copies count once, as in a term's contexts
     if not n0 or not n1:
         return []
     examples = examples.select("text", F.col("y").cast("int"))
     seen = examples.mapInArrow(words, "term string, y int, near long").groupBy("term", "near").agg(F.max("y").alias("y"))
-    seen = seen.groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("df")).where(F.col("df") >= max(4, int(min_share * n1)))
+    seen = seen.groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("df")).where(F.col("df") >= max(4, int(min_share * distinct)))
     a, df = F.col("a").cast("double"), F.col("df").cast("double")
     excess = a * F.lit(float(n)) - df * F.lit(float(n1))
     chi = excess * excess * F.lit(float(n)) / (df * (F.lit(float(n)) - df) * F.lit(float(n1) * n0))
@@ -75,23 +79,130 @@ def vocabulary(examples: DataFrame, size: int, least: float, min_share: float =
     return [r[0] for r in rows.orderBy(F.desc("chi"), "term").limit(size).collect()]
 
 
-def counted(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
-    """The named columns, and the terms of the vocabulary in `text` with their damped frequencies."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # at most `size` terms
+def vector(count: Counter, place: dict[str, int], grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a text's terms in order, and their damped frequencies; grow: new terms get a place."""
+    if grow:
+        for t in count:
+            place.setdefault(t, len(place))
+    found = [(place[t], c) for t, c in count.items() if t in place]
+    term = np.array([i for i, _ in found], np.int64)
+    order = np.argsort(term)
+    return term[order], 1.0 + np.log(np.array([c for _, c in found], float))[order]
+
+
+def telling(v: tuple[np.ndarray, np.ndarray], m: int) -> tuple[list[int], list[float]]:
+    """The part of a vector over the first m terms."""
+    cut = int(np.searchsorted(v[0], m))
+    return v[0][:cut].tolist(), v[1][:cut].tolist()
+
+
+def frequencies(docs: DataFrame, place: dict[str, int]) -> np.ndarray:
+    """In how many documents each term of `place` stands."""
+    shared, parts = docs.sparkSession.sparkContext.broadcast(place), C.partitions(docs.sparkSession)
 
     def task(batches):
-        place = shared.value
+        found = shared.value
+        n = np.zeros(len(found), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                n[[found[t] for t in terms_of(text.as_py()) if t in found]] += 1
+        for a in range(0, len(n), DF_BLOCK):
+            if n[a : a + DF_BLOCK].any():
+                yield pa.record_batch([pa.array([a // DF_BLOCK], pa.int32()), pa.array([n[a : a + DF_BLOCK].tobytes()], pa.binary())], names=["bucket", "blob"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            found, often = [], []
-            for text in batch.column(batch.num_columns - 1):
-                count = terms_of(text.as_py())
-                at = sorted((place[t], count[t]) for t in place.keys() & count.keys())
-                found.append([i for i, _ in at])
-                often.append([1.0 + np.log(c) for _, c in at])
-            yield pa.record_batch([*batch.columns[:-1], pa.array(found, pa.list_(pa.int32())), pa.array(often, pa.list_(pa.float64()))], names=[*keep, "term", "tf"])
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                n = np.frombuffer(blob.as_py(), np.int64)
+                sums[k] = sums[k] + n if k in sums else n
+        for k, n in sums.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["bucket", "blob"])
+
+    df = np.zeros(len(place), np.int64)
+    for k, blob in docs.select("text").mapInArrow(task, C.BLOBS).repartition(parts, "bucket").mapInArrow(add, C.BLOBS).collect():  # 8 bytes a term
+        df[k * DF_BLOCK : (k + 1) * DF_BLOCK] = np.frombuffer(bytes(blob), np.int64)
+    return df
+
+
+def monotone(shares: list, toxic: list, votes: list) -> tuple[np.ndarray, np.ndarray]:
+    """Upper ends of bins of shares, and the toxic rate of each, never falling."""
+    if not shares:
+        return np.array([0.5]), np.array([0.0, 1.0])
+    x, a, n = np.array(shares), np.array(toxic), np.array(votes)
+    edges = np.append(np.linspace(0, 1, LEVELS + 1)[1:-1], [0.999, np.inf])  # equal shares stay together
+    bins = np.searchsorted(edges, x, "left")
+    groups = [[float(edges[i]), float(a[bins == i].sum()) + 0.02, float(n[bins == i].sum()) + 0.1] for i in np.unique(bins)]
+    pooled: list = []
+    for g in groups:
+        pooled.append(g)
+        while len(pooled) > 1 and pooled[-2][1] * pooled[-1][2] >= pooled[-1][1] * pooled[-2][2]:
+            top, a, n = pooled.pop()
+            pooled[-1] = [top, pooled[-1][1] + a, pooled[-1][2] + n]
+    return np.array([g[0] for g in pooled[:-1]]), np.array([g[1] / g[2] for g in pooled])
+
+
+class Whole:
+    """Cosines over all terms with all examples: postings of rare terms, rows of a matrix for frequent ones."""
+
+    def __init__(self, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], y: list[int], ids: list[int], k: int):
+        self.idf, self.k, self.y, self.ids, n = idf, k, np.array(y, float), ids, len(ids)
+        term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        self.w = np.concatenate([self.unit(*v) for v in vectors]) if n else np.zeros(0)
+        order = np.argsort(term, kind="stable")
+        self.row, self.w = self.row[order].astype(np.int32), self.w[order]
+        self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        often = np.flatnonzero(np.diff(self.start) > n / 6)
+        self.dense, self.at = np.zeros((len(often), n)), np.full(len(idf), -1)
+        for j, t in enumerate(often):
+            self.dense[j, self.row[self.start[t] : self.start[t + 1]]] = self.w[self.start[t] : self.start[t + 1]]
+        self.at[often] = np.arange(len(often))
+        self.levels, self.table = monotone([], [], [])
+
+    def unit(self, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        w = tf * self.idf[term]
+        return w / (np.linalg.norm(w) or 1.0)
 
-    rows = docs.select(*keep, "text")
-    return rows.mapInArrow(task, rows.select(*keep).schema.simpleString()[7:-1].replace(":", " ") + ", term array<int>, tf array<double>")
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of each vector with each example, up to the vector's norm, to which terms of no example would add."""
+        n = len(self.ids)
+        frequent, out = np.zeros((len(vectors), len(self.dense))), np.zeros((len(vectors), n))
+        for i, (term, tf) in enumerate(vectors):
+            w, at = self.unit(term, tf), self.at[term]
+            frequent[i, at[at >= 0]] = w[at >= 0]
+            t, w = term[at < 0], w[at < 0]
+            size = self.start[t + 1] - self.start[t]
+            place = np.repeat(self.start[t] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            out[i] = np.bincount(self.row[place], self.w[place] * np.repeat(w, size), n)
+        return out + frequent @ self.dense
+
+    def share(self, s: np.ndarray) -> tuple[float | None, np.ndarray]:
+        """The weighted share of toxic examples among the k nearest and all as near as the k-th, and which they are."""
+        kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) > self.k else 0.0
+        e = np.flatnonzero((s > 0) & (s >= kth - 1e-12))
+        e = e[np.lexsort((e, -s[e]))]
+        return (float((s[e] ** 2 * self.y[e]).sum() / (s[e] ** 2).sum()) if len(e) else None), e
+
+    def calibrate(self, vectors: list, own: list[int]) -> None:
+        """own: the examples, by place, that documents compared by all terms are like."""
+        shares, toxic = [], []
+        for a in range(0, len(own), BLOCK):
+            for e, s in zip(own[a : a + BLOCK], self.cosines([vectors[e] for e in own[a : a + BLOCK]])):
+                s[e] = 0.0
+                if (x := self.share(s)[0]) is not None:
+                    shares.append(x)
+                    toxic.append(self.y[e])
+        self.levels, self.table = monotone(shares, toxic, [1.0] * len(shares))
+
+    def judge(self, vectors: list) -> list[tuple[float | None, list[int]]]:
+        """For each vector a score, None if it shares no term with any example, and the nearest examples."""
+        out: list = []
+        for a in range(0, len(vectors) if self.ids else 0, BLOCK):
+            for s in self.cosines(vectors[a : a + BLOCK]):
+                x, e = self.share(s)
+                out.append((None, []) if x is None else (float(self.table[np.searchsorted(self.levels, x, "left")]), [self.ids[i] for i in e[:5]]))
+        return out or [(None, [])] * len(vectors)
 
 
 class BlockMax:
@@ -170,20 +281,7 @@ class BlockMax:
                     shares.append(self.share(near, s, None if alone else (e, label)))
                     toxic.append(label * n)
                     votes.append(n)
-        if not shares:
-            self.levels, self.table = np.array([0.5]), np.array([0.0, 1.0])
-            return
-        x, a, n = np.array(shares), np.array(toxic), np.array(votes)
-        edges = np.append(np.linspace(0, 1, LEVELS + 1)[1:-1], [0.999, np.inf])  # equal shares stay together
-        bins = np.searchsorted(edges, x, "left")
-        groups = [[float(edges[i]), float(a[bins == i].sum()) + 0.02, float(n[bins == i].sum()) + 0.1] for i in np.unique(bins)]
-        pooled: list = []
-        for g in groups:
-            pooled.append(g)
-            while len(pooled) > 1 and pooled[-2][1] * pooled[-1][2] >= pooled[-1][1] * pooled[-2][2]:
-                top, a, n = pooled.pop()
-                pooled[-1] = [top, pooled[-1][1] + a, pooled[-1][2] + n]
-        self.levels, self.table = np.array([g[0] for g in pooled[:-1]]), np.array([g[1] / g[2] for g in pooled])
+        self.levels, self.table = monotone(shares, toxic, votes)
 
     def judge(self, term: list[int], tf: list[float]) -> tuple[float, list[int]]:
         """A score and the documents of the nearest examples."""
@@ -208,22 +306,28 @@ def _scored(docs: DataFrame, examples: DataFrame, size: int, least: float, k: in
     examples = C.materialize(examples, "examples")
     own = docs.join(F.broadcast(examples), "doc_id")  # about cap rows
     terms = vocabulary(own, size, least)
-    vectors = C.materialize(counted(docs, terms, ["doc_id", "h1", "h2"]), "term-vectors")
-    n = vectors.count()
-    df = {r[0]: r[1] for r in vectors.select(F.explode("term").alias("t")).groupBy("t").count().collect()}  # at most `size` rows, counted over all documents
-    idf = np.array([np.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    rows = sorted(tuple(r) for r in vectors.join(F.broadcast(examples), "doc_id").select("doc_id", "y", "term", "tf").collect())  # about cap rows of at most `size` terms
-    index = BlockMax(idf, [(r[2], r[3]) for r in rows], [r[1] for r in rows], [r[0] for r in rows], k)
+    n = docs.count()
+    rows = sorted((r[0], r[1], r[2] or "") for r in own.select("doc_id", "y", "text").collect())  # about cap documents
+    place = {t: i for i, t in enumerate(terms)}  # the terms that tell the classes apart come first
+    full = [vector(terms_of(text), place, grow=True) for _, _, text in rows]
+    idf = np.log((1 + n) / (1 + frequencies(docs, place))) + 1
+    m, y, ids = len(terms), [r[1] for r in rows], [r[0] for r in rows]
+    index = BlockMax(idf[:m], [telling(v, m) for v in full], y, ids, k)
     index.calibrate()
-    shared = spark.sparkContext.broadcast(index)
+    whole = Whole(idf, full, y, ids, k)
+    whole.calibrate(full, [e for e, v in enumerate(full) if not telling(v, m)[0]])
+    shared = spark.sparkContext.broadcast((place, index, whole))
 
     def task(batches):
-        found = shared.value
+        place, index, whole = shared.value
         for batch in batches:
-            judged = [found.judge(t, f) for t, f in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.record_batch([*batch.columns[:3], pa.array([j[0] for j in judged], pa.float64()), pa.array([j[1] for j in judged], pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "score", "evidence"])
+            vectors = [vector(terms_of(text.as_py()), place) for text in batch.column(3)]
+            few = [telling(v, m) for v in vectors]
+            rest = iter(whole.judge([v for v, f in zip(vectors, few) if not f[0]]))
+            judged = [index.judge(*f) if f[0] else next(rest) for f in few]
+            yield pa.record_batch([*batch.columns[:3], pa.array([float(index.blank) if j[0] is None else j[0] for j in judged], pa.float64()), pa.array([j[1] for j in judged], pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "score", "evidence"])
 
-    return vectors.mapInArrow(task, "doc_id long, h1 long, h2 long, score double, evidence array<long>")
+    return docs.mapInArrow(task, "doc_id long, h1 long, h2 long, score double, evidence array<long>")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, cap: int = 6000) -> DataFrame:
