@@ -156,3 +156,8 @@ def test_secrets_against_plain_patterns(spark):
     more = {r.doc_id: [SECRETS[r.doc_id][s.start : s.end] for s in r.spans if not s.base] for r in found.where("doc_id in (8, 9, 10, 11)").collect()}
     assert more == {8: ["S3cr3tPass!9"], 9: ["Zx81hGq9PpL0"], 10: [], 11: []}  # 10 is a base span already
     assert op5.scan(found.limit(0).selectExpr("doc_id", "cast(null as string) as text")).count() == 0
+
+
+def test_constants_are_carried_over_in_any_order():
+    for text in ("password = B\nB = A\nA = 'kT9xQ2vLm4Zp'\n", "A = 'kT9xQ2vLm4Zp'\nB = A\npassword = B\n", "password = B\nB = A\nA = B\nA = 'kT9xQ2vLm4Zp'\n"):
+        assert [text[s:e] for s, e, _ in op5.scan_text(text)[1]] == ["kT9xQ2vLm4Zp"], text

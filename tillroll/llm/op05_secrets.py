@@ -74,11 +74,16 @@ def literals(text: str) -> list[tuple[int, int, float]]:
     if not pairs:
         return []
     reach: dict[str, float] = {}
-    for name, parts in reversed(pairs):  # a name that is used later in a sensitive assignment is sensitive itself
-        score = max(sensitivity(name), reach.get(name, 0.0))
-        for kind, value, _, _ in parts:
-            if kind == 4 and score > reach.get(value, 0.0):
+    sources: dict[str, set[str]] = {}
+    for name, parts in pairs:
+        sources.setdefault(name, set()).update(value for kind, value, _, _ in parts if kind == 4)
+    todo = [(sensitivity(name), name) for name in sources]
+    while todo:  # a name that is used in a sensitive assignment is sensitive itself, over any number of steps in any order
+        score, name = todo.pop()
+        for value in sources.get(name, ()):
+            if score > reach.get(value, 0.0):
                 reach[value] = score
+                todo.append((score, value))
     out = []
     for name, parts in pairs:
         score = max(sensitivity(name), reach.get(name, 0.0))
