@@ -8,8 +8,10 @@ and only different contexts of one anchor are looked into.
 How they are compared. Prefix polynomial hashes give the hash of any substring, so a binary search finds the common
 extension of two suffixes in logarithmically many steps; a merge sort with that comparison orders the suffixes at which
 runs of equal strings begin, neighbours in that order have the longest common extensions, and every extension that
-removes text is checked byte by byte (a collision falls back to bytes). The strings of anchors
-with more than LARGE different contexts are counted by a 128-bit hash instead, so that no task holds an unbounded group.
+removes text there is checked byte by byte (a collision falls back to bytes). That holds for contexts that differ in
+part. Contexts that are equal as a whole, as in copies, are decided by their hashes alone, with no byte check, and so are
+the strings of anchors with more than LARGE different contexts, counted by a 128-bit hash so that no task holds an
+unbounded group.
 
 Every text counts as UTF-8 bytes, null and shorter texts have nothing to remove, and strings never cross rows. Rows that
 share doc_id and text are documents of their own that repeat each other. A null doc_id is kept; an empty table gives no
