@@ -1,7 +1,10 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tillroll.llm import common as C
 from tillroll.llm import op06_quality as op6
 from tillroll.llm import op07_toxicity as op7
 from tillroll.llm import op08_embeddings as op8
@@ -86,37 +89,83 @@ def test_toxic_texts_of_rare_terms_are_found(spark):
     rows = [(i, t) for i, t in enumerate(toxic + toxic + clean)]
     docs = spark.createDataFrame([*rows, (500, toxic[3]), (501, clean[3]), (None, toxic[5]), (502, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 40)) for i, _ in rows], "doc_id long, y int")
-    got = {q.doc_id: (q.score, q.evidence) for q in op7.toxicity(docs, labels, least=1e9).collect()}  # no term tells the classes apart
-    assert got[500][0] > 0.8 and got[None][0] > 0.8 and got[500][1][:2] == [3, 23] and got[501][0] < 0.3 and got[501][1][0] == 43
-
-
-def test_cosines_over_all_terms():
-    r = np.random.default_rng(6)
-    vectors = [(np.sort(r.choice(200, n, replace=False)), r.uniform(1, 3, n)) for n in r.integers(1, 60, 90)]
-    whole = op7.Whole(r.uniform(1, 3, 200), vectors, [0] * 90, list(range(90)), 7)
-    dense = np.zeros((90, 200))
-    for e, v in enumerate(vectors):
-        dense[e, v[0]] = whole.unit(*v)
-    assert 0 < len(whole.dense) < 200 and np.allclose(whole.cosines(vectors), dense @ dense.T)
-
-
-def test_block_max_finds_the_nearest():
+    got = {q.doc_id: (q.score, q.evidence) for q in op7.toxicity(docs, labels).collect()}
+    assert got[500][0] > 0.8 and got[None][0] > 0.8 and got[500][1][0] == 3 and got[501][0] < 0.3 and got[501][1][0] == 43
+
+
+def plain_neighbours(index, vectors, k):
+    """Cosines by plain dictionaries: for each vector, entries by falling cosine down to the k-th and its equals."""
+    unit = lambda v: {t: (1 + np.log(c)) * index.weight[t] for t, c in v.items()}
+    size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    units = [unit(v) for v in vectors]
+    out = []
+    for u in units:
+        s = np.array([sum(x * v.get(t, 0.0) for t, x in u.items()) / (size(u) * size(v)) for v in units])
+        kth = np.sort(s)[-k] if len(s) >= k else 0
+        out.append({e: s[e] for e in np.flatnonzero((s > 1e-12) & (s >= kth - 1e-12))})
+    return out
+
+
+@pytest.mark.parametrize(("n", "k", "often"), [(300, 7, 16), (40, 15, 2), (500, 80, 1000), (5, 15, 16)])
+def test_block_max_finds_the_nearest(monkeypatch, n, k, often):
+    monkeypatch.setattr(op7, "OFTEN", often)
     r = np.random.default_rng(4)
-    vectors = [(sorted(r.choice(30, 4, replace=False).tolist()), [1.0] * 4) for _ in range(200)]
-    idf = r.uniform(1, 3, 30)
-    index = op7.BlockMax(idf, vectors, r.integers(0, 2, 200).tolist(), list(range(200)), 7)
-    dense = np.zeros((len(index.units), 30))
-    for e, (t, w) in enumerate(index.units):
-        dense[e, t] = w
-    for t, f in vectors[:50]:
-        w = index.unit(t, f)
-        q = np.zeros(30)
-        q[t] = w
-        all_ = dense @ q
-        kth = np.sort(all_)[-7]
-        e, s = index.nearest(t, w)
-        assert set(e) == set(np.flatnonzero((all_ >= kth - 1e-12) & (all_ > 0)))
-        assert np.allclose(s, all_[e])
+    share = 1 / np.arange(1, 121)
+    raw = [np.sort(r.choice(120, r.integers(1, 30), replace=False, p=share / share.sum())) for _ in range(n)]
+    raw = list({v.tobytes(): v for v in raw}.values())
+    held = [(i, int(r.random() < 0.3 or 90 in v), v, np.ones(len(v), np.int64) * (1 + i % 3)) for i, v in enumerate(raw)]
+    index = op7.Examples(np.arange(120).astype(np.uint64), r.integers(1, 900, 120), 1000, held, k)
+    row = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+    place, count = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+    rows, entry, s = index.nearest(row, place, index.unit(row, place, count, len(held)), len(held))
+    want = plain_neighbours(index, [dict(zip(h[2].tolist(), h[3].tolist())) for h in held], k)
+    for i in range(len(held)):
+        got = {int(index.ids[e]): x for e, x in zip(entry[rows == i], s[rows == i])}
+        assert set(got) == set(want[i]) and all(abs(got[e] - want[i][e]) < 1e-9 for e in got)
+
+
+def test_toxicity_query_against_brute_force(spark, documents):
+    rows = [r for r in documents.collect() if r.doc_id is not None]
+    labels = {r.doc_id: int(r.doc_id % 3 == 0) for r in rows if r.doc_id % 2 == 0}
+    frame = spark.createDataFrame(list(labels.items()), "doc_id long, y int")
+    index = op7.fit(documents.select("doc_id", "text"), frame, 5)
+    words = lambda t: C.spaced(t or "").split()
+    place = {}  # term by word
+    for r in documents.collect():
+        for w in words(r.text):
+            h = C.letter_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]
+            at = np.searchsorted(index.terms, h)
+            if at < len(index.terms) and index.terms[at] == h:
+                place[w] = int(at)
+    df = Counter(t for r in documents.collect() for t in {place[w] for w in words(r.text) if w in place})
+    idf = {t: np.log((1 + documents.count()) / (1 + n)) + 1 for t, n in df.items()}
+    held: dict = {}
+    for r in rows:
+        if r.doc_id in labels:
+            held.setdefault(tuple(sorted(Counter(place[w] for w in words(r.text)).items())), []).append(labels[r.doc_id])
+    blank = held.pop((), [])
+    rate = np.array([np.mean(v) for v in held.values()])
+    p = rate.mean()
+    weight = {}
+    for t in idf:
+        has = np.array([t in dict(v) for v in held])
+        z = (rate[has].sum() - p * has.sum()) / np.sqrt(p * (1 - p) * has.sum() * (1 - has.sum() / len(held)) + 2)
+        weight[t] = idf[t] * (1 + max(0, z) ** 2)
+    unit = lambda v: {t: (1 + np.log(c)) * weight[t] for t, c in v}
+    size = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    got = {r.doc_id: r.score for r in op7.toxicity(documents, frame, 5).collect() if r.doc_id is not None}
+    for r in rows:
+        u = unit(Counter(place[w] for w in words(r.text) if w in place).items())
+        s = np.array([sum(x * v.get(t, 0.0) for t, x in u.items()) / (size(u) * size(v)) for v in map(unit, held)]) if u else np.zeros(len(held))
+        near = np.flatnonzero((s > 1e-12) & (s >= np.sort(s)[-5] - 1e-12))
+        if not len(near):
+            assert got[r.doc_id] == pytest.approx((sum(blank) + 0.05) / (len(blank) + 1)), r.doc_id
+            continue
+        votes = np.array([len(v) for v in held.values()])
+        share = (s[near] ** 2 * (rate * votes)[near]).sum() / (s[near] ** 2 * votes[near]).sum()
+        edges = np.append(index.levels, np.inf)
+        fits = {float(index.table[np.searchsorted(index.levels, share + d, "left")]) for d in (-1e-9, 1e-9)}
+        assert any(got[r.doc_id] == pytest.approx(f) for f in fits) and len(edges) == len(index.table), r.doc_id
 
 
 def test_languages(spark):

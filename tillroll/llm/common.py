@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
+import re
 import tempfile
+import threading
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,66 +29,117 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tillroll-shared")
+    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root or os.path.join(tempfile.gettempdir(), "tillroll-shared")
 
 
-#: Folders of the running operators, innermost last.
-_folders: list[str] = []
+class _Space:
+    """A workspace: its folder, the catalog entries of tables in it, and broadcast values that serve its jobs alone."""
+
+    def __init__(self, folder: str):
+        self.folder, self.tables, self.shared = folder, [], []
+
+
+#: The running operators' workspaces, innermost last; each thread has its own.
+_spaces: contextvars.ContextVar[tuple[_Space, ...]] = contextvars.ContextVar("tillroll_spaces", default=())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager
 def workspace(spark: SparkSession, label: str):
-    """A folder below the shared one for the tables written meanwhile; deleted at the end. What is to last goes through keep()."""
-    folder = f"{shared_root(spark)}/tillroll/{label}-{uuid.uuid4().hex}"
-    _folders.append(folder)
+    """A folder below the shared one for the tables written meanwhile; deleted at the end, with their catalog entries and what share() sent out. What is to last goes through keep()."""
+    space = _Space(f"{shared_root(spark)}/tillroll/{label}-{uuid.uuid4().hex}")
+    token = _spaces.set((*_spaces.get(), space))
     try:
         yield
     finally:
-        _folders.remove(folder)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _spaces.reset(token)
+        for name in space.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for value in space.shared:
+            value.destroy()
+        remove(spark, space.folder)
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """Like materialize, but outside the workspaces."""
-    held, _folders[:] = _folders[:], []
+    """Like materialize, but in the workspace around the innermost one."""
+    token = _spaces.set(_spaces.get()[:-1])
     try:
         return materialize(df, label)
     finally:
-        _folders[:] = held
+        _spaces.reset(token)
+
+
+def share(spark: SparkSession, value):
+    """Broadcasts a value of bounded size for the jobs of the innermost workspace."""
+    out = spark.sparkContext.broadcast(value)
+    if _spaces.get():
+        _spaces.get()[-1].shared.append(out)
+    return out
+
+
+#: Settings of the writes below: shuffle files go as soon as the write they were for is done, as what it wrote stands in the
+#: shared folder; Arrow batches are small, so that a task holds a few MB of texts at once.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_lock = threading.Lock()
+_writers: dict[str, int] = {}
+_before: dict[str, dict] = {}
 
 
 @contextlib.contextmanager
-def _cleaning(spark: SparkSession):
-    """Shuffle files go as soon as the write they were for is done: what it wrote stands in the shared folder."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def _writing(spark: SparkSession):
+    """_WRITING holds in the session until the last of its threads has left."""
+    own = spark.sessionUuid if hasattr(spark, "sessionUuid") else str(id(spark._jsparkSession))
+    with _lock:
+        if not _writers.get(own):
+            _before[own] = {name: spark.conf.get(name, None) for name in _WRITING}
+            for name, value in _WRITING.items():
+                spark.conf.set(name, value)
+        _writers[own] = _writers.get(own, 0) + 1
     try:
         yield
     finally:
-        spark.conf.set(name, old) if old is not None else spark.conf.unset(name)
+        with _lock:
+            _writers[own] -= 1
+            if not _writers[own]:
+                for name, value in _before.pop(own).items():
+                    spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    return f"{_folders[-1] if _folders else shared_root(spark) + '/tillroll'}/{name}"
+    spaces = _spaces.get()
+    return f"{spaces[-1].folder if spaces else shared_root(spark) + '/tillroll'}/{name}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back."""
     spark = df.sparkSession
     path = _place(spark, f"{label}-{uuid.uuid4().hex}")
-    with _cleaning(spark):
+    with _writing(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a table that materialize() or keep() wrote."""
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """Cuts the lineage like materialize, in buckets of `key`: joins on it don't shuffle these rows again."""
     spark = df.sparkSession
     name, n = f"tillroll_{label}_{uuid.uuid4().hex}", partitions(spark)
-    with _cleaning(spark):
+    if _spaces.get():
+        _spaces.get()[-1].tables.append(name)
+    with _writing(spark):
         df.repartition(n, key).write.option("path", _place(spark, name)).option("compression", "zstd").bucketBy(n, key).sortBy(key).saveAsTable(name)
     return spark.table(name)
 
@@ -135,30 +190,48 @@ _FOLDED[65:91] = _RAW[97:123]
 LUTS = {"raw": _RAW, "folded": _FOLDED}
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Entries of a table of powers; higher powers are products of one from either table.
+STEP = 1 << 16
+
+
+def _table(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0..n."""
-    if len(_powers["up"]) <= n:
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            steps = np.full(n + 1, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+_LOW = {base: _table(base, STEP) for base in (BASE, INVERSE)}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0..n-1."""
+    if n <= STEP:
+        return _LOW[base][:n]
+    high = _table(pow(base, STEP, 1 << 64), -(-n // STEP))
+    return (high[:, None] * _LOW[base][None, :]).ravel()[:n]
 
 
 def prefix_hashes(data: np.ndarray, lut: str = "raw") -> np.ndarray:
     """Prefix polynomial hashes: the hash of data[s:e] is (H[e] - H[s]) * BASE**-s, the same wherever the bytes stand."""
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(LUTS[lut][data] * up[: len(data)], out=out[1:])
+    out, table = np.empty(len(data) + 1, np.uint64), LUTS[lut]
+    out[0], scale, up = 0, np.uint64(1), np.uint64(pow(BASE, STEP, 1 << 64))
+    for a in range(0, len(data), STEP):
+        part = table[data[a : a + STEP]]
+        part *= _LOW[BASE][: len(part)]
+        with np.errstate(over="ignore"):
+            part *= scale
+            part[0] += out[a]
+            scale *= up
+        np.cumsum(part, out=out[a + 1 : a + 1 + len(part)])
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
-    return (prefix[end] - prefix[start]) * down[start]
+    out = prefix[end] - prefix[start]
+    out *= _LOW[INVERSE][start & (STEP - 1)]
+    if len(prefix) > STEP:
+        out *= _table(pow(INVERSE, STEP, 1 << 64), len(prefix) // STEP + 1)[start >> 16]
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -193,27 +266,86 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lut: str = "folded") -> tuple[np.ndarray, np.ndarray]:
-    """A hash and a row for each word of rows that lie side by side; very long rows go in pieces that end at white space."""
-    n = int(offsets[-1])
-    if n <= 4 * GROUP_BYTES:
-        start, end, row = word_spans(data, offsets)
-        return mix64(span_hashes(prefix_hashes(data[:n], lut), start, end)), row
-    assert len(offsets) == 2
-    hashes, at = [], 0
+def pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pieces [a, b) of a long text, of GROUP_BYTES and what is left of the last word."""
+    n, at = len(data), 0
     while at < n:
         to = min(n, at + GROUP_BYTES)
         while to < n and not SPACE[data[to]]:
             step = np.flatnonzero(SPACE[data[to : to + GROUP_BYTES]])
             to = to + int(step[0]) if len(step) else min(n, to + GROUP_BYTES)
-        piece = data[at:to]
-        start, end, _ = word_spans(piece, np.array([0, len(piece)]))
-        hashes.append(mix64(span_hashes(prefix_hashes(piece, lut), start, end)))
+        yield at, to
         at = to
-    out = np.concatenate(hashes)
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lut: str = "folded") -> tuple[np.ndarray, np.ndarray]:
+    """A hash and a row for each word of rows that lie side by side; a very long row goes in pieces that end at white space."""
+    n = int(offsets[-1])
+    if len(offsets) > 2 or n <= 2 * GROUP_BYTES:
+        start, end, row = word_spans(data, offsets)
+        return mix64(span_hashes(prefix_hashes(data[:n], lut), start, end)), row
+    found = [_words(data[a:b], lut) for a, b in pieces(data[:n])]
+    out = np.concatenate(found)
     return out, np.zeros(len(out), np.int64)
 
 
+def _words(data: np.ndarray, lut: str) -> np.ndarray:
+    start, end, _ = word_spans(data, np.array([0, len(data)]))
+    return mix64(span_hashes(prefix_hashes(data, lut), start, end))
+
+
+_WORD = np.arange(256, dtype=np.uint8)
+_WORD[[b for b in range(128) if not chr(b).isalnum()]] = 32
+
+
+#: Scripts written without blanks between words, by code points.
+UNSPACED = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+]
+
+
+class _Letters(dict):
+    """What a code point becomes in a text whose words lie between blanks; learned as they occur."""
+
+    def __missing__(self, point: int):
+        c = chr(point)
+        kind = unicodedata.category(c)
+        if kind == "Cf" and point != 0x200B:  # soft hyphens, joiners
+            out = ""
+        elif not c.isalnum() and kind[0] != "M":
+            out = " "
+        else:
+            out = f" {c} " if any(a <= point <= b for a, b in UNSPACED) else c
+        self[point] = out
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def spaced(text: str) -> str:
+    """A text's words between blanks."""
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()).translate(_LETTERS)
+
+
+def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash and a row for each word, as spaced() tells them, of rows that lie side by side; a very long row goes in pieces that end at white space."""
+    n = int(offsets[-1])
+    if len(offsets) == 2 and n > 2 * GROUP_BYTES:
+        if len(cut := list(pieces(data[:n]))) > 1:
+            found = [letter_words(data[a:b], np.array([0, b - a]))[0] for a, b in cut]
+            return np.concatenate(found), np.zeros(sum(map(len, found)), np.int64)
+    if not n or data[:n].max() < 128:
+        return hashed_words(_WORD[data[:n]], offsets, "folded")  # ASCII words alone
+    rows = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        own = data[a:b]
+        rows.append(spaced(own.tobytes().decode(errors="replace")).encode() if a < b and own.max() >= 128 else _WORD[own].tobytes())
+    start, end, row = word_spans(data := np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]))
+    return mix64(span_hashes(prefix_hashes(data, "folded"), start, end)), row
+
+
 def shingles(words: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of `width` words in order, and their rows; a row of 1 to width-1 words is one shingle."""
     if not len(words):
@@ -239,7 +371,7 @@ def shingles(words: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray
 # ---------------------------------------------------------------- packed shuffles
 
 #: Entries that a map task holds before it hands them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 BLOBS = "bucket int, blob binary"
 
 

@@ -58,6 +58,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     return edges.select("doc", "text_hash", "n_dropped", F.transform("edges", lambda e, i: e - F.coalesce(F.get(F.col("edges"), i - 1), F.lit(0))).alias("keep_runs"))
 
 
+def written_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """keep_bitmaps as a table; the hashes it came from are deleted."""
+    with C.workspace(docs.sparkSession, "lines"):
+        return C.keep(keep_bitmaps(docs, min_chars, min_docs), "keep-bitmaps")
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text."""
     joined = docs.withColumns({"_doc": _document(), "_hash": F.xxhash64("text")}).join(
@@ -74,7 +80,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text) of every document."""
     docs = docs.select("doc_id", "text")
-    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
+    return apply_bitmaps(docs, written_bitmaps(docs, min_chars, min_docs))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from tillroll.llm import common as C
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words that a task remembers; beyond it begins anew. Bounds memory, not the result.
+#: Words that a task remembers, some 30 bytes each; beyond it begins anew. Bounds memory, not the result.
 MEMO_WORDS = 1_200_000
+#: Bytes of a text that are turned into ids at once; cuts lie at white space.
+TEXT_BYTES = 2 << 20
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
 
@@ -43,7 +45,8 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.flat, self.start = {}, array("I"), array("q", [0])
+        """known: sorted hashes of words, and at `at` where each one's ids begin in `flat` (see start)."""
+        self.known, self.at, self.flat, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int32), array("I"), array("q", [0])
 
     def encode(self, word: str) -> list[int]:
         low = word.lower()
@@ -66,23 +69,32 @@ class WordIds:
         first[marks], close[marks] = end[split] - 1, end[split]
         hashes = C.mix64(C.span_hashes(C.prefix_hashes(data, "raw"), first, close))
         unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.at) > MEMO_WORDS:
+        if len(self.known) > MEMO_WORDS:
             self.clear()
-        known, raw = self.at, data.tobytes()
-        places = [known.get(h, -1) for h in unique.tolist()]
-        for i, p in enumerate(places):
-            if p < 0:
-                w = where[i]
+        place, new = self.find(unique)
+        if len(new):
+            raw, first_new = data.tobytes(), len(self.start) - 1
+            for w in where[new].tolist():
                 self.flat.extend(self.encode(raw[first[w] : close[w]].decode("utf-8", "replace")))
                 self.start.append(len(self.flat))
-                places[i] = known[int(unique[i])] = len(self.start) - 2
-        begin, flat = np.frombuffer(self.start, np.int64).copy(), np.frombuffer(self.flat, np.uint32).copy()
-        place = np.array(places)[back]
+            known = np.concatenate((self.known, unique[new]))
+            order = np.argsort(known, kind="stable")
+            self.known, self.at = known[order], np.concatenate((self.at, np.arange(first_new, first_new + len(new), dtype=np.int32)))[order]
+            place, _ = self.find(unique)
+        place = place[back]
+        begin, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat, np.uint32)
         size = begin[place + 1] - begin[place]
         before = np.cumsum(size) - size
         out = flat[np.repeat(begin[place] - before, size) + np.arange(int(size.sum()))]
         return out, np.bincount(row, weights=size, minlength=rows).astype(np.int64)
 
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of known words by their hashes, and which of the hashes are new."""
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int32), np.arange(len(hashes))
+        i = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return self.at[i], np.flatnonzero(self.known[i] != hashes)
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces of each document: its ids and the end id, cut every `seq_len`; with_ids adds them as `ids`."""
@@ -92,22 +104,28 @@ def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: in
         for batch in batches:
             data, offsets = C.text_bytes(batch.column(1))
             ids_of = batch.column(0).to_pylist()
-            for lo, hi in C.groups(offsets, 4 * C.GROUP_BYTES):
-                a = int(offsets[lo])
-                ids, count = words.ids(data[a : int(offsets[hi])], offsets[lo : hi + 1] - a)
+            for lo, hi in C.groups(offsets, TEXT_BYTES):
+                a, b = int(offsets[lo]), int(offsets[hi])
+                if hi - lo == 1 and b - a > 2 * TEXT_BYTES:  # one very long text, its ids gathered piece by piece
+                    held = [words.ids(data[a + p : a + q], np.array([0, q - p]))[0] for p, q in C.pieces(data[a:b])]
+                    ids = np.concatenate(held)
+                    count = np.array([len(ids)])
+                else:
+                    ids, count = words.ids(data[a:b], offsets[lo : hi + 1] - a)
                 out = np.empty(len(ids) + len(count), "<u4")
                 owner = np.repeat(np.arange(len(count)), count)
                 out[np.arange(len(ids)) + owner] = ids
                 stop = np.cumsum(count + 1)
                 out[stop - 1] = end_id
-                rows: list[list] = [[], [], [], [], [], []]
-                for d, b, n in zip(ids_of[lo:hi], (stop - count - 1).tolist(), (count + 1).tolist()):
-                    for s in range(0, n, seq_len):
-                        piece = out[b + s : b + min(n, s + seq_len)]
+                spans = [(d, s, b0, n) for d, b0, n in zip(ids_of[lo:hi], (stop - count - 1).tolist(), (count + 1).tolist()) for s in range(0, n, seq_len)]
+                for k in range(0, len(spans), 4096):
+                    rows: list[list] = [[], [], [], [], [], []]
+                    for d, s, b0, n in spans[k : k + 4096]:
+                        piece = out[b0 + s : b0 + min(n, s + seq_len)]
                         for column, v in zip(rows, (d, s, len(piece), zlib.crc32(piece.tobytes()), n, piece.astype(np.int32) if with_ids else None)):
                             column.append(v)
-                arrays = [pa.array(c, pa.int64()) for c in rows[:5]] + [pa.array(rows[5], pa.list_(pa.int32()))] * with_ids
-                yield pa.record_batch(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+                    arrays = [pa.array(c, pa.int64()) for c in rows[:5]] + [pa.array(rows[5], pa.list_(pa.int32()))] * with_ids
+                    yield pa.record_batch(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, PIECES + ", ids array<int>" * with_ids)
 
@@ -183,7 +201,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     found = C.materialize(pieces(docs, tokenizer_path, seq_len, end_id, with_ids), "pieces")
     counts = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # at most seq_len rows
     rows, base = ranked(found)
-    shared = docs.sparkSession.sparkContext.broadcast((slots(shortest_pack_first(counts, seq_len)), base))
+    shared = C.share(docs.sparkSession, (slots(shortest_pack_first(counts, seq_len)), base))
 
     def task(batches):
         table, first = shared.value
@@ -202,7 +220,13 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     return rows.mapInArrow(task, PIECES + ", ids array<int>" * with_ids + ", sequence_id long, offset long")
 
 
+def packed(docs: DataFrame, tokenizer_path: str, **settings) -> DataFrame:
+    """pack() with its rows written; what it needed meanwhile is deleted."""
+    with C.workspace(docs.sparkSession, "packing"):
+        return C.keep(pack(docs, tokenizer_path, **settings), "packed")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(C.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed(C.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

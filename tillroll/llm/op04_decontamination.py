@@ -16,7 +16,6 @@ items count each. An empty documents table gives no rows, an empty benchmark cle
 from __future__ import annotations
 
 import heapq
-import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -28,51 +27,6 @@ from tillroll.llm import common as C
 
 BLOCK_WORDS = 1_000_000
 NO_ID = C.NO_ID
-_WORD = np.arange(256, dtype=np.uint8)
-_WORD[[b for b in range(128) if not chr(b).isalnum()]] = 32
-
-
-#: Scripts written without blanks between words, by code points.
-UNSPACED = [
-    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
-    (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
-]
-
-
-class _Letters(dict):
-    """What a code point becomes in a text whose words lie between blanks; learned as they occur."""
-
-    def __missing__(self, point: int):
-        c = chr(point)
-        kind = unicodedata.category(c)
-        if kind == "Cf" and point != 0x200B:  # soft hyphens, joiners
-            out = ""
-        elif not c.isalnum() and kind[0] != "M":
-            out = " "
-        else:
-            out = f" {c} " if any(a <= point <= b for a, b in UNSPACED) else c
-        self[point] = out
-        return out
-
-
-_LETTERS = _Letters()
-
-
-def spaced(text: str) -> str:
-    """A text's words between blanks."""
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()).translate(_LETTERS)
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash and a row for each word of rows that lie side by side."""
-    if not len(data) or data.max() < 128:
-        return C.hashed_words(_WORD[data], offsets, "folded")
-    rows = []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        own = data[a:b]
-        rows.append(spaced(own.tobytes().decode(errors="replace")).encode() if a < b and own.max() >= 128 else _WORD[own].tobytes())
-    found = [C.hashed_words(np.frombuffer(r, np.uint8), np.array([0, len(r)]), "folded")[0] if r else np.zeros(0, np.uint64) for r in rows]
-    return np.concatenate(found), np.repeat(np.arange(len(rows)), [len(f) for f in found])
 
 
 def count_words(texts: DataFrame) -> int:
@@ -81,7 +35,7 @@ def count_words(texts: DataFrame) -> int:
     def task(batches):
         for batch in batches:
             data, offsets = C.text_bytes(batch.column(0))
-            n = [len(word_hashes(data[int(offsets[lo]) : int(offsets[hi])], offsets[lo : hi + 1] - int(offsets[lo]))[0]) for lo, hi in C.groups(offsets)]
+            n = [len(C.letter_words(data[int(offsets[lo]) : int(offsets[hi])], offsets[lo : hi + 1] - int(offsets[lo]))[0]) for lo, hi in C.groups(offsets)]
             yield pa.record_batch([pa.array([sum(n)], pa.int64())], names=["n"])
 
     return texts.select("text").mapInArrow(task, "n long").agg(F.sum("n")).first()[0] or 0
@@ -89,10 +43,11 @@ def count_words(texts: DataFrame) -> int:
 
 def running_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """The hash of each `width` words in a row, from prefix sums over the word hashes."""
-    up, down = C.powers(len(words) + 1)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
-    n = max(0, len(words) - width + 1)
-    return C.mix64((prefix[width:] - prefix[:-width])[:n] * down[:n]) if n else np.zeros(0, np.uint64)
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * C.powers(C.BASE, len(words)), dtype=np.uint64)))
+    return C.mix64((prefix[width:] - prefix[:-width]) * C.powers(C.INVERSE, n))
 
 
 class Items:
@@ -103,7 +58,7 @@ class Items:
         found: dict[int, list] = {width: []}
         for item, text in rows:
             data = np.frombuffer((text or "").encode(), np.uint8)
-            words = word_hashes(data, np.array([0, len(data)]))[0] if len(data) else np.zeros(0, np.uint64)
+            words = C.letter_words(data, np.array([0, len(data)]))[0] if len(data) else np.zeros(0, np.uint64)
             if len(words):
                 h = running_hashes(words, min(width, len(words)))
                 found.setdefault(min(width, len(words)), []).append((h, np.stack([np.full(len(h), len(self.ids)), np.arange(len(h))], axis=1)))
@@ -180,7 +135,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5) -> DataF
 
     def one(block: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK_WORDS words
-        shared = spark.sparkContext.broadcast(sorted((r[0] if r[0] is not None else NO_ID, r[1]) for r in rows))
+        shared = C.share(spark, sorted((r[0] if r[0] is not None else NO_ID, r[1]) for r in rows))
 
         def task(batches):
             found = Items(shared.value, min_match)
@@ -189,7 +144,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5) -> DataF
                 data, offsets = C.text_bytes(batch.column(3))
                 for lo, hi in C.groups(offsets):
                     a = int(offsets[lo])
-                    words, row = word_hashes(data[a : int(offsets[hi])], offsets[lo : hi + 1] - a)
+                    words, row = C.letter_words(data[a : int(offsets[hi])], offsets[lo : hi + 1] - a)
                     cut = np.searchsorted(row, np.arange(hi - lo + 1))
                     for k in range(hi - lo):
                         own = words[cut[k] : cut[k + 1]]
@@ -217,14 +172,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4,
     return found.groupBy(*C.ROW_KEY).agg(F.countDistinct("item_id").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"))
 
 
+def written(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, min_match: int = 5) -> DataFrame:
+    """contaminated() as a table."""
+    with C.workspace(docs.sparkSession, "decontamination"):
+        return C.keep(contaminated(docs, benchmark, threshold, min_match), "contaminated")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, min_match: int = 5) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = C.materialize(contaminated(docs, benchmark, threshold, min_match).select(*C.ROW_KEY), "contaminated")
-    return C.rows_in(docs, bad, "left_anti")
+    return C.rows_in(docs, written(docs, benchmark, threshold, min_match).select(*C.ROW_KEY), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read(spark, sf_dir, "documents")
-    found = C.materialize(contaminated(docs, C.read(spark, sf_dir, "benchmark")), "contaminated")
+    found = written(docs, C.read(spark, sf_dir, "benchmark"))
     joined = docs.select("doc_id", *C.row_key()).join(found, C.ROW_KEY, "left")
     return joined.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))

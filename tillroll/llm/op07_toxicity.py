@@ -1,26 +1,23 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through block-max inverted indexes.
-
-Documents that hold terms which tell the labelled examples' classes apart (signed chi-square over documents that hold a
-term) are compared over those terms; all others over all their terms, with all examples. Term frequencies are damped,
-and document frequencies are counted over the whole corpus. Examples with
-equal vectors are one entry of the index, with its votes. For a document, blocks of entries are visited in order of
-their upper bound, the sum of block maxima, until no block can beat the k-th neighbour: the k nearest are exact, and
-entries as near as the k-th all count. Votes weighted by similarity give a share of toxic examples, which a binned
-monotone table, learned by leaving each example itself out, turns into a calibrated score; there is one table for
-either comparison. A document that shares
-no term at all with any example gets the share of toxic examples among those without terms.
-
-Learned from about `cap` labelled documents. Null and empty texts score as documents without terms.
-Without labels every score is 0. Repeated rows score alike; a null doc_id is kept; an empty table gives no rows; other
-columns are ignored.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
+
+Terms are all words of a text (runs of letters, marks and digits, case-folded); none is left out. A term's weight is its
+damped frequency, times its inverse document frequency over the whole corpus, times a relevance factor of at least 1 that
+grows with how far the term leans to the toxic examples (1 + z**2, z its deviation from their share in standard errors).
+Examples with equal terms are one entry of the index, with its votes; entries of like strongest terms share a block.
+For a batch of documents the postings of rarer terms are added up for every entry; for frequent terms each block's largest
+weights bound what its entries can still gain, and only blocks whose bound reaches the k-th neighbour found so far are
+scored: the k nearest are exact, and entries as near as the k-th all count. Votes weighted by squared similarity give a
+share of toxic examples, which a binned monotone table, learned by leaving each example itself out, turns into a calibrated
+score; the entries that voted are the evidence.
+
+Learned from about `cap` labelled documents. A document that shares no term with any example, as null and empty texts,
+gets the share of toxic examples among those without terms, or among all examples where each has some. Without labels every
+score is 0. Repeated rows score alike; a null doc_id is kept; an empty table gives no rows; other columns are ignored.
+Terms are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,83 +26,45 @@ from pyspark.sql import functions as F
 from tillroll.llm import common as C
 from tillroll.llm.training import labelled_ids
 
-WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 32
+BLOCK = 64
+#: Documents that are compared at once.
+BATCH = 64
+#: Terms in more than one of so many entries are held as rows of a matrix, the rest as postings.
+OFTEN = 16
 LEVELS = 20
 DF_BLOCK = 1 << 14
 
 
-#: Lengths of the word beginnings that are terms beside whole words.
-STEMS = (4, 5, 7)
-
+def counted(column: pa.Array):
+    """For runs of rows of a text column: first row, number of rows, and (row, term, count) for each term of a row."""
+    data, offsets = C.text_bytes(column)
+    for lo, hi in C.groups(offsets):
+        a = int(offsets[lo])
+        term, row = C.letter_words(data[a : int(offsets[hi])], offsets[lo : hi + 1] - a)
+        order = np.lexsort((term, row))
+        term, row = term[order], row[order]
+        cut = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])))) if len(term) else np.zeros(0, np.int64)
+        yield lo, hi - lo, row[cut], term[cut], np.diff(np.append(cut, len(term)))
 
-def terms_of(text: str | None) -> Counter:
-    """How often each term stands in a text: its lower-case words, and beginnings of longer words (marked by a dash)."""
-    words = Counter(WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for n in STEMS:
-        for w, c in words.items():
-            if len(w) > n:
-                out[w[:n] + "-"] += c
-    return out
 
+def placed(terms: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray):
+    """(row, place, count) of the terms that stand in the sorted array `terms`."""
+    if not len(terms):
+        return row[:0], row[:0], count[:0]
+    at = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+    known = terms[at] == term
+    return row[known], at[known], count[known]
 
-def vocabulary(examples: DataFrame, size: int, least: float, min_share: float = 0.03) -> list[str]:
-    """Terms of examples (text, y) most of whose documents are toxic, and more often than the rest, strongest first; at most `size`. A term needs 4 documents, and as many as min_share of the toxic ones that differ in text; documents with the same words beside it, as copies have, count once."""
 
-    def words(batches):
-        for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                flow, near = WORD.findall((text.as_py() or "").lower()), {}
-                for before, w, after in zip(["", *flow], flow, [*flow[1:], ""]):
-                    for t in (w, *(w[:n] + "-" for n in STEMS if len(w) > n)):
-                        if t not in near:
-                            near[t] = zlib.crc32(f"{before} {after}".encode())
-                yield pa.record_batch([pa.array(list(near), pa.string()), pa.array([y] * len(near), pa.int32()), pa.array(list(near.values()), pa.int64())], names=["term", "y", "near"])
-
-    totals = {r[0]: r[1] for r in examples.groupBy("y").count().collect()}  # two rows
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    n = n0 + n1
-    distinct = examples.where("y = 1").select(F.xxhash64("text").alias("h")).distinct().count()  # copies count once, as in a term's contexts
-    if not n0 or not n1:
-        return []
-    examples = examples.select("text", F.col("y").cast("int"))
-    seen = examples.mapInArrow(words, "term string, y int, near long").groupBy("term", "near").agg(F.max("y").alias("y"))
-    seen = seen.groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("df")).where(F.col("df") >= max(4, int(min_share * distinct)))
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
-    excess = a * F.lit(float(n)) - df * F.lit(float(n1))
-    chi = excess * excess * F.lit(float(n)) / (df * (F.lit(float(n)) - df) * F.lit(float(n1) * n0))
-    rows = seen.withColumn("chi", F.when((excess > 0) & (df < n) & (a > 0.5 * df), chi).otherwise(0.0)).where(F.col("chi") >= least)
-    return [r[0] for r in rows.orderBy(F.desc("chi"), "term").limit(size).collect()]
-
-
-def vector(count: Counter, place: dict[str, int], grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a text's terms in order, and their damped frequencies; grow: new terms get a place."""
-    if grow:
-        for t in count:
-            place.setdefault(t, len(place))
-    found = [(place[t], c) for t, c in count.items() if t in place]
-    term = np.array([i for i, _ in found], np.int64)
-    order = np.argsort(term)
-    return term[order], 1.0 + np.log(np.array([c for _, c in found], float))[order]
-
-
-def telling(v: tuple[np.ndarray, np.ndarray], m: int) -> tuple[list[int], list[float]]:
-    """The part of a vector over the first m terms."""
-    cut = int(np.searchsorted(v[0], m))
-    return v[0][:cut].tolist(), v[1][:cut].tolist()
-
-
-def frequencies(docs: DataFrame, place: dict[str, int]) -> np.ndarray:
-    """In how many documents each term of `place` stands."""
-    shared, parts = docs.sparkSession.sparkContext.broadcast(place), C.partitions(docs.sparkSession)
+def frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """In how many documents each of the sorted terms stands."""
+    shared, parts = C.share(docs.sparkSession, terms), C.partitions(docs.sparkSession)
 
     def task(batches):
-        found = shared.value
-        n = np.zeros(len(found), np.int64)
+        n = np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                n[[found[t] for t in terms_of(text.as_py()) if t in found]] += 1
+            for _, _, *found in counted(batch.column(0)):
+                n += np.bincount(placed(shared.value, *found)[1], minlength=len(n))
         for a in range(0, len(n), DF_BLOCK):
             if n[a : a + DF_BLOCK].any():
                 yield pa.record_batch([pa.array([a // DF_BLOCK], pa.int32()), pa.array([n[a : a + DF_BLOCK].tobytes()], pa.binary())], names=["bucket", "blob"])
@@ -119,15 +78,16 @@ def frequencies(docs: DataFrame, place: dict[str, int]) -> np.ndarray:
         for k, n in sums.items():
             yield pa.record_batch([pa.array([k], pa.int32()), pa.array([n.tobytes()], pa.binary())], names=["bucket", "blob"])
 
-    df = np.zeros(len(place), np.int64)
-    for k, blob in docs.select("text").mapInArrow(task, C.BLOBS).repartition(parts, "bucket").mapInArrow(add, C.BLOBS).collect():  # 8 bytes a term
-        df[k * DF_BLOCK : (k + 1) * DF_BLOCK] = np.frombuffer(bytes(blob), np.int64)
+    df = np.zeros(len(terms), np.int64)
+    if len(terms):
+        for k, blob in docs.select("text").mapInArrow(task, C.BLOBS).repartition(parts, "bucket").mapInArrow(add, C.BLOBS).collect():  # 8 bytes a term of the examples
+            df[k * DF_BLOCK : (k + 1) * DF_BLOCK] = np.frombuffer(bytes(blob), np.int64)
     return df
 
 
 def monotone(shares: list, toxic: list, votes: list) -> tuple[np.ndarray, np.ndarray]:
     """Upper ends of bins of shares, and the toxic rate of each, never falling."""
-    if not shares:
+    if not len(shares):
         return np.array([0.5]), np.array([0.0, 1.0])
     x, a, n = np.array(shares), np.array(toxic), np.array(votes)
     edges = np.append(np.linspace(0, 1, LEVELS + 1)[1:-1], [0.999, np.inf])  # equal shares stay together
@@ -142,196 +102,184 @@ def monotone(shares: list, toxic: list, votes: list) -> tuple[np.ndarray, np.nda
     return np.array([g[0] for g in pooled[:-1]]), np.array([g[1] / g[2] for g in pooled])
 
 
-class Whole:
-    """Cosines over all terms with all examples: postings of rare terms, rows of a matrix for frequent ones."""
-
-    def __init__(self, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], y: list[int], ids: list[int], k: int):
-        self.idf, self.k, self.y, self.ids, n = idf, k, np.array(y, float), ids, len(ids)
-        term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
-        self.w = np.concatenate([self.unit(*v) for v in vectors]) if n else np.zeros(0)
-        order = np.argsort(term, kind="stable")
-        self.row, self.w = self.row[order].astype(np.int32), self.w[order]
-        self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        often = np.flatnonzero(np.diff(self.start) > n / 6)
-        self.dense, self.at = np.zeros((len(often), n)), np.full(len(idf), -1)
-        for j, t in enumerate(often):
-            self.dense[j, self.row[self.start[t] : self.start[t + 1]]] = self.w[self.start[t] : self.start[t + 1]]
-        self.at[often] = np.arange(len(often))
-        self.levels, self.table = monotone([], [], [])
+def relevance(term: np.ndarray, entry: np.ndarray, rate: np.ndarray, n_terms: int) -> np.ndarray:
+    """A factor for each term: 1 + z**2 for terms that lean to toxic entries, else 1; rate: each entry's toxic share."""
+    n, p = len(rate), rate.mean() if len(rate) else 0.0
+    held, toxic = np.bincount(term, minlength=n_terms), np.bincount(term, rate[entry], n_terms)
+    z = (toxic - p * held) / np.sqrt(p * (1 - p) * held * (1 - held / max(1, n)) + 2)
+    return 1 + np.maximum(z, 0) ** 2
 
-    def unit(self, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = tf * self.idf[term]
-        return w / (np.linalg.norm(w) or 1.0)
-
-    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of each vector with each example, up to the vector's norm, to which terms of no example would add."""
-        n = len(self.ids)
-        frequent, out = np.zeros((len(vectors), len(self.dense))), np.zeros((len(vectors), n))
-        for i, (term, tf) in enumerate(vectors):
-            w, at = self.unit(term, tf), self.at[term]
-            frequent[i, at[at >= 0]] = w[at >= 0]
-            t, w = term[at < 0], w[at < 0]
-            size = self.start[t + 1] - self.start[t]
-            place = np.repeat(self.start[t] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-            out[i] = np.bincount(self.row[place], self.w[place] * np.repeat(w, size), n)
-        return out + frequent @ self.dense
-
-    def share(self, s: np.ndarray) -> tuple[float | None, np.ndarray]:
-        """The weighted share of toxic examples among the k nearest and all as near as the k-th, and which they are."""
-        kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) > self.k else 0.0
-        e = np.flatnonzero((s > 0) & (s >= kth - 1e-12))
-        e = e[np.lexsort((e, -s[e]))]
-        return (float((s[e] ** 2 * self.y[e]).sum() / (s[e] ** 2).sum()) if len(e) else None), e
-
-    def calibrate(self, vectors: list, own: list[int]) -> None:
-        """own: the examples, by place, that documents compared by all terms are like."""
-        shares, toxic = [], []
-        for a in range(0, len(own), BLOCK):
-            for e, s in zip(own[a : a + BLOCK], self.cosines([vectors[e] for e in own[a : a + BLOCK]])):
-                s[e] = 0.0
-                if (x := self.share(s)[0]) is not None:
-                    shares.append(x)
-                    toxic.append(self.y[e])
-        self.levels, self.table = monotone(shares, toxic, [1.0] * len(shares))
-
-    def judge(self, vectors: list) -> list[tuple[float | None, list[int]]]:
-        """For each vector a score, None if it shares no term with any example, and the nearest examples."""
-        out: list = []
-        for a in range(0, len(vectors) if self.ids else 0, BLOCK):
-            for s in self.cosines(vectors[a : a + BLOCK]):
-                x, e = self.share(s)
-                out.append((None, []) if x is None else (float(self.table[np.searchsorted(self.levels, x, "left")]), [self.ids[i] for i in e[:5]]))
-        return out or [(None, [])] * len(vectors)
-
-
-class BlockMax:
-    """An inverted index over distinct example vectors, in blocks with the largest weight of each term."""
-
-    def __init__(self, idf: np.ndarray, vectors: list[tuple[list[int], list[float]]], y: list[int], ids: list[int], k: int):
-        self.idf, self.k = idf, k
-        entries: dict[tuple, list] = {}
-        for (term, tf), label, i in zip(vectors, y, ids):
-            entries.setdefault((tuple(term), tuple(tf)), []).append((label, i))
-        blank = [v for v, _ in entries.pop(((), ()), [])]
+
+class Examples:
+    """The block-max index over entries: distinct examples with their votes."""
+
+    def __init__(self, terms: np.ndarray, df: np.ndarray, n_docs: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int = 15):
+        """examples: (doc_id, y, places of terms in order, their counts)."""
+        self.terms, self.k = terms, k
+        alike: dict[tuple, list] = {}
+        for doc, y, place, count in examples:
+            alike.setdefault((place.tobytes(), count.tobytes()), []).append((y, doc, place, count))
+        blank = [v[0] for v in alike.pop((b"", b""), [])]
+        y = [e[1] for e in examples]
         self.blank = (sum(blank) + 0.05) / (len(blank) + 1) if blank else (sum(y) / len(y) if y else 0.0)
-        keys = sorted(entries)
-        self.toxic = np.array([sum(v for v, _ in entries[e]) for e in keys], float)
-        self.votes = np.array([len(entries[e]) for e in keys], float)
-        self.ids = [min(i for _, i in entries[e]) for e in keys]
-        blocks = -(-len(keys) // BLOCK)
-        self.postings: list[dict[int, tuple[list, list]]] = [{} for _ in range(blocks)]
-        self.top = np.zeros((blocks, len(idf)))
-        self.units = []
-        for e, (term, tf) in enumerate(keys):
-            w = self.unit(term, tf)
-            self.units.append((list(term), w))
-            for t, v in zip(term, w):
-                p = self.postings[e // BLOCK].setdefault(t, ([], []))
-                p[0].append(e % BLOCK)
-                p[1].append(v)
-            np.maximum.at(self.top[e // BLOCK], list(term), w)
-        self.postings = [{t: (np.array(a), np.array(v)) for t, (a, v) in b.items()} for b in self.postings]
-        self.levels, self.table = np.zeros(0), np.zeros(1)
-        self.memo: dict = {}
-
-    def unit(self, term, tf) -> np.ndarray:
-        w = np.array(tf) * self.idf[list(term)]
-        return w / (np.linalg.norm(w) or 1.0)
-
-    def nearest(self, term, w, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest entries by cosine and all as near as the k-th; entries with similarity 0 don't count."""
-        bound = self.top[:, term] @ w
-        held_e, held_s, kth = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < kth - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, v in zip(term, w):
-                if t in self.postings[b]:
-                    at, x = self.postings[b][t]
-                    score[at] += v * x
-            at = np.flatnonzero(score > max(0.0, kth - 1e-12))
-            at = at[at + b * BLOCK != without]
-            held_e.append(at + b * BLOCK)
-            held_s.append(score[at])
-            s = np.concatenate(held_s)
-            if len(s) >= self.k:
-                kth = np.partition(s, len(s) - self.k)[len(s) - self.k]
-        e, s = np.concatenate(held_e) if held_e else np.zeros(0, int), np.concatenate(held_s) if held_s else np.zeros(0)
-        keep = np.flatnonzero(s >= kth - 1e-12)
-        order = keep[np.lexsort((e[keep], -s[keep]))]
-        return e[order], s[order]
-
-    def share(self, e: np.ndarray, s: np.ndarray, less: tuple[int, float] | None = None) -> float:
-        """The weighted share of toxic votes among entries e; less: an entry and a label, one example that doesn't vote."""
-        toxic, votes = self.toxic[e], self.votes[e]
-        if less:
-            toxic, votes = toxic - less[1] * (e == less[0]), votes - (e == less[0])
-        return float((s**2 * toxic).sum() / (s**2 * votes).sum())
+        held = list(alike.values())
+        rate = np.array([sum(v[0] for v in e) / len(e) for e in held])
+        size = [len(e[0][2]) for e in held]
+        entry, term = np.repeat(np.arange(len(held)), size), np.concatenate([np.zeros(0, np.int64), *(e[0][2] for e in held)])
+        self.weight = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(term, entry, rate, len(terms))
+        w = self.unit(entry, term, np.concatenate([np.zeros(0, np.int64), *(e[0][3] for e in held)]), len(held))
+        # entries in order of their strongest term, then the next
+        strong = np.zeros((len(held), 2), np.int64)
+        cut = np.concatenate(([0], np.cumsum(size))).astype(int)
+        for e, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            top = term[a:b][np.argsort(-w[a:b], kind="stable")[:2]]
+            strong[e] = top[0], top[-1]
+        order = np.lexsort((strong[:, 1], strong[:, 0]))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        entry = back[entry]
+        held = [held[i] for i in order]
+        self.toxic, self.votes = np.array([float(sum(v[0] for v in e)) for e in held]), np.array([float(len(e)) for e in held])
+        self.ids = np.array([min(v[1] for v in e) for e in held], np.int64)
+        self.blocks = -(-len(held) // BLOCK)
+        n_terms, slots = len(terms), self.blocks * BLOCK
+        order = np.lexsort((entry, term))
+        entry, term, w = entry[order], term[order], w[order]
+        number = np.bincount(term, minlength=n_terms)
+        often = np.flatnonzero(number > len(held) / OFTEN)
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), slots))
+        common = self.row[term] >= 0
+        self.dense[self.row[term[common]], entry[common]] = w[common]
+        self.top = self.dense.reshape(len(often), self.blocks, BLOCK).max(axis=2) if slots else np.zeros((len(often), 0))
+        self.entry, self.w = entry[~common].astype(np.int32), w[~common]
+        number[often] = 0
+        self.start = np.concatenate(([0], np.cumsum(number)))
+        self.levels, self.table = monotone([], [], [])
+        self.calibrate()
+
+    def unit(self, row: np.ndarray, place: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """Weights of terms, scaled to length 1 within each of n rows."""
+        w = (1.0 + np.log(np.maximum(count, 1))) * self.weight[place]
+        return w / np.sqrt(np.bincount(row, w * w, n))[row]
+
+    def nearest(self, row: np.ndarray, place: np.ndarray, w: np.ndarray, n: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, entry, cosine) of the k nearest entries of each of n vectors, and all as near as the k-th, nearest first; a cosine of 0 doesn't count. without: an entry for each vector, or -1, that is left out."""
+        slots = self.blocks * BLOCK
+        rare = self.row[place] < 0
+        t, r = place[rare], row[rare]
+        size = self.start[t + 1] - self.start[t]
+        at = np.repeat(self.start[t] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        s = np.bincount(np.repeat(r, size) * slots + self.entry[at], self.w[at] * np.repeat(w[rare], size), n * slots).astype(float, copy=False).reshape(n, slots)
+        q = np.zeros((n, len(self.dense)))
+        q[row[~rare], self.row[place[~rare]]] = w[~rare]
+        bound = s.reshape(n, self.blocks, BLOCK).max(axis=2) + q @ self.top
+        done, floor = np.zeros(bound.shape, bool), np.full((n, 1), 1e-12)
+        few = min(self.blocks, 2 + self.k // BLOCK)
+        want = bound >= np.partition(bound, self.blocks - few, axis=1)[:, [self.blocks - few]]  # the most promising blocks first
+        while (want := want & ~done & (bound >= floor - 1e-12)).any():
+            for b in np.flatnonzero(want.any(axis=0)).tolist():
+                own = np.flatnonzero(want[:, b])
+                s[own, b * BLOCK : (b + 1) * BLOCK] += q[own] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+            done |= want
+            seen = np.where(np.repeat(done, BLOCK, axis=1), s, 0.0)
+            if without is not None:
+                alone = np.flatnonzero(without >= 0)
+                seen[alone, without[alone]] = 0.0
+            if slots >= self.k:
+                floor = np.maximum(np.partition(seen, slots - self.k, axis=1)[:, [slots - self.k]], 1e-12)
+            want = ~done
+        if not done.any():
+            return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        r, e = np.nonzero(seen >= floor - 1e-12 * (floor > 1e-12))
+        order = np.lexsort((e, -seen[r, e], r))
+        r, e = r[order], e[order]
+        return r, e, seen[r, e]
 
     def calibrate(self) -> None:
         """Pools the shares that each example gets from the others into a monotone table of toxic rates."""
+        if not self.blocks:
+            return
+        term = np.concatenate([np.repeat(np.flatnonzero(self.row < 0), np.diff(self.start)[self.row < 0]), np.repeat(np.flatnonzero(self.row >= 0), (self.dense > 0).sum(axis=1))])
+        entry = np.concatenate([self.entry, np.nonzero(self.dense)[1]])
+        w = np.concatenate([self.w, self.dense[self.dense > 0]])
+        order = np.argsort(entry, kind="stable")
+        term, entry, w = term[order], entry[order], w[order]
         shares, toxic, votes = [], [], []
-        for e, (term, w) in enumerate(self.units):
-            alone = self.votes[e] == 1
-            near, s = self.nearest(term, w, without=e if alone else -1)
-            for label, n in ((1.0, self.toxic[e]), (0.0, self.votes[e] - self.toxic[e])):
-                if n and len(near):
-                    shares.append(self.share(near, s, None if alone else (e, label)))
-                    toxic.append(label * n)
-                    votes.append(n)
+        for a in range(0, len(self.votes), BATCH):
+            b = min(len(self.votes), a + BATCH)
+            lo, hi = np.searchsorted(entry, [a, b])
+            own = np.arange(a, b)
+            alone = self.votes[own] == 1
+            r, e, s = self.nearest(entry[lo:hi] - a, term[lo:hi], w[lo:hi], b - a, np.where(alone, own, -1))
+            for label, n in ((1.0, self.toxic[own]), (0.0, self.votes[own] - self.toxic[own])):
+                less = (e == own[r]) & ~alone[r]  # the example itself doesn't vote
+                yes, all_ = np.bincount(r, s**2 * (self.toxic[e] - label * less), b - a), np.bincount(r, s**2 * (self.votes[e] - less), b - a)
+                fit = (n > 0) & (all_ > 0)
+                shares += (yes[fit] / all_[fit]).tolist()
+                toxic += (label * n[fit]).tolist()
+                votes += n[fit].tolist()
         self.levels, self.table = monotone(shares, toxic, votes)
 
-    def judge(self, term: list[int], tf: list[float]) -> tuple[float, list[int]]:
-        """A score and the documents of the nearest examples."""
-        key = (tuple(term), tuple(tf))
-        if key not in self.memo:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            e, s = self.nearest(term, self.unit(term, tf)) if term and len(self.units) else (np.zeros(0, int), None)
-            self.memo[key] = (float(self.table[np.searchsorted(self.levels, self.share(e, s), "left")]), [self.ids[i] for i in e[:5]]) if len(e) else (float(self.blank), [])
-        return self.memo[key]
-
-
-def toxicity(docs: DataFrame, examples: DataFrame, size: int = 400, least: float = 24.0, k: int = 15) -> DataFrame:
+    def judge(self, row: np.ndarray, place: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, list]:
+        """Scores of n documents, and the doc_ids of the examples that voted, nearest first. Rows are in order."""
+        score, evidence = np.full(n, float(self.blank)), [[]] * n
+        for a in range(0, n if self.blocks else 0, BATCH):
+            b = min(n, a + BATCH)
+            lo, hi = np.searchsorted(row, [a, b])
+            if lo == hi:
+                continue
+            r, e, s = self.nearest(row[lo:hi] - a, place[lo:hi], self.unit(row[lo:hi] - a, place[lo:hi], count[lo:hi], b - a), b - a)
+            yes, all_ = np.bincount(r, s**2 * self.toxic[e], b - a), np.bincount(r, s**2 * self.votes[e], b - a)
+            some = np.flatnonzero(all_ > 0)
+            score[a + some] = self.table[np.searchsorted(self.levels, yes[some] / all_[some], "left")]
+            cut = np.searchsorted(r, np.arange(b - a + 1))
+            for i in some.tolist():
+                evidence[a + i] = self.ids[e[cut[i] : cut[i + 1]]]
+        return score, evidence
+
+
+def toxicity(docs: DataFrame, examples: DataFrame, k: int = 15) -> DataFrame:
     """(doc_id, h1, h2, score, evidence) of every document, h1 and h2 as in C.ROW_KEY; examples: (doc_id, y), a bounded sample of labelled documents."""
     with C.workspace(docs.sparkSession, "toxicity"):
-        return C.keep(_scored(docs, examples, size, least, k), "toxicity-scores")
+        return C.keep(_scored(docs, examples, k), "toxicity-scores")
+
+
+def fit(docs: DataFrame, examples: DataFrame, k: int = 15) -> Examples:
+    """The index over the examples' documents; document frequencies are counted over all docs."""
+
+    def terms(batches):
+        for batch in batches:
+            for lo, n, row, term, count in counted(batch.column(2)):
+                cut = np.searchsorted(row, np.arange(n + 1))
+                parts = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+                yield pa.record_batch([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array([term[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([count[a:b].tobytes() for a, b in parts], pa.binary())], names=["doc_id", "y", "terms", "counts"])
+
+    own = docs.select("doc_id", "text").join(F.broadcast(examples.select("doc_id", F.col("y").cast("int"))), "doc_id").select("doc_id", "y", "text")  # about cap rows
+    rows = sorted((d, y, bytes(t), bytes(c)) for d, y, t, c in own.mapInArrow(terms, "doc_id long, y int, terms binary, counts binary").collect())
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[2], np.uint64) for r in rows)]))
+    vectors = [(d, y, np.searchsorted(known, np.frombuffer(t, np.uint64)), np.frombuffer(c, np.int64)) for d, y, t, c in rows]
+    return Examples(known, frequencies(docs, known), docs.count(), vectors, k)
 
 
-def _scored(docs: DataFrame, examples: DataFrame, size: int, least: float, k: int) -> DataFrame:
-    spark = docs.sparkSession
+def _scored(docs: DataFrame, examples: DataFrame, k: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *C.row_key()[1:], "text")
-    examples = C.materialize(examples, "examples")
-    own = docs.join(F.broadcast(examples), "doc_id")  # about cap rows
-    terms = vocabulary(own, size, least)
-    n = docs.count()
-    rows = sorted((r[0], r[1], r[2] or "") for r in own.select("doc_id", "y", "text").collect())  # about cap documents
-    place = {t: i for i, t in enumerate(terms)}  # the terms that tell the classes apart come first
-    full = [vector(terms_of(text), place, grow=True) for _, _, text in rows]
-    idf = np.log((1 + n) / (1 + frequencies(docs, place))) + 1
-    m, y, ids = len(terms), [r[1] for r in rows], [r[0] for r in rows]
-    index = BlockMax(idf[:m], [telling(v, m) for v in full], y, ids, k)
-    index.calibrate()
-    whole = Whole(idf, full, y, ids, k)
-    whole.calibrate(full, [e for e, v in enumerate(full) if not telling(v, m)[0]])
-    shared = spark.sparkContext.broadcast((place, index, whole))
+    shared = C.share(docs.sparkSession, fit(docs, C.materialize(examples, "examples"), k))
 
     def task(batches):
-        place, index, whole = shared.value
+        index = shared.value
         for batch in batches:
-            vectors = [vector(terms_of(text.as_py()), place) for text in batch.column(3)]
-            few = [telling(v, m) for v in vectors]
-            rest = iter(whole.judge([v for v, f in zip(vectors, few) if not f[0]]))
-            judged = [index.judge(*f) if f[0] else next(rest) for f in few]
-            yield pa.record_batch([*batch.columns[:3], pa.array([float(index.blank) if j[0] is None else j[0] for j in judged], pa.float64()), pa.array([j[1] for j in judged], pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "score", "evidence"])
+            for lo, n, *found in counted(batch.column(3)):
+                score, evidence = index.judge(*placed(index.terms, *found), n)
+                yield pa.record_batch([*(batch.column(c).slice(lo, n) for c in range(3)), pa.array(score), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "score", "evidence"])
 
     return docs.mapInArrow(task, "doc_id long, h1 long, h2 long, score double, evidence array<long>")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, cap: int = 6000) -> DataFrame:
-    return toxicity(docs, labelled_ids(labels, "toxic", cap, 4, 2))
+    with C.workspace(docs.sparkSession, "toxicity-labels"):
+        return C.keep(_scored(docs, labelled_ids(labels, "toxic", cap, 4, 2), 15), "toxicity-scores")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

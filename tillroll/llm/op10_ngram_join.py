@@ -172,7 +172,7 @@ def class_sets(docs: DataFrame, owners: DataFrame, wanted: DataFrame, width: int
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for k, held in parts.collect():  # FILTER_BITS / 8 bytes at most
         bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(held), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = C.share(docs.sparkSession, bits)
     # place of a bit in that array, by the same functions
     place = ((F.bitmap_bucket_number("b") - 1) * 32768 + F.bitmap_bit_position("b")).alias("place")
 
