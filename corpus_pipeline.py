@@ -2,19 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns
 of documents. A row is told by its doc_id and text: what is decided about a text holds for that row alone, whatever
-rows share its doc_id or have a null one, too. Of near duplicates one row stays. Documents without text are kept.
+rows share its doc_id or have a null one, too. Of near duplicates one row stays, the first by doc_id (null before all
+others), then by hashes of the text; of rows equal in both, any. Documents without text are kept. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import common as C
-from tillroll.llm.op02_line_dedup import apply_bitmaps, keep_bitmaps
-from tillroll.llm.op03_packing import pack
+from tillroll.llm.op02_line_dedup import apply_bitmaps, written_bitmaps
+from tillroll.llm.op03_packing import packed
 from tillroll.llm.op04_decontamination import decontaminate
 from tillroll.llm.op07_toxicity import score_documents
 from tillroll.llm.op10_ngram_join import jaccard_components
@@ -28,7 +27,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = apply_bitmaps(docs, keep_bitmaps(docs))
+    kept = apply_bitmaps(docs, written_bitmaps(docs))
     new = {"text": F.col("kept_text")} | ({"n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return kept.withColumns(new).select(*docs.columns)
 
@@ -36,11 +35,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates, the first by doc_id (null first), hashes of the text and, of equal ones, any."""
     row = F.xxhash64(*C.ROW_KEY)
-    found = jaccard_components(docs.select(*C.row_key(), "text").select(row.alias("doc_id"), "text"), width=5, num=80, den=100)
-    keys = docs.select(*C.row_key()).groupBy(*C.ROW_KEY).agg(F.count("*").alias("rows")).withColumn("_row", row)
-    named = keys.join(found.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").distinct(), "_row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(*C.ROW_KEY, "rows", "n_shingles")).alias("first")).select("first.*")
-    first = C.materialize(first, "first-rows")
+    with C.workspace(spark, "near-duplicates"):
+        found = jaccard_components(docs.select(*C.row_key(), "text").select(row.alias("doc_id"), "text"), width=5, num=80, den=100)
+        keys = docs.select(*C.row_key()).groupBy(*C.ROW_KEY).agg(F.count("*").alias("rows")).withColumn("_row", row)
+        named = keys.join(found.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").distinct(), "_row")
+        first = C.keep(named.groupBy("component_id").agg(F.min(F.struct(*C.ROW_KEY, "rows", "n_shingles")).alias("first")).select("first.*"), "first-rows")
     repeated = (F.col("rows") > 1) & (F.col("n_shingles") > 0)
     again = C.rows_in(docs, first.where(repeated), "left_semi").select(*C.row_key(), F.struct(*docs.columns).alias("_all"))
     again = again.groupBy(*C.ROW_KEY).agg(F.first("_all").alias("_all")).select("_all.*")
@@ -54,7 +53,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -68,10 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, each stage's rows written and read again in the shared folder."""
-    docs = C.read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = C.materialize(docs, os.path.basename(name))
+    """Applies STAGES to documents, each stage's rows written and read again in the shared folder; a stage's table goes when the next one's is written."""
+    docs, before = C.read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with C.workspace(spark, name):
+            docs = C.keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            C.drop(before)
+        before = docs
     return docs
