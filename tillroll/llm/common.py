@@ -378,9 +378,9 @@ BLOBS = "bucket int, blob binary"
 class Packer:
     """Gathers fixed-width entries in a map task and deals them out by their first column, as one blob for each bucket."""
 
-    def __init__(self, buckets: int, first: int = 0):
-        """first: number of the first bucket, to keep several kinds of entries apart."""
-        self.buckets, self.first, self.held, self.size = buckets, first, [], 0
+    def __init__(self, buckets: int, first: int = 0, short: bool = False):
+        """first: number of the first bucket, to keep several kinds of entries apart. short: of the first column, a hash, the upper half is sent."""
+        self.buckets, self.first, self.short, self.held, self.size = buckets, first, short, [], 0
 
     def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(columns)
@@ -394,6 +394,8 @@ class Packer:
             bucket = (columns[0] % np.uint64(self.buckets)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             columns, bucket = [c[order] for c in columns], bucket[order]
+            if self.short:
+                columns[0] = (columns[0] >> np.uint64(32)).astype(np.uint32)
             cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             yield pa.record_batch([pa.array(bucket[cut[:-1]].astype(np.int32) + np.int32(self.first)), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["bucket", "blob"])
         self.held, self.size = [], 0
@@ -407,15 +409,15 @@ def unpacked(blob: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-def by_bucket(blobs: DataFrame, kinds: list, f: Callable[..., Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
-    """Applies f to each bucket's number and columns, after a shuffle of the blobs."""
+def by_bucket(blobs: DataFrame, kinds: list | Callable[[int], list], f: Callable[..., Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
+    """Applies f to each bucket's number and columns, after a shuffle of the blobs. kinds: the columns' types, or a function from a bucket's number to them."""
 
     def task(batches):
         now, held = None, []
 
         def done():
             if held:
-                yield from f(now, *[np.concatenate(c) for c in zip(*(unpacked(b, kinds) for b in held))])
+                yield from f(now, *[np.concatenate(c) for c in zip(*(unpacked(b, kinds(now) if callable(kinds) else kinds) for b in held))])
 
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -426,3 +428,21 @@ def by_bucket(blobs: DataFrame, kinds: list, f: Callable[..., Iterator[pa.Record
         yield from done()
 
     return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(task, schema)
+
+
+def runs(batches, keys: list[str], least: int = 2) -> Iterator[pa.Table]:
+    """Tables of at least `least` consecutive rows that agree in the integer columns `keys`."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not len(table):
+            continue
+        k = [table.column(c).to_numpy() for c in keys]
+        cut = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in k], axis=0)))).tolist()
+        for a, b in zip(cut, cut[1:]):
+            if b - a >= least:
+                yield table.slice(a, b - a)
+        rest = table.slice(cut[-1])
+    if rest is not None and len(rest) >= least:
+        yield rest

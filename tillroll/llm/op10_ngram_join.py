@@ -3,9 +3,10 @@
 A document's set is its distinct word shingles (A-Z in lower case). Shingles are XOR-hashed into the words of a
 parity sketch: two sketches differ in no more words (or bits) than the sets' symmetric difference has members, so the
 Hamming distance bounds it from below. Sets are joined by size band. A band whose linked pairs differ in at most D
-shingles has sketches of more than D words, so linked sets agree in at least one word (pigeonhole), and equal words
-meet in a packed shuffle. What meets is filtered by the Hamming distance of a wider bit sketch and verified on the
-whole sets. Equal sets are one class throughout, and members of one sketch word meet through leaders first, so that
+shingles has sketches of more than D words, so linked sets agree in several words (pigeonhole), and equal words
+meet in a packed shuffle. As they agree in more than one, every set lets go of its most common words, in the same order
+of words for all, so far that one that two linked sets share is left to both: words of boilerplate make no candidates.
+What meets is filtered by the Hamming distance of a wider bit sketch and verified on the whole sets. Equal sets are one class throughout, and members of one sketch word meet through leaders first, so that
 large groups of near copies never become all their pairs; what the leaders leave apart is then compared exhaustively.
 
 A document of fewer words than a shingle has its whole word sequence as its only member. Null, empty and blank texts
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm import common as C
@@ -25,9 +26,15 @@ from tillroll.llm.components import components
 
 SPREAD = 1.6  # largest size of a band over its smallest, in units of that of two linked sets
 SKETCH_BITS = 2048  # of the bit sketch that every set has; larger sets have one of more bits, too
-ENTRY = ["<u8", "<u8", "<u4"]
+#: More words of a sketch than a linked set may differ in, as a share of those: by so much more two linked sets agree.
+SPARE = 0.1
+#: A sketch word's hash (upper half), class, size, band, and how many words the class may leave out.
+ENTRY = ["<u4", "<u8", "<u4", "<u1", "<u2"]
+OWNER = ["<u8", "<u8", "<u4"]
 DOCS_FIRST = 1 << 24  # bucket numbers from here on hold (doc_id, class, size)
 BLOCK = 1024
+#: Classes whose sketch words a map task has sent already, as far as it remembers them.
+REMEMBER = 1 << 18
 #: Bits of the filter on the documents whose sets are needed: 8 MB.
 FILTER_BITS = 1 << 26
 
@@ -41,7 +48,7 @@ class Bands:
         while not self.bands or self.bands[-1][1] < 1 << 40:
             hi = max(lo, int(lo * SPREAD * den / num))
             differ = 2 * hi * (den - num) // (den + num)
-            words = differ + 1 + (-(-6 * differ // 100) + 1 if differ else 0)
+            words = differ + 1 + (int(SPARE * differ) + 2 if differ else 0)
             self.bands.append((lo, hi, words, differ))
             lo = max(lo + 1, -(-num * (hi + 1) // den))
 
@@ -79,8 +86,12 @@ def class_of(members: np.ndarray) -> int:
     return int(C.mix64(np.array([int(C.mix64(members ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64)) ^ len(members)], np.uint64))[0]) or 1
 
 
-def sketch_keys(members: np.ndarray, bands: Bands) -> np.ndarray:
-    """One key for each sketch word that may be shared with a linked set."""
+def sketch_keys(members: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One key for each sketch word that may be shared with a linked set, its band, and how many of a band's keys may be left out.
+
+    Linked sets of a band agree in `least` words or more. A set with fewer empty words than that agrees in a filled one,
+    and in one more for each by which it has fewer; that many of its keys may go, if all sets let go of the most common first.
+    """
     parity = np.zeros(len(members) + 1, np.uint64)
     np.bitwise_xor.accumulate(members, out=parity[1:])
     out = []
@@ -88,57 +99,75 @@ def sketch_keys(members: np.ndarray, bands: Bands) -> np.ndarray:
         cut = np.concatenate(([0], np.searchsorted(members, bands.borders(words)), [len(members)]))
         sketch = parity[cut[1:]] ^ parity[cut[:-1]]
         full = cut[1:] > cut[:-1]
-        if words - int(full.sum()) >= words - differ:  # so many empty words that a linked set might share no other
+        least, empty = words - differ, words - int(full.sum())
+        spare = max(0, least - 1 - empty)
+        if empty >= least:  # a linked set might share no word but empty ones
             full[:] = True
         at = np.flatnonzero(full)
-        out.append(C.mix64(sketch[at] * np.uint64(C.BASE) + np.uint64(band << 32) + at.astype(np.uint64)))
-    return np.concatenate(out)
+        out.append((C.mix64(sketch[at] * np.uint64(C.BASE) + np.uint64(band << 32) + at.astype(np.uint64)), np.full(len(at), band, np.uint8), np.full(len(at), min(spare, 65535), np.uint16)))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def runs_of(key: np.ndarray, cls: np.ndarray, size: np.ndarray):
-    """Distinct (run, class, size) of keys that two classes or more share; keys with the same members are one run."""
+def runs_of(key: np.ndarray, cls: np.ndarray, size: np.ndarray, band: np.ndarray, spare: np.ndarray):
+    """(run, class, size, band, spare, members, keys) of keys that two classes or more share; keys of a band with the same members are one run."""
     order = np.lexsort((cls, key))
-    key, cls, size = key[order], cls[order], size[order]
-    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))
-    key, cls, size = key[fresh], cls[fresh], size[fresh]
+    key, cls, size, band, spare = (c[order] for c in (key, cls, size, band, spare))
+    fresh = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))))
+    key, cls, size, band, spare = (c[fresh] for c in (key, cls, size, band, spare))
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     count = np.diff(np.append(start, len(key)))
     shared = count > 1
-    total = np.add.reduceat(C.mix64(cls.copy()), start)
-    _, first = np.unique(total[shared], return_index=True)
+    run = C.mix64(np.add.reduceat(C.mix64(cls.copy()), start) * np.uint64(C.BASE) + band[start])
+    _, first, alike = np.unique(run[shared], return_index=True, return_counts=True)
     pick = np.flatnonzero(shared)[first]
-    keep = np.repeat(start[pick], count[pick]) + np.arange(int(count[pick].sum())) - np.repeat(np.cumsum(count[pick]) - count[pick], count[pick])
-    return np.repeat(total[pick], count[pick]), cls[keep], size[keep]
+    n = count[pick]
+    keep = np.repeat(start[pick], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(run[pick], n), cls[keep], size[keep], band[keep], spare[keep], np.repeat(n, n), np.repeat(alike, n)
 
 
 def scan(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """One pass over the texts: rows (is_doc, x, class, n), x a doc_id or a run of classes that share a sketch word."""
+    """One pass over the texts: rows (is_doc, x, class, n, band, spare, members, keys), x a doc_id or a run of classes that share sketch words."""
     spark = docs.sparkSession
     parts = C.partitions(spark)
     buckets = 8 * parts
 
     def task(batches):
-        bands, keys, owners = Bands(num, den), C.Packer(buckets), C.Packer(parts, DOCS_FIRST)
+        bands, keys, owners, known = Bands(num, den), C.Packer(buckets, short=True), C.Packer(parts, DOCS_FIRST), set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, members in sets_of(batch.column(1), width):
                 cls, n = class_of(members), len(members)
                 yield from owners.add(np.array([ids[i]], np.int64).view(np.uint64), np.array([cls], np.uint64), np.array([n], np.uint32))
-                if n:
-                    k = sketch_keys(members, bands)
-                    yield from keys.add(k, np.full(len(k), cls, np.uint64), np.full(len(k), n, np.uint32))
+                if n and cls not in known:  # of equal sets one speaks for all that a task has seen
+                    if len(known) >= REMEMBER:
+                        known.clear()
+                    known.add(cls)
+                    k, band, spare = sketch_keys(members, bands)
+                    yield from keys.add(k, np.full(len(k), cls, np.uint64), np.full(len(k), n, np.uint32), band, spare)
         yield from keys.flush()
         yield from owners.flush()
 
-    def gather(bucket, x, cls, size):
+    names = ["is_doc", "x", "class", "n", "band", "spare", "members", "keys"]
+
+    def gather(bucket, x, cls, size, *more):
+        band = spare = members = keys = np.zeros(len(x), np.int64)
         if bucket < DOCS_FIRST:
-            x, cls, size = runs_of(x, cls, size)
+            x, cls, size, band, spare, members, keys = runs_of(x, cls, size, *more)
         for a in range(0, len(x), 1 << 16):
             s = slice(a, a + (1 << 16))
-            yield pa.record_batch([pa.array(np.full(len(x[s]), bucket >= DOCS_FIRST)), pa.array(x[s].view(np.int64)), pa.array(cls[s].view(np.int64)), pa.array(size[s].astype(np.int64))], names=["is_doc", "x", "class", "n"])
+            yield pa.record_batch([pa.array(np.full(len(x[s]), bucket >= DOCS_FIRST)), *(pa.array(c[s].view(np.int64) if c.dtype == np.uint64 else c[s].astype(np.int64)) for c in (x, cls, size, band, spare, members, keys))], names=names)
 
     blobs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(task, C.BLOBS)
-    return C.materialize(C.by_bucket(blobs, ENTRY, gather, "is_doc boolean, x long, class long, n long", parts), "ngram-scan")
+    return C.materialize(C.by_bucket(blobs, lambda bucket: OWNER if bucket >= DOCS_FIRST else ENTRY, gather, "is_doc boolean, x long, class long, n long, band long, spare long, members long, keys long", parts), "ngram-scan")
+
+
+def rare_runs(found: DataFrame) -> DataFrame:
+    """(x, class, n) without the most common runs of each class, as far as it may leave out keys, and without runs that nobody else keeps."""
+    each = found.where("not is_doc").repartition(C.partitions(found.sparkSession), "class")
+    each = each.groupBy("class", "band", "x").agg(F.first("n").alias("n"), F.first("spare").alias("spare"), F.first("members").alias("members"), F.sum("keys").alias("keys"))
+    so_far = F.sum("keys").over(Window.partitionBy("class", "band").orderBy(F.desc("members"), "x").rowsBetween(Window.unboundedPreceding, 0))
+    kept = C.materialize(each.withColumn("so_far", so_far).where("so_far > spare").select("x", "class", "n"), "ngram-kept")
+    return C.materialize(kept.join(kept.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x"), "x", "left_semi"), "ngram-runs")
 
 
 def wide_sketch(members: np.ndarray) -> bytes | None:
@@ -228,8 +257,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(task, "a long, b long")
 
 
-def rest_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one run whose components differ, as far as sizes and the Hamming distance of sketches allow; in blocks of bounded memory."""
+def rest_pairs(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of here (x, class, n, comp), pairs of one run whose components differ, as far as sizes and the Hamming distance of sketches allow; in blocks of bounded memory."""
     bands = Bands(num, den)
 
     def close(n1, s1, c1, k1, n2, s2, c2, k2):
@@ -238,35 +267,30 @@ def rest_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         i, j = np.nonzero(ok)
         for a in range(0, len(i), 1 << 16):
             p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-            far = np.bitwise_count(s1[p] ^ s2[q]).sum(axis=1)
-            near = far <= bands.most(total[p, q])
-            if near.any():
-                x, y = k1[p[near]], k2[q[near]]
+            most, far = bands.most(total[p, q]), np.zeros(len(p), np.int64)
+            for lo, hi in ((0, 4), (4, 12), (12, s1.shape[1])):  # a part of the sketches is enough to tell most pairs apart
+                far += np.bitwise_count(s1[p, lo:hi] ^ s2[q, lo:hi]).sum(axis=1, dtype=np.int64)
+                near = far <= most
+                p, q, most, far = p[near], q[near], most[near], far[near]
+            if len(p):
+                x, y = k1[p], k2[q]
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def task(batches):
-        run, held = None, []
-
-        def done():
-            if len(held) > 1:
-                n = np.array([h[0] for h in held])
-                s = np.array([h[1] for h in held], np.int64).view(np.uint64)
-                c, k = np.array([h[2] for h in held]), np.array([h[3] for h in held])
-                for a in range(0, len(held), BLOCK):
-                    for b in range(a, len(held), BLOCK):
-                        x, y = slice(a, a + BLOCK), slice(b, b + BLOCK)
-                        yield from close(n[x], s[x], c[x], k[x], n[y], s[y], c[y], k[y])
-
-        for batch in batches:
-            for r, k, n, s, c in zip(*(batch.column(x).to_pylist() for x in ("x", "class", "n", "sketch", "comp"))):
-                if r != run:
-                    yield from done()
-                    run, held = r, []
-                held.append((n, s, c, k))
-        yield from done()
-
-    parts = C.partitions(members.sparkSession)
-    return members.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(task, "a long, b long").distinct()
+        for run in C.runs(batches, ["x", "a", "b"]):
+            a, b = (run.column(c)[0].as_py() for c in ("a", "b"))
+            n, c, k, block = (run.column(name).to_numpy() for name in ("n", "comp", "class", "block"))
+            s = run.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(run), -1)
+            x, y = block == a, block == b
+            yield from close(n[x], s[x], c[x], k[x], n[y], s[y], c[y], k[y])
+
+    # a run of more than BLOCK members goes in blocks, each pair of blocks a task of its own
+    sizes = here.groupBy("x").agg(F.count("*").alias("_n")).select("x", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    placed = here.join(sizes, "x").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.join(sets.select("class", "sketch"), "class").select("x", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "n", "sketch", "comp", "class", "block")
+    parts = C.partitions(here.sparkSession)
+    return pairs.repartition(parts, "x", "a", "b").sortWithinPartitions("x", "a", "b").mapInArrow(task, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, rounds: int = 2) -> DataFrame:
@@ -278,7 +302,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 def _joined(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
     found = scan(docs, width, num, den)
     owners = found.where("is_doc").select(F.col("x").alias("doc_id"), "class", "n")
-    runs = C.materialize(found.where("not is_doc").select("x", "class", "n").distinct(), "ngram-runs")
+    runs = rare_runs(found)
     wanted = runs.select("class").distinct()
     sets = class_sets(docs, owners, wanted, width)
     label = wanted.select("class", F.col("class").alias("comp"))
@@ -292,7 +316,7 @@ def _joined(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> Dat
             pairs = here.join(lead, "x").where("comp != l.comp").where(F.lit(den) * F.least("n", "l.n") >= F.lit(num) * F.greatest("n", "l.n"))
             pairs = pairs.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
         else:
-            pairs = rest_pairs(here.join(sets.select("class", "sketch"), "class"), num, den)
+            pairs = rest_pairs(here, sets, num, den)
         more = C.materialize(verified(pairs, sets, num, den), "ngram-links")
         links = more if links is None else links.union(more)
         if r < rounds:
