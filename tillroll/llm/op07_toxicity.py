@@ -18,6 +18,8 @@ Terms are told apart by a 64-bit hash.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +46,7 @@ def counted(column: pa.Array):
         order = np.lexsort((term, row))
         term, row = term[order], row[order]
         cut = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (row[1:] != row[:-1])))) if len(term) else np.zeros(0, np.int64)
-        yield lo, hi - lo, row[cut], term[cut], np.diff(np.append(cut, len(term)))
+        yield lo, hi - lo, row[cut], term[cut], np.diff(np.append(cut, len(term))).astype(np.int32)
 
 
 def placed(terms: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray):
@@ -116,18 +118,20 @@ class Examples:
     def __init__(self, terms: np.ndarray, df: np.ndarray, n_docs: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]], k: int = 15):
         """examples: (doc_id, y, places of terms in order, their counts)."""
         self.terms, self.k = terms, k
-        alike: dict[tuple, list] = {}
+        alike: dict[bytes, list] = {}
         for doc, y, place, count in examples:
-            alike.setdefault((place.tobytes(), count.tobytes()), []).append((y, doc, place, count))
-        blank = [v[0] for v in alike.pop((b"", b""), [])]
+            key = hashlib.blake2b(place.tobytes() + count.tobytes(), digest_size=16).digest() if len(place) else b""
+            alike.setdefault(key, [(), place, count])[0] += ((y, doc),)
+        blank = [y for y, _ in alike.pop(b"", [()])[0]]
         y = [e[1] for e in examples]
         self.blank = (sum(blank) + 0.05) / (len(blank) + 1) if blank else (sum(y) / len(y) if y else 0.0)
-        held = list(alike.values())
+        held, vectors = [e[0] for e in alike.values()], [e[1:] for e in alike.values()]
         rate = np.array([sum(v[0] for v in e) / len(e) for e in held])
-        size = [len(e[0][2]) for e in held]
-        entry, term = np.repeat(np.arange(len(held)), size), np.concatenate([np.zeros(0, np.int64), *(e[0][2] for e in held)])
+        size = [len(v[0]) for v in vectors]
+        entry, term = np.repeat(np.arange(len(held), dtype=np.int32), size), np.concatenate([np.zeros(0, np.int32), *(v[0] for v in vectors)])
         self.weight = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(term, entry, rate, len(terms))
-        w = self.unit(entry, term, np.concatenate([np.zeros(0, np.int64), *(e[0][3] for e in held)]), len(held))
+        w = self.unit(entry, term, np.concatenate([np.zeros(0, np.int32), *(v[1] for v in vectors)]), len(held))
+        del alike, vectors
         # entries in order of their strongest term, then the next
         strong = np.zeros((len(held), 2), np.int64)
         cut = np.concatenate(([0], np.cumsum(size))).astype(int)
@@ -135,7 +139,7 @@ class Examples:
             top = term[a:b][np.argsort(-w[a:b], kind="stable")[:2]]
             strong[e] = top[0], top[-1]
         order = np.lexsort((strong[:, 1], strong[:, 0]))
-        back = np.empty(len(order), np.int64)
+        back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order))
         entry = back[entry]
         held = [held[i] for i in order]
@@ -259,7 +263,8 @@ def fit(docs: DataFrame, examples: DataFrame, k: int = 15) -> Examples:
     own = docs.select("doc_id", "text").join(F.broadcast(examples.select("doc_id", F.col("y").cast("int"))), "doc_id").select("doc_id", "y", "text")  # about cap rows
     rows = sorted((d, y, bytes(t), bytes(c)) for d, y, t, c in own.mapInArrow(terms, "doc_id long, y int, terms binary, counts binary").collect())
     known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[2], np.uint64) for r in rows)]))
-    vectors = [(d, y, np.searchsorted(known, np.frombuffer(t, np.uint64)), np.frombuffer(c, np.int64)) for d, y, t, c in rows]
+    vectors = [(d, y, np.searchsorted(known, np.frombuffer(t, np.uint64)).astype(np.int32), np.frombuffer(c, np.int32)) for d, y, t, c in rows]
+    del rows
     return Examples(known, frequencies(docs, known), docs.count(), vectors, k)
 
 
