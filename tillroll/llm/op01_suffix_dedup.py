@@ -30,10 +30,17 @@ from pyspark.sql import functions as F
 from tillroll.llm import common as C
 
 ANCHOR = 200
-ENTRY = ["<u8", "<u8", "<u8", "<u4", "<u4"]
+#: Anchor, context, the two hashes that tell a row, start, number of starts, and whether the map task saw the context again.
+ENTRY = ["<u8", "<u8", "<u8", "<u8", "<u4", "<u4", "<u1"]
+#: Bucket numbers from here on hold contexts that a map task has seen several times, which need no meeting.
+DIRECT = 1 << 24
 #: Contexts of one anchor beyond which their strings are counted by hash.
 LARGE = 4096
 WHOLE, SINGLE, SAMPLE = 0, 1, 2
+#: Bytes of a very long text that are looked at at once.
+STEP = 2 * C.GROUP_BYTES
+#: Two hashes of doc_id and text, which tell a row; rows that share them are equal.
+ROW, KEYS = ["r1", "r2"], "r1 long, r2 long"
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -65,21 +72,23 @@ def contexts(data: np.ndarray, offsets: np.ndarray, least: int, anchor: int):
     return grams[place[first]], C.mix64(C.span_hashes(prefix, first, stop - 1 + least)), row[first], first - offsets[row[first]], stop - first
 
 
-def met(anchor, ctx, doc, start, count):
-    """Of contexts with one bucket of anchors: (doc, start, count, kind, group) of those that are repeated or need a closer look."""
+def met(anchor, ctx, doc, doc2, start, count, again):
+    """Of contexts with one bucket of anchors: (doc, doc2, start, count, kind, group) of those that are repeated or need a closer look."""
     order = np.lexsort((start, doc, ctx, anchor))
-    anchor, ctx, doc, start, count = anchor[order], ctx[order], doc[order], start[order], count[order]
+    anchor, ctx, doc, doc2, start, count, again = (c[order] for c in (anchor, ctx, doc, doc2, start, count, again))
     new_a = np.concatenate(([True], anchor[1:] != anchor[:-1]))
     new_c = new_a | np.concatenate(([True], ctx[1:] != ctx[:-1]))
     at_c = np.flatnonzero(new_c)
     times = np.diff(np.append(at_c, len(ctx)))
+    several = (times > 1) | (np.add.reduceat(again.astype(np.int64), at_c) > 0)
     of_a = np.cumsum(new_a)[at_c] - 1
     kinds = np.bincount(of_a)[of_a]
-    whole = np.repeat(times > 1, times)
+    whole = np.repeat(several, times)
     look = kinds > 1
     pick = at_c[look]
     group = np.where(kinds[look] > LARGE, np.uint64(0), anchor[pick] | np.uint64(1))  # group 0: one of too many
-    return [(doc[whole], start[whole], count[whole], np.full(int(whole.sum()), WHOLE), np.zeros(int(whole.sum()), np.uint64)), (doc[pick], start[pick], count[pick], np.where(times[look] > 1, SAMPLE, SINGLE), group)]
+    n = int(whole.sum())
+    return [(doc[whole], doc2[whole], start[whole], count[whole], np.full(n, WHOLE), np.zeros(n, np.uint64)), (doc[pick], doc2[pick], start[pick], count[pick], np.where(several[look], SAMPLE, SINGLE), group)]
 
 
 def extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -164,23 +173,52 @@ def repeated(texts: list[bytes], least: int) -> list[tuple[int, int, int]]:
         if reach[i] >= want and raw[a : a + want] == raw[b : b + want]:
             out.append((t, a - int(offsets[t]), a - int(offsets[t]) + n - 1))
         else:  # a collision: bytes decide
-            for p in range(a, a + n):
-                if raw.find(raw[p : p + least]) != p or raw.find(raw[p : p + least], p + 1) >= 0:
-                    out.append((t, p - int(offsets[t]), p - int(offsets[t])))
+            out += [(t, p - int(offsets[t]), p - int(offsets[t])) for p in range(a, a + n) if elsewhere(raw, offsets, p, least)]
     return out
 
 
+def elsewhere(raw: bytes, offsets: np.ndarray, p: int, least: int) -> bool:
+    """Whether the string at p also starts at another place of the texts that lie side by side in raw, within one of them."""
+    want, q = raw[p : p + least], raw.find(raw[p : p + least])
+    while q >= 0:
+        if q != p and q + least <= offsets[np.searchsorted(offsets, q, "right")]:
+            return True
+        q = raw.find(want, q + 1)
+    return False
+
+
+def once(columns: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a map task's contexts (anchor, context, ...): which stand for their like, whether there are more of their like, and the rest."""
+    anchor, ctx = columns[:2]
+    order = np.lexsort((ctx, anchor))
+    new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])))
+    return order[new], np.diff(np.append(np.flatnonzero(new), len(order))) > 1, order[~new]
+
+
 def scan(rows: DataFrame, least: int, anchor: int) -> DataFrame:
+    """(r1, r2, start, count, kind, group): contexts that are repeated as a whole, and those to look into. Of equal contexts in a map task one goes to the anchor's bucket, so that a text with very many copies is spread."""
     parts = C.partitions(rows.sparkSession)
 
     def task(batches):
-        packer = C.Packer(8 * parts)
+        packer, direct = C.Packer(8 * parts), C.Packer(parts, DIRECT)
+        held: list = []
+
+        def deal():
+            if not held:
+                return
+            columns = tuple(np.concatenate(c) for c in zip(*held))
+            held.clear()
+            first, again, rest = once(columns)
+            yield from packer.add(*(c[first] for c in columns), again.astype(np.uint8))
+            h, ctx, k1, k2, start, count = (c[rest] for c in columns)
+            yield from direct.add(k1, ctx, k1, k2, start, count, np.ones(len(k1), np.uint8))
+
         for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            data, offsets = C.text_bytes(batch.column(1))
+            keys = [batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)]
+            data, offsets = C.text_bytes(batch.column(2))
             for lo, hi in C.groups(offsets):
                 a, b = int(offsets[lo]), int(offsets[hi])
-                step = 4 * C.GROUP_BYTES
+                step = STEP
                 if hi - lo > 1 or b - a <= 2 * step:
                     pieces = [(a, b, offsets[lo : hi + 1] - a, 0)]
                 else:  # one very long text, in pieces that share least-1 bytes
@@ -189,90 +227,108 @@ def scan(rows: DataFrame, least: int, anchor: int) -> DataFrame:
                     found = contexts(data[p:q], inner, least, anchor)
                     if found is not None:
                         h, ctx, row, start, count = found
-                        yield from packer.add(h, ctx, keys[lo:hi][row], (start + shift).astype(np.uint32), count.astype(np.uint32))
+                        held.append((h, ctx, keys[0][lo:hi][row], keys[1][lo:hi][row], (start + shift).astype(np.uint32), count.astype(np.uint32)))
+                        if sum(len(c[0]) for c in held) >= C.FLUSH:
+                            yield from deal()
+        yield from deal()
         yield from packer.flush()
+        yield from direct.flush()
 
     def gather(bucket, *columns):
-        for doc, start, count, kind, group in met(*columns):
+        if bucket >= DIRECT:
+            _, _, doc, doc2, start, count, _ = columns
+            found = [(doc, doc2, start, count, np.full(len(doc), WHOLE), np.zeros(len(doc), np.uint64))]
+        else:
+            found = met(*columns)
+        for doc, doc2, start, count, kind, group in found:
             for a in range(0, len(doc), 1 << 16):
                 s = slice(a, a + (1 << 16))
-                yield pa.record_batch([pa.array(doc[s].view(np.int64)), pa.array(start[s].astype(np.int64)), pa.array(count[s].astype(np.int64)), pa.array(kind[s].astype(np.int32)), pa.array(group[s].view(np.int64))], names=["row_key", "start", "count", "kind", "group"])
+                yield pa.record_batch([pa.array(doc[s].view(np.int64)), pa.array(doc2[s].view(np.int64)), pa.array(start[s].astype(np.int64)), pa.array(count[s].astype(np.int64)), pa.array(kind[s].astype(np.int32)), pa.array(group[s].view(np.int64))], names=[*ROW, "start", "count", "kind", "group"])
 
-    blobs = rows.where(F.octet_length("text") >= least).select("row_key", "text").mapInArrow(task, C.BLOBS)
-    return C.materialize(C.by_bucket(blobs, ENTRY, gather, "row_key long, start long, count long, kind int, `group` long", parts), "contexts")
+    blobs = rows.where(F.octet_length("text") >= least).select(*ROW, "text").mapInArrow(task, C.BLOBS)
+    return C.materialize(C.by_bucket(blobs, ENTRY, gather, f"{KEYS}, start long, count long, kind int, `group` long", parts), "contexts")
 
 
 def look_into(rows: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """(row_key, start, stop) of what single contexts repeat from others of their anchor."""
-    spans = found.where((F.col("kind") != WHOLE) & (F.col("group") != 0)).select("row_key", "start", "count", "kind", "group").distinct()
-    wanted = spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "count", "kind", "group")).alias("spans"))
+    """(r1, r2, start, stop) of what single contexts repeat from others of their anchor."""
+    spans = found.where((F.col("kind") != WHOLE) & (F.col("group") != 0)).select(*ROW, "start", "count", "kind", "group").distinct()
+    wanted = spans.groupBy(*ROW).agg(F.collect_list(F.struct("start", "count", "kind", "group")).alias("spans"))
 
     def cut(batches):
-        names, kinds = ["group", "row_key", "start", "single", "piece"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        names, kinds = ["group", *ROW, "start", "single", "piece"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            out: list[list] = [[] for _ in names]
+            for r1, r2, text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 raw = text.as_py().encode()
                 for sp in held:
                     p = sp["start"]
-                    for column, v in zip(out, (sp["group"], key, p, sp["kind"] == SINGLE, raw[p : p + sp["count"] - 1 + least])):
+                    for column, v in zip(out, (sp["group"], r1, r2, p, sp["kind"] == SINGLE, raw[p : p + sp["count"] - 1 + least])):
                         column.append(v)
                 if len(out[0]) >= 4096:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in names]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     def compare(batches):
         held: list = []
 
         def done():
-            spans = [(held[t][0], held[t][1] + first, held[t][1] + last + least) for t, first, last in repeated([h[3] for h in held], least) if held[t][2]]
-            return pa.record_batch([pa.array([s[i] for s in spans], pa.int64()) for i in range(3)], names=["row_key", "start", "stop"])
+            spans = [(held[t][0], held[t][1], held[t][2] + first, held[t][2] + last + least) for t, first, last in repeated([h[4] for h in held], least) if held[t][3]]
+            return pa.record_batch([pa.array([s[i] for s in spans], pa.int64()) for i in range(4)], names=[*ROW, "start", "stop"])
 
         now, size = None, 0
         for batch in batches:
-            for group, key, start, single, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            for group, r1, r2, start, single, piece in zip(*(c.to_pylist() for c in batch.columns)):
                 if group != now and size > C.GROUP_BYTES:
                     yield done()
                     held, size = [], 0
                 now = group
-                held.append((key, start, single, piece))
+                held.append((r1, r2, start, single, piece))
                 size += len(piece)
         if held:
             yield done()
 
     parts = C.partitions(rows.sparkSession)
-    pieces = rows.select("row_key", "text").join(wanted, "row_key").mapInArrow(cut, "`group` long, row_key long, start long, single boolean, piece binary")
-    return pieces.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(compare, "row_key long, start long, stop long")
+    pieces = rows.select(*ROW, "text").join(wanted, ROW).mapInArrow(cut, f"`group` long, {KEYS}, start long, single boolean, piece binary")
+    return pieces.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(compare, f"{KEYS}, start long, stop long")
 
 
 def look_into_large(rows: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """The same for anchors of very many contexts: a 128-bit hash of each string, counted with partial aggregates instead of gathered."""
-    spans = found.where((F.col("kind") != WHOLE) & (F.col("group") == 0)).select("row_key", "start", "count", "kind").distinct()
-    wanted = spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "count", "kind")).alias("spans"))
+    spans = found.where((F.col("kind") != WHOLE) & (F.col("group") == 0)).select(*ROW, "start", "count", "kind").distinct()
+    wanted = spans.groupBy(*ROW).agg(F.collect_list(F.struct("start", "count", "kind")).alias("spans"))
 
     def strings(batches):
         for batch in batches:
-            for key, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for r1, r2, text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 raw = text.as_py().encode()
                 for sp in held:
                     at = range(sp["start"], sp["start"] + sp["count"])
                     digests = pa.array([hashlib.blake2b(raw[p : p + least], digest_size=16).digest() for p in at], pa.binary())
-                    yield pa.record_batch([digests, pa.array([key] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([sp["kind"] == SINGLE] * len(at))], names=["h", "row_key", "start", "single"])
+                    yield pa.record_batch([digests, *(pa.array([r] * len(at), pa.int64()) for r in (r1, r2)), pa.array(at, pa.int64()), pa.array([sp["kind"] == SINGLE] * len(at))], names=["h", *ROW, "start", "single"])
 
-    each = C.materialize(rows.select("row_key", "text").join(wanted, "row_key").mapInArrow(strings, "h binary, row_key long, start long, single boolean"), "strings")
+    each = C.materialize(rows.select(*ROW, "text").join(wanted, ROW).mapInArrow(strings, f"h binary, {KEYS}, start long, single boolean"), "strings")
     twice = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return each.where("single").join(twice, "h").select("row_key", "start", (F.col("start") + least).alias("stop"))
+    return each.where("single").join(twice, "h").select(*ROW, "start", (F.col("start") + least).alias("stop"))
+
+
+def covered(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
+    """The union of spans, as maximal runs in order."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    new = np.concatenate(([True], start[1:] > reach[:-1]))
+    last = np.append(np.flatnonzero(new)[1:], len(start)) - 1
+    return list(zip(start[new].tolist(), reach[last].tolist()))
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, removed, kept) of every document: removed spans (start, stop) in bytes, and the bytes that stay."""
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    """(doc_id, n_bytes, n_removed, removed, kept) of every document: removed spans (start, stop) in bytes, and the bytes that stay. Its working tables go with the workspace that it is called in."""
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2"))
     found = scan(rows, least, anchor)
-    spans = found.where(F.col("kind") == WHOLE).select("row_key", "start", (F.col("start") + F.col("count") - 1 + least).alias("stop")).union(look_into(rows, found, least))
+    spans = found.where(F.col("kind") == WHOLE).select(*ROW, "start", (F.col("start") + F.col("count") - 1 + least).alias("stop")).union(look_into(rows, found, least))
     if not found.where((F.col("kind") != WHOLE) & (F.col("group") == 0)).isEmpty():
         spans = spans.union(look_into_large(rows, found, least))
-    by_row = spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    by_row = spans.groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def task(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -281,27 +337,19 @@ def remove_repeats(docs: DataFrame, least: int = 400, anchor: int = ANCHOR) -> D
             spans, size, gone, runs, kept = batch.column(2), [], [], [], []
             for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
                 body, held = data[a:b], spans[i]
+                out = covered(*(held.values.field(c).to_numpy() for c in ("start", "stop"))) if held.is_valid else []
                 size.append(b - a)
-                if not held.is_valid:
-                    gone.append(0)
-                    runs.append([])
-                    kept.append(body.tobytes())
-                    continue
-                start, stop = (held.values.field(c).to_numpy() for c in ("start", "stop"))
-                cover = np.zeros(b - a + 1, np.int32)
-                np.add.at(cover, start, 1)
-                np.add.at(cover, stop, -1)
-                off = np.cumsum(cover)[:-1] > 0
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], off, [False])).astype(np.int8)))
-                gone.append(int(off.sum()))
-                runs.append([{"start": s, "stop": e} for s, e in edge.reshape(-1, 2).tolist()])
-                kept.append(body[~off].tobytes())
+                gone.append(sum(e - s for s, e in out))
+                runs.append([{"start": s, "stop": e} for s, e in out])
+                edge = [0, *(x for r in out for x in r), b - a]
+                kept.append(b"".join(body[s:e].tobytes() for s, e in zip(edge[::2], edge[1::2])))
             yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "removed", "kept"])
 
-    joined = rows.join(by_row, "row_key", "left").select(F.col("doc_id").cast("long"), "text", "spans")
+    joined = rows.join(by_row, ROW, "left").select(F.col("doc_id").cast("long"), "text", "spans")
     return joined.mapInArrow(task, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,stop:long>>, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(C.read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    with C.workspace(spark, "suffixes"):
+        found = remove_repeats(C.read(spark, sf_dir, "documents"))
+        return C.keep(found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "suffix-digests")
