@@ -1,22 +1,25 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
-Vectors are rotated by random signs and fast Hadamard transforms; a hash is the nearest signed axis, a bucket is
-`hashes` of them in one of `tables` tables. Each vector also looks into the buckets that it missed most narrowly
+Vectors are rotated by random signs and fast Hadamard transforms; a hash is the nearest signed axis, a bucket is a few of
+them in one of several tables. How many follows from the number of vectors a label has (SETTINGS), so that a bucket's
+expected size doesn't grow with the table. Each vector also looks into the buckets that it missed most narrowly
 (multiprobe). Pairs of one bucket and label are verified by cosine in double precision. Equal vectors are one row with
 a multiplicity. A pair that meets in several buckets counts in the smallest of them alone, so links need no
 distinct; a bucket gives one row for each of its vectors that has links (their number, and its root in the bucket's
 spanning forest), never its pairs. Large buckets are cut into blocks, and pairs of blocks are tasks of their own.
 
-At the defaults, over 4,000 random pairs of 64 dimensions exactly at cosine 0.98 the search missed none; tests measure
-the recall against brute force. Null labels, null or zero vectors, and vectors with null or non-finite components link
-with nothing, as do vectors of different lengths and null vec_ids. Rows that share a vec_id count as vectors of their
-own. An empty table gives no rows; other columns are ignored.
+Over 3,000 random pairs of 64 dimensions exactly at cosine 0.98 the search missed none with any of SETTINGS; tests measure
+the recall of each, and results against brute force. Vectors count as equal by two 64-bit hashes. Null labels, null or
+zero vectors, and vectors with null or non-finite components link with nothing, as do vectors of different lengths and
+null vec_ids. Rows that share a vec_id count as vectors of their own. An empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,12 @@ from tillroll.llm import common as C
 from tillroll.llm.components import components
 
 BLOCK = 2048
+PROBES = 3
+#: Expected size of a bucket, if vectors lay evenly, up to which a label takes so few hashes; tables by hashes.
+FILL = 64
+SETTINGS = {1: 3, 2: 4, 3: 6, 4: 10}
+#: Labels whose sizes are broadcast, 12 bytes each.
+MOST_LABELS = 100_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -68,102 +77,116 @@ def bucket_keys(x: np.ndarray, salt: np.ndarray, tables: int, hashes: int, probe
     return out.reshape(n, -1)
 
 
-def hashed(classes: DataFrame, dims: int, tables: int, hashes: int, probes: int) -> DataFrame:
-    """(id, times, vector, keys) of classes (id, times, label, embedding)."""
+def hashed(classes: DataFrame, dims: int) -> DataFrame:
+    """(id, times, vector, keys) of classes (id, times, label, embedding, hashes)."""
     width = 1 << max(1, (dims - 1).bit_length())
 
     def task(batches):
         for batch in batches:
-            rows = batch.column(3).to_pylist()
-            x = np.zeros((len(rows), width))
-            for i, r in enumerate(rows):
-                x[i, : len(r)] = r
-            size = np.array([len(r) for r in rows], np.uint64)
-            salt = C.mix64(np.array(batch.column(2).to_pylist(), np.int64).view(np.uint64) * np.uint64(C.BASE) + size)
-            keys = bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), salt, tables, hashes, probes) if len(rows) else np.zeros((0, tables * probes), np.uint64)
-            vectors = pa.array([np.array(r, "<f8").tobytes() for r in rows], pa.binary())
-            flat = pa.array(keys.view(np.int64).ravel())
-            yield pa.record_batch([batch.column(0), batch.column(1), vectors, pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, max(1, keys.shape[1])), pa.int32()), flat)], names=["id", "times", "vector", "keys"])
-
-    return classes.select("id", "times", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>")).mapInArrow(task, "id long, times long, vector binary, keys array<long>")
-
-
-def linked(entries: DataFrame, probes: int, least: float) -> DataFrame:
+            rows, hashes = batch.column(3), batch.column(4).to_numpy()
+            size = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = rows.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            x = np.zeros((len(size), width))
+            x[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = flat
+            salt = C.mix64(batch.column(2).to_numpy().view(np.uint64) * np.uint64(C.BASE) + size.astype(np.uint64))
+            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            keys: list = [None] * len(size)
+            for h in np.unique(hashes).tolist():
+                at = np.flatnonzero(hashes == h)
+                for i, k in zip(at.tolist(), bucket_keys(unit[at], salt[at], SETTINGS[h], h, PROBES).view(np.int64)):
+                    keys[i] = k
+            bytes_ = flat.astype("<f8").tobytes()
+            end = (np.cumsum(size) * 8).tolist()
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([bytes_[a:b] for a, b in zip([0, *end], end)], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "times", "vector", "keys"])
+
+    return classes.select("id", "times", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>"), F.col("hashes").cast("int")).mapInArrow(task, "id long, times long, vector binary, keys array<long>")
+
+
+def bucket_links(key: int, split: bool, ids, times, x, keys, home, left, right, least: float):
+    """Of one bucket's vectors (or two blocks of it, left and right): which have links there, how many, and each one's root."""
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    own = np.arange(keys.shape[1]) % PROBES == 0
+    links, parent = np.zeros(len(ids), np.int64), list(range(len(ids)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for s in range(0, len(left), 512):
+        rows = left[s : s + 512]
+        close = (x[rows] @ x[right].T) / (norm[rows][:, None] * norm[right][None, :]) >= least
+        close &= home[rows][:, None] | home[right][None, :]
+        if not split:
+            close &= rows[:, None] < right[None, :]
+        i, j = np.nonzero(close)
+        i, j = rows[i], right[j]
+        for c in range(0, len(i), 4096):
+            p, q = i[c : c + 4096], j[c : c + 4096]
+            same = (keys[p][:, :, None] == keys[q][:, None, :]) & (own[None, :, None] | own[None, None, :])
+            first = np.where(same.any(axis=2), keys[p], np.iinfo(np.int64).max).min(axis=1) == key
+            p, q = p[first], q[first]
+            np.add.at(links, p, times[q])
+            np.add.at(links, q, times[p])
+            for u, v in zip(p.tolist(), q.tolist()):
+                u, v = root(u), root(v)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+    got = np.flatnonzero(links)
+    return got, links[got], [root(i) for i in got.tolist()]
+
+
+def linked(entries: DataFrame, least: float) -> DataFrame:
     """(id, links, root): for each bucket block, its vectors with links there."""
+    names = ["key", "a", "b", "id", "times", "home", "block", "vector", "keys"]
 
     def task(batches):
-        now, held = None, []
-
-        def done():
-            if len(held) < 2:
-                return
-            ids = np.array([h[0] for h in held])
-            times = np.array([h[1] for h in held])
-            keys = np.array([h[3] for h in held])
-            home = np.array([h[4] for h in held])
-            block = np.array([h[5] for h in held])
-            x = np.frombuffer(b"".join(h[2] for h in held)).reshape(len(held), -1)
-            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-            own = np.arange(keys.shape[1]) % probes == 0
-            key, a, b = now
-            links, parent = np.zeros(len(held), np.int64), np.arange(len(held))
-
-            def root(i):
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
-
-            left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-            for s in range(0, len(left), 512):
-                rows = left[s : s + 512]
-                close = (x[rows] @ x[right].T) / (norm[rows][:, None] * norm[right][None, :]) >= least
-                close &= home[rows][:, None] | home[right][None, :]
-                if a == b:
-                    close &= rows[:, None] < right[None, :]
-                i, j = np.nonzero(close)
-                i, j = rows[i], right[j]
-                for c in range(0, len(i), 4096):
-                    p, q = i[c : c + 4096], j[c : c + 4096]
-                    same = (keys[p][:, :, None] == keys[q][:, None, :]) & (own[None, :, None] | own[None, None, :])
-                    first = np.where(same.any(axis=2), keys[p], np.iinfo(np.int64).max).min(axis=1) == key
-                    p, q = p[first], q[first]
-                    np.add.at(links, p, times[q])
-                    np.add.at(links, q, times[p])
-                    for u, v in zip(p.tolist(), q.tolist()):
-                        u, v = root(u), root(v)
-                        if u != v:
-                            parent[max(u, v)] = min(u, v)
-            got = np.flatnonzero(links)
-            if len(got):
-                yield pa.record_batch([pa.array(ids[got]), pa.array(links[got]), pa.array(ids[[root(i) for i in got]])], names=["id", "links", "root"])
-
-        for batch in batches:
-            for key, a, b, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "id", "times", "vector", "keys", "home", "block"))):
-                if (key, a, b) != now:
-                    yield from done()
-                    now, held = (key, a, b), []
-                held.append(row)
-        yield from done()
+        out: list[list] = [[], [], []]
+        for run in C.runs(batches, ["key", "a", "b"]):
+            column = {c: run.column(c).combine_chunks() for c in names}
+            ids, times, block = (column[c].to_numpy() for c in ("id", "times", "block"))
+            home = column["home"].to_numpy(zero_copy_only=False)
+            key, a, b = (int(column[c][0].as_py()) for c in ("key", "a", "b"))
+            x = np.frombuffer(b"".join(column["vector"].to_pylist())).reshape(len(ids), -1)
+            keys = column["keys"].flatten().to_numpy().reshape(len(ids), -1)
+            got, links, roots = bucket_links(key, a != b, ids, times, x, keys, home, np.flatnonzero(block == a), np.flatnonzero(block == b), least)
+            for held, v in zip(out, (ids[got], links, ids[roots] if len(roots) else ids[:0])):
+                held.append(v)
+            if sum(map(len, out[0])) >= 1 << 14:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["id", "links", "root"])
+                out = [[], [], []]
+        if out[0]:
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["id", "links", "root"])
 
     parts = C.partitions(entries.sparkSession)
-    return entries.repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b", "id").mapInArrow(task, "id long, links long, root long")
+    return entries.select(names).repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b", "id").mapInArrow(task, "id long, links long, root long")
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.98, fill: int = FILL) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label). fill: expected size of a bucket beyond which a label takes one more hash."""
+    with C.workspace(vectors.sparkSession, "embeddings"):
+        return C.keep(_linked(vectors, least, fill), "embedding-links")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 6, hashes: int = 2, probes: int = 3) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label)."""
+def _linked(vectors: DataFrame, least: float, fill: int) -> DataFrame:
     x = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label", fine.alias("fine"), F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "label", "embedding").alias("h2"))
     good = rows.where("fine")
     classes = C.materialize(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "vector-classes")
     dims = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
-    table = C.materialize(hashed(classes, dims, tables, hashes, probes), "vector-keys")
-    keyed = table.select("id", F.posexplode("keys").alias("pos", "key")).select("id", "key", (F.col("pos") % probes == 0).alias("home")).groupBy("id", "key").agg(F.max("home").alias("home"))
+    cells = 2.0 * (1 << max(1, (dims - 1).bit_length()))
+    hashes = F.least(F.lit(max(SETTINGS)), F.greatest(F.lit(1), F.ceil(F.log(F.col("n") / F.lit(float(fill))) / F.lit(float(np.log(cells))))))
+    by_label = C.materialize(classes.groupBy("label").agg(F.count("*").alias("n")).select("label", hashes.cast("int").alias("hashes")), "label-sizes")
+    few = by_label.count() <= MOST_LABELS  # else a join that splits a hot label
+    table = C.materialize(hashed(classes.join(F.broadcast(by_label) if few else by_label, "label"), dims), "vector-keys")
+    keyed = table.select("id", F.posexplode("keys").alias("pos", "key")).select("id", "key", (F.col("pos") % PROBES == 0).alias("home")).groupBy("id", "key").agg(F.max("home").alias("home"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("h")).where("n > 1 and h").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "key", "home", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    found = C.materialize(linked(pairs.join(table, "id"), probes, least), "vector-links")
+    found = C.materialize(linked(pairs.join(table, "id"), least), "vector-links")
     totals = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "id"})
     summed = classes.select("h1", "h2", "id", "times").join(totals, "id", "left").join(joined, "id", "left")
