@@ -20,9 +20,9 @@ def test_embeddings_against_brute_force(spark):
     rows = [(i, [float(v) for v in e], int(i % 3 == 2) if i < 60 else 0) for i, e in enumerate(x)]
     odd = [(900, None, 0), (901, [0.0] * 32, 0), (902, [float("nan")] * 32, 0), (903, [None, 1.0], 0), (904, rows[0][1], None), (905, [1.0], 0), (906, [2.0], 0), (None, rows[0][1], 0)]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit("clash"))
-    for block in (2048, 16):
+    for block, fill in ((2048, 64), (16, 64), (16, 1)):
         op8.BLOCK = block
-        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op8.near_duplicates(frame).collect()}
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op8.near_duplicates(frame, fill=fill).collect()}
         y = x.astype(float)
         cos = y @ y.T / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(y, axis=1)[None, :]
         label = np.array([q[2] for q in rows])
@@ -38,18 +38,21 @@ def test_embeddings_against_brute_force(spark):
     assert op8.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("hashes", sorted(op8.SETTINGS))
+def test_recall_at_the_threshold(hashes):
     r = np.random.default_rng(2)
-    a = r.normal(size=(3000, 64))
+    a = r.normal(size=(1500, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
     t = r.normal(size=a.shape)
     t -= (t * a).sum(1)[:, None] * a
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * t / np.linalg.norm(t, axis=1)[:, None]
     salt = np.zeros(len(a), np.uint64)
-    x, y = (op8.bucket_keys(v, salt, 6, 2, 3) for v in (a, b))
-    own = np.arange(18) % 3 == 0
-    met = ((x[:, :, None] == y[:, None, :]) & (own[None, :, None] | own[None, None, :])).any(axis=(1, 2))
-    assert met.mean() > 0.999
+    x, y = (op8.bucket_keys(v, salt, op8.SETTINGS[hashes], hashes, op8.PROBES) for v in (a, b))
+    own = np.arange(x.shape[1]) % op8.PROBES == 0
+    met = np.zeros(len(a), bool)
+    for i in range(len(own)):
+        met |= ((x[:, [i]] == y) & (own[i] | own[None, :])).any(axis=1)
+    assert met.mean() > 0.998
 
 
 def auc(y, s):

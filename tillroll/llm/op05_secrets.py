@@ -1,12 +1,16 @@
 """Secret scan with assignment-aware lexing.
 
 Three base patterns run over each whole text. Beside them a lexer reads source and configuration syntax into
-name-literal pairs (`name = literal`, `name: literal`, `"name": literal`, `name := a + b`), carries the literals of
-plain names over to names assigned from them, and scores each literal by how sensitive the names are that it reaches;
-literals at or above `threshold` become spans of kind `literal` unless a base span holds them already.
-
-Null and empty texts have no spans. Each row is scanned for itself, so repeated rows give equal rows; a null doc_id
-is kept; an empty table gives no rows; other columns are ignored.
+name-literal pairs: `name = literal`, `name: literal`, `"name": literal`, `name := a + b`, `name => literal`, `export`
+and dotenv lines with bare values, YAML blocks (`name: |`), triple-quoted strings, `#define NAME literal`, calls like
+`setName("literal")`, XML elements and `key="name" value="literal"` attributes. A bare word is a literal unless the text
+assigns to that name, when it is a constant: literals of constants are carried over to the names assigned from them, over
+any number of steps. A literal is scored by how sensitive the names are that it reaches, and by its look; literals at or
+above `threshold` become spans of kind `literal` unless a base span holds them already.
+
+Literals of fewer than LEAST characters, placeholders, prose and bare words that look like identifiers score 0. Names may
+have any length. Null and empty texts have no spans. Each row is scanned for itself, so repeated rows give equal rows; a
+null doc_id is kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,28 +31,49 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Sensitive parts of names and their weights.
 NAMES = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.8, "apikey": 1.0,
-    "credential": 0.9, "credentials": 0.9, "cred": 0.8, "auth": 0.6, "bearer": 0.8, "private": 0.6, "privatekey": 1.0,
+    "credential": 0.9, "credentials": 0.9, "cred": 0.8, "auth": 0.6, "authorization": 0.8, "bearer": 0.8, "private": 0.6, "privatekey": 1.0,
     "accesskey": 1.0, "secretkey": 1.0, "signing": 0.6, "encryption": 0.6, "key": 0.4, "pin": 0.4, "salt": 0.4, "api": 0.4, "access": 0.3,
 }
+#: Last parts of names that are about a secret and don't hold it.
+ABOUT = {
+    "label", "hint", "type", "name", "url", "uri", "path", "file", "field", "count", "length", "size", "policy", "ttl", "timeout", "expiry", "expires", "format", "prompt",
+    "message", "error", "header", "endpoint", "title", "text", "column", "index", "regex", "pattern", "test", "class", "icon",
+}
 #: Literals that stand for a value and aren't one.
-PLACEHOLDERS = re.compile(r"(?i)^(?:changeme|example|placeholder|none|null|true|false|undefined|your[_-].*|x{3,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$")
-PAIR = re.compile(r"""(?P<q>["']?)(?P<name>[A-Za-z_$][\w$.-]{0,63}(?:\[["'][\w.-]{1,63}["']\])?)(?P=q)[ \t]*(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*(?=["'`A-Za-z0-9_$])""", re.A)
-PART = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z_$][\w$.]*)(?![\w$.(+/=-])|([\w+/.=~!@#%^&*-]+))[ \t]*(\+(?=[ \t]*["'`\w$]))?""", re.A)
+PLACEHOLDERS = re.compile(r"(?i)^(?:change_?me.*|example.*|placeholder|none|null|nil|true|false|undefined|redacted|your[_-].*|x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|\$\(.*\)|\{\{.*\}\}|%.*%)$", re.S)
+LEAST = 6
+_NAME = r"[A-Za-z_$][\w$.-]*+"
+PAIR = re.compile(rf"""(?P<q>["']?)(?<![\w$.-])(?P<name>{_NAME}(?:\[["'][\w.-]+["']\])?)(?P=q)[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+(?=\S)""", re.A)
+PART = re.compile(
+    r"""\s*(?:\"{3}((?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`"""
+    r"""|([A-Za-z_$][\w$.]*+)(?![(+/=@!#%^&*:-]\S)|([\w+/.=~!@#$%^&*:?|\\-]++)(?!\())(?:[ \t]*(\+)(?=\s*["'`\w$]))?""",
+    re.A | re.S,
+)
+WORD = 6  # the group of PART that is a bare word; the next one takes what else stands there bare
+IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*", re.A)
+BEARER = re.compile(r"(?i)(?:bearer|basic|token)[ \t]+(?=\S)")
+BLOCK = re.compile(r"""^([ \t]*)(?:-[ \t]+)?(["']?)([A-Za-z_$][\w$.-]*)\2[ \t]*:[ \t]*[|>][+-]?\d*[ \t]*\n((?:\1[ \t]+[^\n]*(?:\n|\Z))+)""", re.A | re.M)
+DEFINE = re.compile(r"""^[ \t]*#[ \t]*define[ \t]+(\w+)[ \t]+(?:"((?:[^"\\\n]|\\.)*+)"|(\S+))""", re.A | re.M)
+CALL = re.compile(r"""(?<![\w$])([A-Za-z_$][\w$]*+)\([ \t]*(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')[ \t]*\)""", re.A)
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*)?>([^<>]+)</\1\s*>", re.A)
+ATTRIBUTES = re.compile(r"""\b(?:key|name)\s*=\s*(["'])([\w.:-]+)\1\s+value\s*=\s*(["'])([^"'<>]*)\3""", re.A | re.I)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+KINDS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
 
 
 def sensitivity(name: str) -> float:
-    """How much a name promises a secret: its parts, and pairs of parts, by NAMES."""
+    """How much a name promises a secret: its parts, and pairs of parts, by NAMES; little if it is about one, by ABOUT."""
     parts = [w.lower() for w in WORDS.findall(name.rsplit(".", 1)[-1])]
     single = [NAMES.get(p, 0.0) for p in parts]
     pairs = [max(NAMES.get(a + b, 0.0), min(1.0, NAMES.get(a, 0) + NAMES.get(b, 0)) if b in NAMES and a in NAMES else 0) for a, b in zip(parts, parts[1:])]
-    return max([0.0, *single, *pairs])
+    return max([0.0, *single, *pairs]) * (0.3 if parts and (parts[-1] in ABOUT or "public" in parts) else 1.0)
 
 
 def weight(literal: str) -> float:
-    """How much a literal looks like a secret: length, kinds of characters and entropy; 0 for placeholders."""
-    n = len(literal)
-    if n < 6 or PLACEHOLDERS.match(literal) or " " in literal.strip() and n < 12:
+    """How much a literal looks like a secret: kinds of characters and entropy; 0 for short ones, placeholders and prose."""
+    literal = literal.strip()
+    n, tokens = len(literal), literal.split()
+    if n < LEAST or PLACEHOLDERS.match(literal) or len(tokens) > 1 and not any(len(t) >= 12 and re.search("[0-9]", t) for t in tokens):
         return 0.0
     counts = [literal.count(c) for c in set(literal)]
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
@@ -56,27 +81,57 @@ def weight(literal: str) -> float:
     return min(1.0, 0.2 + 0.12 * entropy + 0.1 * kinds)
 
 
-def literals(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals by the names they reach."""
-    pairs: list[tuple[str, list]] = []
+def random_word(value: str) -> bool:
+    """A bare word that no one would choose as an identifier: digits between letters, or several changes of case."""
+    runs = KINDS.findall(value)
+    return bool(re.search("[0-9]", value)) and (len(runs) >= 5 or len(runs) >= 4 and len(value) >= 10 and "_" not in value and "." not in value)
+
+
+def pairs_of(text: str):
+    """(name, parts) of each assignment; parts are (is a bare word, value, start, end)."""
     at = 0
     while m := PAIR.search(text, at):
         parts, p = [], m.end()
+        if b := BEARER.match(text, p):
+            p = b.end()
         while q := PART.match(text, p):
-            kind = q.lastindex if q.lastindex != 6 else next(i for i in range(5, 0, -1) if q.group(i) is not None)
-            parts.append((kind, q.group(kind), q.start(kind), q.end(kind)))
+            kind = next(i for i in range(7, 0, -1) if q.group(i) is not None)
+            parts.append((kind == WORD or kind > WORD and IDENTIFIER.fullmatch(q.group(kind)) is not None, q.group(kind), q.start(kind), q.end(kind)))
             p = q.end()
-            if not q.group(6):
+            if not q.group(8):
                 break
-        pairs.append((m["name"], parts))
-        nested = bool(parts) and parts[-1][0] > 3  # what follows a bare value may itself be a name
+        yield m["name"], parts
+        nested = bool(parts) and text[parts[-1][3] : parts[-1][3] + 1] not in ('"', "'", "`")  # what follows a bare value may itself be a name
         at = m.end() if nested or not parts else p
+    if "|" in text or ">" in text:
+        for m in BLOCK.finditer(text):
+            body = m.group(4)
+            yield m.group(3), [(False, body.strip(), m.start(4) + len(body) - len(body.lstrip()), m.start(4) + len(body.rstrip()))]
+    if "define" in text:
+        for m in DEFINE.finditer(text):
+            k = 2 if m.group(2) is not None else 3
+            yield m.group(1), [(k == 3, m.group(k), m.start(k), m.end(k))]
+    if "(" in text:
+        for m in CALL.finditer(text):
+            k = 2 if m.group(2) is not None else 3
+            yield m.group(1), [(False, m.group(k), m.start(k), m.end(k))]
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            yield m.group(1), [(False, m.group(2), m.start(2), m.end(2))]
+    if "value" in text:
+        for m in ATTRIBUTES.finditer(text):
+            yield m.group(2), [(False, m.group(4), m.start(4), m.end(4))]
+
+
+def literals(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, score) of literals by the names they reach."""
+    pairs = list(pairs_of(text))
     if not pairs:
         return []
-    reach: dict[str, float] = {}
-    sources: dict[str, set[str]] = {}
+    sources: dict[str, set[str]] = {name: set() for name, _ in pairs}
     for name, parts in pairs:
-        sources.setdefault(name, set()).update(value for kind, value, _, _ in parts if kind == 4)
+        sources[name].update(value for word, value, _, _ in parts if word and value in sources)
+    reach: dict[str, float] = {}
     todo = [(sensitivity(name), name) for name in sources]
     while todo:  # a name that is used in a sensitive assignment is sensitive itself, over any number of steps in any order
         score, name = todo.pop()
@@ -88,10 +143,9 @@ def literals(text: str) -> list[tuple[int, int, float]]:
     for name, parts in pairs:
         score = max(sensitivity(name), reach.get(name, 0.0))
         if score:
-            whole = "".join(v for k, v, _, _ in parts if k != 4)
-            for kind, value, s, e in parts:
-                if kind != 4 and value and (w := weight(whole if len(value) < 6 else value)):
-                    out.append((s, e, score * w))
+            own = [(v, s, e) for word, v, s, e in parts if v and not (word and (v in sources or not random_word(v)))]
+            whole = "".join(v for v, _, _ in own)
+            out += [(s, e, score * w) for v, s, e in own if (w := weight(whole if len(v) < LEAST else v))]
     return out
 
 
@@ -106,7 +160,7 @@ def scan_text(text: str, threshold: float = 0.45) -> tuple[list[tuple[int, int,
     kinds = ("assign", "access", "hex")
     base.sort(key=lambda x: (x[0], kinds.index(x[2])))
     more = []
-    if "=" in text or ":" in text:
+    if any(c in text for c in "=:<(#"):
         more = sorted({(s, e, "literal") for s, e, score in literals(text) if score >= threshold and not any(a <= s and e <= b for a, b, _ in base)})
     return base, more
 
