@@ -8,6 +8,9 @@ from tillroll import schemas as S
 from tillroll.operators import analytics, candidates, checks, store, structure
 from tillroll.plans import fixtures as X
 from tillroll.plans import queries as Q
+from tillroll.session import scratch
+from tillroll.sources import landing
+from tillroll.streaming.ingest import ingest_batch
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,7 +60,7 @@ def test_items_quirks(spark):
     assert (got["0"].quantity, float(got["0"].price)) == (2, 0.0)
     assert (got["1"].quantity, float(got["1"].price)) == (1, 1003.01)
     assert got["2"].quantity == 0
-    assert {r.receipt_id for r in found.where("doc is null").collect()} == {"4", "5"}
+    assert {r.receipt_id: r.error for r in found.where("doc is null").collect()} == {"4": structure.CORRUPT, "5": structure.NO_DATA}
 
 
 def test_override(spark):
@@ -81,8 +84,69 @@ def test_store_versions(spark, tmp_path):
     receipts, items = X.receipts(spark, SF), X.items(spark, SF)
     assert store.save(spark, root, receipts, items) == 1
     kept, left, found = store.delete(*store.load(spark, root), receipts.limit(3))
-    assert store.save(spark, root, kept, left) == 2
+    assert store.save(spark, root, kept, left, base=1) == 2
     assert store.load(spark, root)[0].count() == receipts.count() - 3
+    with pytest.raises(store.ConcurrentChange):  # made from version 1, which is no longer the latest
+        store.save(spark, root, kept, left, base=1)
+    assert store.append(spark, root, receipts.limit(3), items.limit(0)) == 3
+    assert store.load(spark, root)[0].count() == receipts.count() and store.load(spark, root, 1)[0].count() == receipts.count()
+
+
+def test_create_keeps_receipt_and_items_together(spark, tmp_path):
+    root = str(tmp_path)
+    rows = X.receipts(spark, SF).limit(3).withColumn("created_at", F.lit("2024-01-01 08:00:00").cast("timestamp")).withColumn("zone", F.lit("Asia/Singapore"))
+    ids = [r.receipt_id for r in rows.select("receipt_id").collect()]
+    items = spark.createDataFrame([(f"i{k}", k, "n" * (301 if k == ids[0] else 5)) for k in ids], "item_id string, receipt_id long, name string").withColumns({"price": F.lit(1).cast("decimal(18,2)"), "quantity": F.lit(1), "created_at": F.lit("2024-01-01").cast("timestamp")})
+    version, bad = store.create(spark, root, rows.where(F.col("receipt_id").isin(ids)), items)
+    receipts, kept = store.load(spark, root)
+    assert version == 1 and [(r.receipt_id, r.violations) for r in bad.collect()] == [(ids[0], ["item name: longer than 300"])]
+    assert {r.receipt_id for r in receipts.collect()} == {r.receipt_id for r in kept.collect()} == set(ids[1:])
+    assert str(receipts.first().created_at) == "2024-01-01 00:00:00"
+
+
+def test_newest_first(spark):
+    receipts = X.receipts(spark, SF)
+    user = receipts.groupBy("user_id").count().orderBy(F.desc("count")).first().user_id
+    got = [(r.created_at, r.receipt_id) for r in store.user_receipts(receipts, X.items(spark, SF), user).collect()]
+    assert len(got) > 2 and got == sorted(got, key=lambda x: (-x[0].timestamp(), x[1]))
+
+
+def test_landing_scan_of_files(spark, tmp_path):
+    (tmp_path / "u1").mkdir()
+    (tmp_path / "u1" / "a.jpg").write_bytes(b"\xff\xd8\xff" + b"x" * 2000)
+    (tmp_path / "b.pdf").write_bytes(b"%PDF" + b"x" * 2000)
+    manifest = spark.createDataFrame([("a.jpg", "image/jpeg"), ("b.pdf", "image/png")], "file_name string, content_type string")
+    got = {r.file_name: r for r in checks.screen_files(landing.landing_scan(spark, str(tmp_path), manifest)).collect()}
+    assert got["a.jpg"].is_valid and got["a.jpg"].length == 2003 and not got["b.pdf"].is_valid and got["b.pdf"].error_message == checks.PDF
+
+
+def test_redelivery_in_any_order(spark, tmp_path):
+    good = '{"doc_type":"receipt","confidence":0.9,"fields":{"MerchantName":{"value":"%s"}}}'
+    row = lambda ts, json, i="r": (i, "u", "f.jpg", ts, json)
+    frame = lambda rows: spark.createDataFrame(rows, "receipt_id string, user_id string, file_name string, ts string, json string").withColumn("ingest_ts", F.col("ts").cast("timestamp")).drop("ts")
+    rows = [row("2024-03-05", "{broken"), row("2024-03-05 09:00:00", good % "Late"), row("2024-03-05 08:00:00", good % "Early"), row("2024-03-05", good % "No id", None)]
+    for k in range(4):
+        root = f"{tmp_path}/{k}"
+        random.Random(k).shuffle(rows)
+        ingest_batch(frame(rows), root, 0)
+        ingest_batch(frame(rows), root, 0)  # the batch comes again
+        ingest_batch(frame([row("2024-03-20", good % "Again"), row("2024-03-20", good % "New", "s")]), root, 1)
+        ingest_batch(frame([row("2024-03-04", good % "Older", "s")]), root, 2, look_back=None)
+        got = {(r.receipt_id, r.store_name) for r in spark.read.parquet(f"{root}/receipts").collect()}
+        assert got == {("r", "Early"), ("s", "New")}
+        assert sorted(r.error for r in spark.read.parquet(f"{root}/quarantine").collect()) == ["Corrupt document", "receipt_id: required"]
+
+
+def test_settings_of_a_cluster():
+    class Far:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://far:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch(Far, "x")
 
 
 def test_no_cartesian_and_pruned(spark):

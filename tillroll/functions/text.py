@@ -6,6 +6,7 @@ of lines and gives a column; word lists and patterns are parameters with the usu
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column
@@ -49,12 +50,31 @@ COUNTRY_PHONES = [
     ("Australia", r"\+61"),
 ]
 USA_CONTEXT = ["usa", "united states", "ca", "ny", "tx", "fl"]
+CODED_CITIES = ["kuala", "lumpur", "malaysia"]
 SECTION_STOPS = ["date", "time", "cashier", "terminal"]
 WEIGHTS = {"store_name": 25, "address": 30, "phone": 20, "postal_code": 15, "country": 10}
 
 U, UI = "(?U)", "(?iuU)"
 
 
+@dataclass(frozen=True)
+class Lists:
+    """The word lists and patterns of one reading; a job may put its own in place of any."""
+
+    noise_marks: list[str] = field(default_factory=lambda: NOISE_MARKS)
+    noise_words: list[str] = field(default_factory=lambda: NOISE_WORDS)
+    address_words: list[str] = field(default_factory=lambda: ADDRESS_WORDS)
+    phone_patterns: list[str] = field(default_factory=lambda: PHONE_PATTERNS)
+    labelled_postal: list[str] = field(default_factory=lambda: LABELLED_POSTAL)
+    city_postal: str = CITY_POSTAL
+    country_postal: list[str] = field(default_factory=lambda: COUNTRY_POSTAL)
+    postal_exclusions: list[str] = field(default_factory=lambda: POSTAL_EXCLUSIONS)
+    country_words: list[tuple[str, list[str]]] = field(default_factory=lambda: COUNTRY_WORDS)
+    country_phones: list[tuple[str, str]] = field(default_factory=lambda: COUNTRY_PHONES)
+    usa_context: list[str] = field(default_factory=lambda: USA_CONTEXT)
+    section_stops: list[str] = field(default_factory=lambda: SECTION_STOPS)
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
@@ -128,39 +148,43 @@ def clean_postal(c: Column) -> Column:
 
 
 def _pattern_postal(text: Column, pattern: str, exclusions: list[str]) -> Column:
-    """The first match that nothing within 30 characters excludes; places of matches are rebuilt from the pieces between them."""
+    """The first match that nothing within 30 characters excludes. What stands before a match comes from the end of the pieces so far, what follows from a look-ahead, so the whole is linear in the text."""
     found = F.regexp_extract_all(text, F.lit(UI + pattern), F.lit(0))
-    pieces = F.zip_with(found, F.split(text, UI + pattern, -1), lambda hit, gap: F.struct(hit.alias("hit"), F.char_length(gap).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("hit"))
+    after = F.regexp_extract_all(text, F.lit(f"{UI}{pattern}(?=([\\s\\S]{{0,30}}))"), F.lit(1))
+    gaps = F.transform(F.slice(F.split(text, UI + pattern, -1), 1, F.size(found)), lambda g: F.right(g, F.lit(30)))
+    pieces = F.zip_with(F.arrays_zip(found.alias("hit"), after.alias("after")), gaps, lambda m, gap: F.struct(m["hit"].alias("hit"), m["after"].alias("after"), gap.alias("gap")))
+    start = F.struct(F.lit("").alias("tail"), F.lit(None).cast("string").alias("hit"))
     excluded = U + "|".join(f"(?:{e})" for e in exclusions)
 
     def step(acc: Column, piece: Column) -> Column:
-        begin, size = acc.at + piece.gap, F.coalesce(F.char_length(piece.hit), F.lit(0))
-        left = F.greatest(F.lit(0), begin - 30)
-        fits = acc.hit.isNull() & piece.hit.isNotNull() & ~F.lower(F.substring(text, left + 1, begin + size + 30 - left)).rlike(excluded)
-        return F.struct((begin + size).cast("int").alias("at"), F.when(fits, clean_postal(stripped(piece.hit))).otherwise(acc.hit).alias("hit"))
+        before = F.right(F.concat(acc.tail, piece.gap), F.lit(30))
+        fits = acc.hit.isNull() & ~F.lower(F.concat(before, piece.hit, piece.after)).rlike(excluded) if exclusions else acc.hit.isNull()
+        return F.struct(F.right(F.concat(before, piece.hit), F.lit(30)).alias("tail"), F.when(fits, clean_postal(stripped(piece.hit))).otherwise(acc.hit).alias("hit"))
 
-    return F.when(text.rlike(UI + pattern), F.aggregate(pieces, start, step, lambda acc: acc.hit))
+    return F.when(F.size(found) > 0, F.aggregate(pieces, start, step, lambda acc: acc.hit))
 
 
-def postal_code(text: Column, exclusions: list[str] = POSTAL_EXCLUSIONS) -> Column:
+def postal_code(text: Column, exclusions: list[str] = POSTAL_EXCLUSIONS, labels: list[str] = LABELLED_POSTAL, city_pattern: str = CITY_POSTAL, patterns: list[str] = COUNTRY_POSTAL) -> Column:
     """A labelled code, else one before a city, else the first country's pattern whose surroundings don't exclude it."""
-    labelled = [clean_postal(stripped(first_match(text, UI + p, 1))) for p in LABELLED_POSTAL]
-    city = clean_postal(F.get(F.split(first_match(text, UI + CITY_POSTAL), r"(?U)\s+"), 0))
+    labelled = [clean_postal(stripped(first_match(text, UI + p, 1))) for p in labels]
+    city = clean_postal(F.get(F.split(first_match(text, UI + city_pattern), r"(?U)\s+"), 0))
     valid = F.when(city.rlike(r"^\d+$"), F.when(city.cast("int").between(50000, 99999), city))
-    return F.coalesce(*labelled, valid, *(_pattern_postal(text, p, exclusions) for p in COUNTRY_POSTAL))
+    return F.coalesce(*labelled, valid, *(_pattern_postal(text, p, exclusions) for p in patterns))
 
 
-def country(text: Column) -> Column:
+def country(text: Column, words: list[tuple[str, list[str]]] = COUNTRY_WORDS, phones: list[tuple[str, str]] = COUNTRY_PHONES, context: list[str] = USA_CONTEXT, postal: list[str] = COUNTRY_POSTAL) -> Column:
     """A country named in the text, else one by phone prefix, else by the look of a postal code."""
     low = F.lower(text)
-    named = [F.when(any_of([low.contains(w) for w in words]), name) for name, words in COUNTRY_WORDS]
-    dialled = [F.when(text.rlike(U + p), name) for name, p in COUNTRY_PHONES]
+    named = [F.when(any_of([low.contains(w) for w in held]), name) for name, held in words]
+    dialled = [F.when(text.rlike(U + p), name) for name, p in phones]
+    # a code before a city in one line: each line is read up to its last city, so a line is searched once whatever its codes
+    city_lines = F.filter(lines_of(low), lambda x: any_of([x.contains(w) for w in CODED_CITIES]))
+    coded_city = F.exists(city_lines, lambda x: F.regexp_extract(x, f"(?s)^(.*(?:{'|'.join(CODED_CITIES)}))", 1).rlike(r"(?U)\b[5-9]\d{4}\b"))
     coded = [
-        F.when(low.rlike(r"(?U)\b[5-9]\d{4}\b[^\n]*(?:kuala|lumpur|malaysia)"), "Malaysia"),
-        F.when(text.rlike(U + COUNTRY_POSTAL[3]), "Uk"),
-        F.when(text.rlike(U + COUNTRY_POSTAL[4]), "Canada"),
-        F.when(text.rlike(U + COUNTRY_POSTAL[2]) & any_of([low.contains(w) for w in USA_CONTEXT]), "Usa"),
+        F.when(any_of([low.contains(w) for w in CODED_CITIES]) & coded_city, "Malaysia"),
+        F.when(text.rlike(U + postal[3]), "Uk"),
+        F.when(text.rlike(U + postal[4]), "Canada"),
+        F.when(any_of([low.contains(w) for w in context]) & text.rlike(U + postal[2]), "Usa"),
     ]
     return F.coalesce(*named, *dialled, *coded)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -19,10 +19,10 @@ def spending_trend(receipts: DataFrame) -> DataFrame:
     return by.withColumn("change", F.col("spent") - F.lag("spent").over(Window.partitionBy("user_id").orderBy("month")))
 
 
-def store_comparison(receipts: DataFrame) -> DataFrame:
-    """By store: receipts, sum, mean and median."""
-    by = receipts.groupBy("store_name").agg(F.count("*").alias("n"), F.sum("total_amount").alias("total"), F.avg(F.col("total_amount").cast("double")).alias("mean"), F.percentile_approx("total_amount", 0.5, 10000).alias("median"))
-    return by
+def store_comparison(receipts: DataFrame, within: str = "country") -> DataFrame:
+    """By store and `within`: receipts, sum, mean and median, and the store's rank by sum among those of one `within`."""
+    by = receipts.groupBy(within, "store_name").agg(F.count("*").alias("n"), F.sum("total_amount").alias("total"), F.avg(F.col("total_amount").cast("double")).alias("mean"), F.percentile_approx("total_amount", 0.5, 10000).alias("median"))
+    return by.withColumn("rank", F.rank().over(Window.partitionBy(within).orderBy(F.desc("total"))))
 
 
 def duplicate_receipts(receipts: DataFrame) -> DataFrame:
@@ -34,6 +34,22 @@ def duplicate_receipts(receipts: DataFrame) -> DataFrame:
     return rows.join(groups, "_k").select("receipt_id", "original_id", "copies")
 
 
+def near_duplicate_receipts(receipts: DataFrame, days: int = 1, edits: int = 2) -> DataFrame:
+    """Receipts of one user with one total, at most `days` after the receipt before and with a store name within `edits` of its: (receipt_id, near_id). One sorted pass, no pairs."""
+    before = Window.partitionBy("user_id", "total_amount").orderBy("purchase_date", "receipt_id")
+    rows = receipts.where("total_amount is not null and purchase_date is not null").select("receipt_id", "user_id", "total_amount", "purchase_date", F.lower("store_name").alias("name"))
+    rows = rows.withColumn("prev", F.lag(F.struct("receipt_id", "purchase_date", "name")).over(before))
+    near = (F.datediff("purchase_date", "prev.purchase_date") <= days) & (F.levenshtein("name", "prev.name") <= edits)
+    return rows.where(near).select("receipt_id", F.col("prev.receipt_id").alias("near_id"))
+
+
+def observed_run(receipts: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """The rows, and what a run over them counts while they pass: receipts, total, valid and invalid ones, mean confidence. No pass of its own."""
+    seen = Observation(name)
+    status = lambda k: F.count_if(F.col("status") == k)
+    return receipts.observe(seen, F.count(F.lit(1)).alias("receipts"), F.sum("total_amount").cast("double").alias("total"), status(1).alias("valid"), status(2).alias("invalid"), F.avg("validation_confidence").alias("confidence")), seen
+
+
 def review_queue(receipts: DataFrame, least: float = 0.7) -> DataFrame:
     """Receipts read with low confidence, least sure first, by amount at stake."""
     sure = F.least(F.coalesce("validation_confidence", F.lit(0.0)), F.coalesce("location_confidence", F.lit(1.0)))

@@ -73,6 +73,18 @@ def split_by_contract(df: DataFrame, items: bool = False) -> tuple[DataFrame, Da
     return checked.where(F.size("violations") == 0).drop("violations"), checked.where(F.size("violations") > 0)
 
 
+def rejected(receipts: DataFrame, items: DataFrame) -> DataFrame:
+    """(receipt_id, violations) of receipts that break the contract, or one of whose items does: both are stored or neither is."""
+    of_items = split_by_contract(items, items=True)[1].select("receipt_id", F.transform("violations", lambda v: F.concat(F.lit("item "), v)).alias("violations"))
+    both = split_by_contract(receipts)[1].select("receipt_id", "violations").union(of_items)
+    return both.groupBy("receipt_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("violations")))).alias("violations"))
+
+
 def utc(ts: Column, zone: Column | None = None) -> Column:
     """A time without a zone counts as UTC; one with a zone is converted."""
     return ts if zone is None else F.when(zone.isNull(), ts).otherwise(F.to_utc_timestamp(ts, zone))
+
+
+def utc_times(df: DataFrame, zone: str = "zone", converted: tuple[str, ...] = ("created_at", "updated_at", "processed_at")) -> DataFrame:
+    """df with its times in UTC, by the zone that a row names (null: the time is UTC already). The purchase date is what the receipt says and is never shifted."""
+    return df.withColumns({c: utc(F.col(c), F.col(zone)) for c in converted if c in df.columns})

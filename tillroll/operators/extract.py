@@ -10,14 +10,20 @@ from tillroll.functions import text as T
 LOCATION = ["store_name", "address", "phone", "postal_code", "country", "confidence", "full_location_text"]
 
 
-def extract_locations(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """df with the columns of LOCATION. Null texts find nothing."""
-    lines = F.col("_lines")
-    out = df.withColumn("_lines", T.lines_of(F.coalesce(F.col(text), F.lit(""))))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    out = out.withColumns({"store_name": T.store_name(lines), "address": T.address(lines), "phone": T.phone(lines), "postal_code": T.postal_code(whole), "country": T.country(whole), "full_location_text": T.location_section(lines)})
-    out = out.withColumn("confidence", T.confidence({k: F.col(k) for k in T.WEIGHTS})).drop("_lines")
-    return out.withColumnsRenamed({k: prefix + k for k in LOCATION}) if prefix else out
+def extract_locations(df: DataFrame, text: str = "text", prefix: str = "", lists: T.Lists | None = None) -> DataFrame:
+    """df with the columns of LOCATION. Null texts find nothing. lists: a job's own word lists and patterns."""
+    k = lists or T.Lists()
+    lines, whole = F.col("_lines"), F.coalesce(F.col(text), F.lit(""))
+    out = df.withColumn("_lines", T.lines_of(whole)).withColumns({
+        "store_name": T.store_name(lines, k.noise_marks, k.noise_words),
+        "address": T.address(lines, k.address_words),
+        "phone": T.phone(lines, k.phone_patterns),
+        "postal_code": T.postal_code(whole, k.postal_exclusions, k.labelled_postal, k.city_postal, k.country_postal),
+        "country": T.country(whole, k.country_words, k.country_phones, k.usa_context, k.country_postal),
+        "full_location_text": T.location_section(lines, k.section_stops),
+    })
+    out = out.withColumn("confidence", T.confidence({c: F.col(c) for c in T.WEIGHTS})).drop("_lines")
+    return out.withColumnsRenamed({c: prefix + c for c in LOCATION}) if prefix else out
 
 
 def text_totals(df: DataFrame, text: str = "text") -> DataFrame:

@@ -71,7 +71,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of line items, named by part."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey", "left")
-    key = F.sha2(F.concat_ws("|", *[c for c in rows.columns]), 256)
+    key = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns)), 256)
     return rows.select(key.alias("item_id"), F.col("l_orderkey").alias("receipt_id"), F.coalesce("p_name", F.lit("")).alias("name"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), F.col("l_quantity").cast("int").alias("quantity"))
 
 
@@ -98,6 +98,27 @@ def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("receipt_id").cast("string").alias("receipt_id"), "user_id", F.concat(F.lit("r"), F.col("receipt_id").cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(INGESTED).cast("timestamp").alias("ingest_ts"), F.when(k == 10, '{"doc_type": broken').otherwise(json).alias("json"))
 
 
+def odd_documents(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
+    """(receipt_id, user_id, file_name, ingest_ts, json) of every order, in nine shapes by o_orderkey % 9: 1 has a store name that is too long, 2 an item whose name is too long, 3 no user, 4 broken JSON, 5 no fields,
+    6 a quantity with a thousands separator, 7 no JSON, 8 (with `copies`) a broken copy delivered beside it; the rest are plain."""
+    key = F.col("o_orderkey")
+    k, text = key % 9, key.cast("string")
+    name = F.when(k == 1, F.repeat(F.lit("x"), F.lit(201))).otherwise(F.concat(F.lit("Shop "), text))
+    item = F.when(k == 2, F.repeat(F.lit("y"), F.lit(301))).otherwise(F.concat(F.lit("Thing "), text))
+    quantity = F.when(k == 6, "1,250").otherwise((key % 7).cast("string"))
+    whole = F.concat(F.lit('{"doc_type":"receipt","confidence":0.9,"fields":{"MerchantName":{"value":"'), name, F.lit('"},"Items":{"value_array":[{"value_object":{"Description":{"value":"'), item, F.lit('"},"Quantity":{"value":"'), quantity, F.lit('"}}}]}}}'))
+    broken = F.lit('{"doc_type": "receipt", "fields": {')
+    json = F.when(k == 4, broken).when(k == 5, '{"doc_type":"receipt","confidence":0.9}').when(k != 7, whole)
+    rows = table(spark, sf_dir, "orders").select(text.alias("receipt_id"), F.when(k != 3, F.concat(F.lit("user-"), F.col("o_custkey").cast("string"))).alias("user_id"), F.concat(F.lit("r"), text, F.lit(".jpg")).alias("file_name"), F.lit(INGESTED).cast("timestamp").alias("ingest_ts"), json.alias("json"), k.alias("k"))
+    out = rows.unionByName(rows.where("k = 8").withColumn("json", broken)) if copies else rows
+    return out.drop("k")
+
+
+def zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts with the zone their times are in: every third is from Singapore, the rest say nothing."""
+    return receipts(spark, sf_dir).withColumn("zone", F.when(F.col("receipt_id") % 3 == 0, "Asia/Singapore"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, content_type, length, content): pages as files, with headers, types and lengths by page_id."""
     p = F.col("page_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.functions import text as T
 from tillroll.operators import analytics, candidates, checks, extract, store, structure
 from tillroll.plans import fixtures as X
 from tillroll.session import scratch
@@ -76,15 +77,21 @@ def receipt_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT receipt_id, CASE WHEN length(store_name) > 15 THEN 'store_name: longer than 15' ELSE '' END || CASE WHEN total IS NULL THEN ' total_amount: required' ELSE '' END AS problems
-FROM (SELECT *, CASE WHEN receipt_id % 11 = 0 THEN NULL ELSE total_amount END AS total FROM {RECEIPTS}) WHERE length(store_name) > 15 OR total IS NULL
+SELECT receipt_id, concat_ws('; ', CASE WHEN receipt_id % 11 = 0 THEN 'total_amount: required' END, CASE WHEN receipt_id % 13 = 0 THEN 'store_name: longer than 200' END) AS problems
+FROM {RECEIPTS} WHERE receipt_id % 11 = 0 OR receipt_id % 13 = 0
 """)
 def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.receipts(spark, sf_dir).withColumn("total_amount", F.when(F.col("receipt_id") % 11 != 0, F.col("total_amount")))
-    bad = checks.violations(rows, ["total_amount"], {"store_name": 15}).where(F.size("violations") > 0)
-    first = F.get(F.filter("violations", lambda v: v.startswith("store_name")), 0)
-    second = F.get(F.filter("violations", lambda v: v.startswith("total_amount")), 0)
-    return bad.select("receipt_id", F.concat(F.coalesce(first, F.lit("")), F.when(second.isNotNull(), F.concat(F.lit(" "), second)).otherwise("")).alias("problems"))
+    id_, whole = F.col("receipt_id"), X.receipts(spark, sf_dir)
+    rows = whole.withColumns({"total_amount": F.when(id_ % 11 != 0, F.col("total_amount")), "store_name": F.when(id_ % 13 == 0, F.repeat(F.lit("n"), F.lit(201))).otherwise(F.col("store_name"))})
+    return checks.split_by_contract(rows)[1].select("receipt_id", F.array_join("violations", "; ").alias("problems"))
+
+
+@query(f"""
+SELECT receipt_id, purchase_date::TIMESTAMP AS purchase_date, CASE WHEN receipt_id % 3 = 0 THEN purchase_date::TIMESTAMP - INTERVAL 8 HOUR ELSE purchase_date::TIMESTAMP END AS created_at FROM {RECEIPTS}
+""".replace("purchase_date::TIMESTAMP AS purchase_date", "strftime(purchase_date, '%Y-%m-%d %H:%M') AS purchase_date").replace("CASE WHEN", "strftime(CASE WHEN").replace("END AS created_at", "END, '%Y-%m-%d %H:%M') AS created_at"))
+def utc_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return checks.utc_times(X.zoned(spark, sf_dir)).select("receipt_id", stamp("purchase_date"), stamp("created_at"))
 
 
 # ---------------------------------------------------------------- text
@@ -100,6 +107,24 @@ def locations_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_locations(X.texts(spark, sf_dir)).groupBy("country").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
+@query(r"""
+WITH l AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10))[1:15], lambda x: regexp_replace(regexp_replace(x, '^[\s\x0b\x1c-\x1f]+', ''), '[\s\x0b\x1c-\x1f]+$', '')) AS ls FROM documents),
+s AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: regexp_matches(lower(x), 'date|time|cashier|terminal')), true) AS stop FROM l)
+SELECT doc_id, array_to_string(list_filter(CASE WHEN stop > 0 THEN ls[1:stop] ELSE ls END, lambda x: x <> ''), chr(10)) AS section FROM s
+""")
+def location_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = T.lines_of(F.coalesce("text", F.lit("")))
+    return X.table(spark, sf_dir, "documents").select("doc_id", T.location_section(lines).alias("section"))
+
+
+@query(f"""SELECT o_orderkey AS receipt_id, CASE WHEN store_name = 'BOOK NOOK' THEN NULL ELSE store_name END AS store_name, CASE WHEN contains(text, 'Sydney') THEN 'Down Under' END AS country FROM orders JOIN {CASES} ON c.k = o_orderkey % 16""")
+def location_own_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job's own word lists: one more noise word, and countries by its own names."""
+    own = T.Lists(noise_words=[*T.NOISE_WORDS, "book", "zip", "postal"], country_words=[("Down Under", ["sydney"])], country_phones=[], usa_context=[])
+    found = extract.extract_locations(X.texts(spark, sf_dir), lists=own)
+    return found.select("receipt_id", "store_name", F.when(F.col("country") == "Down Under", F.col("country")).alias("country"))
+
+
 @query()
 def location_extract_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_locations(X.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -126,6 +151,17 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.best_candidates(X.candidates(spark, sf_dir)).select("receipt_id", "success", "strategy_used", "store_name", "raw_text", "confidence", "error")
 
 
+@query(f"""
+SELECT receipt_id, score > 0 AS success, CASE WHEN score > 0 THEN strategy END AS strategy_used FROM (
+  SELECT receipt_id, strategy, score, row_number() OVER (PARTITION BY receipt_id ORDER BY CASE WHEN failed THEN -1 ELSE score END DESC, ord) AS rn, failed
+  FROM (SELECT *, receipt_id % 4 = ord AS failed FROM {READINGS})) WHERE rn = 1
+""")
+def failed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reading of most receipts failed with an error: the others decide."""
+    rows = X.candidates(spark, sf_dir).withColumn("error", F.when(F.col("receipt_id") % 4 == F.col("strategy_ord"), "image could not be read"))
+    return candidates.best_candidates(rows).select("receipt_id", "success", "strategy_used")
+
+
 @query(f"""
 SELECT country, strategy AS strategy_used, wins, avg_score, CAST(rank() OVER (PARTITION BY country ORDER BY wins DESC, strategy) AS BIGINT) AS rank FROM (
   SELECT coalesce(country, 'unknown') AS country, strategy, count(*) AS wins, round(avg(score), 6) AS avg_score FROM {READINGS} WHERE rn = 1 AND score > 0 GROUP BY 1, 2)
@@ -172,12 +208,41 @@ def merchant_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("receipt_id", "store_name", F.nullif("store_address", F.lit("")).alias("store_address"), F.col("store_phone_number").alias("phone"), "postal_code", "country", "location_confidence", "ocr_strategy")
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS receipt_id, o_orderkey % 12 <> 10 AS success, CASE WHEN o_orderkey % 12 = 10 THEN 'No receipt data found' END AS error FROM orders""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS receipt_id, o_orderkey % 12 <> 10 AS success, CASE WHEN o_orderkey % 12 = 10 THEN 'Corrupt document' END AS error FROM orders""")
 def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     located = candidates.best_candidates(X.candidates(spark, sf_dir)).withColumn("receipt_id", F.col("receipt_id").cast("string"))
     return structure.receipt_results(_docs(spark, sf_dir), located).select("receipt_id", "success", "error")
 
 
+@query(f"""
+SELECT CAST(w.receipt_id AS VARCHAR) AS receipt_id, w.receipt_id % 9 NOT IN (4, 7) AS success, CASE w.receipt_id % 9 WHEN 4 THEN 'Corrupt document' WHEN 7 THEN 'No receipt data found' END AS error,
+  CASE WHEN score > 0 THEN country END AS country, CASE WHEN w.receipt_id % 9 IN (4, 7) THEN NULL WHEN score > 0 AND w.store_name IS NOT NULL THEN w.store_name WHEN w.receipt_id % 9 = 5 THEN ''
+    WHEN w.receipt_id % 9 = 1 THEN repeat('x', 201) ELSE 'Shop ' || w.receipt_id END AS store_name
+FROM {READINGS} w WHERE rn = 1
+""")
+def document_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without fields, missing and corrupt ones: what was located stays beside the error, and makes up for missing fields."""
+    located = candidates.best_candidates(X.candidates(spark, sf_dir)).withColumn("receipt_id", F.col("receipt_id").cast("string"))
+    found = structure.receipt_results(structure.parse_documents(X.odd_documents(spark, sf_dir)), located)
+    names = structure.receipts_from(found).select("receipt_id", "store_name")
+    return found.select("receipt_id", "success", "error", F.col("location.country").alias("country")).join(names, "receipt_id", "left")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS receipt_id, CASE WHEN o_orderkey % 9 = 6 THEN 1250 ELSE o_orderkey % 7 END AS quantity FROM orders WHERE o_orderkey % 9 NOT IN (4, 5, 7)")
+def item_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.items_from(structure.parse_documents(X.odd_documents(spark, sf_dir))).select("receipt_id", F.col("quantity").cast("long").alias("quantity"))
+
+
+@query(f"""
+SELECT receipt_id, n_words AS quantity FROM (SELECT o_orderkey AS receipt_id, CASE o_orderkey % 10 WHEN 0 THEN 1234 WHEN 1 THEN 7 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN -2 WHEN 5 THEN 100 WHEN 6 THEN 1 WHEN 7 THEN 0 WHEN 8 THEN 12 ELSE 1 END AS n_words FROM orders)
+""".replace("n_words", "q"))
+def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities as they are written: separators, blanks, signs, exponents, and what doesn't read as a number."""
+    forms = ["1,234.9", " 7 ", "0.5", "x", "-2.9", "1e2", "5f", ".9", "+12", ""]
+    written = F.element_at(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    return X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("receipt_id"), F.coalesce(structure.number(written).cast("int"), F.lit(1)).alias("quantity"))
+
+
 # ---------------------------------------------------------------- store
 
 
@@ -300,6 +365,38 @@ def raw_zone_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("receipt_id", F.date_format("purchase_date", "yyyy-MM-dd").alias("day"), F.col("total_amount").cast("double").alias("total"))
 
 
+@query("SELECT CAST(page_id % 50 AS INTEGER) AS folder, CAST(sum(strlen(html) + 1) AS BIGINT) AS bytes, 'text/html' AS content_type FROM pages GROUP BY 1, 3")
+def landing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages land as files, and are scanned with a manifest of what their senders said they are."""
+    path = scratch(spark, "landed")
+    X.table(spark, sf_dir, "pages").select((F.col("page_id") % 50).cast("int").alias("folder"), "html").repartition("folder").write.partitionBy("folder").text(path)
+    names = landing.landing_scan(spark, path).select("file_name", F.lit("text/html").alias("content_type")).distinct()
+    found = landing.landing_scan(spark, path, names).withColumn("folder", F.regexp_extract("path", "folder=([0-9]+)/", 1).cast("int"))
+    return found.groupBy("folder", "content_type").agg(F.sum("length").alias("bytes"))
+
+
+@query(f"SELECT r.receipt_id, user_id, CAST(total_amount AS DOUBLE) AS total, count(i.receipt_id) AS n_items, {PAID} FROM {RECEIPTS} r LEFT JOIN {ITEMS} i ON i.receipt_id = r.receipt_id GROUP BY 1, 2, 3")
+def extracted_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts with nested items are written as JSON under day folders and read back."""
+    path, receipts, items = scratch(spark, "extracted"), X.receipts(spark, sf_dir), X.items(spark, sf_dir)
+    receipts = receipts.withColumn("landed", F.date_trunc("month", "purchase_date"))  # a folder a month, as these receipts spread over thousands of days
+    landing.write_extracted(receipts, items, path, "landed")
+    shape = store.with_items(receipts.limit(0), items.limit(0)).schema
+    return _summed(landing.read_by_day(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shape)))
+
+
+@query(f"SELECT (SELECT count(*) FROM {RECEIPTS}) AS receipts, (SELECT count(*) FROM {ITEMS}) AS items, (SELECT count(*) FROM {RECEIPTS} WHERE receipt_id % 13 = 0) AS rejected, 2 AS version".replace("(SELECT count(*) FROM {ITEMS}) AS items".format(ITEMS=ITEMS), f"(SELECT count(*) FROM {ITEMS} WHERE receipt_id % 13 <> 0 AND receipt_id IN (SELECT o_orderkey FROM orders)) AS items").replace(f"SELECT (SELECT count(*) FROM {RECEIPTS}) AS receipts", f"SELECT (SELECT count(*) FROM {RECEIPTS} WHERE receipt_id % 13 <> 0) AS receipts"))
+def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts are created in two appends, each with its items in one unit; those that break the contract stay out with their items."""
+    root, id_ = scratch(spark, "appended"), F.col("receipt_id")
+    receipts = X.zoned(spark, sf_dir).withColumn("user_id", F.when(id_ % 13 != 0, F.col("user_id")))
+    items = X.items(spark, sf_dir).withColumn("created_at", F.lit(X.INGESTED).cast("timestamp")).join(receipts.select("receipt_id"), "receipt_id", "left_semi")
+    out = [store.create(spark, root, receipts.where(id_ % 2 == k), items.where(id_ % 2 == k)) for k in (0, 1)]
+    stored, kept = store.load(spark, root)
+    bad = out[0][1].union(out[1][1])
+    return stored.agg(F.count("*").alias("receipts")).crossJoin(kept.agg(F.count("*").alias("items"))).crossJoin(bad.agg(F.count("*").alias("rejected"))).withColumn("version", F.lit(out[1][0]))  # single rows
+
+
 @query(f"""
 SELECT (SELECT count(*) FROM {RECEIPTS} WHERE receipt_id % 10 <> 0) AS receipts, (SELECT count(*) FROM {ITEMS} WHERE receipt_id % 10 <> 0 OR receipt_id NOT IN (SELECT o_orderkey FROM orders)) AS items, 2 AS version
 """)
@@ -329,9 +426,38 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/receipts").join(items, "receipt_id", "left").select("receipt_id", F.col("total_amount").cast("double").alias("total"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
 
 
-@query(f"SELECT count(*) AS receipts, CAST(sum(total_amount) AS DOUBLE) AS total, sum((status = 1)::BIGINT)::BIGINT AS valid FROM {RECEIPTS}")
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS receipt_id, 'receipts' AS place, NULL AS error, CASE WHEN o_orderkey % 9 = 6 THEN 1250 WHEN o_orderkey % 9 <> 5 THEN o_orderkey % 7 END AS quantity FROM orders WHERE o_orderkey % 9 NOT IN (1, 2, 3, 4, 7)
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'quarantine', CASE o_orderkey % 9 WHEN 1 THEN 'store_name: longer than 200' WHEN 2 THEN 'item name: longer than 300' WHEN 3 THEN 'user_id: required' WHEN 7 THEN 'No receipt data found' ELSE 'Corrupt document' END, NULL
+  FROM orders WHERE o_orderkey % 9 IN (1, 2, 3, 4, 7, 8)
+""")
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of odd documents: what is corrupt or breaks the contract goes to quarantine with the reason, whole; of a broken and a good copy the good one is stored."""
+    source, root = scratch(spark, "odd-landing"), scratch(spark, "odd-ingested")
+    X.odd_documents(spark, sf_dir, copies=True).repartition(4, "receipt_id", "json").write.parquet(source)
+    ingest_stream(spark, source, root, files=2).awaitTermination()
+    quantity = spark.read.parquet(f"{root}/items").select("receipt_id", F.col("quantity").cast("long").alias("quantity"))
+    stored = spark.read.parquet(f"{root}/receipts").join(quantity, "receipt_id", "left").select("receipt_id", F.lit("receipts").alias("place"), F.lit(None).cast("string").alias("error"), "quantity")
+    return stored.union(spark.read.parquet(f"{root}/quarantine").select("receipt_id", F.lit("quarantine"), "error", F.lit(None).cast("long")))
+
+
+@query(f"SELECT count(*) AS receipts, CAST(sum(total_amount) AS DOUBLE) AS total, sum((status = 1)::BIGINT)::BIGINT AS valid, sum((status = 2)::BIGINT)::BIGINT AS invalid, round(avg(validation_confidence::DOUBLE), 6) AS confidence FROM {RECEIPTS}")
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.receipts(spark, sf_dir).agg(F.count("*").alias("receipts"), F.sum("total_amount").cast("double").alias("total"), F.sum((F.col("status") == 1).cast("long")).alias("valid"))
+    """What a run that writes receipts observes while it writes."""
+    rows, seen = analytics.observed_run(X.receipts(spark, sf_dir))
+    rows.write.parquet(scratch(spark, "run"))
+    m = seen.get
+    return spark.createDataFrame([(m["receipts"], m["total"], m["valid"], m["invalid"], round(m["confidence"], 6))], "receipts long, total double, valid long, invalid long, confidence double")
+
+
+@query(f"SELECT user_id, count(*) AS n, (SELECT count(*) FROM {RECEIPTS} WHERE purchase_date >= TIMESTAMP '1998-01-01') AS of_all FROM {RECEIPTS} WHERE purchase_date >= TIMESTAMP '1998-01-01' GROUP BY 1")
+def hot_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recent receipts are held in memory while two queries read them."""
+    path = scratch(spark, "hot")
+    with store.hot(X.receipts(spark, sf_dir), X.items(spark, sf_dir), F.lit("1998-01-01").cast("timestamp")) as held:
+        n = held.count()
+        held.groupBy("user_id").agg(F.count("*").alias("n")).write.parquet(path)
+    return spark.read.parquet(path).withColumn("of_all", F.lit(n))
 
 
 # ---------------------------------------------------------------- extensions
@@ -354,9 +480,26 @@ def spend_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.spending_trend(X.receipts(spark, sf_dir)).select("user_id", F.col("month").cast("string").alias("month"), F.col("spent").cast("double").alias("spent"), "n", F.col("change").cast("double").alias("change"))
 
 
-@query(f"SELECT store_name, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS total, round(avg(CAST(total_amount AS DOUBLE)), 4) AS mean FROM {RECEIPTS} GROUP BY 1")
+@query(f"""
+SELECT status, store_name, n, total, mean, median, CAST(rank() OVER (PARTITION BY status ORDER BY total DESC) AS BIGINT) AS rank FROM (
+  SELECT status, store_name, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS total, round(avg(CAST(total_amount AS DOUBLE)), 4) AS mean, CAST(quantile_disc(total_amount, 0.5) AS DOUBLE) AS median FROM {RECEIPTS} GROUP BY 1, 2)
+""")
 def store_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.store_comparison(X.receipts(spark, sf_dir)).select("store_name", "n", F.col("total").cast("double").alias("total"), F.round("mean", 4).alias("mean"))
+    rows = analytics.store_comparison(X.receipts(spark, sf_dir), within="status")
+    return rows.select("status", "store_name", "n", F.col("total").cast("double").alias("total"), F.round("mean", 4).alias("mean"), F.col("median").cast("double").alias("median"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""
+WITH a AS (SELECT receipt_id * 2 AS receipt_id, user_id, lower(store_name) AS name, purchase_date::TIMESTAMP AS d, total_amount FROM {RECEIPTS}
+  UNION ALL SELECT receipt_id * 2 + 1, user_id, lower(store_name) || CASE WHEN receipt_id % 2 = 0 THEN 'x' ELSE 'xyz' END, purchase_date::TIMESTAMP + INTERVAL 1 DAY, total_amount FROM {RECEIPTS} WHERE receipt_id % 5 = 0),
+b AS (SELECT receipt_id, name, d, lag(receipt_id) OVER w AS near_id, lag(name) OVER w AS pn, lag(d) OVER w AS pd FROM a WINDOW w AS (PARTITION BY user_id, total_amount ORDER BY d, receipt_id))
+SELECT receipt_id, near_id FROM b WHERE near_id IS NOT NULL AND date_diff('day', pd, d) <= 1 AND levenshtein(name, pn) <= 2
+""")
+def near_dup_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.receipts(spark, sf_dir)
+    id_ = F.col("receipt_id")
+    again = rows.where(id_ % 5 == 0).withColumns({"receipt_id": id_ * 2 + 1, "store_name": F.concat("store_name", F.when(id_ % 2 == 0, "x").otherwise("xyz")), "purchase_date": F.col("purchase_date") + F.expr("interval 1 day")})
+    return analytics.near_duplicate_receipts(rows.withColumn("receipt_id", id_ * 2).unionByName(again))
 
 
 @query(f"""

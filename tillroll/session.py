@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,6 +27,8 @@ def session(app: str = "tillroll", **settings: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tillroll-shared")
-    return f"{root}/tillroll/{label}-{uuid.uuid4().hex}"
+    """A new folder that all executors share: below spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root or os.path.join(tempfile.gettempdir(), 'tillroll-shared')}/tillroll/{label}-{uuid.uuid4().hex}"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.operators.store import with_items
+
 #: Day folders only: a few users may own most rows, so the user is an order within a day, not a folder.
 DAY = ["yyyy", "mm", "dd"]
 
@@ -37,6 +39,11 @@ def write_by_day(df: DataFrame, path: str, ts: str, kind: str = "json", mode: st
     with_day(df, ts).repartitionByRange(*DAY, "user_id").sortWithinPartitions(*DAY, "user_id").write.mode(mode).partitionBy(*DAY).format(kind).save(path)
 
 
+def write_extracted(receipts: DataFrame, items: DataFrame, path: str, ts: str = "created_at") -> None:
+    """Receipts as JSON under day folders, each with its items nested."""
+    write_by_day(with_items(receipts, items), path, ts)
+
+
 def read_by_day(spark: SparkSession, path: str, schema: str, kind: str = "json") -> DataFrame:
     return spark.read.schema(f"{schema}, yyyy string, mm string, dd string").option("basePath", path).format(kind).load(path)
 

@@ -2,37 +2,71 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tillroll.operators.checks import rejected
 from tillroll.operators.structure import items_from, parse_documents, receipts_from
 
 RAW = "receipt_id string, user_id string, file_name string, ingest_ts timestamp, json string"
 
 
-def ingest_batch(batch: DataFrame, root: str, batch_id: int) -> None:
-    """Appends one batch: corrupt documents to quarantine, the rest to items and receipts, receipts last. A batch that comes again overwrites its own folder."""
+def day_of(ts: str = "ingest_ts") -> F.Column:
+    return F.coalesce(F.date_format(ts, "yyyy-MM-dd"), F.lit("1970-01-01")).alias("day")
+
+
+def known_ids(spark: SparkSession, root: str, first: str, last: str, batch_id: int, look_back: int | None) -> DataFrame | None:
+    """receipt_ids that earlier batches stored for the days first - look_back to last + look_back; only those days' folders are read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/receipts")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = [f.getPath().getName()[4:] for f in fs.listStatus(path)] if fs.exists(path) else []
+    if look_back is not None:
+        moved = lambda day, n: str(datetime.date.fromisoformat(day) + datetime.timedelta(days=n))
+        start, stop = moved(first, -look_back), moved(last, look_back)
+        days = [d for d in days if start <= d <= stop]
+    wanted = [f"{root}/receipts/day={d}" for d in days]
+    if not wanted:
+        return None
+    return spark.read.schema("receipt_id string, day string, batch long").option("basePath", f"{root}/receipts").parquet(*wanted).where(F.col("batch") < batch_id).select("receipt_id")
+
+
+def ingest_batch(batch: DataFrame, root: str, batch_id: int, look_back: int | None = 30) -> None:
+    """Appends one batch by day: corrupt documents, and receipts that break the tables' contract or have an item that does, to quarantine, the rest to items and receipts, receipts last.
+
+    Of copies of a receipt the earliest that can be read counts (of equal times the one with the smaller hash), whatever the
+    order of delivery; one that was stored for a day within `look_back` days of its own is not stored again (None: for any day).
+    A batch that comes again overwrites its own folders.
+    """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates(["receipt_id"])
-    try:  # receipts of earlier batches that are delivered again
-        known = spark.read.option("basePath", f"{root}/receipts").parquet(f"{root}/receipts").where(F.col("batch") < batch_id).select("receipt_id")
-        fresh = fresh.join(known, "receipt_id", "left_anti")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-    docs = parse_documents(fresh).persist()
+    parsed = parse_documents(batch).persist()
+    docs = None
     try:
-        for name, rows in (("quarantine", docs.where("doc is null").select("receipt_id", "json", "error")), ("items", items_from(docs)), ("receipts", receipts_from(docs))):
-            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        usable = F.col("doc").isNotNull() & F.col("receipt_id").isNotNull()
+        corrupt = parsed.where(~usable).select("receipt_id", "json", F.coalesce("error", F.lit("receipt_id: required")).alias("error"), day_of())
+        good = parsed.where(usable).groupBy("receipt_id").agg(F.min_by(F.struct(*[c for c in parsed.columns if c != "receipt_id"]), F.struct("ingest_ts", F.xxhash64("json"))).alias("d")).select("receipt_id", "d.*")
+        first, last = parsed.select(day_of()).agg(F.min("day"), F.max("day")).first()
+        known = known_ids(spark, root, first, last, batch_id, look_back) if first else None
+        docs = (good.join(known, "receipt_id", "left_anti") if known is not None else good).withColumn("day", day_of()).persist()
+        receipts, items = receipts_from(docs), items_from(docs)
+        bad = rejected(receipts, items).persist()
+        broken = docs.join(bad, "receipt_id").select("receipt_id", "json", F.array_join("violations", "; ").alias("error"), "day")
+        days = docs.select("receipt_id", "day")
+        for name, rows in (("quarantine", corrupt.union(broken)), ("items", items.join(bad, "receipt_id", "left_anti").join(days, "receipt_id")), ("receipts", receipts.join(bad, "receipt_id", "left_anti").join(days, "receipt_id"))):
+            rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{root}/{name}")
+        bad.unpersist()
     finally:
-        docs.unpersist()
+        parsed.unpersist()
+        if docs is not None:
+            docs.unpersist()
 
 
-def ingest_stream(spark: SparkSession, source: str, root: str, files: int | None = None) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, source: str, root: str, files: int | None = None, look_back: int | None = 30) -> StreamingQuery:
     """Reads raw documents (RAW) that land as Parquet under source and appends them under root until all that is there is done."""
     reader = spark.readStream.schema(RAW)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
     rows = reader.parquet(source)
-    return rows.writeStream.foreachBatch(lambda df, i: ingest_batch(df, root, i)).option("checkpointLocation", f"{root}/_progress").trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(lambda df, i: ingest_batch(df, root, i, look_back)).option("checkpointLocation", f"{root}/_progress").trigger(availableNow=True).start()
