@@ -26,9 +26,11 @@ def brute_repeats(rows, least):
     return out
 
 
-@pytest.mark.parametrize("large", [4096, 1])
-def test_repeats_against_brute_force(documents, corpus, monkeypatch, large):
+@pytest.mark.parametrize(("large", "step"), [(4096, 1 << 21), (1, 700)])
+def test_repeats_against_brute_force(documents, corpus, monkeypatch, large, step):
+    """Also with every anchor of two contexts counted by hash, and with texts read in pieces of 700 bytes."""
     monkeypatch.setattr(op1, "LARGE", large)
+    monkeypatch.setattr(op1, "STEP", step)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, bytes(r.kept)) for r in op1.remove_repeats(documents, 400).collect())
     want = sorted((c[0] if c[0] is not None else -1, *w) for c, w in zip(corpus, brute_repeats([c[1] for c in corpus], 400)))
     assert got == want
@@ -40,6 +42,40 @@ def test_repeats_small_lengths(spark):
     assert got == [(i, *w) for (i, _), w in zip(rows, brute_repeats([t for _, t in rows], 8))]
 
 
+def test_a_hot_text_and_a_very_long_one(spark):
+    """A third of all rows are one text; a text of 9 MB repeats two passages of another."""
+    r = np.random.default_rng(3)
+    word = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    hot, own = word(900), [word(700) for _ in range(40)]
+    long = " ".join(word(6) for _ in range(100)) * 2 + "".join(map(chr, r.integers(97, 123, 9_000_000))) + own[0][100:650] + " end"
+    rows = [(i, t) for i, t in enumerate([*own, *[hot] * 20, long])]
+    got = {q.doc_id: (q.n_bytes, q.n_removed, [tuple(x) for x in q.removed]) for q in op1.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_bytes", "n_removed", "removed").collect()}
+    assert all(got[i] == (900, 900, [(0, 900)]) for i in range(40, 60))
+    assert got[0] == (700, 550, [(100, 650)]) and all(got[i] == (700, 0, []) for i in range(1, 40))
+    n = len(long)
+    assert got[60][2][0][0] == 0 and got[60][2][-1] == (n - 554, n - 4) and len(got[60][2]) == 2 and 1390 <= got[60][2][0][1] <= 1402
+
+
+def test_bytes_decide_within_one_text():
+    raw, offsets = b"abcabcabxabc", np.array([0, 3, 6, 12])
+    assert op1.elsewhere(raw, offsets, 0, 3) and not op1.elsewhere(raw, offsets, 2, 3) and not op1.elsewhere(b"abcdabcd", np.array([0, 3, 8]), 4, 4)
+
+
+def test_words_of_long_texts_in_pieces():
+    from tillroll.llm import common as C
+
+    r = np.random.default_rng(4)
+    data = np.frombuffer((" ".join("".join(chr(97 + c) for c in r.integers(0, 26, 7)) for _ in range(700_000)) + " Élan").encode(), np.uint8)
+    assert len(data) > 5 * C.GROUP_BYTES
+    for f in (C.hashed_words, C.letter_words):
+        whole, row = f(data, np.array([0, len(data)]))
+        start, end, _ = C.word_spans(data, np.array([0, len(data)]))
+        plain = C.mix64(C.span_hashes(C.prefix_hashes(data, "folded"), start, end))
+        assert len(whole) == len(row) == 700_001 and (whole[:-1] == plain[:-1]).all()
+    assert f(data[-5:], np.array([0, 5]))[0][0] == whole[-1] == f(np.frombuffer("éLAN".encode(), np.uint8), np.array([0, 5]))[0][0]
+    assert len(C.letter_words(np.full(3 * C.GROUP_BYTES, 97, np.uint8), np.array([0, 3 * C.GROUP_BYTES]))[0]) == 1
+
+
 def test_suffix_order_is_lexicographic():
     from tillroll.llm import common as C
 

@@ -1,4 +1,8 @@
+import re
+from collections import Counter
+
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tillroll.llm import common as C
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +55,54 @@ def test_one_row_of_near_duplicates_stays(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(map(str, ((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect())))
     assert got == sorted(map(str, [rows[0], rows[4], rows[6], rows[7], rows[8]]))
+
+
+def test_stages_against_plain_python(spark, documents, tmp_path):
+    """What each stage keeps of the fixture, stage by stage."""
+    from test_dedup import brute_components, brute_lines
+    from test_text_operators import brute_tiles
+    from tillroll.llm.op07_toxicity import score_documents
+
+    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    first = [t for i, t in rows(docs) if i == 1][0]
+    items = [(0, first), (1, "nothing of this stands anywhere in the corpus"), (2, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = docs.where("doc_id < 77").select("doc_id", F.lit(1).alias("quality"), ((F.col("doc_id") == 0) | F.col("doc_id").between(72, 76)).cast("int").alias("toxic")).distinct()
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    toxicity, lines, near, clean, pack = (f for _, f in corpus_pipeline.STAGES)
+
+    bad = {(r.doc_id, r.h1) for r in score_documents(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect() if r.score >= 0.3}
+    keyed = [(r.doc_id, r.text, r.h1) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h1")).collect()]
+    kept = C.materialize(toxicity(spark, docs, str(tmp_path)), "t")
+    assert Counter(rows(kept)) == Counter((i, t) for i, t, h in keyed if (i, h) not in bad) and 0 < kept.count() < docs.count()
+
+    cut = C.materialize(lines(spark, kept, str(tmp_path)), "l")
+    assert Counter((-(1 << 63) if i is None else i, t) for i, t in rows(cut)) == Counter((b[0], b[3]) for b in brute_lines(rows(kept)))
+    assert all(r.n_chars == len(r.text) for r in cut.collect())
+
+    single = C.materialize(near(spark, cut, str(tmp_path)), "n")
+    before, after = rows(cut), Counter(rows(single))
+    kinds = list(dict.fromkeys(before))
+    component = dict(zip(range(len(kinds)), (c for _, _, c in sorted(brute_components([(n, t) for n, (_, t) in enumerate(kinds)], 5, 80, 100)))))
+    groups = {}
+    for n, k in enumerate(kinds):
+        groups.setdefault(component[n], []).append(k)
+    want = 0
+    for held in groups.values():
+        words = any(re.search(r"[^\x20\x09-\x0D]", t or "") for _, t in held)
+        times = 1 if words else sum(before.count(k) for k in held)
+        want += times
+        assert sum(after[k] for k in held) == times
+        least = min((-1 if i is None else i) for i, _ in held)
+        assert not words or any(after[k] for k in held if (-1 if k[0] is None else k[0]) == least)
+    assert want == sum(after.values()) < len(before)
+
+    rest = C.materialize(clean(spark, single, str(tmp_path)), "c")
+    split = lambda t: C.spaced(t or "").split()
+    leaked = lambda t: any(b and sum(n for *_, n in brute_tiles(split(t), split(b), 5)) >= 0.4 * len(split(b)) for _, b in items)
+    assert Counter(rows(rest)) == Counter((i, t) for i, t in after.elements() if not (len(split(t)) < 500 and leaked(t)) and not (len(split(t)) >= 500 and first in t))
+
+    packed = pack(spark, rest, str(tmp_path)).collect()
+    pieces = Counter(r.doc_id for r in packed if r.start == 0)
+    assert pieces == Counter(i for i, _ in rows(rest))

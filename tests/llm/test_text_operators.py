@@ -48,6 +48,15 @@ def test_word_ids_equal_the_tokenizers():
         assert count.tolist() == [len(ids)]
 
 
+def test_ids_of_a_very_long_text(spark):
+    from tokenizers import Tokenizer
+
+    text = "A long text, of words; " * 250_000  # 5.75 MB
+    ids = [*Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids, 1]
+    got = op3.pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), TOKENIZER, 2048).orderBy("start").collect()
+    assert [(r.start, r.length, r.ids_crc32) for r in got] == [(s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for s in range(0, len(ids), 2048)]
+
+
 def test_shortest_pack_first_places_all():
     counts = {2048: 3, 1500: 7, 700: 20, 300: 11, 5: 400, 1: 9}
     patterns = op3.shortest_pack_first(counts, 2048)

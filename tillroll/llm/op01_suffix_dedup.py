@@ -72,7 +72,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, least: int, anchor: int):
     return grams[place[first]], C.mix64(C.span_hashes(prefix, first, stop - 1 + least)), row[first], first - offsets[row[first]], stop - first
 
 
-def met(anchor, ctx, doc, doc2, start, count, again):
+def met(anchor, ctx, doc, doc2, start, count, again, large: int = LARGE):
     """Of contexts with one bucket of anchors: (doc, doc2, start, count, kind, group) of those that are repeated or need a closer look."""
     order = np.lexsort((start, doc, ctx, anchor))
     anchor, ctx, doc, doc2, start, count, again = (c[order] for c in (anchor, ctx, doc, doc2, start, count, again))
@@ -86,7 +86,7 @@ def met(anchor, ctx, doc, doc2, start, count, again):
     whole = np.repeat(several, times)
     look = kinds > 1
     pick = at_c[look]
-    group = np.where(kinds[look] > LARGE, np.uint64(0), anchor[pick] | np.uint64(1))  # group 0: one of too many
+    group = np.where(kinds[look] > large, np.uint64(0), anchor[pick] | np.uint64(1))  # group 0: one of too many
     n = int(whole.sum())
     return [(doc[whole], doc2[whole], start[whole], count[whole], np.full(n, WHOLE), np.zeros(n, np.uint64)), (doc[pick], doc2[pick], start[pick], count[pick], np.where(several[look], SAMPLE, SINGLE), group)]
 
@@ -239,7 +239,7 @@ def scan(rows: DataFrame, least: int, anchor: int) -> DataFrame:
             _, _, doc, doc2, start, count, _ = columns
             found = [(doc, doc2, start, count, np.full(len(doc), WHOLE), np.zeros(len(doc), np.uint64))]
         else:
-            found = met(*columns)
+            found = met(*columns, large=LARGE)
         for doc, doc2, start, count, kind, group in found:
             for a in range(0, len(doc), 1 << 16):
                 s = slice(a, a + (1 << 16))
