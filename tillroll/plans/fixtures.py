@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.session import spread
+
 #: By o_orderkey % 16: a receipt's text, and what must be read from it (name, address, phone, postal code, country, confidence).
 CASES = [
     ("CORNER SHOP\n12 Jalan Ampang\nTel: 03-22831117", "CORNER SHOP", "12 Jalan Ampang", "0322831117", None, "Malaysia", 0.85),
@@ -38,7 +40,7 @@ def case_text(k) -> F.Column:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(receipt_id, k, text) of every order."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("receipt_id"), (F.col("o_orderkey") % 16).alias("k")).withColumn("text", case_text(F.col("k")))
+    return spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("receipt_id"), (F.col("o_orderkey") % 16).alias("k"))).withColumn("text", case_text(F.col("k")))
 
 
 def total_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def total_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(receipt_id, strategy, strategy_ord, text_a, text_b): three readings of every order; every fifth order can't be read."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("receipt_id"), F.posexplode(F.array(*map(F.lit, STRATEGIES))).alias("strategy_ord", "strategy"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("receipt_id"), F.posexplode(F.array(*map(F.lit, STRATEGIES))).alias("strategy_ord", "strategy"))
     k = F.when(F.col("receipt_id") % 5 == 0, 12).otherwise((F.col("receipt_id") + 5 * F.col("strategy_ord")) % 16)
     rows = rows.withColumns({"t": case_text(k), "m": F.col("receipt_id") % 3})
     return rows.select("receipt_id", "strategy", "strategy_ord", F.when(F.col("m") == 1, "x").otherwise(F.col("t")).alias("text_a"), F.when(F.col("m") == 2, "").otherwise(F.col("t")).alias("text_b"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import text as T
 from tillroll.operators import analytics, candidates, checks, extract, store, structure
 from tillroll.plans import fixtures as X
-from tillroll.session import scratch
+from tillroll.session import scratch, spread
 from tillroll.sources import landing
 from tillroll.streaming.ingest import ingest_stream
 
@@ -127,7 +127,7 @@ def location_own_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def location_extract_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_locations(X.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return extract.extract_locations(spread(X.table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
 
 
 @query("""

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on or that a large cluster wants; sizes stay with the cluster.
 SETTINGS = {
@@ -32,3 +32,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root or os.path.join(tempfile.gettempdir(), 'tillroll-shared')}/tillroll/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer files than there are cores, dealt out to all of them before costly work on each row; other tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
