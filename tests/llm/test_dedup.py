@@ -170,6 +170,39 @@ def test_bands_let_every_linked_pair_meet():
                 assert bands.most(small + large) <= differ < words
 
 
+def test_folded_sketches_are_those_of_fewer_bits():
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    members = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)) for n in (5000, 9000, 33000)]
+    wide = [op10.wide_sketch(m) for m in members]
+    got = op10.folded(pa.array(wide))
+    bits = len(wide[0]) * 8
+    for m, row in zip(members, got):
+        want = np.packbits((np.bincount((m >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+        assert row.view(np.uint8).tobytes() == want.tobytes()
+    for i in range(3):
+        for j in range(i):
+            assert int(np.bitwise_count(got[i] ^ got[j]).sum()) <= op10.distance(wide[i], wide[j])
+    assert op10.folded(pa.array([wide[0], None])) is None
+
+
+def test_large_sets_against_brute_force(spark):
+    """Sets too large for the common sketch, in groups on either side of the threshold, with a passage that all share."""
+    r = np.random.default_rng(9)
+    word = lambda: f"w{r.integers(0, 10**9)}"
+    shared, rows = [word() for _ in range(400)], []
+    for g in range(4):
+        base = [word() for _ in range(2600)]
+        for k in range(6):
+            own = list(base)
+            for at in r.choice(len(own), [2, 20, 60, 62, 120, 300][k], replace=False):
+                own[at] = word()
+            rows.append((len(rows), " ".join(shared + own)))
+    got = sorted((q.doc_id, q.n_shingles, q.component_id) for q in op10.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect())
+    assert got == brute_components(rows, 5, 80, 100)
+
+
 def test_join_without_rows(nothing):
     assert op10.jaccard_components(nothing).count() == 0
 

@@ -33,6 +33,7 @@ ENTRY = ["<u4", "<u8", "<u4", "<u1", "<u2"]
 OWNER = ["<u8", "<u8", "<u4"]
 DOCS_FIRST = 1 << 24  # bucket numbers from here on hold (doc_id, class, size)
 BLOCK = 1024
+BLOCK_BYTES = 1 << 25
 #: Classes whose sketch words a map task has sent already, as far as it remembers them.
 REMEMBER = 1 << 18
 #: Bits of the filter on the documents whose sets are needed: 8 MB.
@@ -226,8 +227,24 @@ def class_sets(docs: DataFrame, owners: DataFrame, wanted: DataFrame, width: int
     return C.bucketed(found, "class", "ngram_sets")
 
 
+def near_sketches(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes that the Hamming distance of their sketches lets pass."""
+    side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("wide").alias(f"w{c}"))
+    total = F.col("na") + F.col("nb")
+    most = total - 2 * F.ceil(F.lit(num) * total / F.lit(num + den))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+    def near(batches):
+        for batch in batches:
+            keep = [distance(x, y) <= m for x, y, m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b", "wa", "wb", most.cast("long").alias("most"))
+    return C.materialize(met.mapInArrow(near, "a long, b long"), "ngram-pairs")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough: by the distance of sketches first, then by their whole sets."""
+    """The pairs (a, b) of classes whose whole sets are similar enough."""
 
     def task(batches):
         for batch in batches:
@@ -240,38 +257,52 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("wide").alias(f"w{c}"))
-    total = F.col("na") + F.col("nb")
-    most = total - 2 * F.ceil(F.lit(num) * total / F.lit(num + den))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-
-    def near(batches):
-        for batch in batches:
-            keep = [distance(x, y) <= m for x, y, m in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b", "wa", "wb", most.cast("long").alias("most"))
-    pairs = C.materialize(met.mapInArrow(near, "a long, b long"), "ngram-pairs")
     left = sets.select(F.col("class").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("class").alias("b"), F.col("members").alias("mb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(task, "a long, b long")
 
 
+def folded(wide: pa.Array) -> np.ndarray | None:
+    """Wide sketches as rows of one width, that of the narrowest; None if one is missing."""
+    if wide.null_count or not len(wide):
+        return None
+    raw = wide.to_pylist()
+    size = [len(v) for v in raw]
+    out = np.empty((len(raw), min(size)), np.uint8)
+    for n in set(size):
+        at = [i for i, k in enumerate(size) if k == n]
+        bits = np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), n)
+        while bits.shape[1] > out.shape[1]:  # neighbouring bits are one bit of the narrower sketch
+            both = bits ^ (bits << np.uint8(1))  # a pair's parity, at its upper bit
+            half = np.zeros_like(both)
+            for k in range(4):
+                half |= ((both >> np.uint8(7 - 2 * k)) & np.uint8(1)) << np.uint8(3 - k)
+            bits = (half[:, ::2] << np.uint8(4)) | half[:, 1::2]
+        out[at] = bits
+    return out.view(np.uint64)
+
+
 def rest_pairs(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of here (x, class, n, comp), pairs of one run whose components differ, as far as sizes and the Hamming distance of sketches allow; in blocks of bounded memory."""
     bands = Bands(num, den)
 
-    def close(n1, s1, c1, k1, n2, s2, c2, k2):
+    def close(n1, s1, c1, k1, w1, n2, s2, c2, k2, w2):
         total = n1[:, None] + n2[None, :]
         ok = (c1[:, None] != c2[None, :]) & (den * np.minimum(n1[:, None], n2[None, :]) >= num * np.maximum(n1[:, None], n2[None, :]))
         i, j = np.nonzero(ok)
+        # parts of the sketches are enough to tell most pairs apart; sets too large for the common sketch have wider ones
+        parts = [(s1, s2, lo, hi) for lo, hi in ((0, 4), (4, 12), (12, s1.shape[1]))]
         for a in range(0, len(i), 1 << 16):
             p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
             most, far = bands.most(total[p, q]), np.zeros(len(p), np.int64)
-            for lo, hi in ((0, 4), (4, 12), (12, s1.shape[1])):  # a part of the sketches is enough to tell most pairs apart
-                far += np.bitwise_count(s1[p, lo:hi] ^ s2[q, lo:hi]).sum(axis=1, dtype=np.int64)
+            for x, y, lo, hi in parts:
+                far += np.bitwise_count(x[p, lo:hi] ^ y[q, lo:hi]).sum(axis=1, dtype=np.int64)
                 near = far <= most
                 p, q, most, far = p[near], q[near], most[near], far[near]
+            if w1 is not None and len(p):
+                step = max(1, (1 << 20) // w1.shape[1])
+                near = np.concatenate([np.bitwise_count(w1[p[b : b + step]] ^ w2[q[b : b + step]]).sum(axis=1, dtype=np.int64) for b in range(0, len(p), step)]) <= most
+                p, q = p[near], q[near]
             if len(p):
                 x, y = k1[p], k2[q]
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -281,14 +312,16 @@ def rest_pairs(here: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             a, b = (run.column(c)[0].as_py() for c in ("a", "b"))
             n, c, k, block = (run.column(name).to_numpy() for name in ("n", "comp", "class", "block"))
             s = run.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(run), -1)
+            w = folded(run.column("wide").combine_chunks())
             x, y = block == a, block == b
-            yield from close(n[x], s[x], c[x], k[x], n[y], s[y], c[y], k[y])
+            yield from close(*(v if v is None else v[side] for side in (x, y) for v in (n, s, c, k, w)))
 
-    # a run of more than BLOCK members goes in blocks, each pair of blocks a task of its own
-    sizes = here.groupBy("x").agg(F.count("*").alias("_n")).select("x", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    # a run of more than BLOCK members, or of more bytes of sketches than a task should hold, goes in blocks, each pair of blocks a task of its own
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / (8 * BLOCK_BYTES)))
+    sizes = here.groupBy("x").agg(blocks.cast("int").alias("blocks"))
     placed = here.join(sizes, "x").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.join(sets.select("class", "sketch"), "class").select("x", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "n", "sketch", "comp", "class", "block")
+    pairs = pairs.join(sets.select("class", "sketch", "wide"), "class").select("x", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "n", "sketch", "wide", "comp", "class", "block")
     parts = C.partitions(here.sparkSession)
     return pairs.repartition(parts, "x", "a", "b").sortWithinPartitions("x", "a", "b").mapInArrow(task, "a long, b long").distinct()
 
@@ -317,6 +350,8 @@ def _joined(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> Dat
             pairs = pairs.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
         else:
             pairs = rest_pairs(here, sets, num, den)
+        if r < rounds:
+            pairs = near_sketches(pairs, sets, num, den)
         more = C.materialize(verified(pairs, sets, num, den), "ngram-links")
         links = more if links is None else links.union(more)
         if r < rounds:
