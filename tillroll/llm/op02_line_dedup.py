@@ -67,7 +67,7 @@ def written_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) ->
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text."""
     joined = docs.withColumns({"_doc": _document(), "_hash": F.xxhash64("text")}).join(
-        bitmaps.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash", "n_dropped": "_n", "keep_runs": "_runs"}), ["_doc", "_hash"], "left"
+        bitmaps.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash", "n_dropped": "_n", "keep_runs": "_runs"}).hint("merge"), ["_doc", "_hash"], "left"  # they grow with the documents, so they are never broadcast
     )
     lines = joined.withColumn("_lines", lines_of(F.col("text")))
     edge = F.aggregate("_runs", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))  # where runs begin

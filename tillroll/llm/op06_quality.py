@@ -29,13 +29,19 @@ BINS, SIDE = 64, 8
 
 
 def text_features(data: np.ndarray) -> np.ndarray:
-    """NAMES of one text; vectorised over its bytes."""
+    """NAMES of one text; vectorised over its bytes, in pieces, so that a long text takes little more memory than its words."""
     out = np.zeros(len(NAMES))
     n = len(data)
     if not n:
         return out
-    count = np.bincount(data, minlength=256).astype(float)
-    start, end, _ = C.word_spans(data, np.array([0, n]))
+    count, held, chars, longs, odd = np.zeros(256), [], 0, 0, 0
+    for a, b in C.pieces(data):
+        part = data[a:b]
+        count += np.bincount(part, minlength=256)
+        start, end, _ = C.word_spans(part, np.array([0, b - a]))
+        held.append(C.mix64(C.span_hashes(C.prefix_hashes(part, "folded"), start, end)))
+        last = part[end - 1]
+        chars, longs, odd = chars + int((end - start).sum()), longs + int((end - start > 12).sum()), odd + int(((last < 48) & (last != 44) & (last != 46)).sum())
     letters = count[65:91].sum() + count[97:123].sum() + count[128:].sum()
     marks = count[[33, 44, 46, 58, 59, 63]].sum()
     digits = count[48:58].sum()
@@ -44,19 +50,18 @@ def text_features(data: np.ndarray) -> np.ndarray:
     breaks = np.concatenate(([0], np.flatnonzero(data == 10) + 1, [n]))
     out[[0, 6, 7, 8, 9, 10, 11, 14, 15, 17]] = (np.log1p(n), digits / n, count[65:91].sum() / max(1, letters), symbols / n, marks / n, count[46] / n, count[124] / n, count[128:].sum() / n, -(p * np.log2(p)).sum(), count[33] / n)
     out[12] = np.log1p(len(breaks) - 1)
-    if len(start):
-        words = C.hashed_words(data, np.array([0, n]))[0]
-        length = (end - start)[: len(words)]
+    if len(words := np.concatenate(held)):
         kinds, times = np.unique(words, return_counts=True)
-        out[[1, 2, 3, 4, 5]] = np.log1p(len(words)), length.mean(), (length > 12).mean(), len(kinds) / len(words), times.max() / len(words)
+        out[[1, 2, 3, 4, 5]] = np.log1p(len(words)), chars / len(words), longs / len(words), len(kinds) / len(words), times.max() / len(words)
         pairs = words[1:] * np.uint64(C.BASE) + words[:-1]
         out[16] = 1 - len(np.unique(pairs)) / max(1, len(pairs))
         out[18] = len(words) / (len(breaks) - 1)
-        last = data[end - 1]
-        out[19] = ((last < 48) & (last != 44) & (last != 46)).mean()
-    prefix = C.prefix_hashes(data)
-    lines = C.span_hashes(prefix, breaks[:-1], breaks[1:])
-    out[13] = len(np.unique(lines)) / len(lines)
+        out[19] = odd / len(words)
+    lines = []
+    for lo, hi in C.groups(breaks):
+        at = breaks[lo : hi + 1] - breaks[lo]
+        lines.append(C.span_hashes(C.prefix_hashes(data[breaks[lo] : breaks[hi]]), at[:-1], at[1:]))
+    out[13] = len(np.unique(np.concatenate(lines))) / (len(breaks) - 1)
     return out
 
 
@@ -176,5 +181,6 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read(spark, sf_dir, "documents")
-    model = fit(docs, labelled_ids(C.read(spark, sf_dir, "labels"), "quality", 8000, 3, 1))
+    with C.workspace(spark, "quality"):
+        model = fit(docs, labelled_ids(C.read(spark, sf_dir, "labels"), "quality", 8000, 3, 1))
     return score(docs, model).select("doc_id", (F.pmod(C.salted_id(), F.lit(3)) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

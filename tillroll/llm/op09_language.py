@@ -1,10 +1,11 @@
 """Language identification by hierarchical discrimination.
 
-A linear model over hashed letter n-grams (1 to 4 bytes of lower-case letters, words padded by spaces) first tells the
-family, then one-versus-one linear support vector machines tell the languages of that family apart by votes, margins
+A linear model over hashed letter n-grams (2 to 4 bytes, ASCII letters in lower case, words padded by spaces) first tells
+the family, then one-versus-one linear support vector machines tell the languages of that family apart by votes, margins
 breaking ties. Families come from FAMILIES; languages not named there form one family of their own.
 
-Learned from the whole texts of at most about `cap` documents of each language. `und` with score 0 where the text is
+Learned from the whole texts of at most about `cap` documents of each language, whose vectors (16 KB each) the driver holds
+while it fits: 10 MB a language at the default. `und` with score 0 where the text is
 null or has no letter. Repeated rows are judged alike; a null doc_id is kept; without any labelled document every text
 is `und`; an empty table gives no rows; other columns are ignored.
 """
