@@ -63,6 +63,12 @@ def test_items_quirks(spark):
     assert {r.receipt_id: r.error for r in found.where("doc is null").collect()} == {"4": structure.CORRUPT, "5": structure.NO_DATA}
 
 
+def test_dates_in_every_format(spark):
+    forms = ["2024-03-05T10:20:30", "2024-03-05T10:20:30.123Z", "2024-03-05 10:20:30", "2024-03-05", "03/05/2024 10:20:30", "03/05/2024", "3/5/2024", "2024/03/05", "05 Mar 2024", "Mar 5, 2024", "yesterday", None]
+    got = [str(r.d)[:10] for r in spark.createDataFrame([(f,) for f in forms], "v string").select(structure.date_of(F.col("v")).alias("d")).collect()]
+    assert got == ["2024-03-05"] * 10 + ["None"] * 2
+
+
 def test_override(spark):
     found = docs(spark, '{"doc_type":"receipt","confidence":0.9,"fields":{"MerchantName":{"value":"Old"},"MerchantAddress":{"value":"Here"}}}')
     located = spark.createDataFrame([("0", True, "New", "", "0322831117", "59200", "Malaysia", 0.7, "simple")], "receipt_id string, success boolean, store_name string, address string, phone string, postal_code string, country string, confidence double, strategy_used string")
