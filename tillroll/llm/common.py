@@ -91,14 +91,14 @@ def share(spark: SparkSession, value):
 #: shared folder; Arrow batches are small, so that a task holds a few MB of texts at once.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _lock = threading.Lock()
-_writers: dict[str, int] = {}
-_before: dict[str, dict] = {}
+_writers: dict[int, int] = {}
+_before: dict[int, dict] = {}
 
 
 @contextlib.contextmanager
 def _writing(spark: SparkSession):
     """_WRITING holds in the session until the last of its threads has left."""
-    own = spark.sessionUuid if hasattr(spark, "sessionUuid") else str(id(spark._jsparkSession))
+    own = id(spark._jsparkSession)
     with _lock:
         if not _writers.get(own):
             _before[own] = {name: spark.conf.get(name, None) for name in _WRITING}

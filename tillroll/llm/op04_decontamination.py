@@ -9,8 +9,8 @@ reordered passages count in full; a document is contaminated when an item's cove
 
 The benchmark is taken in blocks of about BLOCK_WORDS words, each broadcast to one pass over the documents; every
 document meets every block. An item of fewer than `min_match` words is sought whole, so that it counts with coverage 1
-or not at all. Null items and those without words match nothing. Null and empty texts are clean. Each row is judged by its own text, whatever rows share its doc_id or have a null one, too. Repeated
-items count each. An empty documents table gives no rows, an empty benchmark clean documents; other columns are ignored.
+or not at all. Null items and those without words match nothing. Null and empty texts are clean. Each row is judged by its
+own text, whatever rows share its doc_id or have a null one, too. Repeated items count each. An empty documents table gives no rows, an empty benchmark clean documents; other columns are ignored.
 """
 
 from __future__ import annotations

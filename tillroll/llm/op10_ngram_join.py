@@ -6,8 +6,9 @@ Hamming distance bounds it from below. Sets are joined by size band. A band whos
 shingles has sketches of more than D words, so linked sets agree in several words (pigeonhole), and equal words
 meet in a packed shuffle. As they agree in more than one, every set lets go of its most common words, in the same order
 of words for all, so far that one that two linked sets share is left to both: words of boilerplate make no candidates.
-What meets is filtered by the Hamming distance of a wider bit sketch and verified on the whole sets. Equal sets are one class throughout, and members of one sketch word meet through leaders first, so that
-large groups of near copies never become all their pairs; what the leaders leave apart is then compared exhaustively.
+What meets is filtered by the Hamming distance of wider bit sketches and verified on the whole sets. Equal sets are one
+class throughout (by a 64-bit hash), and members of one sketch word meet through leaders first, so that large groups of near
+copies never become all their pairs; what the leaders leave apart is then compared exhaustively, in blocks.
 
 A document of fewer words than a shingle has its whole word sequence as its only member. Null, empty and blank texts
 have no set and link with nothing. Null doc_ids link with nothing and get a null component. Rows that share a doc_id
