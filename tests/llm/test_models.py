@@ -37,6 +37,26 @@ def test_embeddings_against_brute_force(spark):
     op8.BLOCK = 2048
     assert op8.near_duplicates(frame.limit(0)).count() == 0
 
+def test_embeddings_that_share_ids_or_are_of_extreme_size(spark):
+    r = np.random.default_rng(12)
+    a, b = r.normal(size=8), r.normal(size=8)
+    near = lambda v: (v + 0.01 * r.normal(size=8)).tolist()
+    rows = [(5, a.tolist(), 1), (5, b.tolist(), 2), (7, near(a), 1), (9, near(b), 2), (5, near(a), 1), (7, b.tolist(), 1), (11, b.tolist(), 1)]
+    rows += [(20, [1e200] * 8, 3), (21, [1e200] * 7 + [1.0001e200], 3), (22, [1e-200] * 8, 3), (23, [1e-310] * 8, 3), (24, [1e200] * 4 + [-1e200] * 4, 3), (25, [1.7e308] * 8, 3)]
+
+    def linked(p, q):
+        x, y = (np.array([float(v) for v in np.ldexp(z, -np.frexp(np.abs(z).max())[1])]) for z in (np.array(p[1]), np.array(q[1])))
+        return p[2] == q[2] and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98
+
+    n = len(rows)
+    links = [[j for j in range(n) if j != i and linked(rows[i], rows[j])] for i in range(n)]
+    root = list(range(n))
+    for _ in range(n):
+        root = [min([root[i], *(root[j] for j in links[i])]) for i in range(n)]
+    least = [min(rows[j][0] for j in range(n) if root[j] == root[i]) for i in range(n)]
+    got = op8.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((rows[i][0], len(links[i]), least[i], rows[i][0] == least[i]) for i in range(n))
+
 
 @pytest.mark.parametrize("hashes", sorted(op8.SETTINGS))
 def test_recall_at_the_threshold(hashes):

@@ -77,6 +77,11 @@ def bucket_keys(x: np.ndarray, salt: np.ndarray, tables: int, hashes: int, probe
     return out.reshape(n, -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two of their largest component, which changes no cosine and no digit: squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def hashed(classes: DataFrame, dims: int) -> DataFrame:
     """(id, times, vector, keys) of classes (id, times, label, embedding, hashes)."""
     width = 1 << max(1, (dims - 1).bit_length())
@@ -88,7 +93,9 @@ def hashed(classes: DataFrame, dims: int) -> DataFrame:
             flat = rows.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(size)), size)
             x = np.zeros((len(size), width))
-            x[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = flat
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            x[row, place] = flat
+            x = scaled(x)
             salt = C.mix64(batch.column(2).to_numpy().view(np.uint64) * np.uint64(C.BASE) + size.astype(np.uint64))
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             keys: list = [None] * len(size)
@@ -96,7 +103,7 @@ def hashed(classes: DataFrame, dims: int) -> DataFrame:
                 at = np.flatnonzero(hashes == h)
                 for i, k in zip(at.tolist(), bucket_keys(unit[at], salt[at], SETTINGS[h], h, PROBES).view(np.int64)):
                     keys[i] = k
-            bytes_ = flat.astype("<f8").tobytes()
+            bytes_ = x[row, place].astype("<f8").tobytes()
             end = (np.cumsum(size) * 8).tolist()
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([bytes_[a:b] for a, b in zip([0, *end], end)], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "times", "vector", "keys"])
 
@@ -175,7 +182,8 @@ def _linked(vectors: DataFrame, least: float, fill: int) -> DataFrame:
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label", fine.alias("fine"), F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "label", "embedding").alias("h2"))
     good = rows.where("fine")
-    classes = C.materialize(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "vector-classes")
+    classes = C.materialize(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("times"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "vector-classes")
+    classes = _numbered(classes)
     dims = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
     cells = 2.0 * (1 << max(1, (dims - 1).bit_length()))
     hashes = F.least(F.lit(max(SETTINGS)), F.greatest(F.lit(1), F.ceil(F.log(F.col("n") / F.lit(float(fill))) / F.lit(float(np.log(cells))))))
@@ -189,12 +197,18 @@ def _linked(vectors: DataFrame, least: float, fill: int) -> DataFrame:
     found = C.materialize(linked(pairs.join(table, "id"), least), "vector-links")
     totals = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "id"})
-    summed = classes.select("h1", "h2", "id", "times").join(totals, "id", "left").join(joined, "id", "left")
-    summed = summed.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "id").alias("c"), F.lit(True).alias("fine"))
+    summed = C.materialize(classes.select("h1", "h2", "id", "first_id", "times").join(totals, "id", "left").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "class-links")
+    named = summed.groupBy("component").agg(F.min("first_id").alias("c"))  # a component's smallest vec_id
+    summed = summed.join(named, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n"), "c", F.lit(True).alias("fine"))
     out = rows.select("vec_id", "h1", "h2", "fine").join(summed, ["h1", "h2", "fine"], "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def _numbered(classes: DataFrame) -> DataFrame:
+    """classes with `id`, a number of their own: rows that share a vec_id are classes of their own. It follows from where a class stands in the written table, which is read anew without another number."""
+    return C.materialize(classes.withColumn("id", F.monotonically_increasing_id()), "numbered-classes")
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.read(spark, sf_dir, "embeddings"))
 
