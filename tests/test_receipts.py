@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll import schemas as S
-from tillroll.operators import analytics, candidates, checks, store, structure
+from tillroll.operators import analytics, candidates, checks, store, structure, versions
 from tillroll.plans import fixtures as X
 from tillroll.plans import queries as Q
 from tillroll.session import scratch
@@ -85,17 +85,17 @@ def test_contract(spark):
 
 def test_store_versions(spark, tmp_path):
     root = str(tmp_path)
-    empty, _ = store.load(spark, root)
+    empty, _ = versions.load(spark, root)
     assert empty.count() == 0
     receipts, items = X.receipts(spark, SF), X.items(spark, SF)
-    assert store.save(spark, root, receipts, items) == 1
-    kept, left, found = store.delete(*store.load(spark, root), receipts.limit(3))
-    assert store.save(spark, root, kept, left, base=1) == 2
-    assert store.load(spark, root)[0].count() == receipts.count() - 3
-    with pytest.raises(store.ConcurrentChange):  # made from version 1, which is no longer the latest
-        store.save(spark, root, kept, left, base=1)
-    assert store.append(spark, root, receipts.limit(3), items.limit(0)) == 3
-    assert store.load(spark, root)[0].count() == receipts.count() and store.load(spark, root, 1)[0].count() == receipts.count()
+    assert versions.save(spark, root, receipts, items, period="yyyy") == 1
+    kept, left, found = store.delete(*versions.load(spark, root), receipts.limit(3))
+    assert versions.save(spark, root, kept, left, base=1) == 2
+    assert versions.load(spark, root)[0].count() == receipts.count() - 3
+    with pytest.raises(versions.ConcurrentChange):  # made from version 1, which is no longer the latest
+        versions.save(spark, root, kept, left, base=1)
+    assert versions.append(spark, root, receipts.limit(3), items.limit(0)) == 3
+    assert versions.load(spark, root)[0].count() == receipts.count() and versions.load(spark, root, 1)[0].count() == receipts.count()
 
 
 def test_create_keeps_receipt_and_items_together(spark, tmp_path):
@@ -103,8 +103,8 @@ def test_create_keeps_receipt_and_items_together(spark, tmp_path):
     rows = X.receipts(spark, SF).limit(3).withColumn("created_at", F.lit("2024-01-01 08:00:00").cast("timestamp")).withColumn("zone", F.lit("Asia/Singapore"))
     ids = [r.receipt_id for r in rows.select("receipt_id").collect()]
     items = spark.createDataFrame([(f"i{k}", k, "n" * (301 if k == ids[0] else 5)) for k in ids], "item_id string, receipt_id long, name string").withColumns({"price": F.lit(1).cast("decimal(18,2)"), "quantity": F.lit(1), "created_at": F.lit("2024-01-01").cast("timestamp")})
-    version, bad = store.create(spark, root, rows.where(F.col("receipt_id").isin(ids)), items)
-    receipts, kept = store.load(spark, root)
+    version, bad = versions.create(spark, root, rows.where(F.col("receipt_id").isin(ids)), items)
+    receipts, kept = versions.load(spark, root)
     assert version == 1 and [(r.receipt_id, r.violations) for r in bad.collect()] == [(ids[0], ["item name: longer than 300"])]
     assert {r.receipt_id for r in receipts.collect()} == {r.receipt_id for r in kept.collect()} == set(ids[1:])
     assert str(receipts.first().created_at) == "2024-01-01 00:00:00"

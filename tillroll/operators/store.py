@@ -1,21 +1,15 @@
-"""Queries and changes over the receipts and items tables.
-
-Tables are Parquet in folders of their own for each write; a version is a manifest that names its folders and is
-created last and only once, so no job overwrites what it reads and of two writers one is told.
-"""
+"""Queries and changes over the receipts and items tables, as frames; tillroll.operators.versions stores them."""
 
 from __future__ import annotations
 
 import contextlib
-import json
-import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll import schemas as S
-from tillroll.operators.checks import rejected, utc_times
+from tillroll.operators.versions import latest
 
 ITEM_VIEW = [c for c in S.ITEM_COLUMNS if c != "receipt_id"]
 
@@ -73,9 +67,10 @@ def items_named(items: DataFrame, name: str) -> DataFrame:
     return items.where(F.col("name") == name)
 
 
-def upsert(base: DataFrame, changed: DataFrame, now: Column, key: str = "receipt_id") -> DataFrame:
-    """base with the changed rows in place of, or beside, the old ones; replaced and new rows get updated_at."""
-    return base.join(changed.select(key), key, "left_anti").unionByName(changed.withColumn("updated_at", now.cast(base.schema["updated_at"].dataType)).select(*base.columns))
+def upsert(base: DataFrame, changed: DataFrame, now: Column, key: str = "receipt_id", order: str = "updated_at") -> DataFrame:
+    """base with the changed rows in place of, or beside, the old ones; replaced and new rows get updated_at. Of several changes of a key the last by `order` counts."""
+    last = latest(changed, key, order)
+    return base.join(last.select(key), key, "left_anti").unionByName(last.withColumn("updated_at", now.cast(base.schema["updated_at"].dataType)).select(*base.columns))
 
 
 def delete(receipts: DataFrame, items: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,81 +97,3 @@ def hot(receipts: DataFrame, items: DataFrame, since: Column):
         yield held
     finally:
         held.unpersist()
-
-
-# ---------------------------------------------------------------- versions
-
-
-class ConcurrentChange(RuntimeError):
-    """Another job wrote the version that this one was about to write."""
-
-
-def _manifest(spark: SparkSession, root: str, version: int | None = None):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifests" + (f"/{version}" if version is not None else ""))
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def current(spark: SparkSession, root: str) -> int:
-    """The number of the latest version, 0 before the first."""
-    path, fs = _manifest(spark, root)
-    return max((int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()), default=0) if fs.exists(path) else 0
-
-
-def _parts(spark: SparkSession, root: str, version: int) -> list[str]:
-    return json.loads("".join(r[0] for r in spark.read.text(f"{root}/manifests/{version}").collect())) if version else []  # one name for each write since the last rewrite
-
-
-def load(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Receipts and items of a version, the latest by default."""
-    parts = _parts(spark, root, current(spark, root) if version is None else version)
-    if not parts:
-        make = lambda cols: spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in cols.items()))
-        return make(S.RECEIPT_COLUMNS), make(S.ITEM_COLUMNS)
-    return tuple(spark.read.parquet(*(f"{root}/data/{p}/{name}" for p in parts)) for name in ("receipts", "items"))
-
-
-def _write(root: str, receipts: DataFrame, items: DataFrame) -> str:
-    part = uuid.uuid4().hex
-    items.write.parquet(f"{root}/data/{part}/items")
-    receipts.write.parquet(f"{root}/data/{part}/receipts")
-    return part
-
-
-def _publish(spark: SparkSession, root: str, version: int, parts: list[str]) -> int:
-    """Makes a version visible, receipts and items at once: its manifest is created only if no one else has."""
-    path, fs = _manifest(spark, root, version)
-    try:
-        out = fs.create(path, False)
-    except Exception as error:
-        if fs.exists(path):
-            raise ConcurrentChange(f"version {version} of {root} exists") from error
-        raise
-    out.write(bytearray(json.dumps(parts).encode()))
-    out.close()
-    return version
-
-
-def save(spark: SparkSession, root: str, receipts: DataFrame, items: DataFrame, base: int | None = None) -> int:
-    """Writes both tables anew as the version after `base`, the one that they were made from (the latest by default)."""
-    base = current(spark, root) if base is None else base
-    return _publish(spark, root, base + 1, [_write(root, receipts, items)])
-
-
-def append(spark: SparkSession, root: str, receipts: DataFrame, items: DataFrame, tries: int = 5) -> int:
-    """Adds rows without touching what is there. Appends of several jobs may come in any order, so one that loses the race tries the next version."""
-    part = _write(root, receipts, items)
-    for left in reversed(range(tries)):
-        base = current(spark, root)
-        try:
-            return _publish(spark, root, base + 1, [*_parts(spark, root, base), part])
-        except ConcurrentChange:
-            if not left:
-                raise
-
-
-def create(spark: SparkSession, root: str, receipts: DataFrame, items: DataFrame) -> tuple[int, DataFrame]:
-    """Inserts receipts with their items: times in UTC by `zone`, where there is such a column; what breaks the contract, receipt or item, keeps the whole receipt out. Returns the version and the rejected receipts (receipt_id, violations)."""
-    receipts, items = (utc_times(df).drop("zone") if "zone" in df.columns else df for df in (receipts, items))
-    bad = rejected(receipts, items)
-    keep = lambda df: df.join(bad.select("receipt_id"), "receipt_id", "left_anti")
-    return append(spark, root, keep(receipts).where("receipt_id is not null"), keep(items)), bad

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions import text as T
-from tillroll.operators import analytics, candidates, checks, extract, store, structure
+from tillroll.operators import analytics, candidates, checks, extract, store, structure, versions
 from tillroll.plans import fixtures as X
 from tillroll.session import scratch, spread
 from tillroll.sources import landing
@@ -391,8 +391,8 @@ def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, id_ = scratch(spark, "appended"), F.col("receipt_id")
     receipts = X.zoned(spark, sf_dir).withColumn("user_id", F.when(id_ % 13 != 0, F.col("user_id")))
     items = X.items(spark, sf_dir).withColumn("created_at", F.lit(X.INGESTED).cast("timestamp")).join(receipts.select("receipt_id"), "receipt_id", "left_semi")
-    out = [store.create(spark, root, receipts.where(id_ % 2 == k), items.where(id_ % 2 == k)) for k in (0, 1)]
-    stored, kept = store.load(spark, root)
+    out = [versions.create(spark, root, receipts.where(id_ % 2 == k), items.where(id_ % 2 == k), period="yyyy") for k in (0, 1)]
+    stored, kept = versions.load(spark, root)
     bad = out[0][1].union(out[1][1])
     return stored.agg(F.count("*").alias("receipts")).crossJoin(kept.agg(F.count("*").alias("items"))).crossJoin(bad.agg(F.count("*").alias("rejected"))).withColumn("version", F.lit(out[1][0]))  # single rows
 
@@ -403,14 +403,82 @@ SELECT (SELECT count(*) FROM {RECEIPTS} WHERE receipt_id % 10 <> 0) AS receipts,
 def versioned_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tables are saved, receipts are deleted, and the next version is read through the pointer."""
     root = scratch(spark, "store")
-    store.save(spark, root, X.receipts(spark, sf_dir), X.items(spark, sf_dir))
-    receipts, items = store.load(spark, root)
+    versions.save(spark, root, X.receipts(spark, sf_dir), X.items(spark, sf_dir), period="yyyy")
+    receipts, items = versions.load(spark, root)
     kept, left, _ = store.delete(receipts, items, receipts.where(F.col("receipt_id") % 10 == 0))
-    version = store.save(spark, root, kept, left)
-    receipts, items = store.load(spark, root)
+    version = versions.save(spark, root, kept, left)
+    receipts, items = versions.load(spark, root)
     return receipts.agg(F.count("*").alias("receipts")).crossJoin(items.agg(F.count("*").alias("items"))).withColumn("version", F.lit(version))
 
 
+@query(f"""
+SELECT 'stored' AS place, r.receipt_id, r.store_name, (SELECT count(*) FROM {ITEMS} i WHERE i.receipt_id = r.receipt_id) + (r.receipt_id % 5 = 0)::BIGINT AS n_items FROM {RECEIPTS} r
+UNION ALL SELECT 'receipt_id: already stored', receipt_id, NULL, NULL FROM {RECEIPTS} WHERE receipt_id % 5 = 0 UNION ALL SELECT 'item receipt_id: no such receipt', -receipt_id, NULL, NULL FROM {RECEIPTS} WHERE receipt_id % 5 = 0 AND receipt_id > 0
+""")
+def store_create_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All receipts are created; then some come again with another name, beside an item more for each of them, which comes twice, and items of receipts that don't exist."""
+    root, id_ = scratch(spark, "created"), F.col("receipt_id")
+    receipts, items = X.receipts(spark, sf_dir), X.items(spark, sf_dir).withColumn("created_at", F.lit(X.INGESTED).cast("timestamp"))
+    versions.create(spark, root, receipts, items, period="yyyy")
+    again = receipts.where(id_ % 5 == 0)
+    more = again.select(F.concat(F.lit("more-"), id_.cast("string")).alias("item_id"), "receipt_id", F.lit("bag").alias("name"), F.lit(1).cast("decimal(18,2)").alias("price"), F.lit(1).alias("quantity"), F.lit(X.INGESTED).cast("timestamp").alias("created_at"))
+    _, turned = versions.create(spark, root, again.withColumn("store_name", F.lit("Again")), items.join(again.select("receipt_id"), "receipt_id", "left_semi").select(more.columns))
+    for _ in range(2):
+        _, lost = versions.create(spark, root, receipts.limit(0), more.unionByName(more.where(id_ > 0).withColumns({"receipt_id": -id_})))
+    stored, kept = versions.load(spark, root)
+    counts = kept.groupBy("receipt_id").agg(F.count("*").alias("n"))
+    rows = stored.join(counts, "receipt_id", "left").select(F.lit("stored").alias("place"), "receipt_id", "store_name", F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
+    return rows.union(turned.union(lost).select(F.explode("violations"), "receipt_id", F.lit(None).cast("string"), F.lit(None).cast("long")))
+
+
+@query(f"""
+SELECT 'id' AS lookup, r.receipt_id, (SELECT count(*) FROM {ITEMS} i WHERE i.receipt_id = r.receipt_id) AS n FROM {RECEIPTS} r WHERE r.receipt_id = 33
+UNION ALL SELECT 'user', r.receipt_id, (SELECT count(*) FROM {ITEMS} i WHERE i.receipt_id = r.receipt_id) FROM {RECEIPTS} r WHERE user_id = 'user-7'
+UNION ALL SELECT 'item', receipt_id, count(*) FROM {ITEMS} WHERE name = (SELECT min(p_name) FROM part) GROUP BY 2
+""")
+def store_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts by id and by user, and items by name, from a store: one bucket for an id, Bloom filters for the others."""
+    root = scratch(spark, "looked-up")
+    versions.save(spark, root, X.receipts(spark, sf_dir), X.items(spark, sf_dir), period="yyyy")
+    receipts, items = versions.load(spark, root)
+    name = X.table(spark, sf_dir, "part").agg(F.min("p_name")).first()[0]
+    sized = lambda df, how: df.select(F.lit(how).alias("lookup"), "receipt_id", F.size("items").cast("long").alias("n"))
+    named = store.items_named(items, name).groupBy("receipt_id").agg(F.count("*").alias("n")).select(F.lit("item"), "receipt_id", "n")
+    return sized(store.get_receipt(receipts, items, 33), "id").union(sized(store.user_receipts(receipts, items, "user-7"), "user")).union(named)
+
+
+@query(f"""
+SELECT receipt_id, CASE WHEN receipt_id % 40 = 0 THEN 'second' ELSE store_name END AS store_name, receipt_id % 40 = 0 AS updated, (SELECT count(*) FROM {ITEMS} i WHERE i.receipt_id = r.receipt_id) AS n_items FROM {RECEIPTS} r WHERE receipt_id % 40 <> 7
+UNION ALL SELECT -1 - receipt_id, 'second', true, 0 FROM {RECEIPTS} WHERE receipt_id % 40 = 0
+""")
+def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored receipts are changed twice in one batch, others are new, and some are deleted with their items."""
+    root, id_ = scratch(spark, "changed"), F.col("receipt_id")
+    receipts = X.receipts(spark, sf_dir)
+    versions.save(spark, root, receipts, X.items(spark, sf_dir), period="yyyy")
+    some = receipts.where(id_ % 40 == 0)
+    some = some.unionByName(some.withColumn("receipt_id", -1 - id_))
+    at = lambda name, day: some.withColumns({"store_name": F.lit(name), "updated_at": F.lit(day).cast("timestamp")})
+    versions.update(spark, root, at("second", "2024-02-02").unionByName(at("first", "2024-02-01")), F.lit(X.INGESTED).cast("timestamp"))
+    versions.remove(spark, root, receipts.where(id_ % 40 == 7))
+    rows, items = versions.load(spark, root)
+    return store.with_items(rows, items).select("receipt_id", "store_name", F.col("updated_at").isNotNull().alias("updated"), F.size("items").cast("long").alias("n_items"))
+
+
+@query(f"SELECT year(purchase_date) AS year, count(*) AS receipts, CAST(sum(n) AS BIGINT) AS items, true AS few FROM (SELECT *, (SELECT count(*) FROM {ITEMS} i WHERE i.receipt_id = r.receipt_id) AS n FROM {RECEIPTS} r) WHERE year(purchase_date) >= 1998 GROUP BY 1")
+def store_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends pile up and are merged by size, old years expire, and what no version names is deleted."""
+    root, id_ = scratch(spark, "upkeep"), F.col("receipt_id")
+    receipts, items = X.receipts(spark, sf_dir), X.items(spark, sf_dir)
+    for k in range(4):
+        versions.append(spark, root, receipts.where(id_ % 4 == k), items.where(id_ % 4 == k), fan=3, period="yyyy")
+    versions.expire(spark, root, "1998")
+    versions.vacuum(spark, root, older_than=0)
+    rows, kept = versions.load(spark, root)
+    few = max(sum(e["table"] == "receipts" and e["period"] == p for e in versions.folders(spark, root)) for p in ("1998", "1999", "2000")) <= 3
+    return store.with_items(rows, kept).groupBy(F.year("created_at").cast("long").alias("year")).agg(F.count("*").alias("receipts"), F.sum(F.size("items")).cast("long").alias("items")).withColumn("few", F.lit(few))
+
+
 @query(f"""
 SELECT CAST(r.receipt_id AS VARCHAR) AS receipt_id, CASE WHEN r.receipt_id % 12 = 7 THEN 1234.5 ELSE CAST(total_amount AS DOUBLE) END AS total,
   (SELECT count(*) FROM {ITEMS} i WHERE i.receipt_id = r.receipt_id AND r.receipt_id % 12 <> 9) AS n_items FROM {RECEIPTS} r WHERE r.receipt_id % 12 <> 10
