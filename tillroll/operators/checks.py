@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +62,23 @@ def status_of(valid: Column) -> Column:
     return F.when(valid.isNull(), 0).when(valid, 1).otherwise(2)
 
 
+def problems(of: Callable[[str], Column], columns: list[str], required: list[str], lengths: dict[str, int], prefix: str = "") -> Column:
+    """An array of what a row breaks: columns that miss a value or are too long. of: a column of the row by its name."""
+    tests = [F.when(of(c).isNull(), F.lit(f"{prefix}{c}: required")) for c in required if c in columns]
+    tests += [F.when(F.char_length(of(c)) > n, F.lit(f"{prefix}{c}: longer than {n}")) for c, n in lengths.items() if c in columns]
+    return F.array_compact(F.array(*tests))
+
+
 def violations(df: DataFrame, required: list[str], lengths: dict[str, int]) -> DataFrame:
     """df with violations: the columns that miss a value or are too long."""
-    tests = [F.when(F.col(c).isNull(), F.lit(f"{c}: required")) for c in required if c in df.columns]
-    tests += [F.when(F.char_length(c) > n, F.lit(f"{c}: longer than {n}")) for c, n in lengths.items() if c in df.columns]
-    return df.withColumn("violations", F.array_compact(F.array(*tests)))
+    return df.withColumn("violations", problems(F.col, df.columns, required, lengths))
+
+
+def nested_violations(receipts: DataFrame, items: str = "items") -> Column:
+    """What a receipt with its items nested breaks, its items included: both are stored or neither is."""
+    own = problems(F.col, receipts.columns, S.RECEIPT_REQUIRED, S.RECEIPT_LENGTHS)
+    of_items = F.flatten(F.transform(F.coalesce(F.col(items), F.array()), lambda i: problems(i.getField, list(S.ITEM_COLUMNS), S.ITEM_REQUIRED, S.ITEM_LENGTHS, "item ")))
+    return F.sort_array(F.array_distinct(F.concat(own, of_items)))
 
 
 def split_by_contract(df: DataFrame, items: bool = False) -> tuple[DataFrame, DataFrame]:

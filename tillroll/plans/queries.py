@@ -10,6 +10,7 @@ from tillroll.operators import analytics, candidates, checks, extract, store, st
 from tillroll.plans import fixtures as X
 from tillroll.session import scratch, spread
 from tillroll.sources import landing
+from tillroll.streaming import ingest
 from tillroll.streaming.ingest import ingest_stream
 
 QUERIES, ORACLES = {}, {}
@@ -490,8 +491,44 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.repartition(4, "receipt_id").write.parquet(source)
     rows.where(F.col("receipt_id").cast("long") % 50 == 0).coalesce(1).write.mode("append").parquet(source)
     ingest_stream(spark, source, root, files=3).awaitTermination()
-    items = spark.read.parquet(f"{root}/items").groupBy("receipt_id").agg(F.count("*").alias("n"))
-    return spark.read.parquet(f"{root}/receipts").join(items, "receipt_id", "left").select("receipt_id", F.col("total_amount").cast("double").alias("total"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
+    receipts, items = versions.load(spark, root)
+    return receipts.join(items.groupBy("receipt_id").agg(F.count("*").alias("n")), "receipt_id", "left").select("receipt_id", F.col("total_amount").cast("double").alias("total"), F.coalesce("n", F.lit(0)).cast("long").alias("n_items"))
+
+
+def _workflow(spark: SparkSession, sf_dir: str) -> str:
+    """A store into which a stream has taken documents and their readings; some of both came twice, documents also dated 60 days later."""
+    source, readings, root = scratch(spark, "landing"), scratch(spark, "readings"), scratch(spark, "workflow")
+    docs = X.documents_json(spark, sf_dir)
+    docs.repartition(4, "receipt_id").write.parquet(source)
+    docs.where(F.col("receipt_id").cast("long") % 50 == 0).withColumn("ingest_ts", F.col("ingest_ts") + F.expr("interval 60 days")).coalesce(1).write.mode("append").parquet(source)
+    reading = F.struct("strategy", "strategy_ord", "text_a", "text_b", F.lit(None).cast("string").alias("error"))
+    X.candidates(spark, sf_dir).groupBy(F.col("receipt_id").cast("string").alias("receipt_id")).agg(F.collect_list(reading).alias("readings")).repartition(2, "receipt_id").write.parquet(readings)  # three of each
+    ingest_stream(spark, source, root, readings=readings, files=3).awaitTermination()
+    return root
+
+
+@query(f"""
+SELECT CAST(r.receipt_id AS VARCHAR) AS receipt_id, coalesce(CASE WHEN w.score > 0 THEN w.store_name END, r.store_name) AS store_name, CASE WHEN w.score > 0 THEN w.postal_code END AS postal_code, CASE WHEN w.score > 0 THEN w.country END AS country,
+  CASE WHEN w.score > 0 THEN w.confidence END AS location_confidence, CASE WHEN w.score > 0 THEN w.strategy END AS ocr_strategy, (SELECT count(*) FROM {ITEMS} i WHERE i.receipt_id = r.receipt_id AND r.receipt_id % 12 <> 9) AS n_items
+FROM {RECEIPTS} r JOIN (SELECT * FROM {READINGS} WHERE rn = 1) w ON w.receipt_id = r.receipt_id WHERE r.receipt_id % 12 <> 10
+""")
+def stream_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole upload workflow as a stream: documents meet their readings, the best one is laid over the document, and what comes of it is stored once."""
+    receipts, items = versions.load(spark, _workflow(spark, sf_dir))
+    return store.with_items(receipts, items).select("receipt_id", "store_name", "postal_code", "country", "location_confidence", "ocr_strategy", F.size("items").cast("long").alias("n_items"))
+
+
+@query(f"""
+SELECT count(*) AS receipts, round(CAST(sum(CASE WHEN receipt_id % 12 = 7 THEN 1234.5 ELSE total_amount END) AS DOUBLE), 2) AS total, count(*) FILTER (receipt_id % 12 <> 11) AS valid, count(*) FILTER (receipt_id % 12 = 11) AS invalid,
+  (SELECT count(*) FROM {ITEMS} i WHERE i.receipt_id IN (SELECT o_orderkey FROM orders) AND i.receipt_id % 12 NOT IN (9, 10)) AS items, (SELECT count(*) FROM orders WHERE o_orderkey % 12 = 10) AS quarantined FROM {RECEIPTS} WHERE receipt_id % 12 <> 10
+""")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures that a stream's batches leave, summed."""
+    source, root = scratch(spark, "landing"), scratch(spark, "measured")
+    X.documents_json(spark, sf_dir).repartition(4, "receipt_id").write.parquet(source)
+    ingest_stream(spark, source, root, files=2).awaitTermination()
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    return ingest.metrics(spark, root).agg(total("receipts"), F.round(F.sum("total"), 2).alias("total"), *map(total, ("valid", "invalid", "items", "quarantined")))
 
 
 @query("""
@@ -504,9 +541,10 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, root = scratch(spark, "odd-landing"), scratch(spark, "odd-ingested")
     X.odd_documents(spark, sf_dir, copies=True).repartition(4, "receipt_id", "json").write.parquet(source)
     ingest_stream(spark, source, root, files=2).awaitTermination()
-    quantity = spark.read.parquet(f"{root}/items").select("receipt_id", F.col("quantity").cast("long").alias("quantity"))
-    stored = spark.read.parquet(f"{root}/receipts").join(quantity, "receipt_id", "left").select("receipt_id", F.lit("receipts").alias("place"), F.lit(None).cast("string").alias("error"), "quantity")
-    return stored.union(spark.read.parquet(f"{root}/quarantine").select("receipt_id", F.lit("quarantine"), "error", F.lit(None).cast("long")))
+    receipts, items = versions.load(spark, root)
+    quantity = items.select("receipt_id", F.col("quantity").cast("long").alias("quantity"))
+    stored = receipts.join(quantity, "receipt_id", "left").select("receipt_id", F.lit("receipts").alias("place"), F.lit(None).cast("string").alias("error"), "quantity")
+    return stored.union(ingest.quarantined(spark, root).select("receipt_id", F.lit("quarantine"), "error", F.lit(None).cast("long")))
 
 
 @query(f"SELECT count(*) AS receipts, CAST(sum(total_amount) AS DOUBLE) AS total, sum((status = 1)::BIGINT)::BIGINT AS valid, sum((status = 2)::BIGINT)::BIGINT AS invalid, round(avg(validation_confidence::DOUBLE), 6) AS confidence FROM {RECEIPTS}")

@@ -1,72 +1,135 @@
-"""Receipts as a stream: the batch transforms, run on each micro-batch and appended once."""
+"""Receipts as a stream: documents meet their OCR readings, and each micro-batch goes through the batch transforms once.
 
-from __future__ import annotations
+Documents and readings come from folders of files. They are joined as streams by the time they arrive, so nothing is ever
+too late: a document waits for its readings for `patience`, then goes on without. A document that has been taken in is told
+by the state store, in RocksDB on the executors' disks: of copies the first that arrives and can be read counts, whenever
+the others come and whatever they are dated (of several that arrive in one micro-batch, one); broken copies count once each.
+No stored row is read again for that. The state holds an id for every receipt and doesn't shrink.
+
+A micro-batch is appended to the store of tillroll.operators.versions with its number, receipts and items at once; a batch
+that comes again finds its number there. What is corrupt or breaks the contract goes to quarantine, whole, with the
+reason, and a row of figures to metrics. Both lie in a folder for each batch, which a batch that comes again replaces.
+"""
 
-import datetime
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillroll.operators.checks import rejected
-from tillroll.operators.structure import items_from, parse_documents, receipts_from
+from tillroll import schemas as S
+from tillroll.operators import versions
+from tillroll.operators.candidates import best_candidates
+from tillroll.operators.checks import nested_violations
+from tillroll.operators.structure import item_list, override_merchant, parse_documents, receipts_from
 
 RAW = "receipt_id string, user_id string, file_name string, ingest_ts timestamp, json string"
+READING = "struct<strategy:string,strategy_ord:int,text_a:string,text_b:string,error:string>"
+READINGS = f"receipt_id string, readings array<{READING}>"
+QUARANTINE = "receipt_id string, json string, error string, day string, batch long"
+METRICS = "receipts long, total double, valid long, invalid long, confidence double, items long, quarantined long, batch long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NO_ID = "receipt_id: required"
+
+
+def read_key() -> F.Column:
+    """What tells a copy: the receipt_id of a document that can be read, the content of one that can't."""
+    fine = F.col("doc").isNotNull() & F.col("receipt_id").isNotNull()
+    return F.when(fine, F.concat(F.lit("receipt "), "receipt_id")).otherwise(F.concat_ws(" ", F.lit("broken"), "receipt_id", F.sha2(F.coalesce("json", F.lit("")), 256)))
+
 
+def first_copies(batch: DataFrame) -> DataFrame:
+    """Parsed documents (RAW, doc, error, perhaps readings), one of each: of copies the earliest, of equal times the one with the smaller hash. _k tells them apart."""
+    rows = batch.withColumn("_k", read_key())
+    return rows.groupBy("_k").agg(F.min_by(F.struct(*batch.columns), F.struct("ingest_ts", F.xxhash64("json"))).alias("d")).select("_k", "d.*")
 
-def day_of(ts: str = "ingest_ts") -> F.Column:
-    return F.coalesce(F.date_format(ts, "yyyy-MM-dd"), F.lit("1970-01-01")).alias("day")
 
+def located(docs: DataFrame) -> DataFrame:
+    """docs of first_copies() with their best reading laid over them; a document's readings are reduced where it lies."""
+    read = docs.where("doc is not null").select(F.col("_k").alias("receipt_id"), F.explode("readings").alias("r")).select("receipt_id", "r.*")
+    keyed = docs.withColumnsRenamed({"receipt_id": "_id", "_k": "receipt_id"})
+    return override_merchant(keyed, best_candidates(read)).withColumnsRenamed({"receipt_id": "_k", "_id": "receipt_id"})
 
-def known_ids(spark: SparkSession, root: str, first: str, last: str, batch_id: int, look_back: int | None) -> DataFrame | None:
-    """receipt_ids that earlier batches stored for the days first - look_back to last + look_back; only those days' folders are read."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/receipts")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    days = [f.getPath().getName()[4:] for f in fs.listStatus(path)] if fs.exists(path) else []
-    if look_back is not None:
-        moved = lambda day, n: str(datetime.date.fromisoformat(day) + datetime.timedelta(days=n))
-        start, stop = moved(first, -look_back), moved(last, look_back)
-        days = [d for d in days if start <= d <= stop]
-    wanted = [f"{root}/receipts/day={d}" for d in days]
-    if not wanted:
-        return None
-    return spark.read.schema("receipt_id string, day string, batch long").option("basePath", f"{root}/receipts").parquet(*wanted).where(F.col("batch") < batch_id).select("receipt_id")
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """docs as one frame for the store and the quarantine: the receipt's columns, items, violations, json and day."""
+    day = F.coalesce(F.date_format("ingest_ts", "yyyy-MM-dd"), F.lit("1970-01-01")).alias("day")
+    broken = docs.where("_k like 'broken%'").select("receipt_id", F.array(F.coalesce("error", F.lit(NO_ID))).alias("violations"), "json", day)
+    good = receipts_from(docs.where("_k like 'receipt%'"), (item_list().alias("items"), "json", day))
+    return good.withColumn("violations", nested_violations(good)).unionByName(broken, allowMissingColumns=True)
 
-def ingest_batch(batch: DataFrame, root: str, batch_id: int, look_back: int | None = 30) -> None:
-    """Appends one batch by day: corrupt documents, and receipts that break the tables' contract or have an item that does, to quarantine, the rest to items and receipts, receipts last.
 
-    Of copies of a receipt the earliest that can be read counts (of equal times the one with the smaller hash), whatever the
-    order of delivery; one that was stored for a day within `look_back` days of its own is not stored again (None: for any day).
-    A batch that comes again overwrites its own folders.
+def ingest_batch(batch: DataFrame, root: str, batch_id: int, known: bool = True, source: str = "ingest", **choices) -> None:
+    """Appends one batch (RAW, or parsed; with `readings` or without) to the store under root.
+
+    known: receipts that are stored already are left out, by a join with the stored ids; a stream's state has seen to that.
+    A batch that comes again is not added again. choices: those of a new store.
     """
     spark = batch.sparkSession
-    parsed = parse_documents(batch).persist()
-    docs = None
+    if versions.marks(spark, root).get(source, -1) >= batch_id:
+        return
+    docs = first_copies(batch if "doc" in batch.columns else parse_documents(batch)).persist()
+    rows = rows_of(located(docs) if "readings" in docs.columns else docs)
+    if known:
+        stored = versions.load(spark, root)[0].select("receipt_id", F.lit(True).alias("_had")).distinct()
+        rows = rows.join(stored, "receipt_id", "left").where("_had is null or size(violations) > 0").drop("_had")
+    rows = rows.persist()
+    try:
+        fine, size = F.col("violations_n") == 0, F.coalesce(F.size("items"), F.lit(0))
+        when = lambda c: F.coalesce(F.count_if(c), F.lit(0))
+        figures = rows.withColumn("violations_n", F.size("violations")).agg(
+            when(fine).alias("receipts"), F.sum(F.when(fine, F.col("total_amount").cast("double"))).alias("total"), when(fine & (F.col("status") == 1)).alias("valid"), when(fine & (F.col("status") == 2)).alias("invalid"),
+            F.avg(F.when(fine, F.col("validation_confidence"))).alias("confidence"), F.coalesce(F.sum(F.when(fine & (size > 0), size)), F.lit(0)).alias("items"), when(~fine).alias("quarantined"),
+        )
+        row = figures.first()
+        if not row["receipts"] and not row["quarantined"]:  # nothing has come, or copies alone
+            return
+        _write_batch(spark.createDataFrame([row], figures.schema), f"{root}/metrics", batch_id)
+        _write_batch(rows.where("size(violations) > 0").select("receipt_id", "json", F.array_join("violations", "; ").alias("error"), "day"), f"{root}/quarantine", batch_id)
+        good = rows.where("size(violations) = 0")
+        versions.append(spark, root, good.select(*S.RECEIPT_COLUMNS), good.select(F.explode("items").alias("i")).select("i.*"), mark={source: batch_id}, **choices)
+    finally:
+        rows.unpersist()
+        docs.unpersist()
+
+
+def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def quarantined(spark: SparkSession, root: str) -> DataFrame:
+    """What was turned away: receipt_id, json, error, day and batch."""
+    return spark.read.schema(QUARANTINE).parquet(f"{root}/quarantine")
+
+
+def metrics(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each batch that brought something: receipts, their total, valid and invalid ones, mean confidence, items, and what went to quarantine."""
+    return spark.read.schema(METRICS).parquet(f"{root}/metrics")
+
+
+def arriving(spark: SparkSession, path: str, schema: str, files: int | None) -> DataFrame:
+    """Rows of files as they come."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
+def timed(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the time that they came: the micro-batch's, so that it never runs back and no row is late."""
+    return rows.withColumn(name, F.current_timestamp()).withWatermark(name, "0 seconds")
+
+
+def ingest_stream(spark: SparkSession, source: str, root: str, readings: str | None = None, files: int | None = None, patience: str = "1 hour", **choices) -> StreamingQuery:
+    """Takes in raw documents (RAW) that land as Parquet under source, with the readings (READINGS) that land under `readings`, until all that is there is done."""
+    rows = arriving(spark, source, RAW, files)
+    if readings:
+        rows, read = timed(rows, "_arrived"), timed(arriving(spark, readings, READINGS, files).withColumnRenamed("receipt_id", "_read"), "_read_at")
+        near = F.col("_read_at").between(F.col("_arrived") - F.expr(f"interval {patience}"), F.col("_arrived") + F.expr(f"interval {patience}"))
+        rows = rows.join(read, (F.col("receipt_id") == F.col("_read")) & near, "left_outer").drop("_read", "_read_at", "_arrived")
+    rows = parse_documents(rows).withColumn("_k", read_key()).dropDuplicates(["_k"]).drop("_k")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)  # a query keeps the settings that it starts with
     try:
-        usable = F.col("doc").isNotNull() & F.col("receipt_id").isNotNull()
-        corrupt = parsed.where(~usable).select("receipt_id", "json", F.coalesce("error", F.lit("receipt_id: required")).alias("error"), day_of())
-        good = parsed.where(usable).groupBy("receipt_id").agg(F.min_by(F.struct(*[c for c in parsed.columns if c != "receipt_id"]), F.struct("ingest_ts", F.xxhash64("json"))).alias("d")).select("receipt_id", "d.*")
-        first, last = parsed.select(day_of()).agg(F.min("day"), F.max("day")).first()
-        known = known_ids(spark, root, first, last, batch_id, look_back) if first else None
-        docs = (good.join(known, "receipt_id", "left_anti") if known is not None else good).withColumn("day", day_of()).persist()
-        receipts, items = receipts_from(docs), items_from(docs)
-        bad = rejected(receipts, items).persist()
-        broken = docs.join(bad, "receipt_id").select("receipt_id", "json", F.array_join("violations", "; ").alias("error"), "day")
-        days = docs.select("receipt_id", "day")
-        for name, rows in (("quarantine", corrupt.union(broken)), ("items", items.join(bad, "receipt_id", "left_anti").join(days, "receipt_id")), ("receipts", receipts.join(bad, "receipt_id", "left_anti").join(days, "receipt_id"))):
-            rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{root}/{name}")
-        bad.unpersist()
+        return rows.writeStream.foreachBatch(lambda df, i: ingest_batch(df, root, i, known=False, **choices)).option("checkpointLocation", f"{root}/_progress").trigger(availableNow=True).start()
     finally:
-        parsed.unpersist()
-        if docs is not None:
-            docs.unpersist()
-
-
-def ingest_stream(spark: SparkSession, source: str, root: str, files: int | None = None, look_back: int | None = 30) -> StreamingQuery:
-    """Reads raw documents (RAW) that land as Parquet under source and appends them under root until all that is there is done."""
-    reader = spark.readStream.schema(RAW)
-    if files:
-        reader = reader.option("maxFilesPerTrigger", files)
-    rows = reader.parquet(source)
-    return rows.writeStream.foreachBatch(lambda df, i: ingest_batch(df, root, i, look_back)).option("checkpointLocation", f"{root}/_progress").trigger(availableNow=True).start()
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
