@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tillroll.operators.linked import link_groups
+from tillroll.session import scratch, workspace
+
 
 def price_comparison(receipts: DataFrame, items: DataFrame) -> DataFrame:
     """By item and store: lowest, mean and highest price, count, and the store's rank by lowest price."""
@@ -26,21 +29,53 @@ def store_comparison(receipts: DataFrame, within: str = "country") -> DataFrame:
 
 
 def duplicate_receipts(receipts: DataFrame) -> DataFrame:
-    """Receipts that agree in user, store, day and total: the first is the original of the rest. Counted with partial aggregates."""
-    day = F.to_date("purchase_date")
-    key = F.sha2(F.concat_ws("|", "user_id", "store_name", day.cast("string"), F.col("total_amount").cast("string")), 256)
-    rows = receipts.withColumn("_k", key)
-    groups = rows.groupBy("_k").agg(F.min("receipt_id").alias("original_id"), F.count("*").alias("copies")).where("copies > 1")
-    return rows.join(groups, "_k").select("receipt_id", "original_id", "copies")
+    """Receipts that agree in user, store, day and total (where both lack one of these, they agree in it): the first is the original of the rest. Counted with partial aggregates."""
+    rows = receipts.withColumn("_k", F.struct("user_id", "store_name", F.to_date("purchase_date").alias("day"), "total_amount"))
+    groups = rows.groupBy("_k").agg(F.min("receipt_id").alias("original_id"), F.count("*").alias("copies")).where("copies > 1").withColumnRenamed("_k", "_g")
+    return rows.join(groups, F.col("_k").eqNullSafe(F.col("_g"))).select("receipt_id", "original_id", "copies")
+
+
+def name_pieces(name: Column, edits: int) -> Column:
+    """A name's length and its edits + 1 pieces, as an array of structs: of two names within `edits` edits, one holds a piece of the other whole, moved by `edits` at most."""
+    size = F.floor(F.char_length(name) / (edits + 1)).cast("int")
+    width = lambda i: size if i < edits else F.char_length(name) - size * edits
+    return F.array(*(F.struct(F.char_length(name).alias("len"), F.lit(i).alias("i"), F.substring(name, size * i + 1, width(i)).alias("piece")) for i in range(edits + 1)))
+
+
+def name_probes(rows: DataFrame, name: str, edits: int) -> DataFrame:
+    """rows with (len, i, piece): all that name_pieces() can give for a name within `edits` edits of theirs."""
+    out = rows.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.char_length(name) - edits), F.char_length(name) + edits)))
+    out = out.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(edits)))).withColumn("shift", F.explode(F.sequence(F.lit(-edits), F.lit(edits))))
+    size = F.floor(F.col("len") / (edits + 1)).cast("int")
+    begin, width = size * F.col("i") + F.col("shift"), F.when(F.col("i") < edits, size).otherwise(F.col("len") - size * edits)
+    out = out.withColumn("piece", F.when(begin >= 0, F.substring(name, begin + 1, width)).when(width == 0, "")).where(F.char_length("piece") == width)
+    return out.drop("shift").distinct()
 
 
 def near_duplicate_receipts(receipts: DataFrame, days: int = 1, edits: int = 2) -> DataFrame:
-    """Receipts of one user with one total, at most `days` after the receipt before and with a store name within `edits` of its: (receipt_id, near_id). One sorted pass, no pairs."""
-    before = Window.partitionBy("user_id", "total_amount").orderBy("purchase_date", "receipt_id")
-    rows = receipts.where("total_amount is not null and purchase_date is not null").select("receipt_id", "user_id", "total_amount", "purchase_date", F.lower("store_name").alias("name"))
-    rows = rows.withColumn("prev", F.lag(F.struct("receipt_id", "purchase_date", "name")).over(before))
-    near = (F.datediff("purchase_date", "prev.purchase_date") <= days) & (F.levenshtein("name", "prev.name") <= edits)
-    return rows.where(near).select("receipt_id", F.col("prev.receipt_id").alias("near_id"))
+    """Receipts of one user and one total, at most `days` apart and with store names within `edits` edits, in groups: (receipt_id, group_id), the group's smallest receipt_id; only groups of two or more.
+
+    Every such link counts, whatever receipts stand between. Receipts that agree in all four are one row. The others meet by
+    user, total, span of days and a piece of the name that both must share, so no group's pairs are drawn; what meets is
+    verified. A null in any of the four links with nothing; of repeated receipt_ids one row counts.
+    """
+    spark, block = receipts.sparkSession, ["user_id", "total_amount"]
+    key = [*block, "day", "name"]
+    with workspace(spark, "near-receipts") as written:
+        rows = receipts.select("receipt_id", *block, F.to_date("purchase_date").alias("day"), F.lower("store_name").alias("name")).dropna(subset=["receipt_id", *key])
+        one = written(rows.groupBy(*key).agg(F.min("receipt_id").alias("id"), F.count_distinct("receipt_id").alias("n")))
+        several = one.groupBy(*block).agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
+        near = written(one.join(several, block, "left_semi").select("id", *block, F.unix_date("day").alias("d"), "name"))
+        span = days + 1
+        placed = near.select("id", *block, "d", "name", F.floor(F.col("d") / span).alias("span"), F.explode(name_pieces(F.col("name"), edits)).alias("p")).select("id", *block, "d", "name", "span", "p.*").distinct()
+        probes = name_probes(near, "name", edits).withColumn("span", F.explode(F.sequence(F.floor((F.col("d") - days) / span), F.floor((F.col("d") + days) / span))))
+        probes = probes.select(*block, "span", "len", "i", "piece", F.col("id").alias("other"), F.col("d").alias("e"), F.col("name").alias("like"))
+        met = placed.join(probes, [*block, "span", "len", "i", "piece"]).where((F.col("id") < F.col("other")) & (F.abs(F.col("d") - F.col("e")) <= days))
+        links = met.where(F.levenshtein("name", "like", edits) >= 0).select(F.col("id").alias("a"), F.col("other").alias("b"))
+        groups = one.join(link_groups(links, written).withColumnRenamed("node", "id"), "id", "left").where("n > 1 or group_id is not null").select(*key, F.coalesce("group_id", "id").alias("group_id"))
+        path = scratch(spark, "near-receipts")
+        rows.join(groups, key).select("receipt_id", "group_id").distinct().write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def observed_run(receipts: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
@@ -60,19 +95,8 @@ def chain_match(receipts: DataFrame, chains: DataFrame, most: int = 2) -> DataFr
     """Each store name's nearest chain (chain) within `most` edits. Names meet by blocks: one of most+1 pieces must be equal at a place shifted by at most `most`."""
     names = receipts.select(F.lower("store_name").alias("name")).where("name != ''").distinct()
     known = chains.select("chain", F.lower("chain").alias("low")).distinct()
-    n = most + 1
-    # cut the chain into n pieces; a name within `most` edits holds one of them whole, moved by at most `most`
-    piece = F.floor(F.char_length("low") / n).cast("int")
-    start = lambda i: piece * i
-    size = lambda i: piece if i < most else F.char_length("low") - piece * most
-    cut = known.select("chain", "low", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.char_length("low").alias("len"), F.substring("low", start(i) + 1, size(i)).alias("piece")) for i in range(n)))).alias("p")).select("chain", "low", "p.*")
-    lengths = F.sequence(F.greatest(F.lit(1), F.char_length("name") - most), F.char_length("name") + most)
-    probe = names.select("name", F.explode(lengths).alias("len"))
-    probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
-    unit = F.floor(F.col("len") / n).cast("int")
-    begin = unit * F.col("i") + F.col("shift")
-    width = F.when(F.col("i") < most, unit).otherwise(F.col("len") - unit * most)
-    probe = probe.where(begin >= 0).withColumn("piece", F.substring("name", begin + 1, width)).where(F.char_length("piece") == width).select("name", "len", "i", "piece").distinct()
+    cut = known.select("chain", "low", F.explode(name_pieces(F.col("low"), most)).alias("p")).select("chain", "low", "p.*")
+    probe = name_probes(names, "name", most)
     near = probe.join(cut, ["len", "i", "piece"]).select("name", "chain", F.levenshtein("name", "low").alias("edits")).where(F.col("edits") <= most)
     best = near.groupBy("name").agg(F.min(F.struct("edits", "chain")).alias("b")).select("name", F.col("b.chain").alias("chain"), F.col("b.edits").alias("edits"))
     return receipts.withColumn("name", F.lower("store_name")).join(best, "name", "left").select("receipt_id", "store_name", "chain", "edits")

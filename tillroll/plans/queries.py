@@ -596,16 +596,23 @@ def store_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH a AS (SELECT receipt_id * 2 AS receipt_id, user_id, lower(store_name) AS name, purchase_date::TIMESTAMP AS d, total_amount FROM {RECEIPTS}
-  UNION ALL SELECT receipt_id * 2 + 1, user_id, lower(store_name) || CASE WHEN receipt_id % 2 = 0 THEN 'x' ELSE 'xyz' END, purchase_date::TIMESTAMP + INTERVAL 1 DAY, total_amount FROM {RECEIPTS} WHERE receipt_id % 5 = 0),
-b AS (SELECT receipt_id, name, d, lag(receipt_id) OVER w AS near_id, lag(name) OVER w AS pn, lag(d) OVER w AS pd FROM a WINDOW w AS (PARTITION BY user_id, total_amount ORDER BY d, receipt_id))
-SELECT receipt_id, near_id FROM b WHERE near_id IS NOT NULL AND date_diff('day', pd, d) <= 1 AND levenshtein(name, pn) <= 2
+WITH RECURSIVE a AS (SELECT receipt_id * 4 AS receipt_id, user_id, lower(store_name) AS name, CAST(purchase_date AS DATE) AS d, total_amount FROM {RECEIPTS}
+  UNION ALL SELECT receipt_id * 4 + 1, user_id, 'elsewhere', CAST(purchase_date AS DATE), total_amount FROM {RECEIPTS} WHERE receipt_id % 5 = 0
+  UNION ALL SELECT receipt_id * 4 + 2, user_id, lower(store_name) || CASE WHEN receipt_id % 2 = 0 THEN 'x' ELSE 'xyz' END, CAST(purchase_date AS DATE) + 1, total_amount FROM {RECEIPTS} WHERE receipt_id % 5 = 0
+  UNION ALL SELECT receipt_id * 4 + 3, user_id, 's' || lower(store_name) || 'y', CAST(purchase_date AS DATE) + 2, total_amount FROM {RECEIPTS} WHERE receipt_id % 5 = 0),
+l AS (SELECT a.receipt_id AS x, b.receipt_id AS y FROM a JOIN a b ON a.user_id = b.user_id AND a.total_amount = b.total_amount AND a.receipt_id <> b.receipt_id AND abs(date_diff('day', a.d, b.d)) <= 1 AND levenshtein(a.name, b.name) <= 2),
+r AS (SELECT x AS n, x AS g FROM l UNION SELECT l.y, r.g FROM r JOIN l ON l.x = r.n WHERE r.g < l.y)
+SELECT n AS receipt_id, min(g) AS group_id FROM r GROUP BY 1
 """)
 def near_dup_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.receipts(spark, sf_dir)
-    id_ = F.col("receipt_id")
-    again = rows.where(id_ % 5 == 0).withColumns({"receipt_id": id_ * 2 + 1, "store_name": F.concat("store_name", F.when(id_ % 2 == 0, "x").otherwise("xyz")), "purchase_date": F.col("purchase_date") + F.expr("interval 1 day")})
-    return analytics.near_duplicate_receipts(rows.withColumn("receipt_id", id_ * 2).unionByName(again))
+    """Receipts, some of them again on the days after under like names, with another store's receipt of that total in between; the SQL compares all pairs."""
+    rows, id_ = X.receipts(spark, sf_dir), F.col("receipt_id") * 4
+    again = rows.where(F.col("receipt_id") % 5 == 0)
+    later = lambda n: F.col("purchase_date") + F.expr(f"interval {n} days")
+    between = again.withColumns({"receipt_id": id_ + 1, "store_name": F.lit("Elsewhere")})
+    second = again.withColumns({"receipt_id": id_ + 2, "store_name": F.concat("store_name", F.when(F.col("receipt_id") % 2 == 0, "x").otherwise("xyz")), "purchase_date": later(1)})
+    third = again.withColumns({"receipt_id": id_ + 3, "store_name": F.concat(F.lit("s"), "store_name", F.lit("y")), "purchase_date": later(2)})
+    return analytics.near_duplicate_receipts(rows.withColumn("receipt_id", id_).unionByName(between).unionByName(second).unionByName(third))
 
 
 @query(f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -38,3 +39,24 @@ def spread(df: DataFrame) -> DataFrame:
     """A table in fewer files than there are cores, dealt out to all of them before costly work on each row; other tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession, label: str):
+    """A function that writes a frame below a folder of its own, in the shared one, and reads it back, which cuts its lineage; the folder goes at the end."""
+    root = scratch(spark, label)
+
+    def written(df: DataFrame) -> DataFrame:
+        path = f"{root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield written
+    finally:
+        remove(spark, root)
