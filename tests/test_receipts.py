@@ -126,6 +126,25 @@ def test_landing_scan_of_files(spark, tmp_path):
     assert got["a.jpg"].is_valid and got["a.jpg"].length == 2003 and not got["b.pdf"].is_valid and got["b.pdf"].error_message == checks.PDF
 
 
+def test_headers_are_read_alone(spark, tmp_path):
+    kinds = {"a.jpg": b"\xff\xd8\xff", "b.png": b"\x89PNG\r\n\x1a\n", "c.pdf": b"%PDF-1.7", "d.tif": b"II*\x00", "e.bin": b"none"}
+    for name, head in kinds.items():
+        with open(tmp_path / name, "wb") as file:
+            file.write(head)
+            file.truncate(10 << 20)  # a hole: there is nothing to read but the head
+    (tmp_path / "small.jpg").write_bytes(b"\xff\xd8\xff")
+    with open(tmp_path / "large.jpg", "wb") as file:
+        file.truncate(1 << 40)
+    manifest = spark.createDataFrame([(n, "image/png") for n in [*kinds, "small.jpg", "large.jpg"]], "file_name string, content_type string")
+    found = landing.header_scan(spark, str(tmp_path), manifest)
+    got = {r.file_name: r for r in checks.screen_files(found).collect()}
+    assert {n: len(r.content or b"") for n, r in got.items()} == {**dict.fromkeys(kinds, 8), "small.jpg": 0, "large.jpg": 0}
+    assert {n for n, r in got.items() if r.is_valid} == {"a.jpg", "b.png", "d.tif"} and got["c.pdf"].error_message == checks.PDF
+    assert got["large.jpg"].error_message.startswith("File size (1048576MB)") and "too small" in got["small.jpg"].error_message
+    whole = {r.file_name: tuple(r)[4:] for r in checks.screen_files(landing.landing_scan(spark, str(tmp_path / "[a-e]*"), manifest).drop("content").join(found.select("path", "content"), "path")).select("path", "file_name", "length", "content_type", "is_valid", "error_message", "detected_file_type").collect()}
+    assert whole == {n: (got[n].is_valid, got[n].error_message, got[n].detected_file_type) for n in kinds}
+
+
 def test_redelivery_in_any_order(spark, tmp_path):
     good = '{"doc_type":"receipt","confidence":0.9,"fields":{"MerchantName":{"value":"%s"}}}'
     row = lambda ts, json, i="r": (i, "u", "f.jpg", ts, json)

@@ -100,6 +100,24 @@ def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("receipt_id").cast("string").alias("receipt_id"), "user_id", F.concat(F.lit("r"), F.col("receipt_id").cast("string"), F.lit(".jpg")).alias("file_name"), F.lit(INGESTED).cast("timestamp").alias("ingest_ts"), F.when(k == 10, '{"doc_type": broken').otherwise(json).alias("json"))
 
 
+def full_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(receipt_id, user_id, file_name, ingest_ts, json): a document with every merchant, type and amount field for each order, by receipt_id % 4: 1 lacks the type, the transaction, the tax and the tip,
+    2 has amounts that can't be read, 3 has thousands separators and half cents."""
+    id_, text = F.col("receipt_id"), F.col("receipt_id").cast("string")
+    k = id_ % 4
+    field = lambda name, v: F.concat(F.lit(f'"{name}":{{"value":"'), v, F.lit('"}'))
+    amount = lambda plain, odd: F.when(k == 2, "n/a").when(k == 3, odd).otherwise(plain)
+    some = lambda v: F.when(k != 1, v)
+    money, tax = F.col("total_amount").cast("string"), (id_ % 90).cast("string")
+    fields = [
+        field("MerchantName", F.col("store_name")), field("MerchantAddress", F.concat(F.lit("12 "), "user_id", F.lit(" Road"))), field("MerchantPhoneNumber", F.concat(F.lit("03"), (id_ + 10000000).cast("string"))),
+        some(field("ReceiptType", F.lit("Itemized"))), some(field("TransactionId", F.concat(F.lit("T-"), text))), field("Total", amount(money, money)), field("Subtotal", amount(money, "1,234.50")),
+        some(field("TotalTax", amount(F.concat(tax, F.lit(".13")), F.concat(tax, F.lit(".125"))))), some(field("Tip", amount(F.lit("1.01"), "1.005"))),
+    ]
+    json = F.concat(F.lit('{"doc_type":"receipt","confidence":0.9,"fields":{'), F.concat_ws(",", *fields), F.lit("}}"))
+    return receipts(spark, sf_dir).select(text.alias("receipt_id"), "user_id", F.lit("f.jpg").alias("file_name"), F.lit(INGESTED).cast("timestamp").alias("ingest_ts"), json.alias("json"))
+
+
 def odd_documents(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
     """(receipt_id, user_id, file_name, ingest_ts, json) of every order, in nine shapes by o_orderkey % 9: 1 has a store name that is too long, 2 an item whose name is too long, 3 no user, 4 broken JSON, 5 no fields,
     6 a quantity with a thousands separator, 7 no JSON, 8 (with `copies`) a broken copy delivered beside it; the rest are plain."""

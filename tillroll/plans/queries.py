@@ -126,7 +126,43 @@ def location_own_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("receipt_id", "store_name", F.when(F.col("country") == "Down Under", F.col("country")).alias("country"))
 
 
-@query()
+_STRIP = lambda c: rf"regexp_replace(regexp_replace({c}, '^[\s\x0b\x1c-\x1f]+', ''), '[\s\x0b\x1c-\x1f]+$', '')"
+_TWICE = lambda c, a, b: f"regexp_replace(regexp_replace({c}, '{a}', '{b}', 'g'), '{a}', '{b}', 'g')"  # noqa: E731  # what look-arounds do in one go
+_NAME = _STRIP(r"regexp_replace(x, '[\s\x0b\x1c-\x1f]+', ' ', 'g')")
+for _mark, _letter in ((r"\|", "I"), ("0", "O"), ("1", "I")):
+    _NAME = _TWICE(_NAME, rf"([A-Z]){_mark}([A-Z])", rf"\1{_letter}\2")
+_ADDRESS = rf"regexp_replace({_TWICE("replace(x, '$', '5')", r"(\d)[Oo](\d)", r"\10\2")}, '(\d)[Oo](\s|$)', '\10\2', 'g')"
+_PLAIN = lambda c: rf"regexp_replace(regexp_replace({c}, '[^\x00-\x7F\p{{L}}\p{{M}}\p{{N}}]', '~', 'g'), '[^\x00-\x7F]', '_', 'g')"  # noqa: E731  # DuckDB's word boundaries know ASCII alone
+_DIGITS = lambda p: rf"regexp_replace(regexp_replace(regexp_extract(r, '(?i){p}'), '(?i)(?:Tel|Phone|Ph|Contact)[:\s]*', '', 'g'), '[^\d+]', '', 'g')"
+_PHONES = "coalesce(" + ", ".join(f"CASE WHEN length(replace({_DIGITS(p)}, '+', '')) >= 7 THEN {_DIGITS(p)} END" for p in T.PHONE_PATTERNS) + ")"
+_FOUND = lambda p: f"CASE WHEN regexp_matches(t, '(?i){p}') THEN translate({_STRIP(f"regexp_extract(t, '(?i){p}', 1)")}, '$Oo', '500') END"
+_CITY = rf"translate(string_split_regex(nullif(regexp_extract(t, '(?i){T.CITY_POSTAL}'), ''), '\s+')[1], '$Oo', '500')"
+_COUNTRY = "CASE " + " ".join(
+    [f"WHEN regexp_matches(low, '{'|'.join(held)}') THEN '{name}'" for name, held in T.COUNTRY_WORDS]
+    + [f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in T.COUNTRY_PHONES]
+    + [rf"WHEN len(list_filter(string_split(low, chr(10)), lambda x: regexp_matches({_PLAIN("x")}, '(?s)\b[5-9]\d{{4}}\b.*(kuala|lumpur|malaysia)'))) > 0 THEN 'Malaysia'"]
+    + [f"WHEN regexp_matches(t, '{T.COUNTRY_POSTAL[3]}') THEN 'Uk' WHEN regexp_matches(t, '{T.COUNTRY_POSTAL[4]}') THEN 'Canada' WHEN regexp_matches(low, '{'|'.join(T.USA_CONTEXT)}') AND regexp_matches(t, '{T.COUNTRY_POSTAL[2]}') THEN 'Usa'"]
+) + " END"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {_PLAIN("coalesce(text, '')")} AS t, lower(coalesce(text, '')) AS low, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, i, {_STRIP("ls[i]")} AS x, translate(ls[i], 'Oo?', '007') AS r FROM d, unnest(range(1, 21)) u(i) WHERE i <= len(ls)),
+c AS (SELECT *, {_NAME} AS name, {_ADDRESS} AS a, {_PHONES} AS p FROM n),
+g AS (
+  SELECT doc_id, arg_min(name, i) FILTER (i <= 10 AND length(x) >= 3 AND NOT regexp_matches(translate(x, ' .-', ''), '^\d+$') AND NOT regexp_matches(x, '\||===|---|___|\*\*\*') AND NOT regexp_matches(lower(x), 'date|time|am|pm')
+      AND length(regexp_replace(name, '[^\p{{L}}]', '', 'g')) >= 3) AS store_name,
+    string_agg(a, ' ' ORDER BY i) FILTER (i <= 15 AND x <> '' AND (regexp_matches(lower(a), '{"|".join(T.ADDRESS_WORDS)}') OR regexp_matches({_PLAIN("a")}, '\b\d+[-\s]+[A-Za-z]'))) AS address,
+    arg_min(p, i) FILTER (p IS NOT NULL) AS phone, min(i) FILTER (i <= 15 AND regexp_matches(lower(x), '{"|".join(T.SECTION_STOPS)}')) AS stop FROM c GROUP BY 1
+), s AS (SELECT n.doc_id, string_agg(x, chr(10) ORDER BY i) FILTER (i <= 15 AND i <= coalesce(stop, 15) AND x <> '') AS section FROM n JOIN g ON g.doc_id = n.doc_id GROUP BY 1),
+h AS (SELECT doc_id, k, t, regexp_extract_all(t, '(?i)' || p) AS hits, string_split_regex(t, '(?i)' || p) AS pieces FROM d, (VALUES {", ".join(f"({k}, '{p}')" for k, p in enumerate(T.COUNTRY_POSTAL))}) v(k, p)),
+e AS (SELECT doc_id, k, i, t, hits[i] AS hit, 1 + list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS pos FROM h, unnest(range(1, len(hits) + 1)) u(i)),
+o AS (SELECT doc_id, arg_min(translate({_STRIP("hit")}, '$Oo', '500'), k * 1000000 + i) AS code FROM e
+  WHERE NOT regexp_matches(lower(substr(t, CAST(greatest(1, pos - 30) AS BIGINT), CAST(pos - greatest(1, pos - 30) + length(hit) + 30 AS BIGINT))), '{"|".join(f"(?:{x})" for x in T.POSTAL_EXCLUSIONS)}') GROUP BY 1),
+f AS (SELECT d.doc_id, store_name, address, phone, coalesce({_FOUND(T.LABELLED_POSTAL[0])}, {_FOUND(T.LABELLED_POSTAL[1])}, CASE WHEN regexp_matches({_CITY}, '^\d+$') AND CAST({_CITY} AS INTEGER) BETWEEN 50000 AND 99999 THEN {_CITY} END, code) AS postal_code,
+  {_COUNTRY} AS country, coalesce(section, '') AS full_location_text FROM d JOIN g ON g.doc_id = d.doc_id JOIN s ON s.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id)
+SELECT *, CAST((CASE WHEN store_name <> '' THEN 25 ELSE 0 END + CASE WHEN address <> '' THEN 30 ELSE 0 END + CASE WHEN phone <> '' THEN 20 ELSE 0 END + CASE WHEN postal_code <> '' THEN 15 ELSE 0 END + CASE WHEN country <> '' THEN 10 ELSE 0 END) / 100.0 AS DOUBLE) AS confidence FROM f
+""")
 def location_extract_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_locations(spread(X.table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
 
@@ -197,6 +233,18 @@ def items_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.items_from(_docs(spark, sf_dir)).select("receipt_id", "name", "quantity", F.col("price").cast("double").alias("price"))
 
 
+@query(f"""
+SELECT CAST(receipt_id AS VARCHAR) AS receipt_id, store_name, '12 ' || user_id || ' Road' AS store_address, '03' || (10000000 + receipt_id) AS phone, CASE WHEN receipt_id % 4 <> 1 THEN 'Itemized' END AS receipt_type,
+  CASE WHEN receipt_id % 4 <> 1 THEN 'T-' || receipt_id END AS transaction_id, CASE receipt_id % 4 WHEN 2 THEN NULL WHEN 3 THEN 1234.5 ELSE CAST(total_amount AS DOUBLE) END AS subtotal, CASE WHEN receipt_id % 4 NOT IN (1, 2) THEN CAST((receipt_id % 90) + 0.13 AS DOUBLE) END AS tax,
+  CASE WHEN receipt_id % 4 NOT IN (1, 2) THEN 1.01::DOUBLE END AS tip, CASE receipt_id % 4 WHEN 2 THEN 0 ELSE CAST(total_amount AS DOUBLE) END AS total FROM {RECEIPTS}
+""")
+def fields_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field that a document may have: present, absent, unreadable, and with a thousands separator or a half cent, by receipt_id % 4."""
+    rows = structure.receipts_from(structure.parse_documents(X.full_documents(spark, sf_dir)))
+    amount = lambda c, name: F.col(c).cast("double").alias(name)
+    return rows.select("receipt_id", "store_name", "store_address", F.col("store_phone_number").alias("phone"), "receipt_type", "transaction_id", amount("subtotal_amount", "subtotal"), amount("tax_amount", "tax"), amount("tip_amount", "tip"), amount("total_amount", "total"))
+
+
 @query(f"""
 SELECT CAST(r.receipt_id AS VARCHAR) AS receipt_id, coalesce(CASE WHEN w.score > 0 THEN w.store_name END, r.store_name) AS store_name, CASE WHEN w.score > 0 THEN w.address END AS store_address,
   CASE WHEN w.score > 0 THEN w.phone END AS phone, CASE WHEN w.score > 0 THEN w.postal_code END AS postal_code, CASE WHEN w.score > 0 THEN w.country END AS country,
@@ -376,6 +424,19 @@ def landing_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("folder", "content_type").agg(F.sum("length").alias("bytes"))
 
 
+@query("""
+SELECT folder, n AS file_size, CASE WHEN n < 1024 THEN 'File size (' || n || ' bytes) is too small to be a valid receipt' WHEN n > 10485760 THEN 'File size (' || n // 1048576 || 'MB) exceeds maximum allowed size (10MB)'
+  ELSE 'File signature does not match any supported image format (JPEG, PNG, TIFF). The file may be corrupted or have the wrong extension.' END AS error_message, CASE WHEN n BETWEEN 1024 AND 10485760 THEN 8 ELSE 0 END AS fetched
+FROM (SELECT CAST(page_id % 40 AS INTEGER) AS folder, CAST(sum(strlen(html) + 1) AS BIGINT) AS n FROM pages GROUP BY 1)
+""")
+def header_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages land as files and are screened by their lengths and first bytes alone."""
+    path = scratch(spark, "headers")
+    X.table(spark, sf_dir, "pages").select((F.col("page_id") % 40).cast("int").alias("folder"), "html").repartition("folder").write.partitionBy("folder").text(path)
+    files = landing.header_scan(spark, path).withColumns({"content_type": F.lit("image/png"), "folder": F.regexp_extract("path", "folder=([0-9]+)/", 1).cast("int")})
+    return checks.screen_files(files).select("folder", "file_size", "error_message", F.coalesce(F.octet_length("content"), F.lit(0)).alias("fetched"))
+
+
 @query(f"SELECT r.receipt_id, user_id, CAST(total_amount AS DOUBLE) AS total, count(i.receipt_id) AS n_items, {PAID} FROM {RECEIPTS} r LEFT JOIN {ITEMS} i ON i.receipt_id = r.receipt_id GROUP BY 1, 2, 3")
 def extracted_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts with nested items are written as JSON under day folders and read back."""

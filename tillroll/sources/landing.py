@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.operators.checks import MAX_BYTES, MIN_BYTES
 from tillroll.operators.store import with_items
+from tillroll.session import spread
 
 #: Day folders only: a few users may own most rows, so the user is an order within a day, not a folder.
 DAY = ["yyyy", "mm", "dd"]
@@ -18,6 +21,37 @@ def landing_scan(spark: SparkSession, path: str, manifest: DataFrame | None = No
     return files.join(manifest, "file_name", "left") if manifest is not None else files.withColumn("content_type", F.lit(None).cast("string"))
 
 
+def _head(path: str, size: int) -> bytes | None:
+    """The first bytes of a file, by one ranged read; null if it can't be read."""
+    from pyarrow import fs
+
+    try:
+        system, at = fs.FileSystem.from_uri(path)
+        with system.open_input_file(at) as file:
+            return file.read_at(min(size, file.size()), 0)
+    except (OSError, ValueError):
+        return None
+
+
+def header_scan(spark: SparkSession, path: str, manifest: DataFrame | None = None, size: int = 8, least: int = MIN_BYTES, most: int = MAX_BYTES) -> DataFrame:
+    """landing_scan() whose content is the first `size` bytes, enough to screen files by.
+
+    Paths and lengths come from the listing, which opens no file; of files between `least` and `most` bytes the executors then
+    fetch the first bytes, one short read each. What is too small or too large is refused by its length and never opened: its content is null.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")  # content isn't asked for, so it isn't read
+    wanted = files.where(F.col("length").between(least, most))
+
+    def task(batches):
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array([_head(p, size) for p in batch.column(0).to_pylist()], pa.binary())], names=["path", "length", "content"])
+
+    rows = spread(wanted).mapInArrow(task, "path string, length long, content binary")
+    rows = rows.unionByName(files.where(~F.col("length").between(least, most)).withColumn("content", F.lit(None).cast("binary")))
+    rows = rows.withColumn("file_name", F.regexp_extract("path", "([^/]+)$", 1)).select("path", "file_name", "length", "content")
+    return rows.join(manifest, "file_name", "left") if manifest is not None else rows.withColumn("content_type", F.lit(None).cast("string"))
+
+
 def object_key(user: Column, ts: Column, receipt: Column, file: Column) -> Column:
     """users/{user}/receipts/{yyyy}/{MM}/{dd}/{receipt}/{file}"""
     return F.concat_ws("/", F.lit("users"), user, F.lit("receipts"), F.date_format(ts, "yyyy/MM/dd"), receipt, file)
