@@ -205,3 +205,12 @@ def test_language_of_odd_rows(spark, documents, nothing):
     assert all(got[i] == "und" for i in blank) and len(got) == documents.select("doc_id").distinct().count()
     assert {r.lang_pred for r in op9.identify(documents, None).collect()} == {"und"}
     assert op9.fit(nothing) is None and op9.identify(nothing, model).count() == 0
+
+
+def test_language_features_do_not_depend_on_blocks(monkeypatch):
+    r = np.random.default_rng(6)
+    texts = ["", "a", "  ab  c ", "été ça và\n1 2", "".join(r.choice(list("ab é.\n "), 400))]
+    whole = [op9.features(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(C, "GROUP_BYTES", size)
+        assert all(np.array_equal(op9.features(np.frombuffer(t.encode(), np.uint8)), w) for t, w in zip(texts, whole)), size

@@ -42,15 +42,18 @@ _LOWER[~_LETTER] = 32
 
 
 def features(data: np.ndarray) -> np.ndarray:
-    """Counts of hashed letter n-grams of one text, to the power of a half, scaled to length 1; all bytes are read, in blocks."""
-    out = np.zeros(FEATURES)
+    """Counts of hashed letter n-grams of one text, to the power of a half, scaled to length 1; all bytes are read, in blocks that change nothing: n-grams go on over their edges."""
+    out, held = np.zeros(FEATURES), np.array([32], np.uint64)  # what an n-gram of the next block may begin with
     for a in range(0, len(data), C.GROUP_BYTES):
-        b = _LOWER[np.concatenate(([32], data[a : a + C.GROUP_BYTES], [32]))]
+        b = np.concatenate((held, _LOWER[data[a : a + C.GROUP_BYTES]], np.full(int(a + C.GROUP_BYTES >= len(data)), 32, np.uint64)))
         b = b[np.concatenate(([True], (b[1:] != 32) | (b[:-1] != 32)))]
-        code = b.copy()
         for n in range(2, 5):
-            code = code[:-1] * np.uint64(257) + b[n - 1 :]
+            part = b[max(0, len(held) - n + 1) :]
+            code = part.copy()
+            for k in range(1, n):
+                code = code[:-1] * np.uint64(257) + part[k:]
             out += np.bincount(((code * np.uint64(C.BASE)) >> np.uint64(52)).astype(np.int64), minlength=FEATURES)
+        held = b[-3:]
     out = np.sqrt(out)
     return out / (np.linalg.norm(out) or 1.0)
 
