@@ -31,6 +31,7 @@ def test_repeats_against_brute_force(documents, corpus, monkeypatch, large, step
     """Also with every anchor of two contexts counted by hash, and with texts read in pieces of 700 bytes."""
     monkeypatch.setattr(op1, "LARGE", large)
     monkeypatch.setattr(op1, "STEP", step)
+    monkeypatch.setattr(op1, "SAMPLED", min(op1.SAMPLED, large))  # each row counts for the hot anchors then
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, bytes(r.kept)) for r in op1.remove_repeats(documents, 400).collect())
     want = sorted((c[0] if c[0] is not None else -1, *w) for c, w in zip(corpus, brute_repeats([c[1] for c in corpus], 400)))
     assert got == want
@@ -56,6 +57,26 @@ def test_a_hot_text_and_a_very_long_one(spark):
     assert got[60][2][0][0] == 0 and got[60][2][-1] == (n - 554, n - 4) and len(got[60][2]) == 2 and 1390 <= got[60][2][0][1] <= 1402
 
 
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_hot_anchors_in_different_surroundings(spark, monkeypatch, most):
+    """Two lines of 250 bytes in a third of all rows each, among other text or with as much of a neighbour that some rows share; whether the hot anchors are known or not."""
+    monkeypatch.setattr(op1, "LARGE", 8)
+    monkeypatch.setattr(op1, "SAMPLED", 1)
+    monkeypatch.setattr(op1, "MOST_HOT", most)
+    r = np.random.default_rng(5)
+    word = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    first, second, beside = word(250), word(250), [word(300) for _ in range(4)]
+    rows = [word(400) + first + word(400) for _ in range(30)] + [word(120) + second + beside[i % 4] for i in range(30)] + [word(700) for _ in range(28)]
+    rows += [rows[0]] * 3 + [rows[31] + "é"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("r2"))
+    hot = op1.hot_anchors(keyed, 400, op1.ANCHOR)
+    assert len(hot) == min(most, len(hot)) and len(hot) >= min(most, 2) and (np.sort(hot) == hot).all()
+    got = sorted((q.doc_id, q.n_bytes, q.n_removed, bytes(q.kept)) for q in op1.remove_repeats(docs, 400).collect())
+    want = [(i, *w) for i, w in enumerate(brute_repeats(rows, 400))]
+    assert got == want and want[0][2] == len(rows[0]) and want[1][2] == 0 and want[31][2] >= 550
+
+
 def test_bytes_decide_within_one_text():
     raw, offsets = b"abcabcabxabc", np.array([0, 3, 6, 12])
     assert op1.elsewhere(raw, offsets, 0, 3) and not op1.elsewhere(raw, offsets, 2, 3) and not op1.elsewhere(b"abcdabcd", np.array([0, 3, 8]), 4, 4)

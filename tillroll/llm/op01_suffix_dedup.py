@@ -9,9 +9,12 @@ How they are compared. Prefix polynomial hashes give the hash of any substring,
 extension of two suffixes in logarithmically many steps; a merge sort with that comparison orders the suffixes at which
 runs of equal strings begin, neighbours in that order have the longest common extensions, and every extension that
 removes text there is checked byte by byte (a collision falls back to bytes). That holds for contexts that differ in
-part. Contexts that are equal as a whole, as in copies, are decided by their hashes alone, with no byte check, and so are
-the strings of anchors with more than LARGE different contexts, counted by a 128-bit hash so that no task holds an
-unbounded group.
+part. Contexts that are equal as a whole, as in copies, are decided by 128 bits of two unlike hashes, with no byte check,
+and so are the strings of anchors with more than LARGE different contexts, counted by a 128-bit hash.
+
+No task holds an unbounded group: hot anchors (a licence line in different surroundings) are known before anything is
+shuffled, from a count over one row in SAMPLED, and their contexts are dealt out by context instead of by anchor, and
+then counted by string. The count decides the way alone: an anchor that it misses is compared, or counted, all the same.
 
 Every text counts as UTF-8 bytes, null and shorter texts have nothing to remove, and strings never cross rows. Rows that
 share doc_id and text are documents of their own that repeat each other. A null doc_id is kept; an empty table gives no
@@ -24,18 +27,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import common as C
 
 ANCHOR = 200
-#: Anchor, context, the two hashes that tell a row, start, number of starts, and whether the map task saw the context again.
-ENTRY = ["<u8", "<u8", "<u8", "<u8", "<u4", "<u4", "<u1"]
+#: Anchor, context in two hashes, the two hashes that tell a row, start, number of starts, and whether the map task saw the context again.
+ENTRY = ["<u8", "<u8", "<u8", "<u8", "<u8", "<u4", "<u4", "<u1"]
+#: Bucket numbers from here on hold contexts of hot anchors, dealt out by context.
+HOT = 1 << 23
 #: Bucket numbers from here on hold contexts that a map task has seen several times, which need no meeting.
 DIRECT = 1 << 24
 #: Contexts of one anchor beyond which their strings are counted by hash.
 LARGE = 4096
+#: One row in so many is read to find the hot anchors.
+SAMPLED = 16
+#: Hot anchors at most, which are broadcast (8 bytes each); any other anchor has less than a MOST_HOT-th of all contexts.
+MOST_HOT = 1 << 20
 WHOLE, SINGLE, SAMPLE = 0, 1, 2
 #: Bytes of a very long text that are looked at at once.
 STEP = 2 * C.GROUP_BYTES
@@ -56,7 +66,7 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, least: int, anchor: int):
-    """Anchor hash, context hash, row, first start and number of starts, for rows that lie side by side."""
+    """Anchor hash, two context hashes, row, first start and number of starts, for rows that lie side by side."""
     n = len(data)
     if n < least:
         return None
@@ -69,24 +79,26 @@ def contexts(data: np.ndarray, offsets: np.ndarray, least: int, anchor: int):
     first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (inside[1:] != inside[:-1]))))
     stop = np.append(first[1:], len(place))
     first, stop = first[inside[first]], stop[inside[first]]
-    return grams[place[first]], C.mix64(C.span_hashes(prefix, first, stop - 1 + least)), row[first], first - offsets[row[first]], stop - first
+    end, view = stop - 1 + least, memoryview(np.ascontiguousarray(data))
+    check = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), end.tolist())), np.uint64, len(first))
+    return grams[place[first]], C.mix64(C.span_hashes(prefix, first, end)), check, row[first], first - offsets[row[first]], stop - first
 
 
-def met(anchor, ctx, doc, doc2, start, count, again, large: int = LARGE):
-    """Of contexts with one bucket of anchors: (doc, doc2, start, count, kind, group) of those that are repeated or need a closer look."""
-    order = np.lexsort((start, doc, ctx, anchor))
-    anchor, ctx, doc, doc2, start, count, again = (c[order] for c in (anchor, ctx, doc, doc2, start, count, again))
+def met(anchor, ctx, check, doc, doc2, start, count, again, large: int = LARGE, hot: bool = False):
+    """Of contexts with one bucket of anchors: (doc, doc2, start, count, kind, group) of those that are repeated or need a closer look. hot: their anchors have more contexts in other buckets, so all need it."""
+    order = np.lexsort((start, doc, check, ctx, anchor))
+    anchor, ctx, check, doc, doc2, start, count, again = (c[order] for c in (anchor, ctx, check, doc, doc2, start, count, again))
     new_a = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-    new_c = new_a | np.concatenate(([True], ctx[1:] != ctx[:-1]))
+    new_c = new_a | np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (check[1:] != check[:-1])))
     at_c = np.flatnonzero(new_c)
     times = np.diff(np.append(at_c, len(ctx)))
     several = (times > 1) | (np.add.reduceat(again.astype(np.int64), at_c) > 0)
     of_a = np.cumsum(new_a)[at_c] - 1
     kinds = np.bincount(of_a)[of_a]
     whole = np.repeat(several, times)
-    look = kinds > 1
+    look = (kinds > 1) | hot
     pick = at_c[look]
-    group = np.where(kinds[look] > large, np.uint64(0), anchor[pick] | np.uint64(1))  # group 0: one of too many
+    group = np.where((kinds[look] > large) | hot, np.uint64(0), anchor[pick] | np.uint64(1))  # group 0: one of too many
     n = int(whole.sum())
     return [(doc[whole], doc2[whole], start[whole], count[whole], np.full(n, WHOLE), np.zeros(n, np.uint64)), (doc[pick], doc2[pick], start[pick], count[pick], np.where(several[look], SAMPLE, SINGLE), group)]
 
@@ -188,19 +200,66 @@ def elsewhere(raw: bytes, offsets: np.ndarray, p: int, least: int) -> bool:
 
 
 def once(columns: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a map task's contexts (anchor, context, ...): which stand for their like, whether there are more of their like, and the rest."""
-    anchor, ctx = columns[:2]
-    order = np.lexsort((ctx, anchor))
-    new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])))
+    """Of a map task's contexts (anchor, context, its other hash, ...): which stand for their like, whether there are more of their like, and the rest."""
+    keys = columns[:3]
+    order = np.lexsort(keys[::-1])
+    new = np.concatenate(([True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)))
     return order[new], np.diff(np.append(np.flatnonzero(new), len(order))) > 1, order[~new]
 
 
+def read_contexts(batches, least: int, anchor: int, step: int):
+    """Contexts of rows (r1, r2, text): anchor, two context hashes, r1, r2, first start, number of starts."""
+    for batch in batches:
+        keys = [batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)]
+        data, offsets = C.text_bytes(batch.column(2))
+        for lo, hi in C.groups(offsets):
+            a, b = int(offsets[lo]), int(offsets[hi])
+            if hi - lo > 1 or b - a <= 2 * step:
+                pieces = [(a, b, offsets[lo : hi + 1] - a, 0)]
+            else:  # one very long text, in pieces that share least-1 bytes
+                pieces = [(p, min(b, p + step + least - 1), np.array([0, min(b, p + step + least - 1) - p]), p - a) for p in range(a, b, step)]
+            for p, q, inner, shift in pieces:
+                found = contexts(data[p:q], inner, least, anchor)
+                if found is not None:
+                    h, ctx, check, row, start, count = found
+                    yield h, ctx, check, keys[0][lo:hi][row], keys[1][lo:hi][row], (start + shift).astype(np.uint32), count.astype(np.uint32)
+
+
+def hot_anchors(rows: DataFrame, least: int, anchor: int) -> np.ndarray:
+    """The anchors of more than LARGE contexts, by one row in SAMPLED, in order; the MOST_HOT largest of them."""
+    step = STEP
+
+    def task(batches):
+        held: list = []
+
+        def counted():
+            if held:
+                h, ctx = (np.concatenate(c) for c in zip(*held))
+                held.clear()
+                order = np.lexsort((ctx, h))
+                h, ctx = h[order], ctx[order]
+                h = h[np.concatenate(([True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))]
+                own, n = np.unique(h, return_counts=True)
+                yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
+
+        for found in read_contexts(batches, least, anchor, step):
+            held.append(found[:2])
+            if sum(len(c[0]) for c in held) >= C.FLUSH:
+                yield from counted()
+        yield from counted()
+
+    some = rows.where(F.pmod("r1", F.lit(SAMPLED)) == 0).where(F.octet_length("text") >= least).select(*ROW, "text")
+    often = some.mapInArrow(task, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLED > LARGE)
+    return np.sort(often.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).select("anchor").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def scan(rows: DataFrame, least: int, anchor: int) -> DataFrame:
     """(r1, r2, start, count, kind, group): contexts that are repeated as a whole, and those to look into. Of equal contexts in a map task one goes to the anchor's bucket, so that a text with very many copies is spread."""
-    parts = C.partitions(rows.sparkSession)
+    parts, step = C.partitions(rows.sparkSession), STEP
+    hot = C.share(rows.sparkSession, hot_anchors(rows, least, anchor))
 
     def task(batches):
-        packer, direct = C.Packer(8 * parts), C.Packer(parts, DIRECT)
+        packer, spread, direct = C.Packer(8 * parts), C.Packer(8 * parts, HOT), C.Packer(parts, DIRECT)
         held: list = []
 
         def deal():
@@ -209,35 +268,30 @@ def scan(rows: DataFrame, least: int, anchor: int) -> DataFrame:
             columns = tuple(np.concatenate(c) for c in zip(*held))
             held.clear()
             first, again, rest = once(columns)
-            yield from packer.add(*(c[first] for c in columns), again.astype(np.uint8))
-            h, ctx, k1, k2, start, count = (c[rest] for c in columns)
-            yield from direct.add(k1, ctx, k1, k2, start, count, np.ones(len(k1), np.uint8))
-
-        for batch in batches:
-            keys = [batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)]
-            data, offsets = C.text_bytes(batch.column(2))
-            for lo, hi in C.groups(offsets):
-                a, b = int(offsets[lo]), int(offsets[hi])
-                step = STEP
-                if hi - lo > 1 or b - a <= 2 * step:
-                    pieces = [(a, b, offsets[lo : hi + 1] - a, 0)]
-                else:  # one very long text, in pieces that share least-1 bytes
-                    pieces = [(p, min(b, p + step + least - 1), np.array([0, min(b, p + step + least - 1) - p]), p - a) for p in range(a, b, step)]
-                for p, q, inner, shift in pieces:
-                    found = contexts(data[p:q], inner, least, anchor)
-                    if found is not None:
-                        h, ctx, row, start, count = found
-                        held.append((h, ctx, keys[0][lo:hi][row], keys[1][lo:hi][row], (start + shift).astype(np.uint32), count.astype(np.uint32)))
-                        if sum(len(c[0]) for c in held) >= C.FLUSH:
-                            yield from deal()
+            is_hot = np.isin(columns[0][first], hot.value)
+            cool, again = first[~is_hot], again.astype(np.uint8)
+            yield from packer.add(*(c[cool] for c in columns), again[~is_hot])
+            h, ctx, *others = (c[first[is_hot]] for c in columns)
+            yield from spread.add(ctx, h, *others, again[is_hot])
+            h, ctx, check, k1, k2, start, count = (c[rest] for c in columns)
+            yield from direct.add(k1, ctx, check, k1, k2, start, count, np.ones(len(k1), np.uint8))
+
+        for found in read_contexts(batches, least, anchor, step):
+            held.append(found)
+            if sum(len(c[0]) for c in held) >= C.FLUSH:
+                yield from deal()
         yield from deal()
         yield from packer.flush()
+        yield from spread.flush()
         yield from direct.flush()
 
     def gather(bucket, *columns):
         if bucket >= DIRECT:
-            _, _, doc, doc2, start, count, _ = columns
+            _, _, _, doc, doc2, start, count, _ = columns
             found = [(doc, doc2, start, count, np.full(len(doc), WHOLE), np.zeros(len(doc), np.uint64))]
+        elif bucket >= HOT:
+            ctx, h, *others = columns
+            found = met(h, ctx, *others, hot=True)
         else:
             found = met(*columns, large=LARGE)
         for doc, doc2, start, count, kind, group in found:
