@@ -13,8 +13,9 @@ part. Contexts that are equal as a whole, as in copies, are decided by 128 bits
 and so are the strings of anchors with more than LARGE different contexts, counted by a 128-bit hash.
 
 No task holds an unbounded group: hot anchors (a licence line in different surroundings) are known before anything is
-shuffled, from a count over one row in SAMPLED, and their contexts are dealt out by context instead of by anchor, and
-then counted by string. The count decides the way alone: an anchor that it misses is compared, or counted, all the same.
+shuffled, from their different contexts in one row of SAMPLED, and their contexts are dealt out by context instead of by
+anchor, and then counted by string. That count decides the way alone: an anchor that it doesn't find, which has some
+SAMPLED times LARGE contexts at most, is compared, or counted, all the same.
 
 Every text counts as UTF-8 bytes, null and shorter texts have nothing to remove, and strings never cross rows. Rows that
 share doc_id and text are documents of their own that repeat each other. A null doc_id is kept; an empty table gives no
@@ -44,7 +45,7 @@ DIRECT = 1 << 24
 LARGE = 4096
 #: One row in so many is read to find the hot anchors.
 SAMPLED = 16
-#: Hot anchors at most, which are broadcast (8 bytes each); any other anchor has less than a MOST_HOT-th of all contexts.
+#: Hot anchors at most, which are broadcast (8 bytes each); beyond them an anchor has less than a MOST_HOT-th of all contexts.
 MOST_HOT = 1 << 20
 WHOLE, SINGLE, SAMPLE = 0, 1, 2
 #: Bytes of a very long text that are looked at at once.
@@ -226,30 +227,26 @@ def read_contexts(batches, least: int, anchor: int, step: int):
 
 
 def hot_anchors(rows: DataFrame, least: int, anchor: int) -> np.ndarray:
-    """The anchors of more than LARGE contexts, by one row in SAMPLED, in order; the MOST_HOT largest of them."""
+    """The anchors that have more than LARGE different contexts in one row of SAMPLED, in order; the MOST_HOT largest of them."""
     step = STEP
 
     def task(batches):
         held: list = []
 
-        def counted():
+        def pairs():
             if held:
-                h, ctx = (np.concatenate(c) for c in zip(*held))
+                pair = np.unique(np.stack([np.concatenate(c) for c in zip(*held)], axis=1).view("u8,u8"))
                 held.clear()
-                order = np.lexsort((ctx, h))
-                h, ctx = h[order], ctx[order]
-                h = h[np.concatenate(([True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])))]
-                own, n = np.unique(h, return_counts=True)
-                yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
+                yield pa.record_batch([pa.array(np.ascontiguousarray(pair[c]).view(np.int64)) for c in pair.dtype.names], names=["anchor", "ctx"])
 
         for found in read_contexts(batches, least, anchor, step):
             held.append(found[:2])
             if sum(len(c[0]) for c in held) >= C.FLUSH:
-                yield from counted()
-        yield from counted()
+                yield from pairs()
+        yield from pairs()
 
     some = rows.where(F.pmod("r1", F.lit(SAMPLED)) == 0).where(F.octet_length("text") >= least).select(*ROW, "text")
-    often = some.mapInArrow(task, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLED > LARGE)
+    often = some.mapInArrow(task, "anchor long, ctx long").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > LARGE)
     return np.sort(often.orderBy(F.desc("n"), "anchor").limit(MOST_HOT).select("anchor").toArrow().column(0).to_numpy().view(np.uint64))
 
 
