@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll import schemas as S
-from tillroll.operators import analytics, candidates, checks, store, structure, versions
+from tillroll.operators import analytics, candidates, checks, nested, store, structure, versions
 from tillroll.plans import fixtures as X
 from tillroll.plans import queries as Q
 from tillroll.session import scratch
@@ -63,6 +63,33 @@ def test_items_quirks(spark):
     assert {r.receipt_id: r.error for r in found.where("doc is null").collect()} == {"4": structure.CORRUPT, "5": structure.NO_DATA}
 
 
+def test_items_of_any_depth(spark):
+    """Flat documents give the rows of the fixed schema, ids too; deeper ones are opened in place."""
+    flat = X.documents_json(spark, SF)
+    odd = [
+        '{"fields":{"Items":{"value_array":[{"value_object":{"Quantity":{"value":2.9},"TotalPrice":{"value":"x"},"Price":{"value":"3.00"}}},{"value_type":"string"},null,{"value_object":{"Description":{"value":"b"}}}]}}}',
+        '{"fields":{"Items":{"value_array":[],"value":"[{\\"value_type\\":\\"dictionary\\",\\"value\\":{\\"Description\\":{\\"value\\":\\"c\\"}}}]"}}}',
+        '{"fields":{"Items":{"value_array":[{"value_type":"dictionary","value":null,"value_object":{"Description":{"value":"d"}}},{"value_type":"dictionary","value":"no json"}]}}}',
+        '{"fields":{"Items":{"value":"no list"}}}', '{"fields":{}}', "{broken", "null", "", None,
+    ]
+    raw = spark.createDataFrame([(str(i), "u", "f.jpg", b) for i, b in enumerate(odd)], "receipt_id string, user_id string, file_name string, json string").withColumn("ingest_ts", F.lit("2024-01-01").cast("timestamp"))
+    for rows in (flat, raw):
+        want = structure.items_from(structure.parse_documents(rows)).select("item_id", "receipt_id", "name", "quantity", "price").collect()
+        got = nested.deep_items(nested.variant_documents(rows)).select("item_id", "receipt_id", "name", "quantity", "price").collect()
+        assert sorted(got) == sorted(want) and got
+
+    leaf = lambda n: '{"value_object":{"Description":{"value":"%s"}}}' % n
+    bodies = {d: "".join(['{"value_array":['] * d) + f"{leaf('a')},{leaf('b')}" + "]}" * d for d in (1, 4, 30)}
+    mixed = f'{{"value_array":[{leaf("a")},{{"value_array":[{leaf("b")},{{"value_array":[{leaf("c")}]}}]}},7,{{"value_object":{{"Items":{{"value":[{leaf("d")}]}}}}}},{leaf("e")}]}}'
+    rows = [(str(k), f'{{"fields":{{"Items":{v}}}}}') for k, v in {**bodies, "mixed": mixed}.items()]
+    docs = nested.variant_documents(spark.createDataFrame(rows, "receipt_id string, json string").withColumn("ingest_ts", F.current_timestamp()))
+    got = {r.receipt_id: [i.name for i in r.found] for r in docs.select("receipt_id", nested.deep_item_list().alias("found")).collect()}
+    assert got == {"1": ["a", "b"], "4": ["a", "b"], "30": ["a", "b"], "mixed": ["a", "b", "c", "d", "e"]}
+    places = docs.where("receipt_id = 'mixed'").select(F.transform(nested.entries(F.try_variant_get("document", "$.fields.Items", "variant")), lambda e: e["place"]).alias("p")).first().p
+    assert places == ["0", "1/0", "1/1/0", "2", "3/0", "4"]
+    assert "Exchange" not in nested.deep_items(docs)._jdf.queryExecution().toString()
+
+
 def test_dates_in_every_format(spark):
     forms = ["2024-03-05T10:20:30", "2024-03-05T10:20:30.123Z", "2024-03-05 10:20:30", "2024-03-05", "03/05/2024 10:20:30", "03/05/2024", "3/5/2024", "2024/03/05", "05 Mar 2024", "Mar 5, 2024", "yesterday", None]
     got = [str(r.d)[:10] for r in spark.createDataFrame([(f,) for f in forms], "v string").select(structure.date_of(F.col("v")).alias("d")).collect()]

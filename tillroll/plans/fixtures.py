@@ -77,8 +77,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(key.alias("item_id"), F.col("l_orderkey").alias("receipt_id"), F.coalesce("p_name", F.lit("")).alias("name"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), F.col("l_quantity").cast("int").alias("quantity"))
 
 
-def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(receipt_id, user_id, file_name, ingest_ts, json): an OCR document for every order, in twelve shapes by o_orderkey % 12."""
+def documents_json(spark: SparkSession, sf_dir: str, nested: bool = False) -> DataFrame:
+    """(receipt_id, user_id, file_name, ingest_ts, json): an OCR document for every order, in twelve shapes by o_orderkey % 12.
+
+    nested: by o_orderkey % 7 the items stand one level (1), two (2) or four (3) deeper, as a list in a list, under an object's own Items (4), or as JSON text (5); else as ever."""
     k = F.col("receipt_id") % 12
     leaf = lambda v: F.concat(F.lit('{"value":"'), v, F.lit('"}'))
     price, qty = F.format_string("%.2f", F.col("price").cast("double")), F.format_string("%d.9", "quantity")
@@ -90,7 +92,13 @@ def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.when(k == 2, F.concat(F.lit('{"value_type":"dictionary","value":'), body, F.lit("}"))).otherwise(F.concat(F.lit('{"value_type":"object","value_object":'), body, F.lit("}")))
     lists = items(spark, sf_dir).select("receipt_id", entry.alias("e")).groupBy("receipt_id").agg(F.array_join(F.sort_array(F.collect_list("e")), ",").alias("entries"))
     rows = receipts(spark, sf_dir).join(lists, "receipt_id", "left")
-    held = F.concat(F.lit(',"Items":{"'), F.when(k == 1, "value").otherwise("value_array"), F.lit('":['), F.coalesce("entries", F.lit("")), F.lit("]}"))
+    inner = F.coalesce("entries", F.lit(""))
+    if nested:
+        d = F.col("receipt_id") % 7
+        level = lambda e, key="value_array": F.concat(F.lit(f'{{"{key}":['), e, F.lit("]}"))
+        as_text = F.concat(F.lit('{"value":"['), F.replace(inner, F.lit('"'), F.lit('\\"')), F.lit(']"}'))
+        inner = F.when(d == 1, level(inner)).when(d == 2, level(level(inner, "value"))).when(d == 3, level(level(level(level(inner))))).when(d == 4, F.concat(F.lit('{"value_object":{"Items":'), level(inner), F.lit("}}"))).when(d == 5, as_text).otherwise(inner)
+    held = F.concat(F.lit(',"Items":{"'), F.when(k == 1, "value").otherwise("value_array"), F.lit('":['), inner, F.lit("]}"))
     total = F.when(k == 7, "1,234.50").otherwise(F.col("total_amount").cast("string"))
     day = F.when(k == 8, "not a date").otherwise(F.date_format("purchase_date", "yyyy-MM-dd"))
     json = F.concat(

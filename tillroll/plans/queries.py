@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions import text as T
-from tillroll.operators import analytics, candidates, checks, extract, store, structure, versions
+from tillroll.operators import analytics, candidates, checks, extract, nested, store, structure, versions
 from tillroll.plans import fixtures as X
 from tillroll.session import scratch, spread
 from tillroll.sources import landing
@@ -233,6 +233,15 @@ def items_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.items_from(_docs(spark, sf_dir)).select("receipt_id", "name", "quantity", F.col("price").cast("double").alias("price"))
 
 
+@query(ORACLES["items_from_json"])
+def items_from_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose items nest up to four levels deeper lie as VARIANT under day folders, and give the items that flat ones give."""
+    path = scratch(spark, "variant-zone")
+    landing.write_by_day(nested.variant_documents(X.documents_json(spark, sf_dir, nested=True)), path, "ingest_ts", "parquet")
+    back = landing.read_by_day(spark, path, "receipt_id string, user_id string, file_name string, ingest_ts timestamp, document variant", "parquet")
+    return nested.deep_items(back).select("receipt_id", "name", "quantity", F.col("price").cast("double").alias("price"))
+
+
 @query(f"""
 SELECT CAST(receipt_id AS VARCHAR) AS receipt_id, store_name, '12 ' || user_id || ' Road' AS store_address, '03' || (10000000 + receipt_id) AS phone, CASE WHEN receipt_id % 4 <> 1 THEN 'Itemized' END AS receipt_type,
   CASE WHEN receipt_id % 4 <> 1 THEN 'T-' || receipt_id END AS transaction_id, CASE receipt_id % 4 WHEN 2 THEN NULL WHEN 3 THEN 1234.5 ELSE CAST(total_amount AS DOUBLE) END AS subtotal, CASE WHEN receipt_id % 4 NOT IN (1, 2) THEN CAST((receipt_id % 90) + 0.13 AS DOUBLE) END AS tax,
@@ -263,6 +272,14 @@ def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.receipt_results(_docs(spark, sf_dir), located).select("receipt_id", "success", "error")
 
 
+@query(f"SELECT CAST(receipt_id AS VARCHAR) AS receipt_id, store_name, CAST(NULL AS VARCHAR) AS country, receipt_id % 12 <> 10 AS success FROM {RECEIPTS} WHERE receipt_id % 12 <> 10")
+def results_without_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The location step left out: what the document says stays, and nothing is located."""
+    located = candidates.best_candidates(X.candidates(spark, sf_dir)).withColumn("receipt_id", F.col("receipt_id").cast("string"))
+    found = structure.receipt_results(_docs(spark, sf_dir), located, extract_location=False)
+    return structure.receipts_from(found, ("success",)).select("receipt_id", "store_name", "country", "success")
+
+
 @query(f"""
 SELECT CAST(w.receipt_id AS VARCHAR) AS receipt_id, w.receipt_id % 9 NOT IN (4, 7) AS success, CASE w.receipt_id % 9 WHEN 4 THEN 'Corrupt document' WHEN 7 THEN 'No receipt data found' END AS error,
   CASE WHEN score > 0 THEN country END AS country, CASE WHEN w.receipt_id % 9 IN (4, 7) THEN NULL WHEN score > 0 AND w.store_name IS NOT NULL THEN w.store_name WHEN w.receipt_id % 9 = 5 THEN ''
