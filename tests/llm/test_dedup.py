@@ -129,7 +129,11 @@ def brute_lines(rows):
     return sorted(out)
 
 
-def test_lines_against_brute_force(documents, corpus):
+@pytest.mark.parametrize("most", [1 << 20, 2])
+def test_lines_against_brute_force(documents, corpus, monkeypatch, most):
+    """Also with many more runs of a key than by default."""
+    monkeypatch.setattr(op2, "RUN_LINES", most)
+    monkeypatch.setattr(op2, "RUNS", min(64, most))
     got = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in op2.line_dedup(documents).collect())
     assert got == brute_lines([c[:2] for c in corpus])
 

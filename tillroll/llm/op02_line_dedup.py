@@ -19,8 +19,10 @@ from tillroll.llm import common as C
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 NO_ID = -(1 << 63)
-#: Runs that a key is split into, by document, so that a very common line is spread over tasks.
+#: Runs that a key is split into, by document, at least, so that a very common line is spread over tasks.
 RUNS = 64
+#: Lines that a run of one key may hold on average, even if that key were on every line.
+RUN_LINES = 1 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -40,9 +42,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     spark = docs.sparkSession
     lines = docs.select(_document().alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     keys = lines.select("doc", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    hashed = C.materialize(
-        keys.select("doc", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("doc"), F.lit(RUNS)).cast("int").alias("run")), "line-hashes"
-    )
+    hashed = C.materialize(keys.select("doc", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "line-hashes")
+    runs = max(RUNS, -(-hashed.count() // RUN_LINES))  # counted from the files' footers
+    hashed = hashed.withColumn("run", F.pmod(F.xxhash64("doc"), F.lit(runs)))
     order = ["h1", "h2", "run"]
     dealt = hashed.repartitionByRange(C.partitions(spark), *order)
     stream = Window.partitionBy(*order).orderBy(F.desc("doc"), "pos")
