@@ -8,7 +8,9 @@ others), then by hashes of the text; of rows equal in both, any. Documents witho
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import common as C
@@ -32,12 +34,29 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.withColumns(new).select(*docs.columns)
 
 
+def row_number(salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), *C.ROW_KEY)
+
+
+def numbered(keys: DataFrame, number: Callable[[int], Column] = row_number) -> DataFrame:
+    """keys (different ones, by C.ROW_KEY) with _row, a number of their own: number(0), and where two have the same, all but the first of them take the next that is free."""
+    named, salt = C.materialize(keys.withColumn("_row", number(0)), "row-numbers"), 0
+    while not (twice := named.groupBy("_row").agg(F.count("*").alias("n"), F.min(F.struct(*C.ROW_KEY)).alias("first")).where("n > 1")).isEmpty():
+        salt += 1
+        later = F.col("first").isNotNull() & (F.struct(*C.ROW_KEY) != F.col("first"))
+        named = C.materialize(named.join(twice, "_row", "left").withColumn("_row", F.when(later, number(salt)).otherwise(F.col("_row"))).select(*keys.columns, "_row"), "row-numbers")
+    return named
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates, the first by doc_id (null first), hashes of the text and, of equal ones, any."""
-    row = F.xxhash64(*C.ROW_KEY)
     with C.workspace(spark, "near-duplicates"):
-        found = jaccard_components(docs.select(*C.row_key(), "text").select(row.alias("doc_id"), "text"), width=5, num=80, den=100)
-        keys = docs.select(*C.row_key()).groupBy(*C.ROW_KEY).agg(F.count("*").alias("rows")).withColumn("_row", row)
+        keys = numbered(docs.select(*C.row_key()).groupBy(*C.ROW_KEY).agg(F.count("*").alias("rows")))
+        texts = docs.select(*C.row_key(), "text").withColumn("_row", row_number(0))
+        moved = keys.where(F.col("_row") != row_number(0)).select(*C.ROW_KEY, F.col("_row").alias("_moved"))
+        if not moved.isEmpty():
+            texts = texts.join(moved, C.ROW_KEY, "left").withColumn("_row", F.coalesce("_moved", "_row"))
+        found = jaccard_components(texts.select(F.col("_row").alias("doc_id"), "text"), width=5, num=80, den=100)
         named = keys.join(found.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id").distinct(), "_row")
         first = C.keep(named.groupBy("component_id").agg(F.min(F.struct(*C.ROW_KEY, "rows", "n_shingles")).alias("first")).select("first.*"), "first-rows")
     repeated = (F.col("rows") > 1) & (F.col("n_shingles") > 0)
