@@ -57,6 +57,21 @@ def test_one_row_of_near_duplicates_stays(spark):
     assert got == sorted(map(str, [rows[0], rows[4], rows[6], rows[7], rows[8]]))
 
 
+def test_rows_whose_numbers_meet(spark, monkeypatch):
+    """Of 200 rows many share a hash of 12 bits: each still has a number of its own, and what stays is the same."""
+    few = lambda salt: F.pmod(F.xxhash64(F.lit(salt), *C.ROW_KEY), F.lit(1 << 12))
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    docs = spark.createDataFrame([(i, words(i % 150)) for i in range(200)], "doc_id long, text string")
+    keys = docs.select(*C.row_key())
+    assert keys.select(few(0)).distinct().count() < 200
+    with C.workspace(spark, "test"):
+        got = corpus_pipeline.numbered(keys, few).collect()
+        assert len(got) == len({r._row for r in got}) == 200
+    monkeypatch.setattr(corpus_pipeline, "row_number", few)
+    monkeypatch.setattr(corpus_pipeline.numbered, "__defaults__", (few,))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == list(range(150))
+
+
 def test_stages_against_plain_python(spark, documents, tmp_path):
     """What each stage keeps of the fixture, stage by stage."""
     from test_dedup import brute_components, brute_lines
