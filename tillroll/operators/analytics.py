@@ -35,42 +35,36 @@ def duplicate_receipts(receipts: DataFrame) -> DataFrame:
     return rows.join(groups, F.col("_k").eqNullSafe(F.col("_g"))).select("receipt_id", "original_id", "copies")
 
 
-def name_pieces(name: Column, edits: int) -> Column:
-    """A name's length and its edits + 1 pieces, as an array of structs: of two names within `edits` edits, one holds a piece of the other whole, moved by `edits` at most."""
-    size = F.floor(F.char_length(name) / (edits + 1)).cast("int")
-    width = lambda i: size if i < edits else F.char_length(name) - size * edits
-    return F.array(*(F.struct(F.char_length(name).alias("len"), F.lit(i).alias("i"), F.substring(name, size * i + 1, width(i)).alias("piece")) for i in range(edits + 1)))
+def name_keys(name: Column, edits: int) -> Column:
+    """A name with up to `edits` letters left out, in every way, as an array of hashes: names within `edits` edits of each other share one, names that share one are within twice as many."""
+    less = lambda s: F.when(F.char_length(s) > 0, F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s))))).otherwise(F.array(F.lit("")))
+    forms = F.array(name)
+    for _ in range(edits):
+        forms = F.array_distinct(F.concat(forms, F.flatten(F.transform(forms, less))))
+    return F.array_distinct(F.transform(forms, lambda s: F.xxhash64(s)))
 
 
-def name_probes(rows: DataFrame, name: str, edits: int) -> DataFrame:
-    """rows with (len, i, piece): all that name_pieces() can give for a name within `edits` edits of theirs."""
-    out = rows.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.char_length(name) - edits), F.char_length(name) + edits)))
-    out = out.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(edits)))).withColumn("shift", F.explode(F.sequence(F.lit(-edits), F.lit(edits))))
-    size = F.floor(F.col("len") / (edits + 1)).cast("int")
-    begin, width = size * F.col("i") + F.col("shift"), F.when(F.col("i") < edits, size).otherwise(F.col("len") - size * edits)
-    out = out.withColumn("piece", F.when(begin >= 0, F.substring(name, begin + 1, width)).when(width == 0, "")).where(F.char_length("piece") == width)
-    return out.drop("shift").distinct()
-
-
-def near_duplicate_receipts(receipts: DataFrame, days: int = 1, edits: int = 2) -> DataFrame:
+def near_duplicate_receipts(receipts: DataFrame, days: int = 1, edits: int = 2, few: int = 32) -> DataFrame:
     """Receipts of one user and one total, at most `days` apart and with store names within `edits` edits, in groups: (receipt_id, group_id), the group's smallest receipt_id; only groups of two or more.
 
-    Every such link counts, whatever receipts stand between. Receipts that agree in all four are one row. The others meet by
-    user, total, span of days and a piece of the name that both must share, so no group's pairs are drawn; what meets is
+    Every such link counts, whatever receipts stand between. Receipts that agree in all four are one row. Of one user and total, up to `few` such rows
+    meet each other; more of them meet by span of days and a key of the name that both must share, so no large group's pairs are drawn. What meets is
     verified. A null in any of the four links with nothing; of repeated receipt_ids one row counts.
     """
     spark, block = receipts.sparkSession, ["user_id", "total_amount"]
     key = [*block, "day", "name"]
     with workspace(spark, "near-receipts") as written:
-        rows = receipts.select("receipt_id", *block, F.to_date("purchase_date").alias("day"), F.lower("store_name").alias("name")).dropna(subset=["receipt_id", *key])
+        rows = written(receipts.select("receipt_id", *block, F.to_date("purchase_date").alias("day"), F.lower("store_name").alias("name")).dropna(subset=["receipt_id", *key]))
         one = written(rows.groupBy(*key).agg(F.min("receipt_id").alias("id"), F.count_distinct("receipt_id").alias("n")))
-        several = one.groupBy(*block).agg(F.count("*").alias("_m")).where("_m > 1").drop("_m")
-        near = written(one.join(several, block, "left_semi").select("id", *block, F.unix_date("day").alias("d"), "name"))
-        span = days + 1
-        placed = near.select("id", *block, "d", "name", F.floor(F.col("d") / span).alias("span"), F.explode(name_pieces(F.col("name"), edits)).alias("p")).select("id", *block, "d", "name", "span", "p.*").distinct()
-        probes = name_probes(near, "name", edits).withColumn("span", F.explode(F.sequence(F.floor((F.col("d") - days) / span), F.floor((F.col("d") + days) / span))))
-        probes = probes.select(*block, "span", "len", "i", "piece", F.col("id").alias("other"), F.col("d").alias("e"), F.col("name").alias("like"))
-        met = placed.join(probes, [*block, "span", "len", "i", "piece"]).where((F.col("id") < F.col("other")) & (F.abs(F.col("d") - F.col("e")) <= days))
+        several = one.groupBy(*block).agg(F.count("*").alias("m")).where("m > 1")
+        near = written(one.join(several, block).select("id", *block, F.unix_date("day").alias("d"), "name", "m"))
+        side = lambda df, *more: df.select(*block, *more, F.col("id").alias("other"), F.col("d").alias("e"), F.col("name").alias("like"))
+        small, large, span = near.where(F.col("m") <= few), near.where(F.col("m") > few), days + 1
+        keyed = large.withColumn("key", F.explode(name_keys(F.col("name"), edits)))
+        placed = keyed.withColumn("span", F.floor(F.col("d") / span))
+        probes = keyed.withColumn("span", F.explode(F.sequence(F.floor((F.col("d") - days) / span), F.floor((F.col("d") + days) / span))))
+        met = small.join(side(small), block).unionByName(placed.join(side(probes, "span", "key"), [*block, "span", "key"]), allowMissingColumns=True)
+        met = met.where((F.col("id") < F.col("other")) & (F.abs(F.col("d") - F.col("e")) <= days))
         links = met.where(F.levenshtein("name", "like", edits) >= 0).select(F.col("id").alias("a"), F.col("other").alias("b"))
         groups = one.join(link_groups(links, written).withColumnRenamed("node", "id"), "id", "left").where("n > 1 or group_id is not null").select(*key, F.coalesce("group_id", "id").alias("group_id"))
         path = scratch(spark, "near-receipts")
@@ -92,13 +86,22 @@ def review_queue(receipts: DataFrame, least: float = 0.7) -> DataFrame:
 
 
 def chain_match(receipts: DataFrame, chains: DataFrame, most: int = 2) -> DataFrame:
-    """Each store name's nearest chain (chain) within `most` edits. Names meet by blocks: one of most+1 pieces must be equal at a place shifted by at most `most`."""
-    names = receipts.select(F.lower("store_name").alias("name")).where("name != ''").distinct()
-    known = chains.select("chain", F.lower("chain").alias("low")).distinct()
-    cut = known.select("chain", "low", F.explode(name_pieces(F.col("low"), most)).alias("p")).select("chain", "low", "p.*")
-    probe = name_probes(names, "name", most)
-    near = probe.join(cut, ["len", "i", "piece"]).select("name", "chain", F.levenshtein("name", "low").alias("edits")).where(F.col("edits") <= most)
-    best = near.groupBy("name").agg(F.min(F.struct("edits", "chain")).alias("b")).select("name", F.col("b.chain").alias("chain"), F.col("b.edits").alias("edits"))
+    """Each store name's nearest chain (chain) within `most` edits, the first by name of equally near ones.
+
+    Names and chains meet by name_keys(), first equal ones, then those within one edit, and so on: a name goes on only while it has
+    found none, and what meets is never far apart, however many names begin alike.
+    """
+    spark = receipts.sparkSession
+    path, form = scratch(spark, "nearest-chains"), "name string, chain string, edits int"
+    with workspace(spark, "chains") as written:
+        rest = written(receipts.select(F.lower("store_name").alias("name")).where("name != ''").distinct())
+        known = written(chains.select("chain", F.lower("chain").alias("low")).distinct())
+        for edits in range(most + 1):
+            keyed = lambda df, c: df.withColumn("key", F.explode(name_keys(F.col(c), edits)))  # noqa: E731, B023
+            near = keyed(rest, "name").join(keyed(known, "low"), "key").select("name", "chain", F.levenshtein("name", "low", edits).alias("edits")).where("edits >= 0")
+            near.groupBy("name").agg(F.min(F.struct("edits", "chain")).alias("b")).select("name", F.col("b.chain").alias("chain"), F.col("b.edits").alias("edits")).write.mode("append").parquet(path)
+            rest = written(rest.join(spark.read.schema(form).parquet(path).select("name"), "name", "left_anti"))
+    best = spark.read.schema(form).parquet(path)
     return receipts.withColumn("name", F.lower("store_name")).join(best, "name", "left").select("receipt_id", "store_name", "chain", "edits")
 
 

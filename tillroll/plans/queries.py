@@ -684,13 +684,12 @@ SELECT n AS receipt_id, min(g) AS group_id FROM r GROUP BY 1
 """)
 def near_dup_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts, some of them again on the days after under like names, with another store's receipt of that total in between; the SQL compares all pairs."""
-    rows, id_ = X.receipts(spark, sf_dir), F.col("receipt_id") * 4
-    again = rows.where(F.col("receipt_id") % 5 == 0)
-    later = lambda n: F.col("purchase_date") + F.expr(f"interval {n} days")
-    between = again.withColumns({"receipt_id": id_ + 1, "store_name": F.lit("Elsewhere")})
-    second = again.withColumns({"receipt_id": id_ + 2, "store_name": F.concat("store_name", F.when(F.col("receipt_id") % 2 == 0, "x").otherwise("xyz")), "purchase_date": later(1)})
-    third = again.withColumns({"receipt_id": id_ + 3, "store_name": F.concat(F.lit("s"), "store_name", F.lit("y")), "purchase_date": later(2)})
-    return analytics.near_duplicate_receipts(rows.withColumn("receipt_id", id_).unionByName(between).unionByName(second).unionByName(third))
+    id_, k = F.col("receipt_id"), F.col("k")
+    rows = X.receipts(spark, sf_dir).withColumn("k", F.explode(F.when(id_ % 5 == 0, F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0)))))
+    second, third = F.concat("store_name", F.when(id_ % 2 == 0, "x").otherwise("xyz")), F.concat(F.lit("s"), "store_name", F.lit("y"))
+    name = F.when(k == 1, "Elsewhere").when(k == 2, second).when(k == 3, third).otherwise(F.col("store_name"))
+    date = F.col("purchase_date") + F.make_dt_interval(F.greatest(k - 1, F.lit(0)))
+    return analytics.near_duplicate_receipts(rows.withColumns({"receipt_id": id_ * 4 + k, "store_name": name, "purchase_date": date}))
 
 
 @query(f"""
