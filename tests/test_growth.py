@@ -4,7 +4,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from test_duplicates import FORM, frame, plain_groups
-from tillroll.operators import analytics
+from tillroll.operators import analytics, nested, structure
 
 
 def moved(spark, act):
@@ -35,3 +35,13 @@ def test_names_that_begin_alike_meet_few_others(spark):
     names = spark.range(2000).select(F.format_string("supplier#%09d", F.col("id") * 37).alias("name"))
     keys = names.withColumn("key", F.explode(analytics.name_keys(F.col("name"), 1)))
     assert keys.join(keys.withColumnRenamed("name", "other"), "key").count() < 60 * names.count()
+
+
+def test_an_entry_is_looked_into_once_a_level(spark):
+    items = nested.entries(F.try_variant_get(F.try_parse_json(F.lit("{}")), "$", "variant"))
+    assert spark.range(1).select(items.alias("x"))._jdf.queryExecution().analyzed().toString().count("variant_get") < 80
+
+
+def test_dates_are_tried_only_where_marks_fit(spark):
+    plan = spark.createDataFrame([("1998-02-06",)], "v string").select(structure.date_of(F.col("v")).alias("d"))
+    assert plan.first().d == datetime.datetime(1998, 2, 6) and plan._jdf.queryExecution().analyzed().toString().lower().count("contains") >= 9

@@ -12,13 +12,21 @@ documents give the rows that `structure.items_from` gives.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import schemas as S
 from tillroll.operators.structure import typed_item
 
-OBJECT, LIST, ENTRIES = "map<string,variant>", "array<variant>", "array<struct<place:string,entry:variant>>"
+OBJECT, LIST = "map<string,variant>", "array<variant>"
+ENTRIES = f"array<struct<place:string,data:{OBJECT},within:{LIST}>>"
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often `then` names it; within lambdas Spark shares no common part."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def variant_documents(raw: DataFrame, column: str = "json") -> DataFrame:
@@ -40,42 +48,42 @@ def _object(entry: Column) -> Column:
 
 def _list(field: Column) -> Column:
     """A field's entries: `value_array` unless it is empty, else the list in `value`; null if it has neither."""
-    held = F.try_variant_get(field, "$.value_array", LIST)
-    return F.when(F.size(held) > 0, held).otherwise(F.try_variant_get(_opened(F.try_variant_get(field, "$.value", "variant")), "$", LIST))
+    other = _once(F.try_variant_get(field, "$.value", "variant"), lambda v: F.try_variant_get(_opened(v), "$", LIST))
+    return _once(F.try_variant_get(field, "$.value_array", LIST), lambda held: F.when(F.size(held) > 0, held).otherwise(other))
 
 
-def _inside(entry: Column) -> Column:
-    """The entries that stand in place of one that isn't an item; null for items, and for what holds nothing."""
-    own = _object(entry)
-    return F.when(own.isNull(), _list(entry)).otherwise(F.coalesce(_list(own["Items"]), F.try_variant_get(own["Items"], "$.value_array", LIST)))
+def _looked(place: Column, entry: Column) -> Column:
+    """(place, data, within) of an entry: its own fields, and the entries that stand in its place; `within` is null for items, and for what holds nothing."""
+    inner = lambda f: F.coalesce(_list(f), F.try_variant_get(f, "$.value_array", LIST))
+    within = lambda own: F.when(own.isNull(), _list(entry)).when(own["Items"].isNotNull(), _once(own["Items"], inner))
+    return _once(_object(entry), lambda own: F.struct(place.alias("place"), own.alias("data"), within(own).alias("within")))
 
 
 def entries(items: Column) -> Column:
-    """Of a field `Items` as VARIANT: array of (place, entry) in order, with nothing left to open."""
-    first = F.transform(_list(items), lambda e, i: F.struct(i.cast("string").alias("place"), e.alias("entry")))
+    """Of a field `Items` as VARIANT: array of (place, data, within) in order, with nothing left to open. Each entry is looked into once a level."""
+    first = F.transform(_list(items), lambda e, i: _looked(i.cast("string"), e)).cast(ENTRIES)
+    closed = lambda held: ~F.exists(held, lambda e: e["within"].isNotNull())
 
     def one(e: Column) -> Column:
-        within = F.transform(_inside(e["entry"]), lambda c, i: F.struct(F.concat_ws("/", e["place"], i.cast("string")).alias("place"), c.alias("entry")))
-        return F.coalesce(within, F.array(e))
+        return F.when(e["within"].isNull(), F.array(e)).otherwise(F.transform(e["within"], lambda c, i: _looked(F.concat_ws("/", e["place"], i.cast("string")), c)).cast(ENTRIES))
 
-    def step(acc: Column, _: Column) -> Column:
-        more = F.exists(acc["held"], lambda e: _inside(e["entry"]).isNotNull())
-        return F.when(acc["open"], F.struct(more.alias("open"), F.flatten(F.transform(acc["held"], one)).cast(ENTRIES).alias("held"))).otherwise(acc)
+    def opened(held: Column) -> Column:
+        text = F.to_json(items)
+        levels = F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))  # no list nests deeper than there are brackets; steps after the last that opened something cost little
+        step = lambda acc, _: F.when(closed(acc), acc).otherwise(F.flatten(F.transform(acc, one)).cast(ENTRIES))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), held, step)
 
-    text = F.to_json(items)
-    levels = F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))  # no list nests deeper than there are brackets; steps after the last that opened something cost nothing
-    start = F.struct(F.lit(True).alias("open"), first.cast(ENTRIES).alias("held"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), start, step)["held"]
+    return _once(first, lambda held: F.when(closed(held), held).otherwise(opened(held)))
 
 
 def deep_item_list(document: str = "document", receipt_id: str = "receipt_id", ts: str = "ingest_ts") -> Column:
     """A document's items as an array of typed structs, from any depth; null where it has no list."""
-    items = F.try_variant_get(F.col(document), "$.fields.Items", "variant")
-    found = F.transform(entries(items), lambda e: F.struct(e["place"].alias("place"), _object(e["entry"]).alias("data")))
-    value = lambda e: lambda name: F.try_variant_get(e["data"][name], "$.value", "string")
-    return F.transform(F.filter(found, lambda e: e["data"].isNotNull()), lambda e: typed_item(value(e), e["place"], receipt_id, ts))
+    found = F.filter(entries(F.try_variant_get(F.col(document), "$.fields.Items", "variant")), lambda e: e["data"].isNotNull())
+    texts = F.transform(found, lambda e: F.struct(e["place"].alias("place"), *(F.try_variant_get(e["data"][name], "$.value", "string").alias(name) for name in ("Description", "Quantity", "Price", "TotalPrice"))))
+    return F.transform(texts, lambda e: typed_item(lambda name: e[name], e["place"], receipt_id, ts))
 
 
 def deep_items(docs: DataFrame) -> DataFrame:
     """Typed items of docs (receipt_id, ingest_ts, document), a row for each item of deep_item_list()."""
-    return docs.where("document is not null").select(F.explode(deep_item_list()).alias("item")).select(*(F.col(f"item.{c}") for c in S.ITEM_COLUMNS))
+    items = docs.where("document is not null").select(F.explode_outer(deep_item_list()).alias("item")).where("item is not null")  # before explode() Spark filters by its array, and works that out twice more
+    return items.select(*(F.col(f"item.{c}") for c in S.ITEM_COLUMNS))
