@@ -4,6 +4,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from test_duplicates import FORM, frame, plain_groups
+from tillroll.functions import text as T
 from tillroll.operators import analytics, nested, structure
 
 
@@ -45,3 +46,21 @@ def test_an_entry_is_looked_into_once_a_level(spark):
 def test_dates_are_tried_only_where_marks_fit(spark):
     plan = spark.createDataFrame([("1998-02-06",)], "v string").select(structure.date_of(F.col("v")).alias("d"))
     assert plan.first().d == datetime.datetime(1998, 2, 6) and plan._jdf.queryExecution().analyzed().toString().lower().count("contains") >= 9
+
+
+def test_a_text_is_lowered_once_and_only_matches_are_worked_on(spark):
+    text = F.col("text")
+    plan = spark.createDataFrame([("Shop\nS 123456",)], "text string").select(T.country(text).alias("c"), T.store_name(T.lines_of(text)).alias("s"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("lower(") <= 2 and tuple(plan.first()) == (None, "Shop")
+
+
+def test_white_space_at_ends_is_that_of_the_pattern(spark):
+    char = F.when(~F.col("id").between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"))
+    ends = spark.range(0x110000).select("id", F.concat(char, F.lit("a"), char, F.lit("b"), char).alias("t")).where("t is not null")
+    by_pattern = F.regexp_replace("t", r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    assert ends.where(T.stripped(F.col("t")) != by_pattern).count() == 0 and ends.where(T.stripped(F.col("t")) != F.col("t")).count() == len(T.WHITE)
+
+
+def test_patterns_look_at_their_first_character_where_they_have_one():
+    assert T.led(r"\b[5-9]\d{4}\b") == r"(?=[5-9])(?:\b[5-9]\d{4}\b)" and T.led(r"\+65|^65[-\s]") == r"(?=[\+6])(?:\+65|^65[-\s])"
+    assert all(T.led(p) == p for p in (r"\bS?a", "ab|c*d", "(?:a|b)c", "[^a]b", "a{0,2}b", ""))
