@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_duplicates import FORM, frame, plain_groups
 from tillroll.functions import text as T
 from tillroll.operators import analytics, nested, structure
+from tillroll.plans import queries
 
 
 def moved(spark, act):
@@ -64,3 +65,8 @@ def test_white_space_at_ends_is_that_of_the_pattern(spark):
 def test_patterns_look_at_their_first_character_where_they_have_one():
     assert T.led(r"\b[5-9]\d{4}\b") == r"(?=[5-9])(?:\b[5-9]\d{4}\b)" and T.led(r"\+65|^65[-\s]") == r"(?=[\+6])(?:\+65|^65[-\s])"
     assert all(T.led(p) == p for p in (r"\bS?a", "ab|c*d", "(?:a|b)c", "[^a]b", "a{0,2}b", ""))
+
+
+def test_document_errors_reads_its_documents_once(spark):
+    plan = queries.document_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
