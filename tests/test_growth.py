@@ -7,6 +7,7 @@ from test_duplicates import FORM, frame, plain_groups
 from tillroll.functions import text as T
 from tillroll.operators import analytics, nested, structure
 from tillroll.plans import queries
+from tillroll.sources import landing
 
 
 def moved(spark, act):
@@ -67,6 +68,12 @@ def test_patterns_look_at_their_first_character_where_they_have_one():
     assert all(T.led(p) == p for p in (r"\bS?a", "ab|c*d", "(?:a|b)c", "[^a]b", "a{0,2}b", ""))
 
 
+def test_extracted_receipts_are_written_compressed(spark, tmp_path):
+    receipts = spark.sql("select 'a' as receipt_id, 'u' as user_id, timestamp'2024-01-02 00:00:00' as created_at")
+    landing.write_extracted(receipts, spark.sql("select 'i' as item_id, 'a' as receipt_id, 'x' as name"), str(tmp_path / "out"))
+    assert [f.name.endswith(".json.gz") for f in tmp_path.rglob("part-*")] == [True]
+
+
 def test_document_errors_reads_its_documents_once(spark):
     plan = queries.document_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1

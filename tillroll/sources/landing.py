@@ -68,14 +68,14 @@ def with_day(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumns({"yyyy": F.date_format(ts, "yyyy"), "mm": F.date_format(ts, "MM"), "dd": F.date_format(ts, "dd")})
 
 
-def write_by_day(df: DataFrame, path: str, ts: str, kind: str = "json", mode: str = "append") -> None:
-    """Writes rows under day folders, by user within a file; range partitions keep a day's files few and let a large day have several."""
-    with_day(df, ts).repartitionByRange(*DAY, "user_id").sortWithinPartitions(*DAY, "user_id").write.mode(mode).partitionBy(*DAY).format(kind).save(path)
+def write_by_day(df: DataFrame, path: str, ts: str, kind: str = "json", mode: str = "append", **options: str) -> None:
+    """Writes rows under day folders, by user within a file; range partitions keep a day's files few and let a large day have several. options: the writer's."""
+    with_day(df, ts).repartitionByRange(*DAY, "user_id").sortWithinPartitions(*DAY, "user_id").write.mode(mode).partitionBy(*DAY).format(kind).options(**options).save(path)
 
 
 def write_extracted(receipts: DataFrame, items: DataFrame, path: str, ts: str = "created_at") -> None:
-    """Receipts as JSON under day folders, each with its items nested."""
-    write_by_day(with_items(receipts, items), path, ts)
+    """Receipts as compressed JSON under day folders, each with its items nested; keys are most of what they write."""
+    write_by_day(with_items(receipts, items), path, ts, compression="gzip")
 
 
 def read_by_day(spark: SparkSession, path: str, schema: str, kind: str = "json") -> DataFrame:
