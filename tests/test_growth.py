@@ -4,10 +4,12 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from test_duplicates import FORM, frame, plain_groups
+from test_ingest import document, raw
 from tillroll.functions import text as T
 from tillroll.operators import analytics, nested, structure
 from tillroll.plans import queries
 from tillroll.sources import landing
+from tillroll.streaming import ingest
 
 
 def moved(spark, act):
@@ -77,3 +79,23 @@ def test_extracted_receipts_are_written_compressed(spark, tmp_path):
 def test_document_errors_reads_its_documents_once(spark):
     plan = queries.document_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_a_batch_is_dealt_out_once_with_its_items_nested(spark, tmp_path):
+    batch = raw(spark, [(str(k), "2024-03-05", document(f"Shop {k}", *range(20))) for k in range(100)])
+    assert moved(spark, lambda: ingest.ingest_batch(batch, str(tmp_path), 0, known=False, copies=False)) < 1000  # 2,000 items
+    assert spark.read.parquet(str(tmp_path / "items")).count() == 2000
+
+
+def test_rows_of_a_batch_are_made_in_one_pass(spark):
+    docs = structure.parse_documents(raw(spark, [("a", "2024-03-05", document("Shop", 1)), ("b", "2024-03-05", "{broken"), (None, "2024-03-05", document("None", 1)), ("c", "2024-03-05", document("x" * 201, 1)), ("d", "2024-03-05", document("Shop"))]))
+    rows = ingest.rows_of(docs.withColumn("_k", ingest.read_key()))
+    assert "Union" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.receipt_id: (r.violations, r.json is None, r["items"] and len(r["items"])) for r in rows.collect()}
+    assert found == {"a": ([], True, 1), "b": ([structure.CORRUPT], False, None), None: ([ingest.NO_ID], False, None), "c": (["store_name: longer than 200"], False, 1), "d": ([], True, found["d"][2])} and not found["d"][2]
+
+
+def test_only_short_documents_are_lowered_to_see_if_there_is_one(spark):
+    docs = structure.parse_documents(spark.createDataFrame([("",), (" NULL ",), ("null",), ("nulls",), (None,), ('{"doc_type":"x"}',), ("  ",)], "json string"))
+    assert [r.error for r in docs.collect()] == [structure.NO_DATA] * 3 + [structure.CORRUPT, structure.NO_DATA, None, structure.NO_DATA]
+    assert "octet_length" in docs._jdf.queryExecution().optimizedPlan().toString()
