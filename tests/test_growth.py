@@ -99,3 +99,27 @@ def test_only_short_documents_are_lowered_to_see_if_there_is_one(spark):
     docs = structure.parse_documents(spark.createDataFrame([("",), (" NULL ",), ("null",), ("nulls",), (None,), ('{"doc_type":"x"}',), ("  ",)], "json string"))
     assert [r.error for r in docs.collect()] == [structure.NO_DATA] * 3 + [structure.CORRUPT, structure.NO_DATA, None, structure.NO_DATA]
     assert "octet_length" in docs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_that_go_to_day_folders_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda i: made.add(1) or f"u{i % 7}", "string").asNondeterministic()
+    rows = spark.range(40).select("id", count("id").alias("user_id"), F.expr("timestamp'2024-03-05 00:00:00' + make_dt_interval(id % 3)").alias("ts"))
+    landing.write_by_day(rows, str(tmp_path / "zone"), "ts")
+    assert made.value == 40 and sorted(r.id for r in landing.read_by_day(spark, str(tmp_path / "zone"), "id long, user_id string").collect()) == list(range(40))
+
+
+def test_a_large_day_has_several_files_by_user_within_each(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "65536")
+    try:
+        rows = spark.range(0, 20000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("body"), F.format_string("u%d", F.col("id") % 50).alias("user_id"), F.expr("timestamp'2024-03-05 00:00:00' + make_dt_interval(if(id < 10, 1, 0))").alias("ts"))
+        landing.write_by_day(rows, str(tmp_path / "zone"), "ts")
+    finally:
+        spark.conf.set(size, before)
+    files = {day: sorted((tmp_path / "zone/yyyy=2024/mm=03" / f"dd={day}").glob("part-*")) for day in ("05", "06")}
+    assert len(files["05"]) > 4 and len(files["06"]) == 1
+    for file in files["05"]:
+        users = [r.user_id for r in spark.read.json(str(file)).select("user_id").collect()]
+        assert users == sorted(users)

@@ -69,8 +69,8 @@ def with_day(df: DataFrame, ts: str) -> DataFrame:
 
 
 def write_by_day(df: DataFrame, path: str, ts: str, kind: str = "json", mode: str = "append", **options: str) -> None:
-    """Writes rows under day folders, by user within a file; range partitions keep a day's files few and let a large day have several. options: the writer's."""
-    with_day(df, ts).repartitionByRange(*DAY, "user_id").sortWithinPartitions(*DAY, "user_id").write.mode(mode).partitionBy(*DAY).format(kind).options(**options).save(path)
+    """Writes rows under day folders, by user within a file. Adaptive execution cuts a large day into several files and leaves small ones whole, from the sizes of what was shuffled: rows aren't made a second time to sample them. options: the writer's."""
+    with_day(df, ts).hint("rebalance", *map(F.col, DAY)).sortWithinPartitions(*DAY, "user_id").write.mode(mode).partitionBy(*DAY).format(kind).options(**options).save(path)
 
 
 def write_extracted(receipts: DataFrame, items: DataFrame, path: str, ts: str = "created_at") -> None:
