@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_duplicates import FORM, frame, plain_groups
 from test_ingest import document, raw
 from tillroll.functions import text as T
-from tillroll.operators import analytics, nested, structure
+from tillroll.operators import analytics, nested, structure, versions
 from tillroll.plans import queries
 from tillroll.sources import landing
 from tillroll.streaming import ingest
@@ -123,3 +123,12 @@ def test_a_large_day_has_several_files_by_user_within_each(spark, tmp_path):
     for file in files["05"]:
         users = [r.user_id for r in spark.read.json(str(file)).select("user_id").collect()]
         assert users == sorted(users)
+
+
+def test_items_of_a_stream_are_named_behind_its_shuffles(spark, tmp_path):
+    batch = raw(spark, [(str(k), "2024-03-05", document(f"Shop {k}", *range(k + 1))) for k in range(5)])
+    docs = structure.parse_documents(batch)
+    assert all(len(i.item_id) < 64 for r in ingest.rows_of(docs.withColumn("_k", ingest.read_key())).collect() for i in r["items"])
+    ingest.ingest_batch(batch, str(tmp_path), 0)
+    columns = ["receipt_id", "item_id", "name", "price"]
+    assert sorted(versions.load(spark, str(tmp_path))[1].select(columns).collect()) == sorted(structure.items_from(docs).select(columns).collect())
