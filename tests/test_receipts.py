@@ -242,3 +242,24 @@ def test_queries_match_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert key(got.columns, [tuple(r) for r in got.collect()]) == key(columns, want.fetchall())
+
+
+def test_means_are_added_in_order_of_receipts(spark):
+    rng = random.Random(7)
+    rows = [(i, "s", "Shop", None if i % 50 == 3 else f"{rng.randrange(10**9) / 100:.2f}") for i in range(400)]
+    shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), "receipt_id int, country string, store_name string, total string").withColumn("total_amount", F.col("total").cast("decimal(18,2)"))
+    amounts = [float(r[3]) for r in rows if r[3]]
+    added = 0.0
+    for a in amounts:
+        added += a
+    for parts in (1, 7, 50):
+        got = analytics.store_comparison(shuffled.repartition(parts)).first()
+        assert (got.n, got["mean"], got["rank"]) == (400, added / len(amounts), 1)
+
+
+def test_means_of_stores_round_like_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    db, big = duckdb.connect(), "/root/testdata/sf0.1"  # 95 of its 3,001 means lie between two four-digit ones
+    for name in ("orders", "lineitem", "supplier"):
+        db.execute(f"create view {name} as select * from '{big}/{name}.parquet'")
+    assert sorted(tuple(r) for r in Q.store_compare(spark, big).collect()) == sorted(db.execute(Q.ORACLES["store_compare"]).fetchall())

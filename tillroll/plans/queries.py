@@ -678,7 +678,8 @@ SELECT status, store_name, n, total, mean, median, CAST(rank() OVER (PARTITION B
 """)
 def store_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = analytics.store_comparison(X.receipts(spark, sf_dir), within="status")
-    return rows.select("status", "store_name", "n", F.col("total").cast("double").alias("total"), F.round("mean", 4).alias("mean"), F.col("median").cast("double").alias("median"), F.col("rank").cast("long").alias("rank"))
+    mean = F.round(F.col("mean") * 10000) / 10000  # as SQL rounds a double: not by its shortest decimal form
+    return rows.select("status", "store_name", "n", F.col("total").cast("double").alias("total"), mean.alias("mean"), F.col("median").cast("double").alias("median"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""
