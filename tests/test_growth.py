@@ -4,10 +4,12 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from test_duplicates import FORM, frame, plain_groups
-from test_ingest import document, raw
+from test_ingest import document, raw, readings
 from tillroll.functions import text as T
-from tillroll.operators import analytics, nested, structure, versions
+from tillroll.operators import analytics, candidates, nested, structure, versions
+from tillroll.plans import fixtures as X
 from tillroll.plans import queries
+from tillroll.plans.fixtures import CASES
 from tillroll.sources import landing
 from tillroll.streaming import ingest
 
@@ -132,3 +134,28 @@ def test_items_of_a_stream_are_named_behind_its_shuffles(spark, tmp_path):
     ingest.ingest_batch(batch, str(tmp_path), 0)
     columns = ["receipt_id", "item_id", "name", "price"]
     assert sorted(versions.load(spark, str(tmp_path))[1].select(columns).collect()) == sorted(structure.items_from(docs).select(columns).collect())
+
+
+def test_a_best_reading_is_found_where_the_readings_lie(spark):
+    texts = [c[0] for c in CASES]
+    rows = [(str(k), [("enhanced", texts[k]), ("simple", texts[(k + 5) % 16]), ("high_contrast", None)]) for k in range(16)] + [("none", []), ("blank", [("simple", "..")]), ("tie", [("late", texts[0]), ("later", texts[0])])]
+    read = readings(spark, rows).withColumn("readings", F.when(F.col("receipt_id") != "3", F.col("readings")).otherwise(F.transform("readings", lambda r: r.withField("error", F.lit("x")))))
+    columns = ["store_name", "address", "phone", "postal_code", "country", "confidence", "strategy_used", "score"]
+    best = read.select("receipt_id", candidates.best_reading(F.col("readings")).alias("b")).where("b is not null")
+    want = candidates.best_candidates(read.select("receipt_id", F.explode("readings").alias("r")).select("receipt_id", "r.*")).where("success")
+    assert sorted(map(str, best.select("receipt_id", *(f"b.{c}" for c in columns)).collect())) == sorted(map(str, want.select("receipt_id", *columns).collect()))
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_with_readings_is_shuffled_no_more_than_one_without(spark, tmp_path):
+    batch = raw(spark, [(str(k), "2024-03-05", document(f"Shop {k}", 1)) for k in range(200)])
+    read = batch.withColumn("readings", F.array(F.struct(F.lit("simple").alias("strategy"), F.lit(0).alias("strategy_ord"), F.lit(CASES[0][0]).alias("text_a"), F.lit(None).cast("string").alias("text_b"), F.lit(None).cast("string").alias("error"))))
+    plain, more = (moved(spark, lambda df=df, n=n: ingest.ingest_batch(df, str(tmp_path / n), 0, known=False, copies=False)) for df, n in ((batch, "plain"), (read, "read")))
+    assert more <= plain + 20 and {r.store_name for r in versions.load(spark, str(tmp_path / "read"))[0].collect()} == {"CORNER SHOP"}
+
+
+def test_the_readings_of_orders_are_their_candidates(spark):
+    sf = "/root/testdata/sf0.001"
+    flat = X.readings(spark, sf).select("receipt_id", F.explode("readings").alias("r")).select("receipt_id", "r.strategy", "r.strategy_ord", "r.text_a", "r.text_b")
+    want = X.candidates(spark, sf).withColumn("receipt_id", F.col("receipt_id").cast("string"))
+    assert flat.exceptAll(want).count() == 0 and want.exceptAll(flat).count() == 0
